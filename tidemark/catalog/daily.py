@@ -9,6 +9,7 @@ from tidemark.catalog import query, rounded, rounded_sql, with_views
 from tidemark.operators import align, robust
 from tidemark.plans import news as N
 from tidemark.plans import panel as P
+from tidemark.session import write_through
 from tidemark.sources import history
 
 START = "1995-01-01"
@@ -246,6 +247,17 @@ def panel(spark, sf_dir, calendar: str = "target", align_mode: str = "asof", sta
                          etf_flows(spark, sf_dir), signal, start=start, calendar=calendar, align=align_mode)
 
 
+def stored_panel(spark, sf_dir):
+    """The panel written once per data folder and session; jobs that pass over it several times read it back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = write_through(panel(spark, sf_dir), "panel")
+    return _STORED[key]
+
+
+_STORED: dict = {}
+
+
 def panel_sql(body: str, calendar: str = CAL, mode: str = "asof") -> str:
     return with_views(PANEL_VIEWS, panel_ctes(calendar, mode) + body)
 
