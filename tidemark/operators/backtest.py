@@ -65,8 +65,8 @@ def train_rows(numbered: DataFrame, walk: Walk) -> DataFrame:
     last = F.floor((F.col("n") - walk.train) / walk.test) - 1
     # The first block whose training part ends after this row.
     lo = F.greatest(F.floor((F.col("i") + walk.gap - walk.train) / walk.test) + 1, F.lit(walk.first).cast("long"))
-    return (numbered.where(lo <= last)
-            .withColumn("fold", F.explode(F.sequence(lo, last)) - walk.first))
+    return (numbered.where(lo <= last).withColumn("_k", F.explode(F.sequence(lo, last)))
+            .withColumn("fold", F.col("_k") - walk.first).drop("_k"))
 
 
 def trades(test: DataFrame, thresholds: DataFrame | float, by: list[str], y: str, p: str, cost_bps: float = 1.0
