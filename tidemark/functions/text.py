@@ -59,7 +59,7 @@ def emotion_vector(tokens: Column, vocab: dict[str, list[str]] = EMOTIONS,
     n = F.size(tokens).cast("double") + 1e-8
     scores = {}
     for name, terms in vocab.items():
-        pattern = "|".join(quoted(t) for t in terms)
+        pattern = "|".join(quoted(t) for t in terms if " " not in t)  # a word holds no blank
         hits = F.size(F.filter(tokens, _matches(pattern))).cast("double")
         scores[name] = hits / n * weights.get(name, 1.0)
     total = sum(scores.values(), d(0)) + 1e-8

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import QUANTILES, Z10, Z25, clip, d, sorted_quantile
+from tidemark.functions.numeric import QUANTILES, Z10, Z25, clip, d
+from tidemark.operators.rolling import map_blocks, rolling_quantiles
 
 # Distances between neighbouring quantiles of the standard Normal, from q25-q10 outwards in order:
 # (q25 - q10), (q50 - q25), (q75 - q50), (q90 - q75).
@@ -50,17 +51,18 @@ def rolling_residual_quantiles(df: DataFrame, residual: str, sigma: str, horizon
 
     Expects numbered rows; `residual` is known (null while pending) and standardised.
     """
-    from tidemark.operators.blocks import block_window, own_rows, trailing, with_blocks
+    outputs = ("n_residuals", *[f"_{q}" for q in BAND])
 
-    w = trailing(block_window(order.keys), rows)
-    out = own_rows(with_blocks(df, size, rows).withColumn(
-        "_buf", F.array_sort(F.collect_list(residual).over(w))))
+    def block(x, _rn):
+        known, quantiles = rolling_quantiles(x, rows, QUANTILES)
+        return {"n_residuals": known, **{f"_{name}": quantiles[:, i] for i, name in enumerate(BAND)}}
+
+    out = map_blocks(df, order.keys, residual, block, outputs, size, rows)
     s = F.col(sigma) * (horizon ** 0.5)
-    out = out.withColumn("n_residuals", F.size("_buf"))
     warm = F.col("n_residuals") >= cold
-    for name, q, z in zip(BAND, QUANTILES, NORMAL_Z):
-        out = out.withColumn(f"resid_{name}", F.when(warm, sorted_quantile(F.col("_buf"), q)).otherwise(d(z)) * s)
-    return out.drop("_buf")
+    out = out.withColumns({f"resid_{name}": F.when(warm, F.col(f"_{name}")).otherwise(d(z)) * s
+                           for name, z in zip(BAND, NORMAL_Z)})
+    return out.drop(*[f"_{q}" for q in BAND])
 
 
 def residual_sigma(sq_error: Column, eps: float = 1e-8) -> Column:

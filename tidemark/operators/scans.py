@@ -253,23 +253,11 @@ REGIME_LEVELS = (("risk_regime", 0.65, 0.65), ("risk_regime", 0.35, 0.35), ("vol
 
 
 def rolling_quantiles(x: np.ndarray, rn: np.ndarray, window: int, levels, least: int) -> np.ndarray:
-    """[rows, levels] quantiles of the last `window` values of the chosen columns; default while cold."""
-    n = len(x)
-    out = np.empty((n, len(levels)))
-    by_column: dict[int, list[int]] = {}
-    for j, (name, _, _) in enumerate(levels):
-        by_column.setdefault(REGIME_INPUTS.index(name), []).append(j)
-    for col, js in by_column.items():
-        qs = [levels[j][1] for j in js]
-        v = x[:, col]
-        grow = min(n, window - 1)
-        for i in range(grow):
-            out[i, js] = np.quantile(v[:i + 1], qs)
-        if n >= window:
-            views = np.lib.stride_tricks.sliding_window_view(v, window)
-            for at in range(0, len(views), 1024):
-                out[window - 1 + at:window - 1 + at + 1024, js] = np.quantile(views[at:at + 1024], qs, axis=1).T
-    for j, (_, _, default) in enumerate(levels):
+    """[rows, levels] quantiles of the last `window` values of the chosen inputs; default while cold."""
+    out = np.empty((len(x), len(levels)))
+    for j, (name, q, default) in enumerate(levels):
+        values = pd.Series(x[:, REGIME_INPUTS.index(name)])
+        out[:, j] = values.rolling(window, min_periods=1).quantile(q)
         out[rn < least, j] = default
     return out
 
@@ -288,16 +276,17 @@ def regime_scan(window: int = 500, sticky: float = 0.6, bonus: float = 0.05) ->
         raw = np.column_stack([
             np.maximum(0.0, (risk - rhi) + (vlo - vol) + (liq - lhi)), np.maximum(0.0, (rlo - risk) + (vol - vhi)),
             np.maximum(0.0, (mom - mhi) + (slow - shi)), np.maximum(0.0, (rev - qhi) + 0.1)])
-        now = (1.0 - sticky) * raw
-        score, current = np.array(state[:4]), int(state[4])
-        out = np.empty((len(x), 2))
-        for i in range(len(x)):
-            score = now[i] + sticky * score
+        score, current = list(state[:4]), int(state[4])
+        scores, codes = [], []
+        for now in ((1.0 - sticky) * raw).tolist():
+            score = [a + sticky * b for a, b in zip(now, score)]
             score[current] += bonus
-            current = int(score.argmax())
-            e = np.exp(score - score.max())
-            out[i] = (current, (e / e.sum()).max())
-        return out, (*score.tolist(), float(current))
+            current = score.index(max(score))
+            scores.append(score)
+            codes.append(current)
+        s = np.array(scores).reshape(-1, 4)
+        share = 1.0 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)  # softmax of the largest
+        return np.column_stack([np.array(codes, dtype=float), share]), (*score, float(current))
 
     return Scan(REGIME_INPUTS, ("regime_code", "regime_confidence"), (0.25, 0.25, 0.25, 0.25, 3.0), run, prepare,
                 window - 1)

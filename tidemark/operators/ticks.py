@@ -7,13 +7,15 @@ tick, as there is no return before it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import MAD_SIGMA, array_median, clip, d
-from tidemark.functions.vectors import unit  # noqa: F401  (re-exported for callers building contexts)
+from tidemark.functions.numeric import MAD_SIGMA, clip, d
 from tidemark.operators.blocks import (
     BLOCK, HALO, Order, block_window, index_rows, own_rows, ticks_order, trailing, with_blocks)
+from tidemark.operators.rolling import map_blocks, rolling_median_mad
 
 # Rows per block. An exponential average is a running sum of geometrically weighted values, and the
 # weights over one block must stay inside the double range for the fastest average (period 9).
@@ -209,28 +211,24 @@ def rolling_robust_z(df: DataFrame, value: str = "mid", order: Order | None = No
     Adds z_price, price_mean (rolling median) and price_std (MAD sigma).
     """
     order = order or ticks_order()
-    keys = order.keys
-    w = block_window(keys)
-    x, n = F.col(value), F.col("rn")
-    out = with_blocks(numbered_ticks(df, order), size, halo)
-    out = out.withColumn("_mu", ema(x, alpha, 1, keys, size, halo))
-    out = out.withColumn("_dev", x - F.lag("_mu").over(w))
-    # var_t = (1-a) var_{t-1} + a (1-a) dev_t^2 with var_1 = 1
-    out = out.withColumn("_var", ema(
-        F.when(n == 1, d(1)).otherwise((1 - alpha) * F.col("_dev") * F.col("_dev")), alpha, 1, keys, size, halo))
-    out = own_rows(out.withColumn("_buf", F.array_sort(F.collect_list(x).over(trailing(w, window)))))
-    from tidemark.functions.numeric import sorted_quantile
-
-    out = out.withColumn("price_mean", sorted_quantile(F.col("_buf"), 0.5))
-    med = F.col("price_mean")
-    out = out.withColumn("_mad", array_median(F.transform("_buf", lambda v: F.abs(v - med))))
-    ewma_sd = F.sqrt("_var")
-    robust = F.col("_mad") > 1e-12
-    sigma = F.when(robust, F.col("_mad") * MAD_SIGMA).otherwise(ewma_sd)
-    z = F.when(n >= 30, (x - med) / (sigma + 1e-12)).otherwise((x - F.col("_mu")) / (ewma_sd + 1e-12))
-    return (out.withColumn("z_price", clip(z, -8, 8))
-            .withColumn("price_std", F.when(n < 2, d(1)).otherwise(sigma))
-            .drop("_mu", "_dev", "_var", "_buf", "_mad"))
+    columns = [*df.columns, "rn"]
+
+    def block(x: np.ndarray, rn: np.ndarray) -> dict[str, np.ndarray]:
+        keep = 1.0 - alpha
+        mu = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+        dev = np.diff(x, prepend=x[0])
+        dev[1:] = x[1:] - mu[:-1]
+        # var_t = (1-a) var_{t-1} + a (1-a) dev_t^2 with var_1 = 1
+        steps = keep * dev * dev
+        steps[0] = 1.0
+        ewma_sd = np.sqrt(pd.Series(steps).ewm(alpha=alpha, adjust=False).mean().to_numpy())
+        med, mad = rolling_median_mad(x, window)
+        sigma = np.where(mad > 1e-12, MAD_SIGMA * mad, ewma_sd)
+        z = np.where(rn >= 30, (x - med) / (sigma + 1e-12), (x - mu) / (ewma_sd + 1e-12))
+        return {"z_price": np.clip(z, -8, 8), "price_mean": med, "price_std": np.where(rn < 2, 1.0, sigma)}
+
+    return map_blocks(numbered_ticks(df, order), order.keys, value, block, ("z_price", "price_mean", "price_std"),
+                      size, halo).select(*columns, "z_price", "price_mean", "price_std")
 
 
 def market_vector(row: dict[str, Column] | None = None) -> Column:
