@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from tidemark.operators.blocks import Order, running
 
@@ -15,7 +16,9 @@ def candles(ticks: DataFrame, duration: str = "60 seconds", keys: tuple[str, ...
     One aggregate with map-side partials, so a busy symbol costs no more than its windows.
     """
     at = F.struct(F.col(ts), F.col(tie))
-    out = ticks.groupBy(*keys, F.window(F.col(ts).cast("timestamp"), duration).alias("_w")).agg(
+    # A cast would hide the watermark of a stream.
+    time = F.col(ts) if ticks.schema[ts].dataType == TimestampType() else F.col(ts).cast("timestamp")
+    out = ticks.groupBy(*keys, F.window(time, duration).alias("_w")).agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, at).alias("close"), F.sum("volume").alias("volume"))
     return out.withColumn("t", F.unix_seconds(F.col("_w.start"))).drop("_w")

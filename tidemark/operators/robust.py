@@ -39,32 +39,84 @@ def robust_z(df: DataFrame, columns: dict[str, str], order: WindowSpec, window:
     return out.drop(*[f"_{p}_{t}" for t in columns.values() for p in ("med", "dev", "mad")])
 
 
-def quantiles(df: DataFrame, cols: list[str], levels: list[float], by: list[str] = (), approx: int | None = None
+def quantiles(df: DataFrame, cols: list[str], levels: list[float], by: list[str] = (), method: str = "percentile"
               ) -> DataFrame:
-    """Per-column quantiles as arrays. Exact and interpolating, or sketched with accuracy `approx`
-    when a column has too many distinct values for one aggregation buffer."""
-    fn = (lambda c: F.percentile_approx(c, levels, approx)) if approx else (
+    """Per-column quantiles as arrays, exact and interpolated.
+
+    method: 'percentile' aggregates the distinct values of a column in one buffer - right for daily
+    panels, whose rows are days; 'buckets' spreads them (see `bucketed_quantiles`) - for anything larger,
+    without `by`; 'sketch' is approximate.
+    """
+    if method == "buckets":
+        if by:
+            raise ValueError("method 'buckets' takes no groups")
+        q = bucketed_quantiles(df, cols, levels)
+        return q.groupBy().agg(*[F.max_by(F.col("q"), F.when(F.col("feature") == c, F.lit(1))).alias(c) for c in cols])
+    fn = (lambda c: F.percentile_approx(c, levels, 10_000)) if method == "sketch" else (
         lambda c: F.percentile(c, F.array(*[d(q) for q in levels])))
     return df.groupBy(*by).agg(*[fn(F.col(c)).alias(c) for c in cols])
 
 
-def fit_scaler(df: DataFrame, cols: list[str], approx: int | None = None) -> DataFrame:
+def bucketed_quantiles(df: DataFrame, cols: list[str], levels: list[float], buckets: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles (feature, q array) without one buffer per column.
+
+    Equal values are counted together first. A sketch gives bucket edges, bucket counts give each bucket's
+    ranks, and only the buckets that hold a wanted rank are ordered. Every step is spread over (feature,
+    bucket), so neither many rows nor one frequent value land in one task. Nulls are left out.
+    """
+    from pyspark.sql import Window
+
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    values = (df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("x").isNotNull())
+              .groupBy("feature", "x").agg(F.count("*").alias("n")))
+    edges = values.groupBy("feature").agg(F.percentile_approx(
+        "x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("edges"))
+    tagged = values.join(F.broadcast(edges), "feature").withColumn("bucket", _bucket_of(F.col("x"), F.col("edges")))
+    tagged = tagged.drop("edges")
+    sums = tagged.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sums.select("feature", "bucket", F.col("n").alias("bn"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lo"),
+                        F.sum("n").over(Window.partitionBy("feature")).alias("total"))
+    # Wanted zero-based ranks: the two neighbours of (total - 1) * q.
+    want = ranks.select("feature", "bucket", "bn", "lo", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * d(q)).alias("pos")) for i, q in enumerate(levels)])).alias("w"))
+    want = want.select("feature", "bucket", "bn", "lo", "w.i", "w.pos", F.explode(F.array(
+        F.floor("w.pos"), F.ceil("w.pos"))).alias("rank")).distinct()
+    want = want.where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("bn")))
+    held = tagged.join(F.broadcast(want.select("feature", "bucket", "lo").distinct()), ["feature", "bucket"])
+    inside = Window.partitionBy("feature", "bucket").orderBy("x")
+    ordered = held.withColumn("_end", F.col("lo") + F.sum("n").over(inside)).withColumn("_start", F.col("_end") - F.col("n"))
+    hits = ordered.join(F.broadcast(want.select("feature", "bucket", "i", "pos", "rank")), ["feature", "bucket"]).where(
+        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
+    share = F.col("pos") - F.floor("pos")
+    points = hits.groupBy("feature", "i").agg(
+        F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"), F.max(share).alias("t"))
+    points = points.select("feature", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("v"))
+    return points.groupBy("feature").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))  # one entry per level
+
+
+def _bucket_of(x: Column, edges: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < x))
+
+
+def fit_scaler(df: DataFrame, cols: list[str], method: str = "percentile") -> DataFrame:
     """One row per feature: median and MAD sigma (1 where the MAD vanishes). Nulls count as zero."""
     x = df.select(*[F.coalesce(F.col(c).cast("double"), d(0)).alias(c) for c in cols])
-    med = quantiles(x, cols, [0.5], approx=approx).select(*[F.get(c, 0).alias(f"_m_{c}") for c in cols])
+    med = quantiles(x, cols, [0.5], method=method).select(*[F.get(c, 0).alias(f"_m_{c}") for c in cols])
     dev = x.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
-    mad = quantiles(dev, cols, [0.5], approx=approx).select(*[F.get(c, 0).alias(c) for c in cols])
+    mad = quantiles(dev, cols, [0.5], method=method).select(*[F.get(c, 0).alias(c) for c in cols])
     both = mad.crossJoin(F.broadcast(med))
     return _per_feature(both, cols, lambda c: {
         "med": F.col(f"_m_{c}"),
         "mad": F.when(F.col(c) * MAD_SIGMA < 1e-8, d(1)).otherwise(F.col(c) * MAD_SIGMA)})
 
 
-def fit_winsor(df: DataFrame, cols: list[str], lo: float = 0.005, hi: float = 0.995, approx: int | None = None
+def fit_winsor(df: DataFrame, cols: list[str], lo: float = 0.005, hi: float = 0.995, method: str = "percentile"
                ) -> DataFrame:
     """One row per feature: clipping bounds; a constant feature gets a sliver of width. Nulls count as zero."""
     x = df.select(*[F.coalesce(F.col(c).cast("double"), d(0)).alias(c) for c in cols])
-    q = quantiles(x, cols, [lo, hi], approx=approx)
+    q = quantiles(x, cols, [lo, hi], method=method)
     return _per_feature(q, cols, lambda c: {
         "lo": F.get(c, 0),
         "hi": F.when(F.get(c, 1) <= F.get(c, 0), F.get(c, 0) + 1e-6).otherwise(F.get(c, 1))})
