@@ -324,11 +324,11 @@ def bars_wide_to_long(spark, sf_dir):
 @query("fund_flows", with_views(["etf_holdings"], f"""
 f AS (SELECT date, shares_out * nav AS aum_usd,
       (shares_out - lag(shares_out) OVER (ORDER BY date)) * nav AS flow_usd FROM etf_holdings)
-SELECT CAST(date AS VARCHAR) AS date, {rounded_sql({"aum_usd": 2, "flow_usd": 2})} FROM f"""))
+SELECT CAST(date AS VARCHAR) AS date, {rounded_sql({"aum_usd": 6, "flow_usd": 6})} FROM f"""))
 def fund_flows(spark, sf_dir):
     out = history.fund_flows(views.etf_holdings(spark, sf_dir))
     return rounded(out.select(F.col("date").cast("string").alias("date"), "aum_usd", "flow_usd"),
-                   {"aum_usd": 2, "flow_usd": 2})
+                   {"aum_usd": 6, "flow_usd": 6})
 
 
 @query("positioning_from_wide", with_views(["cot_disagg"], """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import views
 from tidemark.catalog import query, rounded, rounded_sql, with_views
-from tidemark.catalog.daily import dated, panel_sql, stored_panel
+from tidemark.catalog.daily import dated, panel_digits, panel_sql, stored_panel
 from tidemark.catalog.evaluation import DAILY, LABEL, daily
 from tidemark.functions.vectors import linear_score
 from tidemark.plans import dossier as D
@@ -35,14 +35,26 @@ def chronological_split(spark, sf_dir):
     return dated(M.chronological_split(rows, ["symbol"]))
 
 
-@query("selected_features")
+def _selection_sql() -> str:
+    names = [c for c in panel_digits() if c != "gold_close" and not c.startswith("target_")]
+    forced = ", ".join(f"'{c}'" for c in M.STRUCT_PRIOR)
+    counts = ", ".join(f"count({c}) / CAST(count(*) AS DOUBLE)" for c in names)
+    quoted = ", ".join(f"'{c}'" for c in names)
+    return panel_sql(f""",
+c AS (SELECT unnest([{quoted}]) AS feature, unnest([{counts}]) AS coverage FROM panel),
+o AS (SELECT *, CASE WHEN feature IN ({forced}) THEN list_position([{forced}], feature) ELSE 100 END AS pref FROM c),
+r AS (SELECT feature, coverage, CAST(row_number() OVER (ORDER BY pref, coverage DESC, feature) - 1 AS INTEGER) AS position FROM o)
+SELECT position, feature, round(coverage, 6) AS coverage FROM r WHERE position < 32""")
+
+
+@query("selected_features", _selection_sql())
 def selected_features(spark, sf_dir):
     p = stored_panel(spark, sf_dir)
     names = select_features(p, list(M.STRUCT_PRIOR), 32)
     coverage = p.agg(*[F.avg(F.col(c).isNotNull().cast("int")).alias(c) for c in names])
     entries = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("coverage"))
                         for i, c in enumerate(names)])
-    return coverage.select(F.explode(entries).alias("e")).select("e.*")
+    return rounded(coverage.select(F.explode(entries).alias("e")).select("e.*"), {"coverage": 6})
 
 
 @query("quantile_fit")
@@ -116,15 +128,21 @@ def thesis_rows(spark, sf_dir):
     return D.thesis_rows(rows, "m1").select(F.col("date").alias("page"), "thesis", "confidence", "predictions", "falsifiable")
 
 
-@query("packets")
+@query("packets", with_views(["ticks"], """
+SELECT event_id, symbol, round(mid, 4) AS price, round(mid / 7e0, 4) AS level,
+  CASE WHEN volume > 48 THEN 'RISK-ON' ELSE 'RANGING' END AS regime, round(volume / 97e0, 4) AS confidence FROM ticks"""))
 def packets(spark, sf_dir):
-    """One JSON packet per tick."""
+    """One JSON packet per tick, read back for the comparison."""
     from tidemark.operators import scans
     from tidemark.streaming.sinks import packet_json
 
     t = views.ticks(spark, sf_dir)
     rows = t.select(
         "event_id", "symbol", F.col("mid").alias("price"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
-        F.create_map(F.lit("spread"), F.col("spread")).alias("world_state"), (F.col("volume") / 97.0).alias("confidence"),
+        F.create_map(F.lit("level"), F.col("mid") / 7.0).alias("world_state"), (F.col("volume") / 97.0).alias("confidence"),
         F.when(F.col("volume") > 48, scans.REGIMES[0]).otherwise(scans.REGIMES[3]).alias("regime"))
-    return packet_json(rows)
+    packet = F.from_json("packet", "price double, world_state map<string,double>, confidence double, regime string")
+    out = packet_json(rows).select("event_id", "symbol", packet.alias("p"))
+    return out.select("event_id", "symbol", F.round("p.price", 4).alias("price"),
+                      F.col("p.world_state")["level"].alias("level"), F.col("p.regime").alias("regime"),
+                      F.col("p.confidence").alias("confidence"))

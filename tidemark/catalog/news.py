@@ -204,7 +204,13 @@ def lake_runs(spark, sf_dir):
     return lake.run_report(log).join(counts, "run_id").select("run_id", "rows_added", "source", "records")
 
 
-@query("lake_fingerprint")
+@query("lake_fingerprint", with_views(["prices_d", "macro_d", "cot_disagg", "etf_holdings", "news"], """
+p AS (SELECT concat('prices_d:', count(*), ':', max(date)) AS part FROM prices_d UNION ALL
+  SELECT concat('macro_d:', count(*), ':', max(date)) FROM macro_d UNION ALL
+  SELECT concat('cot_disagg:', count(*), ':', max(report_date)) FROM cot_disagg UNION ALL
+  SELECT concat('etf_flows:', count(*), ':', max(date)) FROM etf_holdings UNION ALL
+  SELECT concat('news:', count(*), ':', max(ts)) FROM news)
+SELECT substring(sha256(concat('GC=F|1995-01-01|', string_agg(part, '|' ORDER BY part))), 1, 16) AS fingerprint FROM p"""))
 def lake_fingerprint(spark, sf_dir):
     v = lambda n: getattr(views, n)(spark, sf_dir)
     return lake.fingerprint({"prices_d": (v("prices_d"), "date"), "macro_d": (v("macro_d"), "date"),

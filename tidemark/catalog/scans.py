@@ -75,19 +75,45 @@ def garch(spark, sf_dir):
     return rounded(out.select("event_id", "symbol", *digits), digits)
 
 
-def factors(spark, sf_dir):
-    """Six bounded factors from tick indicators."""
-    t = T.tick_indicators(views.ticks(spark, sf_dir))
-    return t.select(
-        "event_id", "symbol", (F.col("rn") - 1).alias("rn"), F.col("stoch_k").alias("risk_regime"),
-        (F.col("vol_20") / (1 + F.col("vol_20"))).alias("volatility_state"), (F.col("rsi_14") / 100.0).alias("momentum_short"),
-        F.col("bb_pct").alias("momentum_long"), ((F.col("obv_norm") + 1) / 2).alias("liquidity"),
-        F.col("williams_r").alias("mean_reversion"))
+FACTORS = {
+    "risk_regime": "mid / (mid + 50e0)", "volatility_state": "spread / (spread + 0.05e0)", "momentum_short": "volume / 97e0",
+    "momentum_long": "(event_id % 89) / 89e0", "liquidity": "(event_id % 73) / 73e0", "mean_reversion": "(event_id % 61) / 61e0",
+}
+
+
+def _regime_sql() -> str:
+    """Levels by windows, scores by row, then the blend one step per row."""
+    levels = ", ".join(f"CASE WHEN rn < 30 THEN {d0}e0 ELSE quantile_cont({c}, {q}) OVER w END AS h{i}"
+                       for i, (c, q, d0) in enumerate(scans.REGIME_LEVELS))
+    nxt = [f"0.4e0 * l.s{j}[s.i + 1] + 0.6e0 * s.c{j} + CASE WHEN s.cur = {j} THEN 0.05e0 ELSE 0e0 END" for j in range(4)]
+    first = [f"0.4e0 * s{j}[1] + 0.6e0 * 0.25e0" + (" + 0.05e0" if j == 3 else "") for j in range(4)]
+    best = "CASE greatest(c0, c1, c2, c3) WHEN c0 THEN 0 WHEN c1 THEN 1 WHEN c2 THEN 2 ELSE 3 END"
+    names = ", ".join(f"'{r}'" for r in scans.REGIMES)
+    return f""",
+f AS (SELECT *, {", ".join(f"{e} AS {c}" for c, e in FACTORS.items())} FROM n),
+h AS (SELECT *, {levels} FROM f WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS 499 PRECEDING)),
+sc AS (SELECT symbol, event_id, rn,
+  greatest(0e0, (risk_regime - h0) + (h3 - volatility_state) + (liquidity - h6)) AS s0,
+  greatest(0e0, (h1 - risk_regime) + (volatility_state - h2)) AS s1,
+  greatest(0e0, (momentum_short - h4) + (momentum_long - h5)) AS s2, greatest(0e0, (mean_reversion - h7) + 0.1e0) AS s3 FROM h),
+l AS (SELECT symbol, list(event_id ORDER BY rn) AS ids, {", ".join(f"list(s{j} ORDER BY rn) AS s{j}" for j in range(4))}
+      FROM sc GROUP BY symbol),
+step(symbol, i, c0, c1, c2, c3, cur) AS (
+  SELECT *, {best} FROM (SELECT symbol, 1 AS i, {", ".join(f"{e} AS c{j}" for j, e in enumerate(first))} FROM l)
+  UNION ALL
+  SELECT *, {best} FROM (SELECT s.symbol, s.i + 1 AS i, {", ".join(f"{e} AS c{j}" for j, e in enumerate(nxt))}
+    FROM step s JOIN l USING (symbol) WHERE s.i < len(l.ids))),
+r AS (SELECT l.ids[i] AS event_id, symbol, [{names}][cur + 1] AS regime, 1e0 / (exp(c0 - greatest(c0, c1, c2, c3))
+   + exp(c1 - greatest(c0, c1, c2, c3)) + exp(c2 - greatest(c0, c1, c2, c3)) + exp(c3 - greatest(c0, c1, c2, c3)))
+   AS regime_confidence FROM step JOIN l USING (symbol))
+SELECT event_id, symbol, regime, {rounded_sql({"regime_confidence": 6})} FROM r"""
 
 
-@query("regime_sticky")
+@query("regime_sticky", with_views(["ticks"], NUMBERED.strip() + _regime_sql(), recursive=True))
 def regime_sticky(spark, sf_dir):
-    out = scans.with_regime(scans.carried_scan(factors(spark, sf_dir), scans.regime_scan(), ticks_order()))
+    t = T.numbered_ticks(views.ticks(spark, sf_dir))
+    rows = t.select("event_id", "symbol", "rn", *[F.expr(e).alias(c) for c, e in FACTORS.items()])
+    out = scans.with_regime(scans.carried_scan(rows, scans.regime_scan(), ticks_order()))
     return rounded(out.select("event_id", "symbol", "regime", "regime_confidence"), {"regime_confidence": 6})
 
 
@@ -104,7 +130,19 @@ def regime_levels(spark, sf_dir):
     return t.select("event_id", scans.regime_of_levels().alias("regime"))
 
 
-@query("session_vwap_elapsed")
+@query("session_vwap_elapsed", with_views(["ticks"], NUMBERED.strip() + f""",
+l AS (SELECT symbol, list(event_id ORDER BY rn) AS ids, list(epoch_us(ts) / 1e6 ORDER BY rn) AS t,
+        list(mid ORDER BY rn) AS x, list(CASE WHEN volume > 0 THEN volume ELSE 1e0 END ORDER BY rn) AS q FROM n GROUP BY symbol),
+step(symbol, i, start, pv, vv) AS (
+  SELECT symbol, 1, t[1], x[1] * q[1], q[1] FROM l
+  UNION ALL
+  SELECT s.symbol, s.i + 1, CASE WHEN t[s.i + 1] - start > 86400 THEN t[s.i + 1] ELSE start END,
+    CASE WHEN t[s.i + 1] - start > 86400 THEN 0e0 ELSE pv END + x[s.i + 1] * q[s.i + 1],
+    CASE WHEN t[s.i + 1] - start > 86400 THEN 0e0 ELSE vv END + q[s.i + 1]
+  FROM step s JOIN l USING (symbol) WHERE s.i < len(l.x)),
+r AS (SELECT l.ids[i] AS event_id, symbol, pv / vv AS vwap,
+        greatest(-1e0, least(1e0, (l.x[i] - pv / vv) / (pv / vv + 1e-8))) AS vwap_dev FROM step JOIN l USING (symbol))
+SELECT event_id, symbol, {rounded_sql({"vwap": 6, "vwap_dev": 6})} FROM r""", recursive=True))
 def session_vwap_elapsed(spark, sf_dir):
     t = T.numbered_ticks(views.ticks(spark, sf_dir)).select(
         "event_id", "symbol", "rn", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "mid", "volume")

@@ -56,7 +56,7 @@ qr AS (SELECT [{scaled}] AS v, vix_close AS q_vix FROM panel, med, mad
        WHERE date <= DATE '{ASOF}' ORDER BY date DESC LIMIT 1),
 qv AS (SELECT list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS q, q_vix FROM qr),
 hits AS (SELECT idx.date, gold_close, target_logret, list_dot_product(v, q) AS similarity FROM idx, qv
-  WHERE idx.date <= DATE '{CUTOFF}' AND vix_close BETWEEN q_vix * 0.65e0 AND q_vix * 1.35e0
+  WHERE idx.date <= DATE '{CUTOFF}' AND (coalesce(q_vix <= 0, true) OR vix_close BETWEEN q_vix * 0.65e0 AND q_vix * 1.35e0)
   ORDER BY similarity DESC, idx.date LIMIT 10)"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import dot, unit
@@ -109,11 +109,12 @@ def build_index(panel: DataFrame, features: list[str], label: str, scaler: DataF
 
 
 def retrieve(index: DataFrame, query: DataFrame, k: int = 10, newest: str | None = None,
-             bands: dict[str, tuple] | None = None) -> DataFrame:
+             bands: dict[str, tuple[float, float]] | None = None, condition: Column | None = None) -> DataFrame:
     """The k most similar days to a one-row query vector, best first.
 
-    newest: last admissible date (the query date minus the exclusion gap). bands: {column: (low, high)}
-    with numbers or columns of the query row; columns the index lacks are ignored.
+    newest: last admissible date (the query date minus the exclusion gap). bands: {column: (low, high)};
+    columns the index lacks are ignored. condition: any test over index columns and those of the query
+    row, which are prefixed with `_q_`.
     """
     rows = index.where(F.col("date") <= F.lit(newest).cast("date")) if newest else index
     one = query.select(F.col("vector").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in query.columns if c != "vector"])
@@ -121,6 +122,8 @@ def retrieve(index: DataFrame, query: DataFrame, k: int = 10, newest: str | None
     for col, (lo, hi) in (bands or {}).items():
         if col in index.columns:
             j = j.where(F.col(col).between(lo, hi))
+    if condition is not None:
+        j = j.where(condition)
     cols = [c for c in index.columns if c != "vector"]
     return j.withColumn("similarity", dot(F.col("vector"), F.col("_q"))).select(*cols, "similarity").orderBy(
         F.desc("similarity"), "date").limit(k)

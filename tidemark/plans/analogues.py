@@ -18,12 +18,10 @@ def analogues_of(panel: DataFrame, features: list[str], label: str, asof: str, k
     index = S.build_index(panel, features, label, scaler)
     row = latest_panel_row(panel, asof)
     query = S.scaled_vector(row, features, scaler, ["vix_close"])
-    bands = {}
+    same_regime = None
     if vix_band is not None:
         v = F.col("_q_vix_close")
         # An unknown or non-positive level puts no bound.
-        open_end = v.isNull() | (v <= 0)
-        bands["vix_close"] = (F.when(open_end, F.col("vix_close")).otherwise(v * (1 - vix_band)),
-                              F.when(open_end, F.col("vix_close")).otherwise(v * (1 + vix_band)))
+        same_regime = F.coalesce(v <= 0, F.lit(True)) | F.col("vix_close").between(v * (1 - vix_band), v * (1 + vix_band))
     newest = (dt.date.fromisoformat(asof) - dt.timedelta(days=gap_days)).isoformat()
-    return S.retrieve(index, query, k, newest, bands)
+    return S.retrieve(index, query, k, newest, condition=same_regime)

@@ -28,6 +28,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
+        # Test data is small: keep the partitions of computing-heavy windows apart instead of merging them to 1 MB.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
