@@ -318,3 +318,37 @@ def promotion(spark, sf_dir):
     new = entry(halves.where("recent"), F.lit(True))
     old = entry(halves.where((~F.col("recent")) & (F.col("horizon") != "GC=F")), F.col("horizon") != "SLV")
     return rounded(S.promote(new, old).drop("path"), {"conservative_sharpe": 6})
+
+
+@query("training_matrix", with_views(["prices_d"], f"""{DAILY.strip()}
+SELECT CAST(date AS VARCHAR) AS date, symbol, {rounded_sql({LABEL: 6})},
+  round(coalesce(logret_20d, 0e0), 6) + 0e0 AS logret_20d, round(coalesce(yz_20, 0e0), 6) AS yz_20
+FROM daily WHERE {LABEL} IS NOT NULL"""))
+def training_matrix(spark, sf_dir):
+    out = P.training_rows(daily(spark, sf_dir), ["logret_20d", "yz_20"], LABEL)
+    return dated(rounded(out.select("date", "symbol", LABEL, "logret_20d", "yz_20"),
+                         {LABEL: 6, "logret_20d": 6, "yz_20": 6}))
+
+
+@query("price_band", with_views(["prices_d"], f"""{DAILY.strip()},
+b AS (SELECT date, symbol, list_sort(list_transform([-0.2e0, 0.1e0, -0.05e0, 0.3e0, 0e0],
+        lambda q: close * exp(coalesce(logret_5d, 0e0) + q))) AS p, close FROM daily),
+r AS (SELECT date, symbol, p[1] AS p10, p[3] AS p50, p[5] AS p90 FROM b)
+SELECT CAST(date AS VARCHAR) AS date, symbol, {rounded_sql({"p10": 3, "p50": 3, "p90": 3})} FROM r"""))
+def price_band(spark, sf_dir):
+    residuals = F.array(*[F.lit(x) for x in (-0.2, 0.1, -0.05, 0.3, 0.0)])
+    band = calibrate.price_band(F.col("close"), F.coalesce("logret_5d", F.lit(0.0)), residuals)
+    out = daily(spark, sf_dir).withColumn("p", band).select(
+        "date", "symbol", *[F.get("p", i).alias(n) for i, n in ((0, "p10"), (2, "p50"), (4, "p90"))])
+    return dated(rounded(out, {"p10": 3, "p50": 3, "p90": 3}))
+
+
+@query("monotone_quantiles", with_views(["prices_d"], f"""{DAILY.strip()},
+r AS (SELECT date, symbol, greatest(logret_1d, logret_5d) AS m2, greatest(logret_1d, logret_5d, logret_20d) AS m3
+      FROM daily WHERE logret_20d IS NOT NULL)
+SELECT CAST(date AS VARCHAR) AS date, symbol, {rounded_sql({"m2": 6, "m3": 6})} FROM r"""))
+def monotone_quantiles(spark, sf_dir):
+    rows = daily(spark, sf_dir).where(F.col("logret_20d").isNotNull())
+    m = calibrate.monotone(F.array("logret_1d", "logret_5d", "logret_20d"))
+    out = rows.withColumn("m", m).select("date", "symbol", F.get("m", 1).alias("m2"), F.get("m", 2).alias("m3"))
+    return dated(rounded(out, {"m2": 6, "m3": 6}))

@@ -212,6 +212,23 @@ def attention_weights(spark, sf_dir):
     return rounded(out.select("event_id", "modality", "err_avg"), {"err_avg": 6})
 
 
+@query("attention_softmax", """
+WITH e AS (SELECT CAST(ts AS DATE) AS day, avg(value) FILTER (event_type = 'click') AS market,
+  avg(value) FILTER (event_type = 'view') AS macro, avg(value) FILTER (event_type = 'signup') AS sentiment,
+  avg(value) FILTER (event_type = 'purchase') AS events FROM events GROUP BY 1),
+l AS (SELECT day, exp(-ln(market + 1e-3) / 2e0) AS a, exp(-ln(macro + 1e-3) / 2e0) AS b,
+  exp(-ln(sentiment + 1e-3) / 2e0) AS c, exp(-ln(events + 1e-3) / 2e0) AS d FROM e)
+SELECT CAST(day AS VARCHAR) AS day, round(a / (a + b + c + d), 6) AS market, round(b / (a + b + c + d), 6) AS macro,
+  round(c / (a + b + c + d), 6) AS sentiment, round(d / (a + b + c + d), 6) AS events FROM l""")
+def attention_softmax(spark, sf_dir):
+    kinds = {"market": "click", "macro": "view", "sentiment": "signup", "events": "purchase"}
+    e = views.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(*[
+        F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(m) for m, k in kinds.items()])
+    weights = T.attention_weights({m: F.col(m) for m in kinds})
+    out = e.select(F.col("day").cast("string").alias("day"), *[c.alias(m) for m, c in weights.items()])
+    return rounded(out, {m: 6 for m in kinds})
+
+
 @query("modality_errors", with_views(["ticks"], """
 r AS (SELECT event_id, ln(lead(mid, 5) OVER (PARTITION BY symbol ORDER BY ts, event_id) / mid) AS e, spread, volume FROM ticks)
 SELECT event_id, 'market' AS modality, round(abs(e) * spread, 6) AS attributed_error FROM r WHERE e IS NOT NULL

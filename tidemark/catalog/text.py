@@ -131,3 +131,21 @@ def statement_word_changes(spark, sf_dir):
 def statement_word_diff(spark, sf_dir):
     body = views.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
     return statements.word_diff(body, "body", page_order()).select("page_id", "diff_prior")
+
+
+@query("text_vector", _sentiment_sql(LOCAL_POS, LOCAL_NEG).replace("SELECT doc_id, CASE", """SELECT doc_id,
+  CAST(1 + 4 + len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS v6, CASE""").replace(
+      "FROM r", "FROM r JOIN embeddings ON vec_id = doc_id"))
+def text_vector(spark, sf_dir):
+    """Sentiment, emotions and a stored embedding per document."""
+    from tidemark.operators.normalize import text_vector as vector
+
+    docs = views.table(spark, sf_dir, "documents").withColumn("w", X.words(F.col("text")))
+    emb = views.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("topic_embedding"))
+    shares = X.emotion_vector(F.col("w"), LOCAL)
+    rows = docs.select("doc_id", X.keyword_sentiment(F.col("w"), LOCAL_POS, LOCAL_NEG).alias("sentiment_score"),
+                       F.array(*shares.values()).alias("emotion_vector")).join(emb, "doc_id")
+    out = rows.withColumn("v", vector()).select(
+        "doc_id", F.size("v").alias("width"), F.get("v", 0).alias("sentiment"), F.get("v", 5).alias("v6"))
+    return rounded(out, {"sentiment": 6, "v6": 6})

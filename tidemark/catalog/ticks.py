@@ -137,3 +137,24 @@ def tick_robust_z(spark, sf_dir):
     out = T.rolling_robust_z(views.ticks(spark, sf_dir))
     digits = {"price_mean": 6, "price_std": 6, "z_price": 6}
     return rounded(out.select("event_id", "symbol", *digits), digits)
+
+
+@query("tick_vector", with_views(["ticks"], f"""{NUMBERED},
+q AS (SELECT *, avg(mid) OVER (w ROWS 19 PRECEDING) AS mu, stddev_pop(mid) OVER (w ROWS 19 PRECEDING) + 1e-8 AS sd,
+  avg(greatest(mid - prev, 0e0)) OVER (w ROWS 13 PRECEDING) AS g, avg(greatest(prev - mid, 0e0)) OVER (w ROWS 13 PRECEDING) AS l
+  FROM n WINDOW w AS ({W})),
+v AS (SELECT event_id, sum(mid * wt) OVER s / sum(wt) OVER s AS vwap FROM (
+  SELECT *, CASE WHEN volume > 0 THEN volume ELSE 1e0 END AS wt, CAST(ts AS DATE) AS session FROM ticks)
+  WINDOW s AS (PARTITION BY symbol, session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT event_id, symbol, rn, CAST(21 AS INTEGER) AS width, (mid - prev) / prev AS v2,
+  (CASE WHEN rn < 15 THEN 50e0 WHEN l < 1e-12 THEN 100e0 ELSE 100e0 - 100e0 / (1 + g / l) END - 50) / 50e0 AS v7,
+  greatest(-1e0, least(1e0, (mid - vwap) / (vwap + 1e-8))) AS v9, spread / (mid + 1e-8) AS v10,
+  CASE WHEN rn >= 20 THEN greatest(0e0, least(1e0, (mid - (mu - 2 * sd)) / (4 * sd))) ELSE 0.5e0 END * 2 - 1 AS v16
+  FROM q JOIN v USING (event_id))
+SELECT event_id, symbol, width, {rounded_sql({f"v{i}": 6 for i in (2, 7, 9, 10, 16)})} FROM r WHERE rn >= 2"""))
+def tick_vector(spark, sf_dir):
+    out = T.tick_features(views.ticks(spark, sf_dir))
+    at = (2, 7, 9, 10, 16)
+    out = out.select("event_id", "symbol", F.size("vector").alias("width"),
+                     *[F.get("vector", i - 1).alias(f"v{i}") for i in at])
+    return rounded(out, {f"v{i}": 6 for i in at})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import d
 from tidemark.operators.blocks import Order, index_rows
+from tidemark.session import write_through
 
 
 def _long(df: DataFrame, cols: list[str], recent: bool) -> DataFrame:
@@ -27,6 +28,7 @@ def ks_drift(base: DataFrame, recent: DataFrame, cols: list[str], least: tuple[i
     """
     values = _long(base, cols, False).unionByName(_long(recent, cols, True)).groupBy("feature", "x").agg(
         F.sum(1 - F.col("recent")).alias("a"), F.sum("recent").alias("b"))
+    values = write_through(values, "drift")  # read three times below
     edges = values.groupBy("feature").agg(F.percentile_approx(
         "x", [i / buckets for i in range(1, buckets)], 10_000).alias("edges"))
     tagged = values.join(F.broadcast(edges), "feature").withColumn(

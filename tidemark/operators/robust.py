@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import MAD_SIGMA, clip, clip_between, d, ratio
+from tidemark.session import write_through
 
 
 def min_periods(window: int) -> int:
@@ -69,6 +70,7 @@ def bucketed_quantiles(df: DataFrame, cols: list[str], levels: list[float], buck
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
     values = (df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("x").isNotNull())
               .groupBy("feature", "x").agg(F.count("*").alias("n")))
+    values = write_through(values, "quantiles")  # read three times below
     edges = values.groupBy("feature").agg(F.percentile_approx(
         "x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("edges"))
     tagged = values.join(F.broadcast(edges), "feature").withColumn("bucket", _bucket_of(F.col("x"), F.col("edges")))

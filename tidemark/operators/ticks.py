@@ -33,6 +33,9 @@ def valid_ticks(df: DataFrame) -> DataFrame:
 
 
 def numbered_ticks(df: DataFrame, order: Order | None = None) -> DataFrame:
+    """Valid ticks with their number within the symbol; a frame that has `rn` is taken as it is."""
+    if "rn" in df.columns:
+        return df
     return index_rows(valid_ticks(df), order or ticks_order())
 
 
@@ -211,7 +214,7 @@ def rolling_robust_z(df: DataFrame, value: str = "mid", order: Order | None = No
     Adds z_price, price_mean (rolling median) and price_std (MAD sigma).
     """
     order = order or ticks_order()
-    columns = [*df.columns, "rn"]
+    numbered = numbered_ticks(df, order)
 
     def block(x: np.ndarray, rn: np.ndarray) -> dict[str, np.ndarray]:
         keep = 1.0 - alpha
@@ -227,21 +230,31 @@ def rolling_robust_z(df: DataFrame, value: str = "mid", order: Order | None = No
         z = np.where(rn >= 30, (x - med) / (sigma + 1e-12), (x - mu) / (ewma_sd + 1e-12))
         return {"z_price": np.clip(z, -8, 8), "price_mean": med, "price_std": np.where(rn < 2, 1.0, sigma)}
 
-    return map_blocks(numbered_ticks(df, order), order.keys, value, block, ("z_price", "price_mean", "price_std"),
-                      size, halo).select(*columns, "z_price", "price_mean", "price_std")
-
-
-def market_vector(row: dict[str, Column] | None = None) -> Column:
-    """The 21 scale-free entries fed to similarity and models; bounded indicators are centred."""
-    col = (row or {}).get
-    def c(name: str) -> Column:
-        return col(name) if row and name in row else F.col(name)
-    plain = ["z_price", "returns_1", "returns_5", "returns_20", "vol_5", "vol_20"]
-    middle = ["atr_14", "vwap_dev", "spread_pct", "momentum_5", "momentum_20", "frac_diff", "macd", "macd_signal"]
-    centred = ["bb_pct", "stoch_k", "stoch_d", "williams_r"]
-    return F.array(
-        *[c(x) for x in plain], (c("rsi_14") - 50.0) / 50.0, *[c(x) for x in middle],
-        *[c(x) * 2 - 1.0 for x in centred], c("obv_norm"), c("cmf"))
+    return map_blocks(numbered, order.keys, value, block, ("z_price", "price_mean", "price_std"), size, halo)
+
+
+VECTOR = ("z_price", "returns_1", "returns_5", "returns_20", "vol_5", "vol_20", "rsi_14", "atr_14", "vwap_dev",
+          "spread_pct", "momentum_5", "momentum_20", "frac_diff", "macd", "macd_signal", "bb_pct", "stoch_k", "stoch_d",
+          "williams_r", "obv_norm", "cmf")
+
+
+def market_vector() -> Column:
+    """The 21 scale-free entries of a tick in fixed order; bounded indicators are centred on zero."""
+    def entry(name: str) -> Column:
+        if name == "rsi_14":
+            return (F.col(name) - 50.0) / 50.0
+        if name in ("bb_pct", "stoch_k", "stoch_d", "williams_r"):
+            return F.col(name) * 2 - 1.0
+        return F.col(name)
+
+    return F.array(*[entry(name) for name in VECTOR])
+
+
+def tick_features(df: DataFrame, order: Order | None = None) -> DataFrame:
+    """All indicators of a tick with its rolling z, session price deviation and feature vector."""
+    # Each step keeps the columns before it, and the numbering of the second serves the third.
+    out = tick_indicators(rolling_robust_z(session_vwap(df), order=order), order)
+    return out.withColumn("vector", market_vector())
 
 
 def modality_error_average(df: DataFrame, error: str, alpha: float = 0.08, start: float = 0.1,

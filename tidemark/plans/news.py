@@ -97,3 +97,14 @@ def coerce_features(replies: DataFrame, model_version: str) -> DataFrame:
         F.coalesce(F.col("m.novel").try_cast("boolean"), F.lit(False)).alias("novel"),
         number("surprise_signed", -1, 1),
         F.substring(F.coalesce("m.rationale", F.lit("")), 1, 240).alias("rationale"))
+
+
+def embed(rows: DataFrame, embedding: Callable[[list[str]], list[list[float]]], text: str = "body", key: str = "id"
+          ) -> DataFrame:
+    """Run a user-supplied embedding function over batches of whole texts."""
+    def apply(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield pdf.assign(topic_embedding=list(embedding(pdf[text].tolist())))[[key, "topic_embedding"]]
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(apply, f"{key} {kind}, topic_embedding array<float>")
