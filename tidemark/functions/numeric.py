@@ -54,17 +54,3 @@ def pinball(y: Column, q: Column, tau: float) -> Column:
     err = y - q
     return F.greatest(err * tau, err * (tau - 1.0))
 
-
-def array_median(a: Column) -> Column:
-    # sort_array compares primitives; array_sort would call a comparator per pair.
-    return sorted_quantile(F.sort_array(a), 0.5)
-
-
-def sorted_quantile(a: Column, q: float) -> Column:
-    """Linear-interpolated quantile of an already sorted array without nulls."""
-    n = F.size(a)
-    pos = (n - 1) * d(q)
-    low = F.floor(pos).cast("int")
-    lo = F.get(a, low)
-    hi = F.get(a, F.least(low + 1, n - 1))
-    return F.when(n > 0, lo + (hi - lo) * (pos - low))

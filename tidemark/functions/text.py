@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import d
@@ -46,24 +46,47 @@ def keyword_sentiment(tokens: Column, positive: list[str] = POSITIVE, negative:
     return (pos - neg) / (pos + neg + 1e-8)
 
 
+def contains_any(terms: list[str]) -> str:
+    """A pattern that finds any of the terms; shared beginnings are factored out, so few branches are tried."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for ch in term:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:  # a term ends here: longer ones add nothing
+            return ""
+        parts = [(ch if ch.isalnum() or ch == " " else "\\" + ch) + pattern(child) for ch, child in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(root)
+
+
 def _matches(pattern: str):
     return lambda w: w.rlike(pattern)
 
 
-def emotion_vector(tokens: Column, vocab: dict[str, list[str]] = EMOTIONS,
-                   weights: dict[str, float] = EMOTION_WEIGHTS) -> dict[str, Column]:
-    """Weighted share of words containing a term of each vocabulary, scaled to sum to one."""
-    def quoted(term: str) -> str:
-        return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in term)
-
+def with_emotions(df: DataFrame, tokens: str, vocab: dict[str, list[str]] = EMOTIONS,
+                  weights: dict[str, float] = EMOTION_WEIGHTS) -> DataFrame:
+    """Add `<emotion>_share` per vocabulary: the weighted share of words that contain one of its terms,
+    scaled so that the shares sum to one.
+
+    The word lists are filtered inside generators, which Catalyst evaluates once per row; as plain
+    columns they would be repeated wherever a share is used.
+    """
+    inside = {name: [t for t in terms if " " not in t] for name, terms in vocab.items()}  # a word holds no blank
+    # One pass finds the words with any term; the vocabularies then look at those only.
+    hot = F.filter(F.col(tokens), _matches(contains_any([t for terms in inside.values() for t in terms])))
+    out = df.select("*", F.explode(F.array(hot)).alias("_hot"))
+    counts = F.struct(*[F.size(F.filter("_hot", _matches(contains_any(terms)))).cast("double").alias(name)
+                        for name, terms in inside.items()])
+    out = out.select("*", F.explode(F.array(counts)).alias("_n")).drop("_hot")
     n = F.size(tokens).cast("double") + 1e-8
-    scores = {}
-    for name, terms in vocab.items():
-        pattern = "|".join(quoted(t) for t in terms if " " not in t)  # a word holds no blank
-        hits = F.size(F.filter(tokens, _matches(pattern))).cast("double")
-        scores[name] = hits / n * weights.get(name, 1.0)
+    scores = {name: F.col(f"_n.{name}") / n * weights.get(name, 1.0) for name in inside}
     total = sum(scores.values(), d(0)) + 1e-8
-    return {name: s / total for name, s in scores.items()}
+    return out.withColumns({f"{name}_share": s / total for name, s in scores.items()}).drop("_n")
 
 
 def text_hash(text: Column) -> Column:

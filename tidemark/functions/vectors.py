@@ -17,9 +17,12 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
-    """L2-normalised array; `eps` keeps the zero vector finite."""
-    length = norm(a) + F.lit(eps)
-    return F.transform(a, lambda x: x.cast("double") / length)
+    """L2-normalised array; `eps` keeps the zero vector finite.
+
+    The length is spread to an array first: inside a lambda it would be computed for every element.
+    """
+    length = F.array_repeat(norm(a) + F.lit(eps), F.size(a))
+    return F.zip_with(a, length, lambda x, n: x.cast("double") / n)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -118,6 +118,15 @@ def with_blocks(df: DataFrame, size: int, behind: int, ahead: int = 0, rn: str =
             .drop("_own"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into the configured number of shuffle partitions, and keep that number.
+
+    For work that is heavy for its bytes: adaptive execution merges partitions by size alone. The
+    grouping or window that follows on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def block_window(keys: Sequence[str], rn: str = "rn") -> WindowSpec:
     return Window.partitionBy(*keys, BLOCK).orderBy(rn)
 

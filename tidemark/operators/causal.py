@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import d
-from tidemark.operators.blocks import BLOCK, HALO, Order, index_rows, own_rows, with_blocks
+from tidemark.operators.blocks import BLOCK, HALO, Order, index_rows, own_rows, spread, with_blocks
 from tidemark.operators.ticks import ema
 
 # Edges into gold and how fast each weight follows.
@@ -92,7 +92,8 @@ def granger_weights(pairs: DataFrame, order: Order, window: int = 120, base_lag:
             weights[i] = granger_weight(x[tail(i)], y[tail(i)], lag_at[chosen])
         return pdf.assign(weight=weights).loc[~pdf[HALO], [*columns, "weight"]]
 
-    raw = with_blocks(numbered, size, window + refresh).groupBy(*order.keys, BLOCK).applyInPandas(block, schema)
+    blocks = spread(with_blocks(numbered, size, window + refresh), *order.keys, BLOCK)
+    raw = blocks.groupBy(*order.keys, BLOCK).applyInPandas(block, schema)
     return smooth_weights(raw.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight"))), order)
 
 

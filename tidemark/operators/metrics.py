@@ -59,7 +59,7 @@ def by_tertile(df: DataFrame, regime: str, ret: str, y: str, p: str, by: list[st
     by = list(by)
     rows = df.where(F.col(regime).isNotNull())
     cuts = rows.groupBy(*by).agg(F.percentile(regime, F.array(d(1 / 3), d(2 / 3))).alias("_t"))
-    j = rows.join(F.broadcast(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
+    j = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
     x = F.col(regime)
     bucket = F.when(x <= F.get("_t", 0), "low").when(x <= F.get("_t", 1), "mid").otherwise("high")
     return j.groupBy(*by, bucket.alias("bucket")).agg(

@@ -42,8 +42,13 @@ def _number(c: Column, default: float) -> Column:
 
 
 def parsed(raw: DataFrame, kind: str) -> DataFrame:
+    """Rows of one type with the payload as struct `p`, read once per row.
+
+    Tests on a plain column would be pushed below it and repeat the parsing; nothing is pushed below a
+    generator.
+    """
     rows = raw.where(F.col("type") == kind)
-    return rows.withColumn("p", F.from_json("payload", PAYLOADS[kind]))
+    return rows.select("*", F.explode(F.array(F.from_json("payload", PAYLOADS[kind]))).alias("p"))
 
 
 def market(raw: DataFrame) -> DataFrame:

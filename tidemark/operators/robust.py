@@ -174,7 +174,7 @@ def latest_robust_z(df: DataFrame, value: str, at: str, n: int, need: int, sum_r
     stats = x.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.count("_x").alias("_nx"), F.percentile("_x", F.lit(0.5)).alias("_med"),
         F.max(F.when(F.col("_k") == sum_rows, F.col("_x"))).alias("_new"))
-    both = x.join(F.broadcast(stats), list(keys)) if keys else x.crossJoin(F.broadcast(stats))
+    both = x.join(stats, list(keys)) if keys else x.crossJoin(F.broadcast(stats))
     out = both.groupBy(*keys, "_n", "_nx", "_med", "_new").agg(
         (F.percentile(F.abs(F.col("_x") - F.col("_med")), F.lit(0.5)) * MAD_SIGMA).alias("_mad"))
     z = F.when(F.col("_mad") < 1e-12, d(0)).otherwise((F.col("_new") - F.col("_med")) / F.col("_mad"))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.operators.blocks import BLOCK, HALO, with_blocks
+from tidemark.operators.blocks import BLOCK, HALO, spread, with_blocks
 
 
 def map_blocks(numbered: DataFrame, keys: tuple[str, ...], value: str,
@@ -28,7 +28,8 @@ def map_blocks(numbered: DataFrame, keys: tuple[str, ...], value: str,
         out = fn(pdf[value].to_numpy(dtype=np.float64), pdf["rn"].to_numpy())
         return pdf.assign(**out).loc[~pdf[HALO], [*columns, *outputs]]
 
-    return with_blocks(numbered, size, halo).groupBy(*keys, BLOCK).applyInPandas(block, schema)
+    blocks = spread(with_blocks(numbered, size, halo), *keys, BLOCK)
+    return blocks.groupBy(*keys, BLOCK).applyInPandas(block, schema)
 
 
 def rolling_median_mad(x: np.ndarray, window: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clip, d
-from tidemark.operators.blocks import BLOCK, HALO, Order, block_window, index_rows, own_rows, with_blocks
+from tidemark.operators.blocks import BLOCK, HALO, Order, block_window, index_rows, own_rows, spread, with_blocks
 
 GAIN_ROWS, GAIN_HALO = 4096, 1024
 
@@ -189,7 +189,7 @@ def _block_scan(df: DataFrame, scan: Scan, keys: list[str], size: int, behind: i
         out["_after"] = [list(state) if i == m - 1 else None for i in range(m)]
         return out
 
-    return with_blocks(df, size, behind).groupBy(*keys, BLOCK).applyInPandas(block, schema)
+    return spread(with_blocks(df, size, behind), *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(block, schema)
 
 
 def _ordered_scan(df: DataFrame, scan: Scan, keys: list[str], like: DataFrame) -> DataFrame:
@@ -200,9 +200,7 @@ def _ordered_scan(df: DataFrame, scan: Scan, keys: list[str], like: DataFrame) -
     def stream(frames):
         current, state, tail = None, scan.start, None
         for pdf in frames:
-            names = pd.MultiIndex.from_frame(pdf[keys]) if keys else None
             parts = pdf.groupby(keys, sort=False) if keys else [(None, pdf)]
-            del names
             for key, part in parts:
                 if key != current or current is None and keys:
                     current, state, tail = key, scan.start, None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import dot, unit
+from tidemark.operators.blocks import spread
 from tidemark.operators.robust import apply_scaler, fit_scaler
 
 CELL_ROWS, CELL_QUERIES = 200_000, 2_000
@@ -57,6 +58,7 @@ def top_k_similar(queries: DataFrame, memory: DataFrame, k: int = 5, query_id: s
         return pd.concat(out)
 
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *m.schema)}
+    q, m = spread(q, "g", "c"), spread(m, "g", "c")
     best = q.groupBy("g", "c").cogroup(m.groupBy("g", "c")).applyInPandas(
         cell, f"q {types['q']}, m {types['m']}, similarity double, c int")
     by = [F.desc("similarity"), F.asc("m")]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import SQRT_YEAR, clip, d, ratio, safe_log
 from tidemark.operators.align import calendar_align
+from tidemark.operators.blocks import spread
 from tidemark.operators.robust import robust_z, rolling_mean, rolling_median
 
 # Symbol -> column prefix.
@@ -76,7 +77,7 @@ def price_block(prices: DataFrame, calendar: DataFrame, target: str, horizons: t
     symbols = [target, *ASSETS]
     grid = calendar.select("date", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("symbol"))
     closes = grid.join(prices.select("date", "symbol", "close"), ["date", "symbol"], "left")
-    rows = returns_and_labels(closes, horizons=horizons)
+    rows = returns_and_labels(spread(closes, "symbol"), horizons=horizons)
     rows = robust_z(rows, {"close": "z"}, by_symbol(), 252)
     names = {target: "gold", **ASSETS}
     features = {"close": "{}_close", **{f"logret_{k}d": f"{{}}_logret_{k}d" for k in (1, 5, 20)}}

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keep one Arrow batch small enough for rows that carry vectors or long texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # One thread per Python worker: Spark already runs one worker per core.
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

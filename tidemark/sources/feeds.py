@@ -28,7 +28,8 @@ def _event(df: DataFrame, line: str, ts: Column, kind: str, payload: list[Column
 
 
 def _json(df: DataFrame, line: str, ddl: str) -> DataFrame:
-    return df.withColumn("m", F.from_json(line, ddl))
+    # As a generator the parsed message is computed once; a filter on a column would parse it again.
+    return df.select("*", F.explode(F.array(F.from_json(line, ddl))).alias("m"))
 
 
 def _num(c: str | Column, default: Column | float | None = None) -> Column:
