@@ -312,6 +312,17 @@ def asof_first_close(spark, sf_dir):
     return dated(out.select("symbol", "day", "hit_date", "close"), "day", "hit_date")
 
 
+@query("asof_panel_row", with_views(["prices_d"], """
+d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS asked FROM lineitem),
+g AS (SELECT date, close FROM prices_d WHERE symbol = 'GC=F')
+SELECT CAST(asked AS VARCHAR) AS asked, CAST(date AS VARCHAR) AS date, close FROM d ASOF JOIN g ON d.asked >= g.date"""))
+def asof_panel_row(spark, sf_dir):
+    rows = views.prices_d(spark, sf_dir).where(F.col("symbol") == "GC=F").select("date", "close")
+    days = views.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("asked")).distinct()
+    out = align.last_on_or_before(rows, days, asof_col="asked")
+    return dated(out.select("asked", "date", "close"), "asked", "date")
+
+
 @query("asof_last_tick", with_views(["ticks"], """
 o AS (SELECT event_id, ts, concat('S', (user_id + 1) % 5) AS symbol FROM events)
 SELECT o.event_id, o.symbol, t.mid FROM o ASOF LEFT JOIN ticks t ON o.symbol = t.symbol AND o.ts >= t.ts"""))

@@ -193,7 +193,7 @@ def lake_row_counts(spark, sf_dir):
 
 
 @query("lake_runs", """
-SELECT concat('run', conv_id) AS run_id, sum(length(text)) AS rows_added, max(role) AS source, count(*) AS records
+SELECT concat('run', conv_id) AS run_id, CAST(sum(length(text)) AS BIGINT) AS rows_added, max(role) AS source, count(*) AS records
 FROM conversations GROUP BY 1""")
 def lake_runs(spark, sf_dir):
     log = views.table(spark, sf_dir, "conversations").select(
