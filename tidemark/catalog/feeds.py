@@ -103,9 +103,6 @@ def article_lines(spark, sf_dir):
         F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("line"))
 
 
-_SPACES = "E' \\t\\n\\r'"
-
-
 @query("feed_news_articles", """
 SELECT concat('http://c/', conv_id, '/', turn) AS url, trim(substring(text, 1, 80)) AS title,
   CASE WHEN role = 'assistant' THEN '' ELSE substring(trim(text), 1, 1024) END AS description,
