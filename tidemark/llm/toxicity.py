@@ -21,6 +21,8 @@ PREFIXES = (4, 5, 6)
 #: Features kept, by how much more often they stand in texts of one kind than of the other.
 MOST_FEATURES = 2000
 LEAST_TEXTS = 8
+#: Standard errors that a feature's shares among toxic and other texts must lie apart, against features of chance.
+LEAST_DISTANCE = 4.0
 #: A toxic text has the grade 1 up to so many marked features (a word has up to four), then 2, then 3.
 GRADE_EDGES = (8, 24)
 GRADES = 4
@@ -66,7 +68,7 @@ def counted(text: str, names: dict[str, int], memo: dict[str, tuple[int, ...]])
 
 
 def feature_table(sample: DataFrame) -> list[tuple[str, float]]:
-    """MOST_FEATURES features and their signed distance between toxic and other texts, from counts over the sample."""
+    """Up to MOST_FEATURES features and their signed distance between toxic and other texts, from counts over the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +85,7 @@ def feature_table(sample: DataFrame) -> list[tuple[str, float]]:
     p, q = F.col("a") / toxic, F.col("b") / other
     both = (F.col("a") + F.col("b")) / (toxic + other)
     z = (p - q) / F.sqrt(both * (1 - both + 1e-9) * (1 / toxic + 1 / other))
-    kept = counts.select("feature", z.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect()
+    kept = counts.select("feature", z.alias("z")).where(F.abs("z") >= LEAST_DISTANCE).orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect()
     return [(r.feature, r.z) for r in kept]
 
 
