@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_size, ragged, shuffle_partitions, texts_of
 from tidemark.llm.words import CHARS, vocabulary
 
-#: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 24_000_000
+#: Characters of a block; a longer text is a block of its own. Larger blocks name fewer words twice.
+BLOCK_CHARS = 32_000_000
 #: Blocks that one task may number.
-BLOCKS = 1 << 20
+BLOCKS = 1 << 8
 BLOCK_SCHEMA = "block long, doc_ids array<long>, n_words array<int>, codes binary, words binary"
 RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKEN_SCHEMA = "doc_id long, ids array<int>, decoded string"
@@ -29,16 +29,22 @@ def word_blocks(docs: DataFrame, vocab_path: str, block_chars: int = BLOCK_CHARS
     """One row per block of documents: their ids, their numbers of words, all words as positions in a list, the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, pack = vocabulary(vocab_path), zstandard.ZstdCompressor(level=1).compress
+        vocab, pack = vocabulary(vocab_path), zstandard.ZstdCompressor(level=6).compress
         block = TaskContext.get().partitionId() * BLOCKS
         known: dict[str, int] = {}
         ids, counts, codes, chars = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            words = pa.array(list(known), pa.string())
-            sizes = np.diff(np.frombuffer(words.buffers()[1], np.int32)[:len(known) + 1]).astype(np.int32)
-            listed = np.int32(len(known)).tobytes() + sizes.tobytes() + "".join(known).encode()
             numbers = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            rank = np.empty(len(known), np.int32)  # frequent words get small numbers, which pack better
+            rank[np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")] = np.arange(len(known))
+            numbers = rank[numbers] if len(known) else numbers
+            words = pa.array(list(known), pa.string())
+            order = pc.sort_indices(words)
+            words = words.take(order)  # in order neighbours share their beginnings
+            sizes = pc.binary_length(words).to_numpy().astype(np.int32)
+            listed = np.int32(len(known)).tobytes() + planes(sizes) + planes(rank[order.to_numpy()]) \
+                + (words.buffers()[2].to_pybytes()[:int(sizes.sum())] if len(known) else b"")
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([np.concatenate(counts)], pa.list_(pa.int32())),
@@ -60,6 +66,8 @@ def word_blocks(docs: DataFrame, vocab_path: str, block_chars: int = BLOCK_CHARS
                 if chars >= block_chars:
                     yield row()
                     block += 1
+                    if block % BLOCKS == 0:
+                        raise ValueError(f"a task has more than {BLOCKS} blocks of {block_chars} characters")
                     known, ids, counts, codes, chars = {}, [], [], [], 0
         if ids:
             yield row()
@@ -77,7 +85,7 @@ def unplaned(raw: bytes) -> np.ndarray:
 
 
 def listed_words(blocks: DataFrame) -> DataFrame:
-    """block, place, word: the words of each block's list."""
+    """at, word: the words of each block's list; `at` is the block in its upper half and the word's number below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -85,52 +93,59 @@ def listed_words(blocks: DataFrame) -> DataFrame:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
                 raw = unpack(packed)
                 n = int(np.frombuffer(raw, np.int32, 1)[0])
-                offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int32, n, 4)))).astype(np.int32)
-                words = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n:]))
+                offsets = np.concatenate(([0], np.cumsum(unplaned(raw[4:4 + 4 * n])))).astype(np.int32)
+                place = unplaned(raw[4 + 4 * n:4 + 8 * n]).astype(np.int32)
+                words = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n:]))
                 for at in range(0, n, 65536):
                     part = words.slice(at, 65536)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                         part], ["block", "place", "word"])
+                        [pa.array((block << 32) + place[at:at + 65536].astype(np.int64)), part], ["at", "word"])
 
-    return blocks.mapInArrow(run, "block long, place int, word string")
+    return blocks.mapInArrow(run, "at long, word string")
 
 
 def encoded_words(listed: DataFrame, vocab_path: str) -> DataFrame:
-    """block, place, ids: rows come sorted by word, so that each distinct word is encoded once, in bounded memory."""
+    """block, place, ids (bytes): rows come sorted by word, so each distinct word is encoded once, in bounded memory."""
     n = shuffle_partitions(listed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        last, last_ids = None, b""
+        last, last_ids, width = None, b"", width_of(vocab)
         for batch in batches:
             runs = pc.run_end_encode(batch.column("word"))
             distinct = runs.values.to_pylist()
-            ids = [last_ids if w == last else np.array(vocab.encode_word(w), "<u4").tobytes() for w in distinct]
+            ids = [last_ids if w == last else np.array(vocab.encode_word(w), width).tobytes() for w in distinct]
             if distinct:
                 last, last_ids = distinct[-1], ids[-1]
-            ends = runs.run_ends.to_numpy()
+            ends, at = runs.run_ends.to_numpy(), batch.column("at").to_numpy()
             of_row = np.repeat(np.arange(len(distinct)), np.diff(np.concatenate(([0], ends))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("place"), pa.array(ids, pa.binary()).take(pa.array(of_row))],
+                [pa.array(at >> 32), pa.array((at & 0xFFFFFFFF).astype(np.int32)), pa.array(ids, pa.binary()).take(pa.array(of_row))],
                 ["block", "place", "ids"])
 
     return listed.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "block long, place int, ids binary")
 
 
+def width_of(vocab) -> str:
+    """The narrowest number that holds every id."""
+    return "<u2" if len(vocab.pieces) <= 1 << 16 else "<u4"
+
+
 def joined_back(docs: DataFrame, vocab_path: str, block_chars: int, schema: str, finish) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     blocks = word_blocks(docs, vocab_path, block_chars).repartition(n, "block")
     ids = encoded_words(listed_words(blocks), vocab_path)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, width = zstandard.ZstdDecompressor().decompress, np.dtype(width_of(vocabulary(vocab_path)))
         right = right.combine_chunks()
         place = right.column("place").to_numpy()
         raw = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.binary())
         raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) // 4 if len(raw) else np.zeros(1, int)
-        flat = np.frombuffer(raw.buffers()[2], "<u4") if len(raw) and raw.buffers()[2] else np.zeros(0, "<u4")
+        edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) // width.itemsize \
+            if len(raw) else np.zeros(1, int)
+        whole = raw.buffers()[2] if len(raw) else None
+        flat = np.frombuffer(whole, width, whole.size // width.itemsize) if whole else np.zeros(0, width)
         size, begin = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         size[place], begin[place] = np.diff(edges), edges[:-1]
         rows = []
@@ -141,7 +156,7 @@ def joined_back(docs: DataFrame, vocab_path: str, block_chars: int, schema: str,
             at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
             for i, doc_id in enumerate(doc_ids):
                 words = codes[at[i]:at[i + 1]]
-                rows.append((doc_id, flat[ragged(begin[words], size[words])]))
+                rows.append((doc_id, flat[ragged(begin[words], size[words])].astype("<u4")))
         return finish(rows)
 
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
