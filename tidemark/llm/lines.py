@@ -23,7 +23,7 @@ RUNS = 3
 LEAST_VARYING = 12
 #: Documents in which a template recurs: as it is, and with a run that varies.
 LEAST_DOCS, LEAST_DOCS_VARYING = 2, 3
-FIELD = re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
 KEY_SCHEMA = "id long, text_hash long, line int, first int, h1 long, h2 long, varying int"
 NO_ID = (1 << 63) - 1
 
@@ -33,7 +33,9 @@ def templates(line: str) -> list[bytes]:
 
     Each begins with its path in the tree: the number of tokens and the leading tokens.
     """
-    tokens = FIELD.sub("<*>", line).split()
+    tokens = line.split()
+    if DIGIT.search(line):
+        tokens = ["<*>" if DIGIT.search(t) else t for t in tokens]
     n = len(tokens)
     if n < LEAST_TOKENS:
         return []
