@@ -215,3 +215,55 @@ def test_dossier_text(spark):
     out = dossier.dossier_text(dossier.build_dossier(row, heads, past, skill)).first()["text"]
     assert out.count("impact=+0.50") == 8 and out.count("sim=") == 5
     assert "2020-01-01 sim=0.80" in out and "TIPS_10Y: None" in out
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import strip
+
+    df = spark.createDataFrame([("\n  a b\t　\r\n",), ("\x1f ",), (None,)], "t string")
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["a b", "", None]
+
+
+def test_newest_version_counts_numbers(spark):
+    from tidemark.plans.news import latest_version
+
+    rows = [("a", "v9", 1.0), ("a", "v10", 2.0), ("b", "v1", 3.0)]
+    df = spark.createDataFrame(rows, "news_id string, model_version string, gold_impact double")
+    assert {r.news_id: r.gold_impact for r in latest_version(df).collect()} == {"a": 2.0, "b": 3.0}
+    timed = spark.createDataFrame([("a", "v10", "2024-01-01", 1.0), ("a", "v9", "2024-01-02", 2.0)],
+                                  "news_id string, model_version string, extracted_at string, gold_impact double")
+    assert latest_version(timed).first().gold_impact == 2.0
+
+
+def test_each_query_vector_is_answered(spark):
+    from tidemark.operators.similarity import retrieve
+
+    index = spark.createDataFrame([("2024-01-01", [1.0, 0.0]), ("2024-01-02", [0.0, 1.0]), ("2024-01-03", [0.6, 0.8])],
+                                  "date string, vector array<double>")
+    query = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "q string, vector array<double>")
+    got = [(r.q, r.date) for r in retrieve(index, query, 2, keys=("q",)).collect()]
+    assert got == [("x", "2024-01-01"), ("x", "2024-01-03"), ("y", "2024-01-02"), ("y", "2024-01-03")]
+
+
+def test_repeated_price_days_do_not_run_backwards(spark):
+    from tidemark.operators.align import first_on_or_after
+
+    prices = spark.sql("SELECT 's' AS symbol, DATE'2024-01-02' AS date, 1D AS close UNION ALL "
+                       "SELECT 's', DATE'2024-01-05', 2D UNION ALL SELECT 's', DATE'2024-01-05', 3D")
+    rows = spark.sql("SELECT 's' AS symbol, explode(sequence(DATE'2024-01-01', DATE'2024-01-06')) AS day")
+    got = {str(r.day): r.close for r in first_on_or_after(rows, prices, "day").collect()}
+    assert [got[f"2024-01-0{i}"] for i in range(1, 7)] == [1.0, 1.0, 3.0, 3.0, 3.0, None]
+
+
+def test_missing_factors_stay_out_of_the_levels():
+    import numpy as np
+
+    from tidemark.operators.scans import regime_scan
+
+    x = np.full((80, 6), np.nan)
+    x[::2] = np.linspace(0, 1, 40)[:, None]
+    levels = regime_scan().prepare(x, np.arange(1, 81))
+    assert np.isclose(levels[79, 6], np.quantile(np.linspace(0, 1, 40), 0.65)) and levels[56, 6] == 0.65
+    assert levels[1, 0] == 0.5

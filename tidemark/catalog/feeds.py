@@ -118,18 +118,19 @@ def feed_news_articles(spark, sf_dir):
 
 
 @query("feed_gdelt_articles", """
-SELECT concat('http://x/', doc_id) AS url, trim(substring(text, 1, 200)) AS title, source, lang AS language,
+SELECT concat('http://x/', doc_id) AS url, substring(trim(text), 1, 512) AS title, md5(trim(text)) AS text_md5, source, lang AS language,
   epoch_us(TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 17 MINUTE) / 1e6 AS timestamp FROM documents""")
 def feed_gdelt_articles(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").withColumn("ts", F.expr(
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + doc_id * INTERVAL '17' MINUTE"))
     article = F.struct(
-        F.substring("text", 1, 200).alias("title"), F.concat(F.lit("http://x/"), "doc_id").alias("url"),
+        F.col("text").alias("title"), F.concat(F.lit("http://x/"), "doc_id").alias("url"),
         F.col("source").alias("domain"), F.col("lang").alias("language"),
         F.date_format("ts", "yyyyMMddHHmmss").alias("seendate"))
     lines = docs.select(F.to_json(F.struct(F.array(article).alias("articles"))).alias("line"))
     return feeds.gdelt_articles(lines).select(
-        "payload.url", "payload.title", "payload.source", "payload.language", "timestamp")
+        "payload.url", "payload.title", F.md5("payload.text").alias("text_md5"), "payload.source", "payload.language",
+        "timestamp")
 
 
 @query("feed_forum_posts", """

@@ -61,7 +61,7 @@ def selected_features(spark, sf_dir):
 def quantile_fit(spark, sf_dir):
     """Five quantiles of the 20-day return on two lagged returns, pooled over symbols."""
     names = ["logret_5d", "logret_20d"]
-    fit = M.fit_quantiles(daily(spark, sf_dir), names, LABEL, steps=40)
+    fit = M.fit_quantiles(daily(spark, sf_dir), names, LABEL)
     rows = [(float(t), *[float(v) for v in w]) for t, w in fit.items()]
     return rounded(spark.createDataFrame(rows, "tau double, logret_5d double, logret_20d double, intercept double"),
                    {"logret_5d": 4, "logret_20d": 4, "intercept": 4})
@@ -74,8 +74,8 @@ def forecaster(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODEL:
         p = stored_panel(spark, sf_dir)
-        features = select_features(p, list(M.STRUCT_PRIOR), 16)
-        _MODEL[key] = M.train(p, features, "target_logret_20d", steps=20, trees=5)
+        features = select_features(p, list(M.STRUCT_PRIOR), 64)
+        _MODEL[key] = M.train(p, features, "target_logret_20d")
     return _MODEL[key]
 
 
@@ -95,7 +95,7 @@ def error_model_confidence(spark, sf_dir):
         F.abs(F.col(LABEL)).alias("abs_error"))
     rows = rows.withColumn("context", F.transform("context", lambda x: F.coalesce(x, F.lit(0.0))))
     sample = M.replay_sample(rows, ["date", "symbol"])
-    model = M.fit_error_model(sample, trees=3)
+    model = M.fit_error_model(sample)
     sd = rows.agg(F.stddev_samp("abs_error")).first()[0] or 1e-3
     out = M.raw_confidence(rows, model, sd)
     return dated(out.select("symbol", "date", "predicted_error", "raw_confidence"))

@@ -220,7 +220,7 @@ def lake_fingerprint(spark, sf_dir):
 
 @query("news_sink_rows", with_views(["news"], """
 SELECT substring(sha256(concat(url, '|', CAST(epoch_us(ts) // 1000000 AS VARCHAR))), 1, 32) AS id,
-  substring(source, 1, 64) AS source, trim(title) AS title, md5(substring(trim(text), 1, 8192)) AS text_md5 FROM news
+  substring(source, 1, 64) AS source, substring(trim(title), 1, 512) AS title, md5(substring(trim(text), 1, 8192)) AS text_md5 FROM news
 WHERE length(trim(title)) > 0 OR length(trim(text)) > 0"""))
 def news_sink_rows(spark, sf_dir):
     from tidemark.streaming.sinks import news_rows

@@ -33,6 +33,15 @@ EMOTION_WEIGHTS = {"fear": 1.4, "greed": 1.2, "uncertainty": 1.0, "calm": 0.9}
 SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 
 
+#: All characters that count as white space at the ends of a text.
+WHITE = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """`c` without white space at its ends, line ends and non-breaking blanks included."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
@@ -108,14 +117,14 @@ def strip_html(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return strip(F.regexp_replace(out, r"\s+", " "))
 
 
 def statement_body(text: Column, start: str = "Information received", stop: tuple[str, ...] = (
         "Voting for", "For media inquiries"), width: int = 50_000) -> Column:
     """The part between the opening words and the vote or contact line, else all of it."""
     pattern = rf"(?s)({start}.+?)(?:{'|'.join(stop)})"
-    body = F.trim(F.regexp_extract(text, pattern, 1))
+    body = strip(F.regexp_extract(text, pattern, 1))
     return F.substring(F.coalesce(F.nullif(body, F.lit("")), text), 1, width)
 
 

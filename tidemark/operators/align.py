@@ -39,11 +39,13 @@ def first_on_or_after(rows: DataFrame, prices: DataFrame, day: str, keys: tuple[
     """Forward as-of join of daily data: the first price row dated `day` or later (null if none).
 
     Every price row answers for the days after the previous one, so spelling those days out turns the
-    as-of join into an equality join on (key, day). That table has one row per key and calendar day.
+    as-of join into an equality join on (key, day). That table has one row per key and calendar day. Of several
+    rows of one key and date the one with the largest values counts.
     """
     w = Window.partitionBy(*keys).orderBy(date)
     prev = F.lag(date).over(w)
-    spans = prices.select(*keys, F.col(date).alias("_hit_date"), *values, F.date_add(prev, 1).alias("_from"))
+    one = prices.groupBy(*keys, date).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, date, "_v.*")
+    spans = one.select(*keys, F.col(date).alias("_hit_date"), *values, F.date_add(prev, 1).alias("_from"))
     answers = spans.select(*keys, "_hit_date", *values, F.explode(F.sequence(
         F.coalesce("_from", "_hit_date"), "_hit_date")).alias(day))
     # Days before the first price: its first row answers those, whatever the distance.
@@ -57,14 +59,14 @@ def first_on_or_after(rows: DataFrame, prices: DataFrame, day: str, keys: tuple[
 
 
 def last_on_or_before(panel: DataFrame, asof: DataFrame, date: str = "date", asof_col: str = "asof") -> DataFrame:
-    """Backward as-of for a panel with one row per date: its row in force on each asked-for day.
+    """Backward as-of for a panel: its row (or rows) of the date in force on each asked-for day.
 
     Each panel row is valid until the next, so the days in between are spelled out only up to the
     last asked-for day and joined by equality.
     """
     w = Window.orderBy(date)  # one row per date
     last_asked = asof.agg(F.max(asof_col).alias("_end"))
-    spans = (panel.select(F.col(date).alias("_from"), F.date_sub(F.lead(date).over(w), 1).alias("_to"))
+    spans = (panel.select(date).distinct().select(F.col(date).alias("_from"), F.date_sub(F.lead(date).over(w), 1).alias("_to"))
              .crossJoin(F.broadcast(last_asked))
              .withColumn("_to", F.coalesce(F.col("_to"), F.greatest("_end", "_from"))))
     days = spans.select(F.col("_from").alias(date), F.explode(F.sequence("_from", "_to")).alias(asof_col))

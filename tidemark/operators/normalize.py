@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import strip
 from tidemark.functions.numeric import d
 from tidemark.schemas import PAYLOADS
 
@@ -33,7 +34,7 @@ DEFAULT_IMPACT = ("OTHER", 0.40)
 
 
 def text_or_empty(c: Column, width: int) -> Column:
-    return F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, width)
+    return F.substring(strip(F.coalesce(c, F.lit(""))), 1, width)
 
 
 def _number(c: Column, default: float) -> Column:
@@ -76,7 +77,7 @@ def news(raw: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif(F.col("p.text"), F.lit("")), F.concat(title, F.lit(" "), desc))
     empty = F.lit("")
     return rows.select(
-        *_head(raw), title.alias("title"), F.substring(F.trim(body), 1, 1024).alias("text"),
+        *_head(raw), title.alias("title"), F.substring(strip(body), 1, 1024).alias("text"),
         F.coalesce("p.source", empty).alias("news_source"), F.coalesce("p.url", empty).alias("url"),
         F.coalesce("p.author", empty).alias("author"))
 
@@ -90,7 +91,7 @@ def sentiment(raw: DataFrame) -> DataFrame:
         return F.when(value.isNull() | (value == ""), F.lit(0)).otherwise(value.try_cast("long")).alias(name)
 
     return rows.select(
-        *_head(raw), F.substring(F.trim(F.concat(title, F.lit(" "), body)), 1, 1024).alias("text"),
+        *_head(raw), F.substring(strip(F.concat(title, F.lit(" "), body)), 1, 1024).alias("text"),
         counter("score"), F.coalesce("p.subreddit", F.lit("")).alias("subreddit"),
         counter("likes"), counter("retweets"))
 
@@ -167,7 +168,7 @@ def usable_text(df: DataFrame, min_chars: int = 10) -> DataFrame:
     """Rows whose text (or title) has at least `min_chars` characters after trimming; adds `body`."""
     blank = F.lit("")
     title = F.col("title") if "title" in df.columns else F.lit(None).cast("string")
-    body = F.trim(F.coalesce(F.nullif(F.col("text"), blank), title, blank))
+    body = strip(F.coalesce(F.nullif(F.col("text"), blank), title, blank))
     return df.withColumn("body", body).where(F.length("body") >= min_chars)
 
 

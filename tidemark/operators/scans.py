@@ -250,24 +250,25 @@ REGIME_LEVELS = (("risk_regime", 0.65, 0.65), ("risk_regime", 0.35, 0.35), ("vol
                  ("liquidity", 0.50, 0.50), ("mean_reversion", 0.60, 0.60))
 
 
-def rolling_quantiles(x: np.ndarray, rn: np.ndarray, window: int, levels, least: int) -> np.ndarray:
+def rolling_quantiles(x: np.ndarray, window: int, levels, least: int) -> np.ndarray:
     """[rows, levels] quantiles of the last `window` values of the chosen inputs; default while cold."""
     out = np.empty((len(x), len(levels)))
     for j, (name, q, default) in enumerate(levels):
         values = pd.Series(x[:, REGIME_INPUTS.index(name)])
-        out[:, j] = values.rolling(window, min_periods=1).quantile(q)
-        out[rn < least, j] = default
+        rolled = values.rolling(window, min_periods=1)
+        out[:, j] = rolled.quantile(q)
+        out[rolled.count().to_numpy() < least, j] = default
     return out
 
 
 def regime_scan(window: int = 500, sticky: float = 0.6, bonus: float = 0.05) -> Scan:
     """Sticky regime: scores against rolling-quantile levels, blended with their past, largest wins.
 
-    Inputs are the six factors; nulls count as 0.5.
+    Inputs are the six factors; a null scores 0.5 and stays out of the levels, which are the defaults until a
+    factor has 30 known values in the window.
     """
     def prepare(x: np.ndarray, rn: np.ndarray) -> np.ndarray:
-        x = np.where(np.isnan(x), 0.5, x)
-        return np.hstack([x, rolling_quantiles(x, rn, window, REGIME_LEVELS, 30)])
+        return np.hstack([np.where(np.isnan(x), 0.5, x), rolling_quantiles(x, window, REGIME_LEVELS, 30)])
 
     def run(x: np.ndarray, state):
         risk, vol, mom, slow, liq, rev, rhi, rlo, vhi, vlo, mhi, shi, lhi, qhi = x.T

@@ -111,24 +111,28 @@ def build_index(panel: DataFrame, features: list[str], label: str, scaler: DataF
 
 
 def retrieve(index: DataFrame, query: DataFrame, k: int = 10, newest: str | None = None,
-             bands: dict[str, tuple[float, float]] | None = None, condition: Column | None = None) -> DataFrame:
-    """The k most similar days to a one-row query vector, best first.
+             bands: dict[str, tuple[float, float]] | None = None, condition: Column | None = None,
+             keys: tuple[str, ...] = ()) -> DataFrame:
+    """The k most similar days to each query vector, best first; `keys` are query columns to keep in front.
 
     newest: last admissible date (the query date minus the exclusion gap). bands: {column: (low, high)};
     columns the index lacks are ignored. condition: any test over index columns and those of the query
-    row, which are prefixed with `_q_`.
+    row, which are prefixed with `_q_`. Query rows are told apart by all their columns; the set is sent to every
+    task, so it has to be a few rows, as asked for by a user (`top_k_similar` is for large sets).
     """
     rows = index.where(F.col("date") <= F.lit(newest).cast("date")) if newest else index
     one = query.select(F.col("vector").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in query.columns if c != "vector"])
-    j = rows.crossJoin(F.broadcast(one.limit(1)))
+    j = rows.crossJoin(F.broadcast(one.distinct()))
     for col, (lo, hi) in (bands or {}).items():
         if col in index.columns:
             j = j.where(F.col(col).between(lo, hi))
     if condition is not None:
         j = j.where(condition)
     cols = [c for c in index.columns if c != "vector"]
-    return j.withColumn("similarity", dot(F.col("vector"), F.col("_q"))).select(*cols, "similarity").orderBy(
-        F.desc("similarity"), "date").limit(k)
+    best = Window.partitionBy(*one.columns).orderBy(F.desc("similarity"), "date")
+    ranked = j.withColumn("similarity", dot(F.col("vector"), F.col("_q"))).withColumn("_rank", F.row_number().over(best))
+    return ranked.where(F.col("_rank") <= k).orderBy(*[f"_q_{c}" for c in keys], "_rank").select(
+        *[F.col(f"_q_{c}").alias(c) for c in keys], *cols, "similarity")
 
 
 def outcome_summary(hits: DataFrame) -> DataFrame:

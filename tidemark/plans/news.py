@@ -14,10 +14,12 @@ def new_york_date(ts: str) -> Column:
     return F.to_date(F.from_utc_timestamp(F.col(ts).cast("timestamp"), "America/New_York"))
 
 
-def latest_version(features: DataFrame, order: str = "model_version") -> DataFrame:
-    """One feature row per headline: the newest model version."""
+def latest_version(features: DataFrame) -> DataFrame:
+    """One feature row per headline: the one extracted last, then the one of the highest version (v10 after v9)."""
     others = [c for c in features.columns if c != "news_id"]
-    return (features.groupBy("news_id").agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
+    number = F.regexp_extract("model_version", r"(\d+)\D*$", 1).try_cast("decimal(38,0)")
+    order = [*[F.col(c) for c in ("extracted_at",) if c in features.columns], number, F.col("model_version")]
+    return (features.groupBy("news_id").agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
             .select("news_id", "_row.*"))
 
 

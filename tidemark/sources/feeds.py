@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import strip
 from tidemark.functions.numeric import d
 from tidemark.schemas import RAW_EVENT
 
@@ -41,11 +42,11 @@ def _num(c: str | Column, default: Column | float | None = None) -> Column:
 
 def _words(*parts: Column) -> Column:
     """Join the non-empty parts with a space."""
-    return F.trim(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
+    return strip(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
 def _cut(c: Column, width: int) -> Column:
-    return F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, width)
+    return F.substring(strip(F.coalesce(c, F.lit(""))), 1, width)
 
 
 def iso_seconds(c: Column) -> Column:
@@ -118,7 +119,7 @@ def gdelt_articles(df: DataFrame, line: str = "line") -> DataFrame:
     df = _articles(df, line, "title:string, url:string, domain:string, language:string, seendate:string", False)
     blank = F.lit("")
     return _event(df, line, compact_seconds(F.col("a.seendate")), "news", [
-        _cut(F.col("a.title"), 512).alias("title"), F.trim(F.coalesce("a.title", blank)).alias("text"),
+        _cut(F.col("a.title"), 512).alias("title"), strip(F.coalesce("a.title", blank)).alias("text"),
         F.coalesce("a.domain", blank).alias("source"), F.coalesce("a.url", blank).alias("url"),
         F.coalesce("a.language", blank).alias("language")], "gdelt", 0.70)
 

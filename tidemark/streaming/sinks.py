@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.text import news_id
+from tidemark.functions.text import news_id, strip
 from tidemark.sources.lake import Lake
 
 NEWS = "url string, title string, text string"
@@ -19,7 +19,7 @@ def news_rows(raw: DataFrame) -> DataFrame:
     m = raw.where(F.col("type").isin("news", "sentiment")).withColumn("m", F.from_json("payload", NEWS))
 
     def cut(name: str, width: int) -> Column:
-        return F.substring(F.trim(F.coalesce(F.col(f"m.{name}"), F.lit(""))), 1, width)
+        return F.substring(strip(F.coalesce(F.col(f"m.{name}"), F.lit(""))), 1, width)
 
     rows = m.select("timestamp", "source", "payload", cut("url", 1024).alias("url"), cut("title", 512).alias("title"),
                     cut("text", 8192).alias("text"))

@@ -45,7 +45,7 @@ FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2""",
     "news": """
 SELECT concat('n', doc_id) AS id,
        TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '17' MINUTE AS ts,
-       source, concat('http://x/', doc_id) AS url, substring(text, 1, 120) AS title, text
+       source, concat('http://x/', doc_id) AS url, text AS title, text
 FROM documents""",
     "news_features": """
 SELECT concat('n', doc_id) AS news_id, 'v1' AS model_version,
@@ -117,7 +117,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("n"), "doc_id").alias("id"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + doc_id * INTERVAL '17' MINUTE").alias("ts"),
         "source", F.concat(F.lit("http://x/"), "doc_id").alias("url"),
-        F.substring("text", 1, 120).alias("title"), "text")
+        F.col("text").alias("title"), "text")
 
 
 def news_features(spark: SparkSession, sf_dir: str) -> DataFrame:
