@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shuffle_partitions
+from tidemark.session import write_through
 
 BITS = 128
 #: A long holds the votes for four bits, 16 bits each; a part of a text has fewer terms than reach its sign.
@@ -97,7 +98,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     null ids come last. The edited text is the text with its last half (rounded down, in code points) replaced by as
     many of the first code points of the next row's, or all it has. Null texts count as empty, a single row is its own
     next one. Rows are dealt to slices by ranges of their ids, so a row finds the next one in its slice, and only
-    the last of a slice takes the first text of the next.
+    the last of a slice takes the first text of the next. Fingerprints are written to the shared folder once, before
+    each row's is compared with the next one's.
     """
     slices = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").cast("long"),
@@ -130,7 +132,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     carried = ["doc_id", "n_chars", *[f"sha{i}" for i in range(4)], "next_slice", "next_n"]
     both = with_fingerprint(pairs.select("slice", "n", *carried, "v.e", "v.text"), ["slice", "n", "e"], carried)
     own = {f"{p}{w}": F.max(F.when(F.col("e") == e, F.col(w))) for p, e in (("", 0), ("edited_", 1)) for w in ("hi", "lo")}
-    one = both.groupBy("slice", "n").agg(*[F.first(c).alias(c) for c in carried], *[c.alias(k) for k, c in own.items()])
+    one = write_through(both.groupBy("slice", "n").agg(
+        *[F.first(c).alias(c) for c in carried], *[c.alias(k) for k, c in own.items()]), "fingerprints")
     following = one.select(F.col("slice").alias("next_slice"), F.col("n").alias("next_n"), F.col("hi").alias("next_hi"),
                            F.col("lo").alias("next_lo"))
     return one.join(following, ["next_slice", "next_n"]).select(
