@@ -24,7 +24,7 @@ LEAST_TEXTS = 8
 #: Standard errors that a feature's shares among toxic and other texts must lie apart, against features of chance.
 LEAST_DISTANCE = 4.0
 #: A toxic text has the grade 1 up to so many marked features (a word has up to four), then 2, then 3.
-GRADE_EDGES = (8, 24)
+GRADE_EDGES = (2, 4)
 GRADES = 4
 #: Words that a worker remembers the features of, at most.
 MEMO = 1 << 18
