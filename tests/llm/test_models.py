@@ -5,11 +5,13 @@ import binascii
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.conftest import SF_DIR
-from tidemark.llm import quality, toxicity
+from tests.llm.test_duplicates import brute_hash, brute_lines, groups
+from tidemark.llm import quality, secrets, toxicity
 from tidemark.llm.common import table
-from tidemark.llm.queries import QUERIES
+from tidemark.llm.queries import QUERIES, VOCAB
 from tidemark.llm.trees import Trees, fit_trees
 
 
@@ -112,6 +114,55 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts)
 
 
+def redacted(text, spans):
+    """Text with each union of overlapping spans blotted out, by marking characters."""
+    unions = []
+    for a, _, b in spans:
+        if unions and a < unions[-1][1]:
+            unions[-1][1] = max(b, unions[-1][1])
+        else:
+            unions.append([a, b])
+    for a, b in reversed(unions):
+        text = text[:a] + "[SECRET]" + text[b:]
+    return text
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels)
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    rows = [(i, t) for i, t in rows if model.probability(np.array([quality.statistics(t)]))[0] >= 0.5]
+    rows = [(i, t) for (i, _), t in zip(rows, brute_lines(rows))]
+    ids = [i for i, _ in rows]
+    rows = [r for r, g in zip(rows, groups(ids, [brute_hash(t) for _, t in rows], 4)) if g == r[0]]
+    library = Tokenizer.from_file(VOCAB)
+    library.no_truncation()
+    library.no_padding()
+    want = {i: library.encode(redacted(t, secrets.find(t)[1]), add_special_tokens=False).ids + [1] for i, t in rows}
+    got: dict = {}
+    for r in sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(got.setdefault(r.doc_id, [])) and r.length == len(r.ids) == 1 << r.bucket <= 2048
+        got[r.doc_id] += r.ids
+    assert got == want and len(got) < docs.count()
+
+
+def test_stages_pass_clashing_columns_through(spark, sf_dir, frame):
+    import corpus_pipeline
+
+    names = ["quality_score", "dropped_lines", "component_id", "fp", "id", "text_hash", "line", "h1", "slice", "ids", "start",
+             "_drops", "label", "y", "score"]
+    docs = frame([(1, "a plain text of some words"), (2, None), (None, "x"), (3, ""), (3, "")]).withColumns(
+        {n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (docs, docs.limit(0)):
+            after = stage(spark, rows, sf_dir)
+            assert after.columns == docs.columns, name
+            assert all(r[n] == f"own {n}" for r in after.collect() for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 5
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0

@@ -92,8 +92,10 @@ def recurring(keys: DataFrame) -> DataFrame:
         .where(F.col("docs") >= enough).select("h1", "h2", "varying", "owner")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """`docs` without the lines whose template recurs across documents, n_chars brought in line, and `dropped_lines`.
+def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -> DataFrame:
+    """`docs` without the lines whose template recurs across documents, n_chars brought in line.
+
+    A column `count` says how many lines went, in place of any of that name; None leaves it out.
 
     A template is a line whose tokens with digits are fields; from LEAST_VARYING tokens on, one of RUNS runs of tokens
     behind the leading ones may vary too, if LEAST_DOCS_VARYING documents share the rest. The document of the smallest
@@ -116,5 +118,5 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     if "n_chars" in new:
         new["n_chars"] = F.when(F.col("_drops").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)) \
             .otherwise(new["n_chars"])
-    return out.select(*[new[c].alias(c) for c in docs.columns],
-                      F.coalesce(F.size("_drops"), F.lit(0)).alias("dropped_lines"))
+    went = [F.coalesce(F.size("_drops"), F.lit(0)).alias(count)] if count else []
+    return out.select(*[new[c].alias(c) for c in docs.columns if c != count], *went)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import free_name, texts_of
 from tidemark.llm.trees import Trees, fit_trees
 
 #: Labelled rows that a classifier is fitted on, at most; taken by a hash of the id.
@@ -76,17 +76,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Tree
     return fit_trees(x, rows.column("y").to_numpy())
 
 
-def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
-    """`docs` and its columns with `quality_score` (0 to 1, higher: better); null texts count as empty."""
+def score_quality(docs: DataFrame, model: Trees, column: str = "quality_score") -> DataFrame:
+    """`docs` with `column` (0 to 1, higher: better) in place of any of that name; null texts count as empty."""
+    docs = docs.drop(column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t) for t in texts_of(batch)], float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(x))], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(x))], [*names, column])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    return docs.mapInArrow(run, f"{kinds}, `{column}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -102,5 +103,6 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that the classifier doesn't reject."""
-    return score_quality(docs, fit_quality(docs, labels, limit)).where("quality_score >= 0.5").select(*docs.columns)
+    """The rows of `docs` that the classifier doesn't reject, with all their columns, whatever their names."""
+    column = free_name("quality_score", docs)
+    return score_quality(docs, fit_quality(docs, labels, limit), column).where(F.col(column) >= 0.5).drop(column)
