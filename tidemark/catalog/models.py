@@ -9,6 +9,7 @@ from tidemark.catalog import query, rounded, rounded_sql, with_views
 from tidemark.catalog.daily import dated, panel_digits, panel_sql, stored_panel
 from tidemark.catalog.evaluation import DAILY, LABEL, daily
 from tidemark.functions.vectors import linear_score
+from tidemark.operators import scans
 from tidemark.plans import dossier as D
 from tidemark.plans import news as N
 from tidemark.plans import training as M
@@ -128,21 +129,26 @@ def thesis_rows(spark, sf_dir):
     return D.thesis_rows(rows, "m1").select(F.col("date").alias("page"), "thesis", "confidence", "predictions", "falsifiable")
 
 
+def packet_rows(t):
+    """Ticks with a one-entry world state, a regime and a confidence."""
+    return t.select(
+        "event_id", "symbol", F.col("mid").alias("price"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
+        F.create_map(F.lit("level"), F.col("mid") / 7.0).alias("world_state"), (F.col("volume") / 97.0).alias("confidence"),
+        F.when(F.col("volume") > 48, scans.REGIMES[0]).otherwise(scans.REGIMES[3]).alias("regime"))
+
+
+def packet_values(out):
+    packet = F.from_json("packet", "price double, world_state map<string,double>, confidence double, regime string")
+    return out.select("event_id", "symbol", packet.alias("p")).select(
+        "event_id", "symbol", F.round("p.price", 4).alias("price"), F.col("p.world_state")["level"].alias("level"),
+        F.col("p.regime").alias("regime"), F.col("p.confidence").alias("confidence"))
+
+
 @query("packets", with_views(["ticks"], """
 SELECT event_id, symbol, round(mid, 4) AS price, round(mid / 7e0, 4) AS level,
   CASE WHEN volume > 48 THEN 'RISK-ON' ELSE 'RANGING' END AS regime, round(volume / 97e0, 4) AS confidence FROM ticks"""))
 def packets(spark, sf_dir):
     """One JSON packet per tick, read back for the comparison."""
-    from tidemark.operators import scans
     from tidemark.streaming.sinks import packet_json
 
-    t = views.ticks(spark, sf_dir)
-    rows = t.select(
-        "event_id", "symbol", F.col("mid").alias("price"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
-        F.create_map(F.lit("level"), F.col("mid") / 7.0).alias("world_state"), (F.col("volume") / 97.0).alias("confidence"),
-        F.when(F.col("volume") > 48, scans.REGIMES[0]).otherwise(scans.REGIMES[3]).alias("regime"))
-    packet = F.from_json("packet", "price double, world_state map<string,double>, confidence double, regime string")
-    out = packet_json(rows).select("event_id", "symbol", packet.alias("p"))
-    return out.select("event_id", "symbol", F.round("p.price", 4).alias("price"),
-                      F.col("p.world_state")["level"].alias("level"), F.col("p.regime").alias("regime"),
-                      F.col("p.confidence").alias("confidence"))
+    return packet_values(packet_json(packet_rows(views.ticks(spark, sf_dir))))

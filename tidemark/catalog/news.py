@@ -218,6 +218,13 @@ def lake_fingerprint(spark, sf_dir):
                              "news": (v("news"), "ts")}, "GC=F", "1995-01-01")
 
 
+def raw_news(spark, sf_dir):
+    """Raw events of the news feed."""
+    return views.news(spark, sf_dir).select(
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.lit("news").alias("type"),
+        F.to_json(F.struct("url", "title", "text")).alias("payload"), "source", F.lit(1.0).alias("confidence"))
+
+
 @query("news_sink_rows", with_views(["news"], """
 SELECT substring(sha256(concat(url, '|', CAST(epoch_us(ts) // 1000000 AS VARCHAR))), 1, 32) AS id,
   substring(source, 1, 64) AS source, substring(trim(title), 1, 512) AS title, md5(substring(trim(text), 1, 8192)) AS text_md5 FROM news
@@ -225,8 +232,4 @@ WHERE length(trim(title)) > 0 OR length(trim(text)) > 0"""))
 def news_sink_rows(spark, sf_dir):
     from tidemark.streaming.sinks import news_rows
 
-    n = views.news(spark, sf_dir)
-    raw = n.select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.lit("news").alias("type"),
-                   F.to_json(F.struct("url", "title", "text")).alias("payload"), "source",
-                   F.lit(1.0).alias("confidence"))
-    return news_rows(raw).select("id", "source", "title", F.md5("text").alias("text_md5"))
+    return news_rows(raw_news(spark, sf_dir)).select("id", "source", "title", F.md5("text").alias("text_md5"))
