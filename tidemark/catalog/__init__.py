@@ -45,4 +45,4 @@ def rounded_sql(digits: dict[str, int]) -> str:
 
 def load_all() -> None:
     from tidemark.catalog import (  # noqa: F401
-        daily, evaluation, feeds, macro, models, news, scans, similar, streams, text, ticks)
+        daily, evaluation, feeds, macro, models, news, scans, similar, stores, streams, text, ticks)

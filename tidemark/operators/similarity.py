@@ -87,10 +87,10 @@ REGIME_COLUMNS = ("vix_close", "cot_mm_net_z", "gld_flow_5d_z")
 
 
 def fit_index_scaler(panel: DataFrame, features: list[str], label: str) -> DataFrame:
-    return fit_scaler(_indexable(panel, features, label), features)
+    return fit_scaler(indexable(panel, features, label), features)
 
 
-def _indexable(panel: DataFrame, features: list[str], label: str) -> DataFrame:
+def indexable(panel: DataFrame, features: list[str], label: str) -> DataFrame:
     return panel.where(F.col(label).isNotNull()).where(F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull())
 
 
@@ -104,7 +104,7 @@ def scaled_vector(rows: DataFrame, features: list[str], scaler: DataFrame, keep:
 
 def build_index(panel: DataFrame, features: list[str], label: str, scaler: DataFrame | None = None) -> DataFrame:
     """Analogue index: date, unit vector, close, realised return and regime columns of labelled days."""
-    rows = _indexable(panel, features, label)
+    rows = indexable(panel, features, label)
     scaler = scaler if scaler is not None else fit_scaler(rows, features)
     keep = ["date", "gold_close", label, *[c for c in REGIME_COLUMNS if c in panel.columns]]
     return scaled_vector(rows, features, scaler, keep).withColumnRenamed(label, "target_logret")
