@@ -286,15 +286,36 @@ def ks_drift(spark, sf_dir):
     return rounded(out, {"d_stat": 6, "p_value": 6})
 
 
-@query("permutation_importance")
+IMPORTANCE = {"logret_1d": -0.3, "logret_5d": -0.2, "logret_20d": -0.1, "yz_20": 0.0}
+
+
+def _median_loss(entries: list[str]) -> str:
+    score = " + ".join(f"{w}e0 * {e}" for w, e in zip(IMPORTANCE.values(), entries))
+    return f"avg(0.5e0 * abs(y - ({score})))"
+
+
+@query("permutation_importance", with_views(["prices_d"], f"""{DAILY.strip()},
+x AS (SELECT concat(symbol, CAST(date AS VARCHAR)) AS id, {LABEL} AS y,
+  {", ".join(f"coalesce({f}, 0e0) AS {f}" for f in IMPORTANCE)} FROM daily WHERE {LABEL} IS NOT NULL),
+base AS (SELECT {_median_loss(list(IMPORTANCE))} + 1e-9 AS base FROM x),
+p AS (SELECT x.*, pair, [{", ".join(IMPORTANCE)}][pair // 5 + 1] AS chosen FROM x, range(0, {5 * len(IMPORTANCE)}) r(pair)),
+own AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY substring(md5(id), 1, 15), id) AS k FROM p),
+mix AS (SELECT pair, chosen AS mixed,
+  row_number() OVER (PARTITION BY pair ORDER BY substring(md5(concat('0|', pair, '|', id)), 1, 15), id) AS k FROM p),
+l AS (SELECT pair, {_median_loss([f"CASE WHEN pair // 5 = {i} THEN mixed ELSE {f} END" for i, f in enumerate(IMPORTANCE)])} AS loss
+  FROM own JOIN mix USING (pair, k) GROUP BY pair),
+r AS (SELECT [{", ".join(f"'{f}'" for f in IMPORTANCE)}][pair // 5 + 1] AS feature, avg(loss - base) AS delta_pinball, max(base) AS base
+  FROM l, base GROUP BY 1),
+s AS (SELECT feature, delta_pinball, delta_pinball / base AS relative FROM r)
+SELECT feature, {rounded_sql({"delta_pinball": 8, "relative": 6})} FROM s"""))
 def permutation_importance(spark, sf_dir):
     from tidemark.functions.numeric import d
 
     rows = daily(spark, sf_dir).where(F.col(LABEL).isNotNull()).withColumn(
         "row_id", F.concat("symbol", F.col("date").cast("string")))
-    weights = {"logret_1d": -0.3, "logret_5d": -0.2, "logret_20d": -0.1, "yz_20": 0.0}
-    score = lambda x: sum((d(w) * x[f] for f, w in weights.items()), d(0))
-    return drift.permutation_importance(rows, FEATURES, LABEL, score, "row_id")
+    score = lambda x: sum((d(w) * x[f] for f, w in IMPORTANCE.items()), d(0))
+    out = drift.permutation_importance(rows, FEATURES, LABEL, score, "row_id")
+    return rounded(out, {"delta_pinball": 8, "relative": 6})
 
 
 @query("promotion", with_views(["prices_d"], f"""{DAILY.strip()},

@@ -62,9 +62,9 @@ def ks_p_value(stat: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 
 def _hash_numbered(rows: DataFrame, key: Column) -> DataFrame:
-    """Number the rows of each pair in hash order, in chunks of the hash range."""
-    order = Order(("pair",), ("_h", "id"), F.shiftright("_h", 56))
-    return index_rows(rows.withColumn("_h", key), order, "k").drop("_h")
+    """Number the rows of each pair in the order of the key's MD5, in chunks of its range."""
+    order = Order(("pair",), ("_h", "id"), F.shiftright("_h", 48))
+    return index_rows(rows.withColumn("_h", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")), order, "k").drop("_h")
 
 
 def permutation_importance(df: DataFrame, features: list[str], y: str, score: Callable[[dict[str, Column]], Column],
@@ -84,8 +84,8 @@ def permutation_importance(df: DataFrame, features: list[str], y: str, score: Ca
     pair = F.explode(F.sequence(F.lit(0), F.lit(n_pairs - 1))).alias("pair")
     rows = df.select(F.col(row_id).alias("id"), F.col(y).alias("_y"), *[plain[f].alias(f) for f in features], pair)
     chosen = F.element_at(F.array(*[F.col(f) for f in features]), (F.floor(F.col("pair") / repeats) + 1).cast("int"))
-    own = _hash_numbered(rows, F.xxhash64("id"))
-    mixed = _hash_numbered(rows.select("pair", "id", chosen.alias("_mixed")), F.xxhash64(F.lit(seed), "pair", "id"))
+    own = _hash_numbered(rows, F.col("id").cast("string"))
+    mixed = _hash_numbered(rows.select("pair", "id", chosen.alias("_mixed")), F.concat_ws("|", F.lit(str(seed)), F.col("pair").cast("string"), F.col("id").cast("string")))
     mixed = mixed.select("pair", "_mixed", "k")
     both = own.join(mixed, ["pair", "k"])
     at = F.floor(F.col("pair") / repeats)
