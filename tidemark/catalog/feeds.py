@@ -231,6 +231,24 @@ def normalize_rejected(spark, sf_dir):
     return normalize.route(raw_events(spark, sf_dir))["rejected"].select("event_id", "type")
 
 
+@query("normalize_market_nulls", """
+SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 2e0 END AS mid,
+  CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 2 THEN 7e0 ELSE 0e0 END END AS volume FROM events""")
+def normalize_market_nulls(spark, sf_dir):
+    """Quotes whose middle is null or unreadable are rejected though both sides are known; a blank volume is zero."""
+    i = F.col("event_id")
+    mid = F.when(i % 4 == 0, "null").when(i % 4 == 2, '"n/a"').otherwise(F.col("value").cast("string"))
+    volume = F.when(i % 3 == 0, '""').when(i % 3 == 1, "null").otherwise("7")
+    raw = events(spark, sf_dir).select(
+        "event_id", seconds().alias("timestamp"), F.lit("market").alias("type"),
+        F.concat(F.lit('{"mid":'), mid, F.lit(',"bid":1.5,"ask":2.5,"volume":'), volume, F.lit("}")).alias("payload"),
+        F.lit("test").alias("source"), F.lit(1.0).alias("confidence"))
+    routed = normalize.route(raw)
+    none = F.lit(None).cast("double")
+    return routed["market"].select("event_id", "mid", "volume").unionByName(
+        routed["rejected"].select("event_id", none.alias("mid"), none.alias("volume")))
+
+
 @query("event_counts", """
 SELECT CASE event_type WHEN 'click' THEN 'market' WHEN 'view' THEN 'news' WHEN 'signup' THEN 'sentiment'
             WHEN 'purchase' THEN 'macro' ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY 1""")

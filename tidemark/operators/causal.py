@@ -97,10 +97,10 @@ def batch_weights(x: np.ndarray, y: np.ndarray, lag: int) -> np.ndarray:
 
 
 def granger_weights(pairs: DataFrame, order: Order, window: int = 120, base_lag: int = 3, refresh: int = 50,
-                    size: int = 1024, speed: str = "speed") -> DataFrame:
+                    size: int = 1024, cause: str = "cause") -> DataFrame:
     """Raw and smoothed weight per row of an edge's paired series.
 
-    `pairs` has the edge keys, order columns, x (cause), y (effect). Every row is one update on the last
+    `pairs` has the edge keys (of which `cause` decides the smoothing speed), order columns, x (cause), y (effect). Every row is one update on the last
     `window` pairs; the lag order is chosen anew at each multiple of `refresh`. Blocks carry the pairs
     both need, so edges and stretches of time run in parallel.
     """
@@ -135,12 +135,12 @@ def granger_weights(pairs: DataFrame, order: Order, window: int = 120, base_lag:
     raw = blocks.groupBy(*order.keys, BLOCK).applyInPandas(block, schema)
     # The first weight is that of row `need`, and none is missing after it.
     known = raw.where(~F.isnan("weight")).withColumn("rn", F.col("rn") - (need - 1))
-    return smooth_weights(known, order.keys).withColumn("rn", F.col("rn") + (need - 1))
+    return smooth_weights(known, order.keys, cause).withColumn("rn", F.col("rn") + (need - 1))
 
 
-def smooth_weights(weights: DataFrame, keys: tuple[str, ...], start: float = 0.5, size: int = 4096, halo: int = 700
-                   ) -> DataFrame:
-    """Exponential average of numbered weights per edge from 0.5, at the speed of its key `cause`."""
+def smooth_weights(weights: DataFrame, keys: tuple[str, ...], cause: str = "cause", start: float = 0.5, size: int = 4096,
+                   halo: int = 700) -> DataFrame:
+    """Exponential average of numbered weights per edge from 0.5, at the speed of its column `cause`."""
     blocked = with_blocks(weights, size, halo)
     x = F.col("weight")
 
@@ -150,5 +150,5 @@ def smooth_weights(weights: DataFrame, keys: tuple[str, ...], start: float = 0.5
     smoothed = average(0.10)
     for alpha in sorted(set(EDGE_SPEED.values()) - {0.10}):
         names = [c for c, speed in EDGE_SPEED.items() if speed == alpha]
-        smoothed = F.when(F.col("cause").isin(*names), average(alpha)).otherwise(smoothed)
+        smoothed = F.when(F.col(cause).isin(*names), average(alpha)).otherwise(smoothed)
     return own_rows(blocked.withColumn("smoothed", smoothed))

@@ -37,9 +37,9 @@ def text_or_empty(c: Column, width: int) -> Column:
     return F.substring(strip(F.coalesce(c, F.lit(""))), 1, width)
 
 
-def _number(c: Column, default: float) -> Column:
-    """Missing gives the default; present but unreadable gives null."""
-    return F.when(c.isNull(), d(default)).otherwise(c.try_cast("double"))
+def given(name: str) -> Column:
+    """Whether the payload has the field, be it null."""
+    return F.coalesce(F.array_contains(F.json_object_keys("payload"), name), F.lit(False))
 
 
 def parsed(raw: DataFrame, kind: str) -> DataFrame:
@@ -53,19 +53,22 @@ def parsed(raw: DataFrame, kind: str) -> DataFrame:
 
 
 def market(raw: DataFrame) -> DataFrame:
-    """Quotes: bid and ask default to mid; mid is recomputed from them; volume is at least zero."""
-    rows = parsed(raw, "market").withColumn("_mid", _number(F.col("p.mid"), 0))
+    """Quotes: bid and ask default to mid; mid is recomputed from them; volume is at least zero, and zero if blank.
 
-    def side(name: str) -> Column:
+    A price that is there but null or unreadable leaves the middle null, which rejects the row.
+    """
+    def price_of(name: str, default: Column) -> Column:
         value = F.col(f"p.{name}")
-        return F.when(value.isNull(), F.col("_mid")).otherwise(value.try_cast("double"))
+        return F.when(value.isNull() & ~given(name), default).otherwise(value.try_cast("double"))
 
-    rows = rows.withColumns({"_bid": side("bid"), "_ask": side("ask"), "_vol": _number(F.col("p.volume"), 0)})
+    rows = parsed(raw, "market").withColumn("_mid", price_of("mid", d(0)))
+    volume = F.coalesce(F.nullif(F.col("p.volume"), F.lit("")), F.lit("0")).try_cast("double")
+    rows = rows.withColumns({"_bid": price_of("bid", F.col("_mid")), "_ask": price_of("ask", F.col("_mid")), "_vol": volume})
     return rows.select(
         *_head(raw),
         F.coalesce(F.col("p.symbol"), F.lit("XAU/USD")).alias("symbol"),
         F.round("_bid", 5).alias("bid"), F.round("_ask", 5).alias("ask"),
-        F.round((F.col("_bid") + F.col("_ask")) / 2, 5).alias("mid"),
+        F.when(F.col("_mid").isNotNull(), F.round((F.col("_bid") + F.col("_ask")) / 2, 5)).alias("mid"),
         F.round(F.col("_ask") - F.col("_bid"), 5).alias("spread"),
         F.when(F.col("_vol").isNotNull(), F.greatest(F.col("_vol"), d(0))).alias("volume"),
         F.coalesce(F.col("p.exchange"), F.lit("")).alias("exchange"))
@@ -143,7 +146,10 @@ def is_good(raw: DataFrame) -> Column:
         ok = v.isNull() | v.try_cast(kind).isNotNull()
         return ok | (v == "") if blank_ok else ok
 
-    market_ok = reads("mid", "double") & reads("bid", "double") & reads("ask", "double") & reads("volume", "double")
+    def is_price(name: str) -> Column:
+        return reads(name, "double") & (field(name).isNotNull() | ~given(name))
+
+    market_ok = is_price("mid") & is_price("bid") & is_price("ask") & reads("volume", "double", True)
     sentiment_ok = reads("score", "long", True) & reads("likes", "long", True) & reads("retweets", "long", True)
     return F.coalesce(known & (
         F.when(F.col("type") == "market", market_ok).when(F.col("type") == "sentiment", sentiment_ok)
