@@ -30,8 +30,8 @@ SELECT doc_id, {rounded_sql({f"{n}_share": 6 for n in names})} FROM r"""
 
 
 def _emotions(spark, sf_dir, vocab):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    out = X.with_emotions(docs, "w", vocab).drop("w")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = X.with_emotions(docs, "text", vocab).drop("text")
     return rounded(out, {f"{n}_share": 6 for n in vocab})
 
 
@@ -142,7 +142,7 @@ def text_vector(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").withColumn("w", X.words(F.col("text")))
     emb = views.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("topic_embedding"))
-    moods = X.with_emotions(docs.select("doc_id", "w"), "w", LOCAL)
+    moods = X.with_emotions(docs.select("doc_id", "text", "w"), "text", LOCAL)
     rows = moods.select("doc_id", X.keyword_sentiment(F.col("w"), LOCAL_POS, LOCAL_NEG).alias("sentiment_score"),
                         F.array(*[F.col(f"{n}_share") for n in LOCAL]).alias("emotion_vector")).join(emb, "doc_id")
     out = rows.withColumn("v", vector()).select(

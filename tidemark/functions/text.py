@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +48,7 @@ def strip(c: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
 def keyword_sentiment(tokens: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
@@ -73,27 +78,50 @@ def contains_any(terms: list[str]) -> str:
     return pattern(root)
 
 
-def _matches(pattern: str):
-    return lambda w: w.rlike(pattern)
+#: Words that a worker remembers the vocabularies of, at most.
+MEMO = 1 << 18
 
 
-def with_emotions(df: DataFrame, tokens: str, vocab: dict[str, list[str]] = EMOTIONS,
-                  weights: dict[str, float] = EMOTION_WEIGHTS) -> DataFrame:
-    """Add `<emotion>_share` per vocabulary: the weighted share of words that contain one of its terms,
-    scaled so that the shares sum to one.
+def _word_counts(vocab: dict[str, list[str]]):
+    """A struct per text: how many words it has, and how many contain a term of each vocabulary.
 
-    The word lists are filtered inside generators, which Catalyst evaluates once per row; as plain
-    columns they would be repeated wherever a share is used.
+    Java's matcher tries every branch at every character, which took ten times as long as counting a text's words and
+    matching each distinct word once; hence an Arrow function.
     """
-    inside = {name: [t for t in terms if " " not in t] for name, terms in vocab.items()}  # a word holds no blank
-    # One pass finds the words with any term; the vocabularies then look at those only.
-    hot = F.filter(F.col(tokens), _matches(contains_any([t for terms in inside.values() for t in terms])))
-    out = df.select("*", F.explode(F.array(hot)).alias("_hot"))
-    counts = F.struct(*[F.size(F.filter("_hot", _matches(contains_any(terms)))).cast("double").alias(name)
-                        for name, terms in inside.items()])
-    out = out.select("*", F.explode(F.array(counts)).alias("_n")).drop("_hot")
-    n = F.size(tokens).cast("double") + 1e-8
-    scores = {name: F.col(f"_n.{name}") / n * weights.get(name, 1.0) for name in inside}
+    names = list(vocab)
+    patterns = [contains_any([t for t in terms if " " not in t]) for terms in vocab.values()]  # a word holds no blank
+    memo: dict[str, tuple[int, ...]] = {}
+
+    @F.pandas_udf(f"`_all` double, {', '.join(f'`{n}` double' for n in names)}")
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        match = [re.compile(p).search for p in patterns]
+        out = np.zeros((len(texts), len(names) + 1))
+        for i, text in enumerate(texts):
+            if text is None:
+                out[i] = np.nan
+                continue
+            tally = Counter(text.lower().split())
+            out[i, 0] = sum(tally.values())
+            if len(memo) > MEMO:
+                memo.clear()
+            for word, n in tally.items():
+                found = memo.get(word)
+                if found is None:
+                    found = memo[word] = tuple(j for j, m in enumerate(match, 1) if m(word))
+                for j in found:
+                    out[i, j] += n
+        return pd.DataFrame(out, columns=["_all", *names])
+
+    return counts
+
+
+def with_emotions(df: DataFrame, text: str, vocab: dict[str, list[str]] = EMOTIONS,
+                  weights: dict[str, float] = EMOTION_WEIGHTS) -> DataFrame:
+    """Add `<emotion>_share` per vocabulary: the weighted share of the words of column `text` that contain one of its
+    terms, scaled so that the shares sum to one. Null texts have null shares."""
+    out = df.withColumn("_n", _word_counts(vocab)(F.col(text).cast("string")))
+    n = F.nanvl("_n._all", F.lit(None).cast("double")) + 1e-8
+    scores = {name: F.col(f"_n.`{name}`") / n * weights.get(name, 1.0) for name in vocab}
     total = sum(scores.values(), d(0)) + 1e-8
     return out.withColumns({f"{name}_share": s / total for name, s in scores.items()}).drop("_n")
 
