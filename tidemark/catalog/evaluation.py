@@ -156,10 +156,36 @@ def backtest_by_regime(spark, sf_dir):
     return rounded(out, REGIME_DIGITS)
 
 
-@query("bootstrap_sharpe")
+def _mixed_sql(x: str) -> str:
+    """The integer hash of the resampling, over a column."""
+    once = lambda v: f"((xor({v} >> 16, {v}) * 73244475) & 4294967295)"
+    twice = once(once(x))
+    return f"xor({twice} >> 16, {twice})"
+
+
+BOOT_DIGITS = {"sharpe_med": 6, "sharpe_lo": 6, "sharpe_hi": 6}
+
+
+@query("bootstrap_sharpe", with_views(["prices_d"], f"""{TRADES.strip()},
+x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n
+  FROM trade),
+draw AS (SELECT draw, {_mixed_sql("draw")} AS key FROM range(0, 1000) r(draw)),
+spot AS (SELECT draw, pos, xor(key, pos) AS k FROM draw, range(0, (SELECT max(n) FROM x)) r(pos)),
+u AS (SELECT draw, pos, {_mixed_sql("k")} AS u FROM spot),
+w AS (SELECT draw, pos, u < 429496729 OR pos = 0 AS fresh, xor(u, 2654435769) AS v FROM u),
+st AS (SELECT draw, pos, CASE WHEN fresh THEN {_mixed_sql("v")} END AS start, CASE WHEN fresh THEN pos END AS begun FROM w),
+held AS (SELECT draw, pos, last_value(start IGNORE NULLS) OVER o AS start, last_value(begun IGNORE NULLS) OVER o AS begun
+  FROM st WINDOW o AS (PARTITION BY draw ORDER BY pos)),
+pick AS (SELECT c.symbol, draw, (start % n + held.pos - begun) % n AS pos FROM held
+  JOIN (SELECT symbol, max(n) AS n FROM x GROUP BY 1) c ON held.pos < c.n AND c.n >= 30),
+s AS (SELECT p.symbol, draw, CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(252e0) ELSE 0e0 END AS s
+  FROM pick p JOIN x USING (symbol, pos) GROUP BY ALL
+  UNION ALL SELECT symbol, 0, {SHARPE.format(p="252e0")} FROM x WHERE n < 30 GROUP BY 1),
+r AS (SELECT symbol, median(s) AS sharpe_med, quantile_cont(s, 0.025) AS sharpe_lo, quantile_cont(s, 0.975) AS sharpe_hi
+  FROM s GROUP BY 1)
+SELECT symbol, {rounded_sql(BOOT_DIGITS)} FROM r"""))
 def bootstrap_sharpe(spark, sf_dir):
-    return rounded(metrics.bootstrap_sharpe(trades(spark, sf_dir), "ret", "i", ["symbol"]),
-                   {"sharpe_med": 6, "sharpe_lo": 6, "sharpe_hi": 6})
+    return rounded(metrics.bootstrap_sharpe(trades(spark, sf_dir), "ret", "i", ["symbol"]), BOOT_DIGITS)
 
 
 FEATURES = ["logret_1d", "logret_5d", "logret_20d", "yz_20"]

@@ -15,37 +15,55 @@ from tidemark.operators.blocks import Order, ticks_order
 
 
 
-def _filter_sql(gains: list[float], start: float, value: str, clip: bool = False) -> str:
-    """The recursion itself, one step per row."""
-    g = f"[{', '.join(repr(x) + ('' if 'e' in repr(x) else 'e0') for x in gains)}]"
-    k = f"gain.g[least(s.i + 1, {len(gains)})]"
-    s = "greatest(0.1e0, least(0.99e0, s))" if clip else "s"
+# Written out here as well, so that the comparison doesn't rest on the module it checks.
+FACTORS_SQL = """(VALUES ('momentum_short', 0.30e0), ('market_microstructure', 0.28e0), ('volatility_state', 0.25e0),
+  ('sentiment', 0.22e0), ('mean_reversion', 0.20e0), ('risk_regime', 0.15e0), ('dollar_strength', 0.12e0),
+  ('yield_pressure', 0.10e0), ('liquidity', 0.10e0), ('inflation_pressure', 0.08e0), ('macro_shock', 0.08e0),
+  ('positioning_bias', 0.07e0), ('options_skew', 0.07e0), ('momentum_long', 0.07e0), ('geopolitical_risk', 0.05e0),
+  ('carry', 0.05e0))"""
+
+
+def filter_sql(source: str, q: str, r: str, p0: str, start: str, low: str = "0e0", high: str = "1e300", extra: str = "0e0",
+               columns: str = "") -> str:
+    """Filter recursion over `source` (symbol, ids, x and `columns`), one step per row, with the variance carried on."""
+    pred = f"(p + {q})"
+    gain = f"{pred} / ({pred} + {r} + {extra})"
+    carried = f"{columns}, " if columns else ""
+    names = [c.strip() for c in columns.split(",") if c.strip()]
+    step = lambda x: f"s + ({gain}) * ({x} - s) AS s, least(greatest((1 - {gain}) * {pred}, {low}), {high}) AS p"
     return f"""
-gain AS (SELECT {g} AS g),
-l AS (SELECT symbol, list({value} ORDER BY rn) AS x, list(event_id ORDER BY rn) AS ids FROM n GROUP BY symbol),
-step(symbol, i, event_id, s) AS (
-  SELECT symbol, 1, ids[1], {start}e0 + gain.g[1] * (x[1] - {start}e0) FROM l, gain
+step({carried}symbol, i, s, p) AS (
+  SELECT {carried}symbol, 1, {step("x[1]")} FROM (SELECT *, {start} AS s, {p0} AS p FROM {source})
   UNION ALL
-  SELECT s.symbol, s.i + 1, l.ids[s.i + 1], s.s + {k} * (l.x[s.i + 1] - s.s)
-  FROM step s JOIN l USING (symbol), gain WHERE s.i < len(l.x)),
-r AS (SELECT event_id, symbol, {s} AS value FROM step)
-SELECT event_id, symbol, {rounded_sql({"value": 6})} FROM r"""
+  SELECT {carried}symbol, i + 1, {step("v")} FROM (
+    SELECT {"".join(f"t.{c}, " for c in names)}t.symbol, t.i, t.s, t.p, l.x[t.i + 1] AS v
+    FROM step t JOIN l ON l.symbol = t.symbol WHERE t.i < len(l.x)))"""
 
 
-@query("kalman_confidence", with_views(["ticks"], NUMBERED.strip() + "," + _filter_sql(
-    scans.kalman_gains(0.001, 0.05, 0.1), 0.55, "volume / 97e0", True), recursive=True))
+@query("kalman_confidence", with_views(["ticks"], NUMBERED.strip() + f""",
+l AS (SELECT symbol, list(volume / 97e0 ORDER BY rn) AS x, list(event_id ORDER BY rn) AS ids FROM n GROUP BY symbol),
+{filter_sql("l", "0.001e0", "0.05e0", "0.1e0", "0.55e0")},
+r AS (SELECT ids[i] AS event_id, symbol, greatest(0.1e0, least(0.99e0, s)) AS value FROM step JOIN l USING (symbol))
+SELECT event_id, symbol, {rounded_sql({"value": 6})} FROM r""", recursive=True))
 def kalman_confidence(spark, sf_dir):
     t = T.valid_ticks(views.ticks(spark, sf_dir)).withColumn("obs", F.col("volume") / 97.0)
     out = scans.kalman_confidence(t, "obs", ticks_order()).withColumnRenamed("confidence", "value")
     return rounded(out.select("event_id", "symbol", "value"), {"value": 6})
 
 
-@query("kalman_factor", with_views(["ticks"], NUMBERED.strip() + "," + _filter_sql(
-    scans.factor_gains("carry"), 0.0, "tanh(mid / 1e2)"), recursive=True))
+@query("kalman_factor", with_views(["ticks"], NUMBERED.strip() + f""",
+l AS (SELECT symbol, list(tanh(mid / 1e2) ORDER BY rn) AS x, list(event_id ORDER BY rn) AS ids FROM n GROUP BY symbol),
+f AS (SELECT * FROM l, {FACTORS_SQL} v(factor, speed)),
+{filter_sql("f", "0.05e0 * speed", "(0.5e0 - 0.3e0 * speed)", "0.5e0", "0e0", "1e-4", "2e0", "1e-8", "factor, speed")},
+r AS (SELECT ids[i] AS event_id, symbol, factor, s AS value FROM step JOIN l USING (symbol))
+SELECT event_id, symbol, factor, {rounded_sql({"value": 6})} FROM r""", recursive=True))
 def kalman_factor(spark, sf_dir):
+    """All factors of one measurement, a row per tick and factor."""
     t = T.valid_ticks(views.ticks(spark, sf_dir)).withColumn("m", F.tanh(F.col("mid") / 100.0))
-    out = scans.kalman_factors(t, {"carry": "m"}, ticks_order()).withColumnRenamed("factor_carry", "value")
-    return rounded(out.select("event_id", "symbol", "value"), {"value": 6})
+    out = scans.kalman_factors(t, {f: "m" for f in scans.FACTOR_SPEED}, ticks_order())
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"factor_{f}").alias("value"))
+                               for f in scans.FACTOR_SPEED])).alias("f")
+    return rounded(out.select("event_id", "symbol", each).select("event_id", "symbol", "f.*"), {"value": 6})
 
 
 def returns(spark, sf_dir):

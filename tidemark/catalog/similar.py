@@ -85,14 +85,16 @@ def analogue_summary(spark, sf_dir):
     return rounded(S.outcome_summary(analogues(spark, sf_dir)), _SUMMARY)
 
 
+_ENTRIES = {f"v{i}": 6 for i in range(1, len(FEATURES) + 1)}
+
+
 @query("analogue_index", panel_sql(_scaled_ctes() + f""",
-r AS (SELECT date, v[1] AS v1, v[4] AS v4, v[10] AS v10 FROM idx)
-SELECT CAST(date AS VARCHAR) AS date, {rounded_sql({"v1": 6, "v4": 6, "v10": 6})} FROM r"""))
+r AS (SELECT date, {", ".join(f"v[{i}] AS v{i}" for i in range(1, len(FEATURES) + 1))} FROM idx)
+SELECT CAST(date AS VARCHAR) AS date, {rounded_sql(_ENTRIES)} FROM r"""))
 def analogue_index(spark, sf_dir):
     index = S.build_index(stored_panel(spark, sf_dir), FEATURES, "target_logret_20d")
-    out = index.select("date", F.get("vector", 0).alias("v1"), F.get("vector", 3).alias("v4"),
-                       F.get("vector", 9).alias("v10"))
-    return dated(rounded(out, {"v1": 6, "v4": 6, "v10": 6}))
+    out = index.select("date", *[F.get("vector", i).alias(name) for i, name in enumerate(_ENTRIES)])
+    return dated(rounded(out, _ENTRIES))
 
 
 @query("pattern_memory_rows", with_views(["ticks"], f"""

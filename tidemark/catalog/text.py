@@ -132,19 +132,26 @@ def statement_word_diff(spark, sf_dir):
     return statements.word_diff(body, "body", page_order()).select("page_id", "diff_prior")
 
 
-@query("text_vector", _sentiment_sql(LOCAL_POS, LOCAL_NEG).replace("SELECT doc_id, CASE", """SELECT doc_id,
-  CAST(1 + 4 + len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS v6, CASE""").replace(
-      "FROM r", "FROM r JOIN embeddings ON vec_id = doc_id"))
+_MOODS = ", ".join(f"{n}_share AS {n}" for n in LOCAL)
+
+
+@query("text_vector", f"""
+SELECT doc_id, CAST(5 + 64 AS INTEGER) AS width, sentiment, {_MOODS},
+  coalesce(round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * CAST(embedding[i] AS DOUBLE))), 5), 0e0) AS rest
+FROM ({_sentiment_sql(LOCAL_POS, LOCAL_NEG)}) s JOIN ({_emotion_sql(LOCAL)}) e USING (doc_id)
+LEFT JOIN embeddings ON vec_id = doc_id""")
 def text_vector(spark, sf_dir):
-    """Sentiment, emotions and a stored embedding per document."""
+    """Sentiment, emotions and a stored embedding (zeros if there is none) of every document, all entries compared."""
     from tidemark.operators.normalize import text_vector as vector
 
     docs = views.table(spark, sf_dir, "documents").withColumn("w", X.words(F.col("text")))
-    emb = views.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("topic_embedding"))
+    emb = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("e"))
     moods = X.with_emotions(docs.select("doc_id", "text", "w"), "text", LOCAL)
     rows = moods.select("doc_id", X.keyword_sentiment(F.col("w"), LOCAL_POS, LOCAL_NEG).alias("sentiment_score"),
-                        F.array(*[F.col(f"{n}_share") for n in LOCAL]).alias("emotion_vector")).join(emb, "doc_id")
+                        F.array(*[F.col(f"{n}_share") for n in LOCAL]).alias("emotion_vector")).join(emb, "doc_id", "left")
+    rows = rows.withColumn("topic_embedding", F.coalesce("e", F.array_repeat(F.lit(0.0).cast("float"), 64)))
+    rest = F.aggregate(F.transform(F.slice("v", 6, 64), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     out = rows.withColumn("v", vector()).select(
-        "doc_id", F.size("v").alias("width"), F.get("v", 0).alias("sentiment"), F.get("v", 5).alias("v6"))
-    return rounded(out, {"sentiment": 6, "v6": 6})
+        "doc_id", F.size("v").alias("width"), F.get("v", 0).alias("sentiment"),
+        *[F.get("v", i).alias(n) for i, n in enumerate(LOCAL, 1)], rest.alias("rest"))
+    return rounded(out, {"sentiment": 6, **{n: 6 for n in LOCAL}, "rest": 5})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +68,33 @@ def by_tertile(df: DataFrame, regime: str, ret: str, y: str, p: str, by: list[st
         F.avg(ret).alias("mean_r")).where(F.col("n") >= least)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Integers below 2^32 hashed by shifts and a multiplication, which any SQL engine can repeat."""
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & np.uint64(0xFFFFFFFF)
+    return (x >> np.uint64(16)) ^ x
+
+
+def resampled_rows(draws: np.ndarray, n: int, p: float, seed: int) -> np.ndarray:
+    """[draws, n] row numbers of stationary-bootstrap samples: a new block begins with probability p.
+
+    Numbers come from (seed, draw, position) alone, so a sample is the same wherever and with whatever it is drawn.
+    """
+    pos = np.arange(n, dtype=np.uint64)
+    key = mixed((np.uint64(seed % 4096 << 20) + draws.astype(np.uint64)) & np.uint64(0xFFFFFFFF))
+    u = mixed(key[:, None] ^ pos)
+    fresh = u < np.uint64(p * 2 ** 32)
+    fresh[:, 0] = True
+    starts = (mixed(u ^ np.uint64(0x9E3779B9)) % np.uint64(n)).astype(np.int64)
+    at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
+    return (np.take_along_axis(starts, at, 1) + np.arange(n) - at) % n
+
+
 def bootstrap_sharpe(df: DataFrame, ret: str, order: str, by: list[str] = (), n_boot: int = 1000, p: float = 0.1,
                      per_year: float = 252.0, seed: int = 0, batch: int = 50) -> DataFrame:
     """Stationary-bootstrap Sharpe ratio: median and 95 % interval per group.
 
-    A group's returns (one per day) travel as one array to each batch of resamples; the random stream
-    is keyed by (seed, batch), so results do not depend on partitioning. Under 30 rows: plain ratio.
+    A group's returns (one per day) travel as one array to each batch of resamples. Under 30 rows: plain ratio.
     """
     by = list(by)
     series = df.where(F.col(ret).isNotNull()).groupBy(*by).agg(
@@ -83,26 +105,16 @@ def bootstrap_sharpe(df: DataFrame, ret: str, order: str, by: list[str] = (), n_
     jobs = jobs.repartition(*by, "b")
 
     def resample(frames):
-        import numpy as np
-
         for pdf in frames:
             sharpes = []
             for r, b in zip(pdf["r"], pdf["b"]):
                 r = np.asarray(r, dtype=np.float64)
-                n = len(r)
-                if n < 30:
+                if len(r) < 30:
                     sd = r.std()
                     sharpes.append([float(r.mean() / sd * per_year ** 0.5) if sd >= 1e-12 else 0.0])
                     continue
-                size = min(batch, n_boot - int(b) * batch)
-                rng = np.random.default_rng([seed, int(b)])
-                fresh = rng.random((size, n)) < p
-                fresh[:, 0] = True
-                starts = rng.integers(0, n, (size, n))
-                pos = np.arange(n)
-                at = np.maximum.accumulate(np.where(fresh, pos, 0), axis=1)
-                idx = (np.take_along_axis(starts, at, 1) + pos - at) % n
-                sample = r[idx]
+                draws = np.arange(int(b) * batch, min(n_boot, (int(b) + 1) * batch))
+                sample = r[resampled_rows(draws, len(r), p, seed)]
                 sd = sample.std(axis=1)
                 ratio = np.where(sd > 1e-12, sample.mean(axis=1) / np.maximum(sd, 1e-300), 0.0)
                 sharpes.append((ratio * per_year ** 0.5).tolist())
