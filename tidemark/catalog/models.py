@@ -8,8 +8,11 @@ from tidemark import views
 from tidemark.catalog import query, rounded, rounded_sql, with_views
 from tidemark.catalog.daily import dated, panel_digits, panel_sql, stored_panel
 from tidemark.catalog.evaluation import DAILY, LABEL, daily
+from tidemark.catalog.scans import filter_sql
+from tidemark.functions.numeric import pinball
 from tidemark.functions.vectors import linear_score
-from tidemark.operators import scans
+from tidemark.operators import robust, scans
+from tidemark.operators.blocks import Order
 from tidemark.plans import dossier as D
 from tidemark.plans import news as N
 from tidemark.plans import training as M
@@ -68,6 +71,91 @@ def quantile_fit(spark, sf_dir):
                    {"logret_5d": 4, "logret_20d": 4, "intercept": 4})
 
 
+GROUPS = ["GC=F", "SLV", "DX-Y.NYB", "^VIX"]
+_GROUP = f"CASE WHEN symbol IN ({', '.join(repr(g) for g in GROUPS)}) THEN symbol ELSE '' END"
+
+
+@query("quantile_fit_loss", with_views(["prices_d"], f"""{DAILY.strip()},
+y AS (SELECT {_GROUP} AS g, {LABEL} AS y FROM daily WHERE {LABEL} IS NOT NULL),
+q AS (SELECT g, quantile_disc(y, 0.1) AS q10, quantile_disc(y, 0.25) AS q25, quantile_disc(y, 0.5) AS q50,
+  quantile_disc(y, 0.75) AS q75, quantile_disc(y, 0.9) AS q90 FROM y GROUP BY g),
+e AS (SELECT unnest([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0]) AS tau, unnest([y - q10, y - q25, y - q50, y - q75, y - q90]) AS e
+  FROM y JOIN q USING (g))
+SELECT tau, round(avg(greatest(tau * e, (tau - 1) * e)), 3) AS loss FROM e GROUP BY tau"""))
+def quantile_fit_loss(spark, sf_dir):
+    """A column per symbol group makes the best fit known: its loss is that of the groups' own quantiles."""
+    names = [f"g{i}" for i in range(len(GROUPS))]
+    rows = daily(spark, sf_dir).where(F.col(LABEL).isNotNull()).withColumns(
+        {n: (F.col("symbol") == g).cast("double") for n, g in zip(names, GROUPS)})
+    fit = M.fit_quantiles(rows, names, LABEL)
+    losses = F.array(*[F.struct(F.lit(float(t)).alias("tau"), pinball(
+        F.col(LABEL), linear_score(dict(zip(names, w.tolist())), float(w[-1])), t).alias("loss")) for t, w in fit.items()])
+    out = rows.select(F.explode(losses).alias("e")).groupBy("e.tau").agg(F.avg("e.loss").alias("loss"))
+    return rounded(out, {"loss": 3})
+
+
+GIVEN = ["logret_5d", "logret_20d", "yz_20"]
+_EACH = lambda template: ", ".join(template.format(c=c) for c in GIVEN)
+SCORES = {c: 6 for c in ("mu", "sigma", "q10", "q25", "q50", "q75", "q90", "confidence")}
+
+
+@query("forecast_given", with_views(["prices_d"], f"""{DAILY.strip()},
+w AS (SELECT {_EACH("quantile_cont(coalesce({c}, 0e0), 0.005) AS lo_{c}, quantile_cont(coalesce({c}, 0e0), 0.995) AS hi_{c}")} FROM daily),
+c AS (SELECT date, symbol, {_EACH("greatest(least(coalesce({c}, 0e0), greatest(hi_{c}, lo_{c} + 1e-6)), lo_{c}) AS {c}")} FROM daily, w),
+m AS (SELECT {_EACH("median({c}) AS m_{c}")} FROM c),
+s AS (SELECT {_EACH("1.4826e0 * median(abs({c} - m_{c})) AS s_{c}")} FROM c, m),
+z AS (SELECT date, symbol, {_EACH("greatest(-8e0, least(8e0, ({c} - m_{c}) / CASE WHEN s_{c} < 1e-8 THEN 1e0 ELSE s_{c} END)) AS {c}")}
+  FROM c, m, s),
+p AS (SELECT date, symbol, 0.001e0 + 0.004e0 * logret_5d - 0.003e0 * logret_20d + 0.5e0 * (0.002e0 * yz_20 - 0.001e0 * logret_5d) AS mu,
+  -7e0 + 0.3e0 * yz_20 AS log_var FROM z),
+g AS (SELECT *, greatest(1e-6, least(0.5e0, exp(0.5e0 * log_var))) AS sigma FROM p),
+r AS (SELECT date, symbol, mu, sigma, mu - 1.2e0 * 1.2816e0 * sigma AS q10, mu - 1.2e0 * 0.6745e0 * sigma AS q25, mu AS q50,
+  mu + 1.2e0 * 0.6745e0 * sigma AS q75, mu + 1.2e0 * 1.2816e0 * sigma AS q90,
+  greatest(0.05e0, least(0.99e0, exp(-0.5e0 * log_var))) AS confidence FROM g)
+SELECT CAST(date AS VARCHAR) AS date, symbol, {rounded_sql(SCORES)} FROM r"""))
+def forecast_given(spark, sf_dir):
+    """Scores of a forecaster whose weights are given instead of learned: scaling, parts, bands, confidence."""
+    from pyspark.ml.feature import SQLTransformer
+
+    rows = daily(spark, sf_dir).select("date", "symbol", *GIVEN)
+    winsor = robust.fit_winsor(rows, GIVEN)
+    scaler = robust.fit_scaler(robust.apply_winsor(rows, GIVEN, winsor), GIVEN)
+    part = lambda e: SQLTransformer(statement=f"SELECT *, {e} AS prediction FROM __THIS__")
+    model = M.Forecaster(GIVEN, {"logret_5d": 0.004, "logret_20d": -0.003}, 0.001, winsor, scaler,
+                         part("0.002D * yz_20 - 0.001D * logret_5d"), part("-7.0D + 0.3D * yz_20"), 0.5, 1.2)
+    return dated(rounded(model.score(rows, ("date", "symbol")).select("date", "symbol", *SCORES), SCORES))
+
+
+def error_rows(spark, sf_dir):
+    """Absolute errors of the naive forecast per symbol and day, with their context and regime."""
+    rows = daily(spark, sf_dir).where(F.col(LABEL).isNotNull()).select(
+        "symbol", "date", F.array("logret_1d", "logret_5d", "logret_20d", "yz_20").alias("context"),
+        F.when(F.abs("logret_20d") > 0.5, "TRENDING").otherwise("RANGING").alias("regime"),
+        F.abs(F.col(LABEL)).alias("abs_error"))
+    return rows.withColumn("context", F.transform("context", lambda x: F.coalesce(x, F.lit(0.0))))
+
+
+@query("error_model_given", with_views(["prices_d"], f"""{DAILY.strip()},
+e AS (SELECT symbol, date, abs({LABEL}) AS err, 0.01e0 + 0.5e0 * abs(coalesce(logret_5d, 0e0)) + 0.1e0 * coalesce(yz_20, 0e0) AS p
+  FROM daily WHERE {LABEL} IS NOT NULL),
+c AS (SELECT symbol, date, greatest(0.05e0, least(0.99e0, 1 / (1 + exp(p / greatest(sd, 1e-9) - 1.5e0)))) AS raw
+  FROM e, (SELECT stddev_samp(err) AS sd FROM e)),
+l AS (SELECT symbol, list(raw ORDER BY date) AS x, list(date ORDER BY date) AS ids FROM c GROUP BY symbol),
+{filter_sql("l", "0.001e0", "0.05e0", "0.1e0", "0.55e0")},
+r AS (SELECT symbol, CAST(ids[i] AS VARCHAR) AS date, x[i] AS raw_confidence, greatest(0.1e0, least(0.99e0, s)) AS confidence
+  FROM step JOIN l USING (symbol))
+SELECT symbol, date, {rounded_sql({"raw_confidence": 6, "confidence": 6})} FROM r""", recursive=True))
+def error_model_given(spark, sf_dir):
+    """Predicted errors by a given formula, turned into confidence and smoothed by the filter."""
+    from pyspark.ml.feature import SQLTransformer
+
+    rows = error_rows(spark, sf_dir)
+    model = SQLTransformer(statement="SELECT *, 0.01D + 0.5D * abs(context[1]) + 0.1D * context[3] AS prediction FROM __THIS__")
+    raw = M.raw_confidence(rows, model, rows.agg(F.stddev_samp("abs_error")).first()[0] or 1e-3)
+    out = scans.kalman_confidence(raw, "raw_confidence", Order(("symbol",), ("date",), F.year("date").cast("long")))
+    return dated(rounded(out.select("symbol", "date", "raw_confidence", "confidence"), {"raw_confidence": 6, "confidence": 6}))
+
+
 _MODEL: dict = {}
 
 
@@ -90,11 +178,7 @@ def forecast_scores(spark, sf_dir):
 @query("error_model_confidence")
 def error_model_confidence(spark, sf_dir):
     """Learn absolute errors of the naive forecast per symbol-day, then turn predictions into confidence."""
-    rows = daily(spark, sf_dir).where(F.col(LABEL).isNotNull()).select(
-        "symbol", "date", F.array("logret_1d", "logret_5d", "logret_20d", "yz_20").alias("context"),
-        F.when(F.abs("logret_20d") > 0.5, "TRENDING").otherwise("RANGING").alias("regime"),
-        F.abs(F.col(LABEL)).alias("abs_error"))
-    rows = rows.withColumn("context", F.transform("context", lambda x: F.coalesce(x, F.lit(0.0))))
+    rows = error_rows(spark, sf_dir)
     sample = M.replay_sample(rows, ["date", "symbol"])
     model = M.fit_error_model(sample)
     sd = rows.agg(F.stddev_samp("abs_error")).first()[0] or 1e-3

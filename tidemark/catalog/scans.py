@@ -168,20 +168,57 @@ def session_vwap_elapsed(spark, sf_dir):
     return rounded(out.select("event_id", "symbol", "vwap", "vwap_dev"), {"vwap": 6, "vwap_dev": 6})
 
 
-@query("granger")
-def granger(spark, sf_dir):
-    """Daily closes of three series against the target's, one edge each."""
+def edges(spark, sf_dir):
+    """Daily closes of the other four series against the target's, one edge each."""
     p = views.prices_d(spark, sf_dir)
     gold = p.where(F.col("symbol") == "GC=F").select("date", F.col("close").alias("y"))
-    name = F.create_map(*[F.lit(x) for x in ("DX-Y.NYB", "DXY", "^VIX", "VIX", "CL=F", "OIL")])[F.col("symbol")]
-    pairs = p.where(F.col("symbol").isin("DX-Y.NYB", "^VIX", "CL=F")).select("date", name.alias("cause"),
-                                                                             F.col("close").alias("x")).join(gold, "date")
+    name = F.create_map(*[F.lit(x) for x in ("DX-Y.NYB", "DXY", "^VIX", "VIX", "CL=F", "OIL", "SLV", "INFLATION")])[F.col("symbol")]
+    return p.withColumn("cause", name).where(F.col("cause").isNotNull()).select(
+        "date", "cause", F.col("close").alias("x")).join(gold, "date")
+
+
+def _weights(spark, sf_dir, **options):
     order = Order(("cause",), ("date",), F.year("date").cast("long"))
-    out = causal.granger_weights(pairs, order, size=256)
+    out = causal.granger_weights(edges(spark, sf_dir), order, size=256, **options)
     return rounded(out.select("cause", F.col("date").cast("string").alias("date"), "weight", "smoothed"),
                    {"weight": 6, "smoothed": 6})
 
 
+@query("granger")
+def granger(spark, sf_dir):
+    return _weights(spark, sf_dir)
+
+
+@query("granger_one_lag", with_views(["prices_d"], f"""
+c AS (SELECT CASE x.symbol WHEN 'DX-Y.NYB' THEN 'DXY' WHEN '^VIX' THEN 'VIX' WHEN 'CL=F' THEN 'OIL'
+    ELSE 'INFLATION' END AS cause, x.date, x.close AS x, y.close AS y
+  FROM prices_d x JOIN prices_d y ON y.date = x.date AND y.symbol = 'GC=F' WHERE x.symbol <> 'GC=F'),
+n AS (SELECT *, row_number() OVER w AS rn, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM c WINDOW w AS (PARTITION BY cause ORDER BY date)),
+z AS (SELECT *, lag(dx) OVER w AS dx1, lag(dy) OVER w AS dy1 FROM n WINDOW w AS (PARTITION BY cause ORDER BY rn)),
+m AS (SELECT cause, date, rn, avg(dy) OVER w AS my, avg(dy1) OVER w AS m1, avg(dx1) OVER w AS m2,
+    covar_pop(dy, dy1) OVER w AS c01, covar_pop(dy, dx1) OVER w AS c02, covar_pop(dy1, dx1) OVER w AS c12,
+    var_pop(dy1) OVER w AS v1, var_pop(dx1) OVER w AS v2, count(*) OVER w AS t
+  FROM z WHERE dy1 IS NOT NULL WINDOW w AS (PARTITION BY cause ORDER BY rn ROWS 117 PRECEDING)),
+b AS (SELECT *, (c01 * v2 - c02 * c12) / (v1 * v2 - c12 * c12) AS b1, (c02 * v1 - c01 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m
+  WHERE rn >= 18),
+e AS (SELECT b.cause, b.rn, t, power(z.dy - my - c01 / v1 * (z.dy1 - m1), 2) AS own, power(z.dy - my - b1 * (z.dy1 - m1) - b2 * (z.dx1 - m2), 2) AS full_
+  FROM b JOIN z ON z.cause = b.cause AND z.rn BETWEEN greatest(b.rn - 117, 3) AND b.rn),
+g AS (SELECT cause, rn, sum(own) AS ro, sum(full_) AS rb, (sum(own) - sum(full_)) / (sum(full_) / greatest(max(t) - 3, 1)) AS f,
+  corr(own, full_) AS r, stddev_pop(own) AS so, stddev_pop(full_) AS sb FROM e GROUP BY ALL),
+wt AS (SELECT cause, rn, CASE WHEN least(ro, rb) < 1e-12 OR NOT f > 0 THEN 0.5e0 ELSE least(1e0, 1 / (1 + exp(2 - f))
+  + CASE WHEN so > 1e-8 AND sb > 1e-8 THEN greatest(0e0, abs(r) - 0.3e0) * 0.2e0 ELSE 0e0 END) END AS weight FROM g),
+l AS (SELECT cause, list(weight ORDER BY rn) AS w, CASE cause WHEN 'DXY' THEN 0.12e0 WHEN 'VIX' THEN 0.18e0 WHEN 'OIL' THEN 0.1e0 ELSE 0.06e0 END AS speed
+  FROM wt GROUP BY cause),
+step(cause, i, s) AS (SELECT cause, 1, 0.5e0 + speed * (w[1] - 0.5e0) FROM l
+  UNION ALL SELECT t.cause, t.i + 1, t.s + speed * (w[t.i + 1] - t.s) FROM step t JOIN l USING (cause) WHERE t.i < len(w)),
+r AS (SELECT wt.cause, CAST(n.date AS VARCHAR) AS date, weight, s AS smoothed FROM wt JOIN n USING (cause, rn)
+  JOIN step ON step.cause = wt.cause AND step.i = wt.rn - 17)
+SELECT cause, date, {rounded_sql({"weight": 6, "smoothed": 6})} FROM r""", recursive=True))
+def granger_one_lag(spark, sf_dir):
+    """The same edges with one lag, whose regressions SQL can state."""
+    return _weights(spark, sf_dir, longest=1)
+
+
 @query("lagged_return_row", with_views(["ticks"], NUMBERED.strip() + f""",
 x AS (SELECT event_id, symbol, rn, ln(mid / prev) / 1e2 AS lr FROM n),
 b AS (SELECT event_id, symbol, rn, list(greatest(-0.05e0, least(0.05e0, lr))) FILTER (lr IS NOT NULL)

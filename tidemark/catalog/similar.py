@@ -85,16 +85,16 @@ def analogue_summary(spark, sf_dir):
     return rounded(S.outcome_summary(analogues(spark, sf_dir)), _SUMMARY)
 
 
-_ENTRIES = {f"v{i}": 6 for i in range(1, len(FEATURES) + 1)}
+ENTRIES = {f"v{i}": 6 for i in range(1, len(FEATURES) + 1)}
 
 
 @query("analogue_index", panel_sql(_scaled_ctes() + f""",
 r AS (SELECT date, {", ".join(f"v[{i}] AS v{i}" for i in range(1, len(FEATURES) + 1))} FROM idx)
-SELECT CAST(date AS VARCHAR) AS date, {rounded_sql(_ENTRIES)} FROM r"""))
+SELECT CAST(date AS VARCHAR) AS date, {rounded_sql(ENTRIES)} FROM r"""))
 def analogue_index(spark, sf_dir):
     index = S.build_index(stored_panel(spark, sf_dir), FEATURES, "target_logret_20d")
-    out = index.select("date", *[F.get("vector", i).alias(name) for i, name in enumerate(_ENTRIES)])
-    return dated(rounded(out, _ENTRIES))
+    out = index.select("date", *[F.get("vector", i).alias(name) for i, name in enumerate(ENTRIES)])
+    return dated(rounded(out, ENTRIES))
 
 
 @query("pattern_memory_rows", with_views(["ticks"], f"""

@@ -55,8 +55,8 @@ def analogue_index_stored(spark, sf_dir):
     index, scaler = S.read_index(spark, path)
     again = S.build_index(panel, similar.FEATURES, "target_logret_20d", scaler).select("date", F.col("vector").alias("again"))
     same = index.join(again, "date").where(F.forall(F.zip_with("vector", "again", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x))
-    out = same.select("date", *[F.get("vector", i - 1).alias(f"v{i}") for i in (1, 4, 10)])
-    return dated(rounded(out, {"v1": 6, "v4": 6, "v10": 6}))
+    out = same.select("date", *[F.get("vector", i).alias(name) for i, name in enumerate(similar.ENTRIES)])
+    return dated(rounded(out, similar.ENTRIES))
 
 
 QUANTILES = {"q10": -1.25, "q25": -0.5, "q50": 0.0, "q75": 0.5, "q90": 1.25}

@@ -97,12 +97,12 @@ def batch_weights(x: np.ndarray, y: np.ndarray, lag: int) -> np.ndarray:
 
 
 def granger_weights(pairs: DataFrame, order: Order, window: int = 120, base_lag: int = 3, refresh: int = 50,
-                    size: int = 1024, cause: str = "cause") -> DataFrame:
+                    size: int = 1024, cause: str = "cause", longest: int = 6) -> DataFrame:
     """Raw and smoothed weight per row of an edge's paired series.
 
-    `pairs` has the edge keys (of which `cause` decides the smoothing speed), order columns, x (cause), y (effect). Every row is one update on the last
-    `window` pairs; the lag order is chosen anew at each multiple of `refresh`. Blocks carry the pairs
-    both need, so edges and stretches of time run in parallel.
+    `pairs` has the edge keys (of which `cause` decides the smoothing speed), order columns, x (cause), y (effect). Every
+    row is one update on the last `window` pairs; the lag order, up to `longest`, is chosen anew at each multiple of
+    `refresh`. Blocks carry the pairs both need, so edges and stretches of time run in parallel.
     """
     need = base_lag + 15
     numbered = index_rows(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()), order)
@@ -122,7 +122,7 @@ def granger_weights(pairs: DataFrame, order: Order, window: int = 120, base_lag:
         for at in np.unique(chosen[own]):
             rows = np.flatnonzero(own & (chosen == at))
             first = tail(rows[0] - int(rn[rows[0]] - at))
-            lag = best_lag(x[first], y[first])
+            lag = best_lag(x[first], y[first], longest)
             full = rows[rows >= window - 1]
             if len(full):
                 take = full[:, None] + np.arange(1 - window, 1)
