@@ -186,21 +186,61 @@ def error_model_confidence(spark, sf_dir):
     return dated(out.select("symbol", "date", "predicted_error", "raw_confidence"))
 
 
-@query("dossier")
-def dossier(spark, sf_dir):
+def _dossier(spark, sf_dir, past, regime=None):
     from tidemark.catalog.news import outcomes, predictions
-    from tidemark.catalog.similar import ASOF, FEATURES
+    from tidemark.catalog.similar import ASOF
     from tidemark.plans.settle import recent_skill
 
-    p = stored_panel(spark, sf_dir)
     features = views.news_features(spark, sf_dir).withColumn("event_type", F.lit(None).cast("string"))
     top = N.top_headlines(views.news(spark, sf_dir), features, day="2024-01-02")
     skill = recent_skill(predictions(spark, sf_dir), outcomes(spark, sf_dir), 20, "1996-01-01")
-    past = analogues_of(p, FEATURES, "target_logret_20d", ASOF, k=8)
-    out = D.dossier_text(D.build_dossier(latest_panel_row(p, ASOF), top, past, skill))
+    return D.build_dossier(latest_panel_row(stored_panel(spark, sf_dir), ASOF), top, past, skill, regime=regime)
+
+
+@query("dossier")
+def dossier(spark, sf_dir):
+    from tidemark.catalog.similar import ASOF, FEATURES
+
+    past = analogues_of(stored_panel(spark, sf_dir), FEATURES, "target_logret_20d", ASOF, k=8)
+    out = D.dossier_text(_dossier(spark, sf_dir, past))
     return out.select(F.col("date").cast("string").alias("date"), "gold_close", "text")
 
 
+def _dossier_sql() -> str:
+    from tidemark.catalog.news import PREDICTIONS, SPLIT
+    from tidemark.catalog.similar import ASOF, scaled_ctes
+
+    return panel_sql(scaled_ctes() + f""",{PREDICTIONS},
+hl AS (SELECT title, gold_impact, confidence, row_number() OVER (ORDER BY confidence * abs(gold_impact) DESC NULLS LAST, n.id) AS k
+  FROM news n JOIN news_features f ON n.id = f.news_id WHERE CAST(n.ts AS DATE) = DATE '2024-01-02'),
+tn AS (SELECT coalesce(string_agg(printf('  - [?] impact=%+.2f conf=%.2f: %s', gold_impact, confidence, title[1:140]), chr(10)
+  ORDER BY k), '') AS top_news FROM hl WHERE k <= 8),
+best AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, date) AS k FROM hits),
+pa AS (SELECT coalesce(string_agg(printf('  - %s sim=%.2f → realised log-ret over horizon = %+.4f', CAST(date AS VARCHAR), similarity,
+  target_logret), chr(10) ORDER BY k), '') AS analogues FROM best WHERE k <= 5),
+sk AS (SELECT count(*) AS n, round(avg(CASE WHEN sign(realised_logret) = sign(q50) THEN 1 ELSE 0 END), 3) AS hit_rate,
+  round(avg(pinball_loss), 5) AS mean_pinball_q50 FROM scored
+  WHERE pred_date < DATE '{SPLIT}' AND settle_date + INTERVAL 16 HOUR >= TIMESTAMP '1996-01-01'),
+last AS (SELECT * FROM panel WHERE date <= DATE '{ASOF}' ORDER BY date DESC LIMIT 1)
+SELECT CAST(date AS VARCHAR) AS date, {rounded_sql({c: 4 for c in D.SNAPSHOT})}, 'RANGING' AS regime, top_news, analogues, n, hit_rate,
+  mean_pinball_q50 FROM last, tn, pa, sk""")
+
+
+@query("dossier_parts", _dossier_sql())
+def dossier_parts(spark, sf_dir):
+    """The dossier's numbers, and the headlines and similar days as its text prints them."""
+    from tidemark.catalog.similar import ASOF, FEATURES
+
+    out = D.dossier_text(_dossier(spark, sf_dir, analogues_of(stored_panel(spark, sf_dir), FEATURES, "target_logret_20d", ASOF),
+                                  scans.REGIMES[3]))
+    part = lambda a, b: F.regexp_extract("text", f"(?s){a}\n(.*?)\n\n{b}", 1)
+    return rounded(out.select(
+        F.col("date").cast("string").alias("date"), *D.SNAPSHOT, F.regexp_extract("text", "REGIME: (.*)", 1).alias("regime"),
+        part("TOP_NEWS_TODAY:", "HISTORICAL").alias("top_news"),
+        part(r"HISTORICAL_ANALOGUES \(top-k similar regimes\):", "RECENT").alias("analogues"), "recent_skill.*"),
+        {c: 4 for c in D.SNAPSHOT})
+
+
 @query("thesis_rows", """
 SELECT CAST(page_id AS VARCHAR) AS page, md5(url) AS thesis, CAST(page_id % 101 AS DOUBLE) / 1e2 AS confidence,
   concat('{"direction":"up","horizon_days":', page_id % 60, '}') AS predictions, '["a","b"]' AS falsifiable FROM pages""")

@@ -40,7 +40,7 @@ def memory_topk(spark, sf_dir):
     return rounded(out, {"similarity": 6})
 
 
-def _scaled_ctes() -> str:
+def scaled_ctes() -> str:
     med = ", ".join(f"median(coalesce({c}, 0e0)) AS m_{c}" for c in FEATURES)
     mad = ", ".join(f"1.4826e0 * median(abs(coalesce({c}, 0e0) - m_{c})) AS d_{c}" for c in FEATURES)
     scaled = ", ".join(
@@ -66,7 +66,7 @@ def analogues(spark, sf_dir):
     return analogues_of(stored_panel(spark, sf_dir), FEATURES, "target_logret_20d", ASOF, k=10)
 
 
-@query("analogue_topk", panel_sql(_scaled_ctes() + f"""
+@query("analogue_topk", panel_sql(scaled_ctes() + f"""
 SELECT CAST(date AS VARCHAR) AS date, gold_close, {rounded_sql({"target_logret": 6, "similarity": 6})} FROM hits"""))
 def analogue_topk(spark, sf_dir):
     out = analogues(spark, sf_dir).select("date", "gold_close", "target_logret", "similarity")
@@ -76,7 +76,7 @@ def analogue_topk(spark, sf_dir):
 _SUMMARY = {c: 6 for c in ("mean", "median", "std", "p_up", "q10", "q90", "avg_sim")}
 
 
-@query("analogue_summary", panel_sql(_scaled_ctes() + f""",
+@query("analogue_summary", panel_sql(scaled_ctes() + f""",
 r AS (SELECT count(*) AS n, avg(target_logret) AS mean, median(target_logret) AS median, stddev_pop(target_logret) AS std,
   avg(CASE WHEN target_logret > 0 THEN 1 ELSE 0 END) AS p_up, quantile_cont(target_logret, 0.1) AS q10,
   quantile_cont(target_logret, 0.9) AS q90, avg(similarity) AS avg_sim FROM hits)
@@ -88,7 +88,7 @@ def analogue_summary(spark, sf_dir):
 ENTRIES = {f"v{i}": 6 for i in range(1, len(FEATURES) + 1)}
 
 
-@query("analogue_index", panel_sql(_scaled_ctes() + f""",
+@query("analogue_index", panel_sql(scaled_ctes() + f""",
 r AS (SELECT date, {", ".join(f"v[{i}] AS v{i}" for i in range(1, len(FEATURES) + 1))} FROM idx)
 SELECT CAST(date AS VARCHAR) AS date, {rounded_sql(ENTRIES)} FROM r"""))
 def analogue_index(spark, sf_dir):
