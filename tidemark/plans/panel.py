@@ -17,6 +17,7 @@ from tidemark.functions.numeric import SQRT_YEAR, clip, d, ratio, safe_log
 from tidemark.operators.align import calendar_align
 from tidemark.operators.blocks import spread
 from tidemark.operators.robust import robust_z, rolling_mean, rolling_median
+from tidemark.session import write_through
 
 # Symbol -> column prefix.
 ASSETS = {"DX-Y.NYB": "dxy", "^VIX": "vix", "^GSPC": "spx", "SLV": "slv", "CL=F": "wti", "HG=F": "copper",
@@ -157,14 +158,17 @@ def build_panel(prices: DataFrame, macro: DataFrame, cot: DataFrame, flows: Data
 
     calendar: 'target' uses the target's trading days, 'union' every date in the price table.
     align: 'asof' moves off-calendar observations to the next calendar day, 'exact' drops them.
+
+    Prices and calendar, which every block reads, are written to the shared folder once instead of being aggregated
+    again for each.
     """
     since: list[Column] = [F.lit(start).cast("date")] if start else []
 
     def cut(df: DataFrame, at: str = "date") -> DataFrame:
         return df.where(F.col(at) >= since[0]) if since else df
 
-    prices = cut(prices)
-    dates = calendar_of(prices, target, calendar)
+    prices = write_through(cut(prices).select("date", "symbol", "open", "high", "low", "close"), "panel-prices")
+    dates = write_through(calendar_of(prices, target, calendar), "panel-calendar")
     blocks = [
         price_block(prices, dates, target, horizons),
         volatility_block(prices, dates, target, align),
