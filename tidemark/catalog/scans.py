@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.catalog import query, rounded, rounded_sql, with_views
+from tidemark.catalog import ORACLES, query, rounded, rounded_sql, with_views
 from tidemark.catalog.ticks import NUMBERED
 from tidemark.functions.numeric import d
 from tidemark.operators import calibrate, causal, scans
@@ -45,9 +45,9 @@ l AS (SELECT symbol, list(volume / 97e0 ORDER BY rn) AS x, list(event_id ORDER B
 {filter_sql("l", "0.001e0", "0.05e0", "0.1e0", "0.55e0")},
 r AS (SELECT ids[i] AS event_id, symbol, greatest(0.1e0, least(0.99e0, s)) AS value FROM step JOIN l USING (symbol))
 SELECT event_id, symbol, {rounded_sql({"value": 6})} FROM r""", recursive=True))
-def kalman_confidence(spark, sf_dir):
+def kalman_confidence(spark, sf_dir, **size):
     t = T.valid_ticks(views.ticks(spark, sf_dir)).withColumn("obs", F.col("volume") / 97.0)
-    out = scans.kalman_confidence(t, "obs", ticks_order()).withColumnRenamed("confidence", "value")
+    out = scans.kalman_confidence(t, "obs", ticks_order(), **size).withColumnRenamed("confidence", "value")
     return rounded(out.select("event_id", "symbol", "value"), {"value": 6})
 
 
@@ -86,9 +86,9 @@ step(symbol, i, w, a, b, s2, r2) AS (
 r AS (SELECT l.ids[i] AS event_id, symbol, sqrt(greatest(s2, 1e-12)) AS sigma, w AS omega, a AS alpha, b AS beta
       FROM step JOIN l USING (symbol))
 SELECT event_id, symbol, {rounded_sql({"sigma": 6, "omega": 6, "alpha": 6, "beta": 6})} FROM r""", recursive=True))
-def garch(spark, sf_dir):
+def garch(spark, sf_dir, **size):
     out = scans.carried_scan(returns(spark, sf_dir).select("event_id", "symbol", "rn", "log_ret"), scans.garch_scan(),
-                             ticks_order())
+                             ticks_order(), **size)
     digits = {"sigma": 6, "omega": 6, "alpha": 6, "beta": 6}
     return rounded(out.select("event_id", "symbol", *digits), digits)
 
@@ -128,10 +128,10 @@ SELECT event_id, symbol, regime, {rounded_sql({"regime_confidence": 6})} FROM r"
 
 
 @query("regime_sticky", with_views(["ticks"], NUMBERED.strip() + _regime_sql(), recursive=True))
-def regime_sticky(spark, sf_dir):
+def regime_sticky(spark, sf_dir, **size):
     t = T.numbered_ticks(views.ticks(spark, sf_dir))
     rows = t.select("event_id", "symbol", "rn", *[F.expr(e).alias(c) for c, e in FACTORS.items()])
-    out = scans.with_regime(scans.carried_scan(rows, scans.regime_scan(), ticks_order()))
+    out = scans.with_regime(scans.carried_scan(rows, scans.regime_scan(), ticks_order(), **size))
     return rounded(out.select("event_id", "symbol", "regime", "regime_confidence"), {"regime_confidence": 6})
 
 
@@ -161,10 +161,10 @@ step(symbol, i, start, pv, vv) AS (
 r AS (SELECT l.ids[i] AS event_id, symbol, pv / vv AS vwap,
         greatest(-1e0, least(1e0, (l.x[i] - pv / vv) / (pv / vv + 1e-8))) AS vwap_dev FROM step JOIN l USING (symbol))
 SELECT event_id, symbol, {rounded_sql({"vwap": 6, "vwap_dev": 6})} FROM r""", recursive=True))
-def session_vwap_elapsed(spark, sf_dir):
+def session_vwap_elapsed(spark, sf_dir, **size):
     t = T.numbered_ticks(views.ticks(spark, sf_dir)).select(
         "event_id", "symbol", "rn", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), "mid", "volume")
-    out = scans.carried_scan(t, scans.session_scan(), ticks_order())
+    out = scans.carried_scan(t, scans.session_scan(), ticks_order(), **size)
     return rounded(out.select("event_id", "symbol", "vwap", "vwap_dev"), {"vwap": 6, "vwap_dev": 6})
 
 
@@ -295,3 +295,25 @@ def modality_errors(spark, sf_dir):
     rows = t.select("event_id", "realised_5", "spread", "volume")
     out = scans.modality_errors(rows, {"market": "spread", "macro": "volume"}, "realised_5")
     return rounded(out.select("event_id", "modality", "attributed_error"), {"attributed_error": 6})
+
+
+# Blocks far smaller than the default, so that small data cross their seams too.
+
+@query("garch_small_blocks", ORACLES["garch"])
+def garch_small_blocks(spark, sf_dir):
+    return garch(spark, sf_dir, size=256, warmup=128)
+
+
+@query("regime_sticky_small_blocks", ORACLES["regime_sticky"])
+def regime_sticky_small_blocks(spark, sf_dir):
+    return regime_sticky(spark, sf_dir, size=512)
+
+
+@query("session_vwap_small_blocks", ORACLES["session_vwap_elapsed"])
+def session_vwap_small_blocks(spark, sf_dir):
+    return session_vwap_elapsed(spark, sf_dir, size=256, warmup=128)
+
+
+@query("kalman_confidence_small_blocks", ORACLES["kalman_confidence"])
+def kalman_confidence_small_blocks(spark, sf_dir):
+    return kalman_confidence(spark, sf_dir, size=256)
