@@ -100,7 +100,8 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -
     A template is a line whose tokens with digits are fields; from LEAST_VARYING tokens on, one of RUNS runs of tokens
     behind the leading ones may vary too, if LEAST_DOCS_VARYING documents share the rest. The document of the smallest
     doc_id keeps its first line of each template, so no content is lost altogether; every other line of the template
-    goes. Rows that share a doc_id count as one document for that, rows without doc_id as the last one. Lines below
+    goes. Rows that share a doc_id count one each towards LEAST_DOCS and keep their lines from one another; so do rows
+    without doc_id, which come last. Lines below
     LEAST_TOKENS tokens always stay, so do null texts; other columns are passed through.
     """
     keys = line_keys(docs)
