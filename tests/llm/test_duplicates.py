@@ -203,3 +203,18 @@ def test_clashing_names(frame):
     assert [r.text for r in rows] == ["a b c d e f", ""] and rows[0].id == rows[1].text_hash == "mine"
     found = neardup.one_of_each(docs.withColumn("component_id", F.lit("mine")))
     assert found.count() == 1 and "component_id" in found.columns
+
+
+def test_short_and_varied_lines_go(frame):
+    rest = " ".join(f"t{chr(97 + i)}" for i in range(14))
+    first, last = " ".join(rest.split()[1:]), " ".join(rest.split()[:-1])
+    pairs = [("All rights reserved.", "All rights reserved."), ("版权所有不得转载", "版权所有不得转载"),
+             ("本站内容由用户上传仅供学习参考", "本站内容由作者上传仅供学习参考"), ("one two three four five", "one two other four five"),
+             (rest, "changed " + first), (rest, rest.replace("tb", "x").replace("tm", "y")), (rest, "added " + rest),
+             (rest, last), (rest, rest.replace("tg", "tg added"))]
+    for a, b in pairs:
+        got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, "own words\n" + b)])).collect()}
+        assert got == {1: a, 2: "own words"}, b
+    for a, b in [("12 34", "12 35"), ("red apples", "green apples"), ("1 2 3 4 5 6 a b c d", "1 2 3 4 5 6 w x y z")]:
+        got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, b)])).collect()}
+        assert got == {1: a, 2: b}, b

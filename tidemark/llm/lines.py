@@ -4,81 +4,142 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import texts_of
 
-#: Leading tokens that, with the number of tokens, lead to a leaf of the tree.
-DEPTH = 3
-#: Lines with fewer tokens are too short to tell a template from chance.
+#: Lines with fewer tokens have nothing that may vary; if all their tokens are fields, they are their own template.
 LEAST_TOKENS = 5
-#: Within a leaf the other tokens fall into so many runs, of which one may vary.
-RUNS = 3
-#: Lines with fewer tokens have no run that may vary.
-LEAST_VARYING = 12
-#: Documents in which a template recurs: as it is, and with a run that varies.
-LEAST_DOCS, LEAST_DOCS_VARYING = 2, 3
+#: From so many tokens on two places may vary at once.
+LEAST_TWO = 10
+#: Runs that the tokens fall into; one or two of them may vary.
+RUNS = 5
+#: What stays of the runs when two vary.
+LEFT = list(combinations(range(RUNS), RUNS - 2))
+#: Runs of which one may vary with a token added or missing, from LEAST_TWO tokens on.
+WIDE_RUNS = 3
+#: Documents in which a template recurs: as it is, and with runs that vary.
+LEAST_DOCS, LEAST_DOCS_VARYING = 2, 2
 DIGIT = re.compile(r"\d")
+#: Scripts written without spaces (Thai to Burmese, Khmer, kana, Han): each character is a token.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                      "\U00020000-\U0003ffff])")
+FIELD = "<*>"
+#: Bits of the map of templates that repeat (16 MB), and bytes of each part of it that Spark's bitmap functions make.
+PLACES, PART_BYTES = 1 << 27, 4096
 KEY_SCHEMA = "id long, text_hash long, line int, first int, h1 long, h2 long, varying int"
 NO_ID = (1 << 63) - 1
 
 
+def cut(n: int, runs: int) -> list[int]:
+    return [n * i // runs for i in range(runs + 1)]
+
+
 def templates(line: str) -> list[bytes]:
-    """The template of a line (tokens with digits are fields), then the templates in which one run of tokens varies.
+    """The template of a line (tokens with digits are fields), then the templates in which one or two runs vary.
 
-    Each begins with its path in the tree: the number of tokens and the leading tokens.
+    Runs that vary are left out, the others stand for themselves; what stays must hold a token that is no field. Where
+    one run varies, the line is also cut as if it had a token less, so it meets lines that lack one of the run.
     """
-    tokens = line.split()
-    if DIGIT.search(line):
-        tokens = ["<*>" if DIGIT.search(t) else t for t in tokens]
+    tokens = (line if line.isascii() else UNSPACED.sub(r" \1 ", line)).split()
     n = len(tokens)
-    if n < LEAST_TOKENS:
+    if not n:
         return []
-    path = f"{n}\n" + " ".join(tokens[:DEPTH]) + "\n"
-    cuts = [DEPTH + (n - DEPTH) * i // RUNS for i in range(RUNS + 1)]
-    runs = [" ".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
-    out = [path + "\n".join(runs)]
-    if n >= LEAST_VARYING:
-        out += [path + "\n".join("<*>" if i == v else r for i, r in enumerate(runs)) for v in range(RUNS)]
-    return [t.encode("utf-8", "replace") for t in out]
-
-
-def line_keys(docs: DataFrame) -> DataFrame:
-    """A row per line and template: the document, the line, whether it is the document's first of that template."""
+    if DIGIT.search(line):
+        plain = [FIELD if DIGIT.search(t) else t for t in tokens]
+        if n >= LEAST_TOKENS or any(t is not FIELD for t in plain):
+            tokens = plain
+    whole = " ".join(tokens).encode("utf-8", "replace")
+    out = [b"%d\n" % n + whole]
+    if n < LEAST_TOKENS:
+        return out
+    ascii_line = len(whole) == sum(map(len, tokens)) + n - 1
+    sizes = map(len, tokens) if ascii_line else (len(t.encode("utf-8", "replace")) for t in tokens)
+    at = [0, *accumulate(size + 1 for size in sizes)]  # where each token begins, and the end
+    words = [0, *accumulate(t is not FIELD for t in tokens)] if FIELD in tokens else range(n + 1)
+    digest = xxhash.xxh3_128_digest
+    if n >= LEAST_TWO:
+        cuts = cut(n, RUNS)
+        runs = [digest(whole[at[a]:at[b] - 1]) for a, b in zip(cuts, cuts[1:])]
+        worded = [words[b] > words[a] for a, b in zip(cuts, cuts[1:])]
+        out += [b"%d two %d %d %d\n" % (n, i, j, k) + runs[i] + runs[j] + runs[k] for i, j, k in LEFT
+                if worded[i] or worded[j] or worded[k]]
+    for size in range(max(n - 1, LEAST_TOKENS), n + 1):
+        cuts = cut(size, RUNS if size < LEAST_TWO else WIDE_RUNS)
+        for v, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            b += n - size
+            if words[a] or words[n] > words[b]:
+                out.append(b"%d one %d\n" % (size, v) + digest(whole[:at[a]]) + digest(whole[at[b]:]))
+    return out
+
+
+def line_keys(docs: DataFrame, bits: Broadcast | None = None) -> DataFrame:
+    """A row per line and template: the document, the line, whether it is the document's first of that template.
+
+    With `bits`, only templates whose place in that bitmap is set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, hashes = batch.column("id").to_pylist(), batch.column("text_hash").to_pylist()
-            rows: list = []
+            rows, keys, firsts = [], [], []
             for doc, text_hash, text in zip(ids, hashes, texts_of(batch)):
                 seen: set = set()
                 for i, line in enumerate(text.split("\n")):
-                    for varying, template in enumerate(templates(line)):
-                        h = digest(template)
-                        rows.append((doc, text_hash, i, h not in seen, h >> 64, h & 0xFFFFFFFFFFFFFFFF, varying > 0))
-                        seen.add(h)
-                if len(rows) > 50_000:
-                    yield as_batch(rows)
-                    rows = []
-            yield as_batch(rows)
-
-    def as_batch(rows: list) -> pa.RecordBatch:
-        doc, text_hash, line, first, h1, h2, varying = zip(*rows) if rows else [()] * 7
-        halves = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
-        small = [pa.array(np.array(x, np.int32)) for x in (line, first, varying)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), small[0], small[1], *halves, small[2]],
-            ["id", "text_hash", "line", "first", "h1", "h2", "varying"])
+                    own = [digest(t) for t in templates(line)]
+                    rows.append((doc, text_hash, i, len(own)))
+                    keys += own
+                    firsts += [k not in seen for k in own]
+                    seen.update(own)
+                if len(keys) > 50_000:
+                    yield as_batch(rows, keys, firsts)
+                    rows, keys, firsts = [], [], []
+            yield as_batch(rows, keys, firsts)
+
+    def as_batch(rows: list, keys: list, firsts: list) -> pa.RecordBatch:
+        table = np.array(rows, np.int64).reshape(-1, 4)
+        halves = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, 2)
+        varying = np.ones(len(keys), np.int32)
+        ends = np.cumsum(table[:, 3])
+        varying[(ends - table[:, 3])[table[:, 3] > 0]] = 0
+        at = np.repeat(np.arange(len(table)), table[:, 3])
+        first = np.array(firsts, np.int32)
+        if bits is not None:
+            place = (halves[:, 0] % np.uint64(PLACES)).astype(np.int64)
+            kept = np.flatnonzero(np.frombuffer(bits.value, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            halves, varying, at, first = halves[kept], varying[kept], at[kept], first[kept]
+        columns = [table[at, 0], table[at, 1], table[at, 2].astype(np.int32), first,
+                   *[np.ascontiguousarray(halves[:, i]).view(np.int64) for i in (0, 1)], varying]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
+                                          ["id", "text_hash", "line", "first", "h1", "h2", "varying"])
 
     return keyed(docs).select("id", "text_hash", "text").mapInArrow(run, KEY_SCHEMA)
 
 
+def repeated_places(docs: DataFrame) -> Broadcast:
+    """A bitmap with the places of all templates that more than one document holds, and some others by chance.
+
+    Most templates occur once; they are told by half a hash and a count, so only the rest is shuffled whole.
+    """
+    more = line_keys(docs).where("first = 1").groupBy("h1").count().where("count > 1")
+    place = F.pmod("h1", F.lit(PLACES)) + 1
+    parts = more.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    whole = bytearray(PLACES // 8)
+    for row in parts.toLocalIterator():
+        begin = (row.part - 1) * PART_BYTES
+        whole[begin:begin + PART_BYTES] = row.bits
+    return docs.sparkSession.sparkContext.broadcast(bytes(whole))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """`docs` with the key of a row: its id (a stand-in for null) and a hash of its text."""
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
@@ -97,14 +158,14 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -
 
     A column `count` says how many lines went, in place of any of that name; None leaves it out.
 
-    A template is a line whose tokens with digits are fields; from LEAST_VARYING tokens on, one of RUNS runs of tokens
-    behind the leading ones may vary too, if LEAST_DOCS_VARYING documents share the rest. The document of the smallest
-    doc_id keeps its first line of each template, so no content is lost altogether; every other line of the template
-    goes. Rows that share a doc_id count one each towards LEAST_DOCS and keep their lines from one another; so do rows
-    without doc_id, which come last. Lines below
-    LEAST_TOKENS tokens always stay, so do null texts; other columns are passed through.
+    A template is a line whose tokens with digits are fields. From LEAST_TOKENS tokens on one fifth of the tokens may
+    vary, whichever it is; from LEAST_TWO on two fifths, or one third with a token added or missing. Two documents that
+    share the rest suffice. The document of the smallest doc_id keeps its first line of each template, so no content is
+    lost altogether; every other line of the template goes. Rows that share a doc_id count one each towards LEAST_DOCS
+    and keep their lines from one another; so do rows without doc_id, which come last. Blank lines and null texts
+    always stay; other columns are passed through.
     """
-    keys = line_keys(docs)
+    keys = line_keys(docs, repeated_places(docs))
     found = recurring(keys)
     hit = keys.join(found, ["h1", "h2", "varying"]).where((F.col("id") != F.col("owner")) | (F.col("first") == 0))
     drops = hit.groupBy("id", "text_hash").agg(F.collect_set("line").alias("_drops"))
