@@ -218,3 +218,12 @@ def test_short_and_varied_lines_go(frame):
     for a, b in [("12 34", "12 35"), ("red apples", "green apples"), ("1 2 3 4 5 6 a b c d", "1 2 3 4 5 6 w x y z")]:
         got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, b)])).collect()}
         assert got == {1: a, 2: b}, b
+
+
+def test_one_row_of_each_group_whatever_its_id(frame):
+    docs = [(None, "a b c d e"), (None, "A b c d e"), (None, "quite another text without id"), (7, "first text of this id here"),
+            (7, "something else under the same id"), (8, "SOMETHING else under the same id"), (None, "first text of this id here")]
+    kept = neardup.one_of_each(frame(docs)).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [
+        ("7", "first text of this id here"), ("7", "something else under the same id"),
+        ("None", "a b c d e"), ("None", "quite another text without id")]

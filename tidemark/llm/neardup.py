@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions, texts_of
+from tidemark.llm.common import free_name, shuffle_partitions, texts_of
 from tidemark.llm.components import components
 from tidemark.session import write_through
 
@@ -205,9 +205,26 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of `docs` that stand for their group: the smallest doc_id, once; rows without an id stay."""
-    found = near_duplicates(docs, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    whole = first.dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Exactly one row of `docs` for each group: that of the smallest doc_id, rows without an id coming last.
+
+    A row is known by its id, its text and its other columns (maps aside), so rows that share an id are told apart;
+    of rows equal in all of these any may stay.
+    """
+    key = free_name("_row", docs)
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn(key, F.struct(
+        F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(text).alias("text"), F.xxhash64(*hashed).alias("whole")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([simhash(t) for t in texts_of(batch)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64))], ["key", "fp"])
+
+    rows = keyed.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(
+        run, "key struct<none:boolean,id:long,text:long,whole:long>, fp long")
+    classes = write_through(rows.groupBy("fp").agg(F.min("key").alias("key")), "simhash")
+    labels = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    kept = classes.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("key").alias(key)).select(key)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
