@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import components, fingerprint, lines, neardup
 
-WORDS = [f"w{i}" for i in range(300)]
+WORDS = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+NO_ID = (1 << 63) - 1
 
 
 def texts(seed, n=120):
@@ -149,29 +150,46 @@ def test_neighbours_within_the_radius(spark):
         (min(i, j), max(i, j), (f ^ g).bit_count()) for a, (f, i) in enumerate(own) for g, j in own[:a] if (f ^ g).bit_count() <= 3)
 
 
+HAN = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                 "\U00020000-\U0003ffff])")
+
+
+def brute_template(line):
+    tokens = tuple(HAN.sub(r" \1 ", line).split())
+    fields = sum(any(c.isdecimal() for c in t) for t in tokens)
+    return tokens if 2 * fields > len(tokens) else tuple("<*>" if any(c.isdecimal() for c in t) else t for t in tokens)
+
+
+def brute_alike(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    n, ends = len(a), a[:2] == b[:2] or a[-2:] == b[-2:]
+    if a == b:
+        return True
+    if n == len(b) >= 5 and (ends or n >= 10 and a[n // 2:n // 2 + 2] == b[n // 2:n // 2 + 2]):
+        return 100 * sum(x == y for x, y in zip(a, b)) >= 80 * n
+    return n == len(b) + 1 >= 11 and ends and any(
+        100 * sum(x == y for x, y in zip(a[:i] + a[i + 1:], b)) >= 80 * n for i in range(n))
+
+
 def brute_lines(docs):
-    """Templates by the definition: (key, docs, owner) from all lines of all documents."""
-    found = {}
-    for row, (i, t) in enumerate(docs):
-        for line in (t or "").split("\n"):
-            for v, key in enumerate(lines.templates(line)):
-                found.setdefault(key, (v > 0, set(), set()))[1].add(row)
-                found[key][2].add(i if i is not None else lines.NO_ID)
-    need = {k for k, (v, rows, _) in found.items() if len(rows) >= (lines.LEAST_DOCS_VARYING if v else lines.LEAST_DOCS)}
+    """All lines against all templates of documents with smaller ids."""
+    named = [(NO_ID if i is None else i, [] if t is None else t.split("\n")) for i, t in docs]
+    ids = {}
+    for i, ls in named:
+        for line in ls:
+            ids.setdefault(brute_template(line), set()).add(i)
+    ids.pop((), None)
     out = []
-    for i, t in docs:
-        if t is None:
-            out.append(None)
-            continue
-        seen, kept = set(), []
-        for line in t.split("\n"):
-            keys = lines.templates(line)
-            own = i if i is not None else lines.NO_ID
-            drop = any(k in need and (min(found[k][2]) != own or k in seen) for k in keys)
-            seen.update(keys)
-            if not drop:
+    for (i, ls), (_, t) in zip(named, docs):
+        kept, said = [], set()
+        for line in ls:
+            own, again = brute_template(line), tuple(HAN.sub(r" \1 ", line).split()) in said
+            said.add(tuple(HAN.sub(r" \1 ", line).split()))
+            near = set().union(*(ids[x] for x in ids if brute_alike(own, x))) if own else {i}
+            if not own or min(near) == i and not (again and max(ids[own]) > i):
                 kept.append(line)
-        out.append("\n".join(kept))
+        out.append(None if t is None else "\n".join(kept))
     return out
 
 
@@ -186,6 +204,8 @@ def test_recurring_lines(frame):
             words = s.split()
             if rng.random() < 0.3:
                 words[-1] = rng.choice(WORDS)
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words)), "more")
             body.insert(rng.randint(0, len(body)), " ".join(words).replace("2020", str(rng.randint(1990, 2030))))
         docs.append((i * 7 % 80, "\n".join(body)))
     docs += [(100, None), (101, ""), (None, docs[0][1]), (102, docs[1][1] + "\n" + docs[1][1]), (102, "x\n\n y"), (103, "\n\n")]
@@ -211,15 +231,40 @@ def test_short_and_varied_lines_go(frame):
     pairs = [("All rights reserved.", "All rights reserved."), ("版权所有不得转载", "版权所有不得转载"),
              ("本站内容由用户上传仅供学习参考", "本站内容由作者上传仅供学习参考"), ("one two three four five", "one two other four five"),
              (rest, "changed " + first), (rest, rest.replace("tb", "x").replace("tm", "y")), (rest, "added " + rest),
-             (rest, last), (rest, rest.replace("tg", "tg added"))]
+             (rest, last), (rest, rest.replace("tg", "tg added")),
+             ("Copyright 2020 by some company", "Copyright 2021 by some company"), ("1 2 3 4", "1 2 3 4")]
     for a, b in pairs:
         got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, "own words\n" + b)])).collect()}
         assert got == {1: a, 2: "own words"}, b
-    for a, b in [("12 34", "12 35"), ("red apples", "green apples"), ("1 2 3 4 5 6 a b c d", "1 2 3 4 5 6 w x y z")]:
+    for a, b in [("12 34", "12 35"), ("red apples", "green apples"), ("1 2 3 4 5 6 a b c d", "1 2 3 4 5 6 w x y z"),
+                 ("1 2 3 4 5 6", "2 3 4 5 6 7"), ("a b c d e f g h i j", "a b c x y z g h i j")]:
         got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, b)])).collect()}
         assert got == {1: a, 2: b}, b
 
 
+def test_a_document_keeps_what_none_before_it_says(frame):
+    words = " ".join(f"w{chr(97 + i)}" for i in range(12))
+    many = "\n".join(words.replace("wf", f"x{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}") for i in range(100))
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, many), (2, many.replace("wa", "wz"))])).collect()}
+    assert got == {1: many, 2: ""}
+
+
+def test_large_leaves_are_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PART", 4)
+    rng = random.Random(8)
+    rows = [(i, "same start " + " ".join(rng.choices("abcd", k=4))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(df).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, brute_lines(rows))}
+
+
+def test_long_lines_and_documents(frame):
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(60_000))
+    docs = [(1, long), (2, long.replace("wcc", "other", 3)), (3, "\n".join(["a b"] * 30_000)), (4, "a b\nc")]
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame(docs)).collect()}
+    assert got == {1: long, 2: "", 3: "a b", 4: "c"}
+
+
 def test_one_row_of_each_group_whatever_its_id(frame):
     docs = [(None, "a b c d e"), (None, "A b c d e"), (None, "quite another text without id"), (7, "first text of this id here"),
             (7, "something else under the same id"), (8, "SOMETHING else under the same id"), (None, "first text of this id here")]

@@ -2,155 +2,276 @@
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
-
-#: Lines with fewer tokens have nothing that may vary; if all their tokens are fields, they are their own template.
-LEAST_TOKENS = 5
-#: From so many tokens on two places may vary at once.
-LEAST_TWO = 10
-#: Runs that the tokens fall into; one or two of them may vary.
-RUNS = 5
-#: What stays of the runs when two vary.
-LEFT = list(combinations(range(RUNS), RUNS - 2))
-#: Runs of which one may vary with a token added or missing, from LEAST_TWO tokens on.
-WIDE_RUNS = 3
-#: Documents in which a template recurs: as it is, and with runs that vary.
-LEAST_DOCS, LEAST_DOCS_VARYING = 2, 2
-DIGIT = re.compile(r"\d")
+from tidemark.llm.common import by_size, ragged, shuffle_partitions, texts_of
+from tidemark.session import write_through
+
+#: Lines with fewer tokens have nothing that may vary; from so many on a token may be added or missing.
+LEAST_TOKENS, LEAST_WIDE = 5, 10
+#: Tokens that lead to a leaf, beside their number; one tree takes them from the front, one from the end, one amid.
+DEPTH = 2
+#: Share of the tokens, in hundredths, in which two templates of a leaf are alike.
+SHARE = 80
+#: Distinct templates of a leaf that are compared at once; a larger leaf is dealt to cells of two such parts each.
+PART = 2048
+#: Characters of a range of documents that a worker parses at once.
+CHARS = 1 << 21
 #: Scripts written without spaces (Thai to Burmese, Khmer, kana, Han): each character is a token.
-UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-                      "\U00020000-\U0003ffff])")
-FIELD = "<*>"
-#: Bits of the map of templates that repeat (16 MB), and bytes of each part of it that Spark's bitmap functions make.
-PLACES, PART_BYTES = 1 << 27, 4096
-KEY_SCHEMA = "id long, text_hash long, line int, first int, h1 long, h2 long, varying int"
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+            (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+SPACE, ALONE, DIGIT = 1, 2, 4
+FIELD = np.uint64(0)
 NO_ID = (1 << 63) - 1
+TEMPLATES = "h1 long, h2 long, leaves array<long>, codes binary, owner long, last long"
+LINES = "id long, text_hash long, line int, h1 long, h2 long, again boolean"
 
 
-def cut(n: int, runs: int) -> list[int]:
-    return [n * i // runs for i in range(runs + 1)]
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    table[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
+    for a, b in UNSPACED:
+        table[a:b + 1] |= ALONE
+    table[[c for c in range(sys.maxunicode + 1) if chr(c).isdecimal()]] |= DIGIT
+    return table
 
 
-def templates(line: str) -> list[bytes]:
-    """The template of a line (tokens with digits are fields), then the templates in which one or two runs vary.
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number that depends on all bits of x; different salts give unrelated ones."""
+    x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
-    Runs that vary are left out, the others stand for themselves; what stays must hold a token that is no field. Where
-    one run varies, the line is also cut as if it had a token less, so it meets lines that lack one of the run.
-    """
-    tokens = (line if line.isascii() else UNSPACED.sub(r" \1 ", line)).split()
-    n = len(tokens)
-    if not n:
-        return []
-    if DIGIT.search(line):
-        plain = [FIELD if DIGIT.search(t) else t for t in tokens]
-        if n >= LEAST_TOKENS or any(t is not FIELD for t in plain):
-            tokens = plain
-    whole = " ".join(tokens).encode("utf-8", "replace")
-    out = [b"%d\n" % n + whole]
-    if n < LEAST_TOKENS:
-        return out
-    ascii_line = len(whole) == sum(map(len, tokens)) + n - 1
-    sizes = map(len, tokens) if ascii_line else (len(t.encode("utf-8", "replace")) for t in tokens)
-    at = [0, *accumulate(size + 1 for size in sizes)]  # where each token begins, and the end
-    words = [0, *accumulate(t is not FIELD for t in tokens)] if FIELD in tokens else range(n + 1)
-    digest = xxhash.xxh3_128_digest
-    if n >= LEAST_TWO:
-        cuts = cut(n, RUNS)
-        runs = [digest(whole[at[a]:at[b] - 1]) for a, b in zip(cuts, cuts[1:])]
-        worded = [words[b] > words[a] for a, b in zip(cuts, cuts[1:])]
-        out += [b"%d two %d %d %d\n" % (n, i, j, k) + runs[i] + runs[j] + runs[k] for i, j, k in LEFT
-                if worded[i] or worded[j] or worded[k]]
-    for size in range(max(n - 1, LEAST_TOKENS), n + 1):
-        cuts = cut(size, RUNS if size < LEAST_TWO else WIDE_RUNS)
-        for v, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            b += n - size
-            if words[a] or words[n] > words[b]:
-                out.append(b"%d one %d\n" % (size, v) + digest(whole[:at[a]]) + digest(whole[at[b]:]))
-    return out
-
-
-def line_keys(docs: DataFrame, bits: Broadcast | None = None) -> DataFrame:
-    """A row per line and template: the document, the line, whether it is the document's first of that template.
-
-    With `bits`, only templates whose place in that bitmap is set.
+
+class Parsed:
+    """All lines of some texts that hold a token, in order; each token is a number, tokens with digits are FIELD.
+
+    Where fields are the greater part of a line, what varies is all it says, and its tokens stand for themselves.
     """
 
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds()[codes]
+        space = kind & SPACE > 0
+        start = ~space
+        start[1:] &= space[:-1] | (kind[1:] & ALONE > 0) | (kind[:-1] & ALONE > 0)
+        chars = np.flatnonzero(~space)
+        begin = np.flatnonzero(start[chars])
+        size = np.diff(np.append(begin, len(chars)))
+        value = codes[chars].astype(np.uint64) << np.uint64(32)
+        value += (np.arange(len(chars)) - np.repeat(begin, size)).astype(np.uint64)
+        empty = not len(begin)
+        raw = np.zeros(0, np.uint64) if empty else mixed(np.add.reduceat(mixed(value, 1), begin) + size.astype(np.uint64), 2)
+        field = np.zeros(0, bool) if empty else np.bitwise_or.reduceat(kind[chars], begin) & DIGIT > 0
+        ends = np.flatnonzero(codes == 10)
+        line = np.searchsorted(ends, chars[begin])
+        self.line, first, self.n = np.unique(line, return_index=True, return_counts=True)
+        self.begin = first
+        of = np.repeat(np.arange(len(first)), self.n)
+        fields = np.bincount(of, field, len(first))
+        self.tokens = np.where(field & (2 * fields <= self.n)[of], FIELD, raw)
+        per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        ends_of = np.cumsum(per_text)
+        self.text = np.searchsorted(ends_of, self.line, "right")
+        self.number = self.line - (ends_of - per_text)[self.text]
+        place = (np.arange(len(of)) - np.repeat(first, self.n)).astype(np.uint64) << np.uint64(1)
+        self.h1, self.h2, self.said = (self.hashed(x, place, salt) for x, salt in
+                                       ((self.tokens, 3), (self.tokens, 4), (raw, 5)))
+
+    def hashed(self, tokens: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+        if not len(tokens):
+            return np.zeros(0, np.int64)
+        return mixed(np.add.reduceat(mixed(tokens ^ mixed(place, salt), salt), self.begin) + self.n.astype(np.uint64), salt) \
+            .view(np.int64)
+
+    def leaves(self, rows: np.ndarray) -> pa.Array:
+        """The leaves of each line: by its first, last and middle tokens, and those of lines with one token more."""
+        begin, n = self.begin[rows], self.n[rows]
+        places = [(begin, 1, 0), (begin + n - 1, -1, 0), (begin + n // 2, 1, 0), (begin, 1, 1), (begin + n - 1, -1, 1)]
+        out = np.empty((len(rows), len(places)), np.int64)
+        for column, (first, step, more) in enumerate(places if len(self.tokens) else []):
+            leaf = mixed((n + more).astype(np.uint64), 10 + column % 3)
+            for i in range(DEPTH):
+                leaf = mixed(leaf ^ self.tokens[np.clip(first + step * i, 0, len(self.tokens) - 1)], 8)
+            out[:, column] = leaf.view(np.int64)
+        many = np.where(n < LEAST_TOKENS, 0, np.where(n < LEAST_WIDE, 2, len(places)))
+        ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[np.arange(len(places)) < many[:, None]]))
+
+    def again(self) -> np.ndarray:
+        """Whether the text says the same tokens on an earlier line."""
+        order = np.lexsort((self.number, self.said, self.text))
+        same = np.zeros(len(order), bool)
+        same[order[1:]] = (self.said[order[1:]] == self.said[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
+        return same
+
+
+def parsed(docs: DataFrame, schema: str, finish) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            ids, hashes = batch.column("id").to_pylist(), batch.column("text_hash").to_pylist()
-            rows, keys, firsts = [], [], []
-            for doc, text_hash, text in zip(ids, hashes, texts_of(batch)):
-                seen: set = set()
-                for i, line in enumerate(text.split("\n")):
-                    own = [digest(t) for t in templates(line)]
-                    rows.append((doc, text_hash, i, len(own)))
-                    keys += own
-                    firsts += [k not in seen for k in own]
-                    seen.update(own)
-                if len(keys) > 50_000:
-                    yield as_batch(rows, keys, firsts)
-                    rows, keys, firsts = [], [], []
-            yield as_batch(rows, keys, firsts)
-
-    def as_batch(rows: list, keys: list, firsts: list) -> pa.RecordBatch:
-        table = np.array(rows, np.int64).reshape(-1, 4)
-        halves = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, 2)
-        varying = np.ones(len(keys), np.int32)
-        ends = np.cumsum(table[:, 3])
-        varying[(ends - table[:, 3])[table[:, 3] > 0]] = 0
-        at = np.repeat(np.arange(len(table)), table[:, 3])
-        first = np.array(firsts, np.int32)
-        if bits is not None:
-            place = (halves[:, 0] % np.uint64(PLACES)).astype(np.int64)
-            kept = np.flatnonzero(np.frombuffer(bits.value, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            halves, varying, at, first = halves[kept], varying[kept], at[kept], first[kept]
-        columns = [table[at, 0], table[at, 1], table[at, 2].astype(np.int32), first,
-                   *[np.ascontiguousarray(halves[:, i]).view(np.int64) for i in (0, 1)], varying]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                          ["id", "text_hash", "line", "first", "h1", "h2", "varying"])
-
-    return keyed(docs).select("id", "text_hash", "text").mapInArrow(run, KEY_SCHEMA)
-
-
-def repeated_places(docs: DataFrame) -> Broadcast:
-    """A bitmap with the places of all templates that more than one document holds, and some others by chance.
-
-    Most templates occur once; they are told by half a hash and a count, so only the rest is shuffled whole.
-    """
-    more = line_keys(docs).where("first = 1").groupBy("h1").count().where("count > 1")
-    place = F.pmod("h1", F.lit(PLACES)) + 1
-    parts = more.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    whole = bytearray(PLACES // 8)
-    for row in parts.toLocalIterator():
-        begin = (row.part - 1) * PART_BYTES
-        whole[begin:begin + PART_BYTES] = row.bits
-    return docs.sparkSession.sparkContext.broadcast(bytes(whole))
+            texts, ids = texts_of(batch), batch.column("id").to_numpy()
+            hashes = batch.column("text_hash").to_numpy()
+            for a, b in by_size(texts, CHARS):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in finish(Parsed(texts[a:b]), ids[a:b], hashes[a:b])], names)
+
+    return keyed(docs).select("id", "text_hash", "text").mapInArrow(run, schema)
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """The templates of each range of documents, once each: their leaves, token codes, smallest and largest id."""
+
+    def finish(lines: Parsed, ids, hashes) -> list:
+        order = np.lexsort((ids[lines.text], lines.h2, lines.h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(lines.h1[order]) != 0) | (np.diff(lines.h2[order]) != 0)
+        at = order[new]
+        lasts = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+        codes = (lines.tokens >> np.uint64(48)).astype("<u2")
+        own = ragged(lines.begin[at], lines.n[at])
+        ends = np.concatenate(([0], np.cumsum(lines.n[at]))).astype(np.int32) * 2
+        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes[own].tobytes())])
+        return [lines.h1[at], lines.h2[at], lines.leaves(at), packed, ids[lines.text[at]], ids[lines.text[lasts]]]
+
+    return parsed(docs, TEMPLATES, finish)
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """A row per line that holds a token: the document, the line's number, its template, whether it repeats one before."""
+    return parsed(docs, LINES, lambda lines, ids, hashes: [
+        ids[lines.text], hashes[lines.text], lines.number.astype(np.int32), lines.h1, lines.h2, lines.again()])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """`docs` with the key of a row: its id (a stand-in for null) and a hash of its text."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text": F.col("text").cast("string"),
                              "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def recurring(keys: DataFrame) -> DataFrame:
-    """h1, h2, varying, owner: templates found in enough documents, and the smallest id among them."""
-    enough = F.when(F.col("varying") == 0, LEAST_DOCS).otherwise(LEAST_DOCS_VARYING)
-    return keys.groupBy("h1", "h2", "varying").agg(F.sum("first").alias("docs"), F.min("id").alias("owner")) \
-        .where(F.col("docs") >= enough).select("h1", "h2", "varying", "owner")
+def alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """[i, j]: whether two templates (rows of token codes) are alike; the second may have one token less than the first.
+
+    The best place for the token that it lacks counts.
+    """
+    n = one.shape[1]
+    rows = one[:, None]
+    if two.shape[1] == n:
+        same = (rows == two).sum(axis=2)
+    else:
+        left = np.cumsum(rows[..., :-1] == two, axis=2, dtype=np.int32)
+        right = np.cumsum((rows[..., 1:] == two)[..., ::-1], axis=2, dtype=np.int32)[..., ::-1]
+        same = np.maximum(np.maximum(left[..., -1], right[..., 0]), (left[..., :-1] + right[..., 1:]).max(axis=2))
+    return same >= -(-SHARE * n // 100)
+
+
+def least_owners(codes: list[bytes], owners: np.ndarray) -> np.ndarray:
+    """For each template of a leaf the smallest owner among those it is alike with, itself included."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+    parts = {size: np.flatnonzero(sizes == size) for size in np.unique(sizes).tolist()}
+    matrix = {size: np.frombuffer(b"".join([codes[i] for i in rows]), "<u2").reshape(len(rows), -1)
+              for size, rows in parts.items()}
+    least = owners.copy()
+    for size, rows in parts.items():
+        for other in (size, size - 2):  # bytes: two to a token
+            if other not in parts:
+                continue
+            near, two = parts[other], matrix[other]
+            step = max(1, (1 << 22) // max(1, two.size))
+            for a in range(0, len(rows), step):
+                part = rows[a:a + step]
+                meet = alike(matrix[size][a:a + step], two)
+                least[part] = np.minimum(least[part], np.where(meet, owners[near], NO_ID).min(axis=1))
+                least[near] = np.minimum(least[near], np.where(meet, owners[part][:, None], NO_ID).min(axis=0))
+    return least
+
+
+def alike_owners(found: DataFrame) -> DataFrame:
+    """h1, h2, owner: for templates alike with another of their leaf the smallest id of a document that has that one.
+
+    Only leaves with more than one template and document are read on; one of many templates is dealt to cells.
+    """
+    key = ["leaf", "a", "b"]
+    leaves = found.select(F.explode("leaves").alias("leaf"), "h1", "owner", "last")
+    shared = leaves.groupBy("leaf").agg(
+        F.count("*").alias("n"), F.min("h1").alias("h"), F.max("h1").alias("other"), F.min("owner").alias("owner"),
+        F.max("last").alias("last")).where("h < other and owner < last").select("leaf", F.ceil(F.col("n") / PART).alias("c"))
+    rows = found.select(F.explode("leaves").alias("leaf"), "h1", "h2", "codes", "owner", "last") \
+        .join(shared, "leaf").groupBy("leaf", "c", "h1", "h2", "codes") \
+        .agg(F.min("owner").alias("owner"), F.max("last").alias("last"))
+    own = F.pmod(F.xxhash64("h1", "h2"), F.col("c"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1),
+                        lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b")))
+    dealt = rows.withColumn("cell", F.explode(cells)).select("leaf", "cell.a", "cell.b", "h1", "h2", "codes", "owner", "last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compared(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            owners, last = rows.column("owner").to_numpy(), rows.column("last").to_numpy()
+            least, codes = owners.copy(), rows.column("codes").to_pylist()
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    least[a:b] = least_owners(codes[a:b], owners[a:b])
+            found = np.flatnonzero(least < last)
+            return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[found]) for c in ("h1", "h2")]
+                                              + [pa.array(least[found])], ["h1", "h2", "owner"])
+
+        def cut(whole: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            groups = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in key])
+            edges = np.concatenate(([0], np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(axis=0)) + 1))
+            if whole:
+                edges = np.append(edges, rows.num_rows)
+            if len(edges) > 1:
+                yield compared(rows.slice(0, int(edges[-1])), edges)
+            held[:] = rows.slice(int(edges[-1])).combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            yield from cut(False)
+        if held:
+            yield from cut(True)
+
+    n = shuffle_partitions(found.sparkSession)
+    return dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "h1 long, h2 long, owner long")
+
+
+def recurring(docs: DataFrame) -> DataFrame:
+    """h1, h2, owner: templates that recur over documents, as they are or alike, and the smallest id that has one."""
+    found = write_through(templates(docs), "templates")
+    both = found.select("h1", "h2", "owner", "last").unionByName(
+        alike_owners(found).withColumn("last", F.col("owner")))
+    return both.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("last").alias("last")) \
+        .where("owner < last").select("h1", "h2", "owner")
+
+
+def masks(drops: DataFrame) -> DataFrame:
+    """id, text_hash, _went (lines dropped), _drop: an array that tells for each line, up to the last dropped, if it goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            went, out = [], []
+            for lines in batch.column("lines").to_pylist():
+                mask = np.zeros(max(lines) + 1, bool)
+                mask[lines] = True
+                went.append(int(mask.sum()))
+                out.append(mask)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(went, pa.int32()),
+                                              pa.array(out, pa.list_(pa.bool_()))], ["id", "text_hash", "_went", "_drop"])
+
+    return drops.groupBy("id", "text_hash").agg(F.collect_list("line").alias("lines")) \
+        .mapInArrow(run, "id long, text_hash long, _went int, _drop array<boolean>")
 
 
 def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -> DataFrame:
@@ -158,27 +279,30 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -
 
     A column `count` says how many lines went, in place of any of that name; None leaves it out.
 
-    A template is a line whose tokens with digits are fields. From LEAST_TOKENS tokens on one fifth of the tokens may
-    vary, whichever it is; from LEAST_TWO on two fifths, or one third with a token added or missing. Two documents that
-    share the rest suffice. The document of the smallest doc_id keeps its first line of each template, so no content is
-    lost altogether; every other line of the template goes. Rows that share a doc_id count one each towards LEAST_DOCS
-    and keep their lines from one another; so do rows without doc_id, which come last. Blank lines and null texts
-    always stay; other columns are passed through.
+    A template is a line's tokens with those that hold digits as fields, unless they are more than half of them. A leaf
+    of the tree holds the templates of one number of tokens and the same DEPTH tokens in front; a second tree takes them
+    from the end and, from LEAST_WIDE tokens on, a third from the middle. From there on templates also enter the leaves
+    (front and end) of lines with one token more. Templates of a leaf with LEAST_TOKENS tokens or more are alike if SHARE
+    per cent of their tokens agree, place by place or with one token left out of the longer. A line goes if a document of a smaller doc_id has its template or one alike, so each document keeps all that
+    no document before it says. Where a template recurs, its first document keeps lines with the same tokens once.
+    Rows that share a doc_id count as one document, and so do rows without doc_id, which come last. Blank lines and null
+    texts always stay; other columns are passed through. Texts and lines of any length are parsed whole.
+
+    The texts are parsed twice by array operations; only hashes and token codes of templates are compared. Copies of a
+    line are merged per range of documents before they are shuffled. Leaves beyond PART templates are dealt to cells.
     """
-    keys = line_keys(docs, repeated_places(docs))
-    found = recurring(keys)
-    hit = keys.join(found, ["h1", "h2", "varying"]).where((F.col("id") != F.col("owner")) | (F.col("first") == 0))
-    drops = hit.groupBy("id", "text_hash").agg(F.collect_set("line").alias("_drops"))
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_drops"), i)), "\n")
+    hit = line_rows(docs).join(recurring(docs), ["h1", "h2"]) \
+        .where((F.col("owner") < F.col("id")) | (F.col("owner") == F.col("id")) & F.col("again"))
+    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1),
+                                 lambda _, i: ~F.coalesce(F.get("_drop", i), F.lit(False))), "\n")
     out = keyed(docs.withColumnsRenamed({c: f"_in_{i}" for i, c in enumerate(docs.columns)})
                 .withColumns({"doc_id": F.col(f"_in_{docs.columns.index('doc_id')}"),
                               "text": F.col(f"_in_{docs.columns.index('text')}")})) \
-        .join(drops, ["id", "text_hash"], "left") \
-        .withColumn("text", F.when(F.col("_drops").isNotNull(), kept).otherwise(F.col("text")))
+        .join(masks(hit), ["id", "text_hash"], "left") \
+        .withColumn("text", F.when(F.col("_went") > 0, kept).otherwise(F.col("text")))
     new = {c: F.col(f"_in_{i}") for i, c in enumerate(docs.columns)} | {"text": F.col("text")}
     if "n_chars" in new:
-        new["n_chars"] = F.when(F.col("_drops").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)) \
+        new["n_chars"] = F.when(F.col("_went") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)) \
             .otherwise(new["n_chars"])
-    went = [F.coalesce(F.size("_drops"), F.lit(0)).alias(count)] if count else []
+    went = [F.coalesce("_went", F.lit(0)).alias(count)] if count else []
     return out.select(*[new[c].alias(c) for c in docs.columns if c != count], *went)
