@@ -161,15 +161,8 @@ def brute_template(line):
 
 
 def brute_alike(a, b):
-    if len(a) < len(b):
-        a, b = b, a
-    n, ends = len(a), a[:2] == b[:2] or a[-2:] == b[-2:]
-    if a == b:
-        return True
-    if n == len(b) >= 5 and (ends or n >= 10 and a[n // 2:n // 2 + 2] == b[n // 2:n // 2 + 2]):
-        return 100 * sum(x == y for x, y in zip(a, b)) >= 80 * n
-    return n == len(b) + 1 >= 11 and ends and any(
-        100 * sum(x == y for x, y in zip(a[:i] + a[i + 1:], b)) >= 80 * n for i in range(n))
+    return a == b or len(a) == len(b) >= 5 and (a[:2] == b[:2] or a[-2:] == b[-2:]) \
+        and 100 * sum(x == y for x, y in zip(a, b)) >= 80 * len(a)
 
 
 def brute_lines(docs):
@@ -230,14 +223,14 @@ def test_short_and_varied_lines_go(frame):
     first, last = " ".join(rest.split()[1:]), " ".join(rest.split()[:-1])
     pairs = [("All rights reserved.", "All rights reserved."), ("版权所有不得转载", "版权所有不得转载"),
              ("本站内容由用户上传仅供学习参考", "本站内容由作者上传仅供学习参考"), ("one two three four five", "one two other four five"),
-             (rest, "changed " + first), (rest, rest.replace("tb", "x").replace("tm", "y")), (rest, "added " + rest),
-             (rest, last), (rest, rest.replace("tg", "tg added")),
+             (rest, "changed " + first), (rest, rest.replace("td", "x").replace("tm", "y")),
              ("Copyright 2020 by some company", "Copyright 2021 by some company"), ("1 2 3 4", "1 2 3 4")]
     for a, b in pairs:
         got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, "own words\n" + b)])).collect()}
         assert got == {1: a, 2: "own words"}, b
     for a, b in [("12 34", "12 35"), ("red apples", "green apples"), ("1 2 3 4 5 6 a b c d", "1 2 3 4 5 6 w x y z"),
-                 ("1 2 3 4 5 6", "2 3 4 5 6 7"), ("a b c d e f g h i j", "a b c x y z g h i j")]:
+                 ("1 2 3 4 5 6", "2 3 4 5 6 7"), ("a b c d e f g h i j", "a b c x y z g h i j"),
+                 (rest, "added " + rest), (rest, last), (rest, rest.replace("tb", "x").replace("tm", "y"))]:
         got = {r.doc_id: r.text for r in lines.drop_recurring_lines(frame([(1, a), (2, b)])).collect()}
         assert got == {1: a, 2: b}, b
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_size, ragged, shuffle_partitions, texts_of
 from tidemark.session import write_through
 
-#: Lines with fewer tokens have nothing that may vary; from so many on a token may be added or missing.
-LEAST_TOKENS, LEAST_WIDE = 5, 10
-#: Tokens that lead to a leaf, beside their number; one tree takes them from the front, one from the end, one amid.
+#: Lines with fewer tokens have nothing that may vary.
+LEAST_TOKENS = 5
+#: Tokens that lead to a leaf, beside their number; one tree takes them from the front, one from the end.
 DEPTH = 2
 #: Share of the tokens, in hundredths, in which two templates of a leaf are alike.
 SHARE = 80
@@ -30,8 +30,9 @@ UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 SPACE, ALONE, DIGIT = 1, 2, 4
 FIELD = np.uint64(0)
 NO_ID = (1 << 63) - 1
-TEMPLATES = "h1 long, h2 long, leaves array<long>, codes binary, owner long, last long"
-LINES = "id long, text_hash long, line int, h1 long, h2 long, again boolean"
+KEYS = "key long, leaf boolean, owner long, last long"
+TEMPLATES = "h long, head long, tail long, codes binary, owner long, last long"
+LINES = "id long, text_hash long, line int, h long, again boolean"
 
 
 @lru_cache(maxsize=1)
@@ -86,28 +87,32 @@ class Parsed:
         self.text = np.searchsorted(ends_of, self.line, "right")
         self.number = self.line - (ends_of - per_text)[self.text]
         place = (np.arange(len(of)) - np.repeat(first, self.n)).astype(np.uint64) << np.uint64(1)
-        self.h1, self.h2, self.said = (self.hashed(x, place, salt) for x, salt in
-                                       ((self.tokens, 3), (self.tokens, 4), (raw, 5)))
+        self.template, self.said = self.hashed(self.tokens, place), self.hashed(raw, place)
 
-    def hashed(self, tokens: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+    def hashed(self, tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
         if not len(tokens):
             return np.zeros(0, np.int64)
-        return mixed(np.add.reduceat(mixed(tokens ^ mixed(place, salt), salt), self.begin) + self.n.astype(np.uint64), salt) \
+        return mixed(np.add.reduceat(mixed(tokens ^ mixed(place, 3), 4), self.begin) + self.n.astype(np.uint64), 5) \
             .view(np.int64)
 
-    def leaves(self, rows: np.ndarray) -> pa.Array:
-        """The leaves of each line: by its first, last and middle tokens, and those of lines with one token more."""
-        begin, n = self.begin[rows], self.n[rows]
-        places = [(begin, 1, 0), (begin + n - 1, -1, 0), (begin + n // 2, 1, 0), (begin, 1, 1), (begin + n - 1, -1, 1)]
-        out = np.empty((len(rows), len(places)), np.int64)
-        for column, (first, step, more) in enumerate(places if len(self.tokens) else []):
-            leaf = mixed((n + more).astype(np.uint64), 10 + column % 3)
-            for i in range(DEPTH):
-                leaf = mixed(leaf ^ self.tokens[np.clip(first + step * i, 0, len(self.tokens) - 1)], 8)
-            out[:, column] = leaf.view(np.int64)
-        many = np.where(n < LEAST_TOKENS, 0, np.where(n < LEAST_WIDE, 2, len(places)))
-        ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[np.arange(len(places)) < many[:, None]]))
+    def leaves(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The leaf of lines in the tree over their first tokens, and in the tree over their last."""
+        begin, n, out = self.begin[rows], self.n[rows], []
+        for first, step in ((begin, 1), (begin + n - 1, -1)):
+            leaf = mixed(n.astype(np.uint64), 7 + step)
+            for i in range(DEPTH if len(rows) else 0):
+                leaf = mixed(leaf ^ self.tokens[np.clip(first + step * i, 0, len(self.tokens) - 1)], 9)
+            out.append(leaf.view(np.int64))
+        return out
+
+    def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A line for each template, and the smallest and largest id of the texts that have it."""
+        order = np.lexsort((ids[self.text], self.template))
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(self.template[order]) != 0
+        lasts = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+        at = order[new]
+        return at, ids[self.text[at]], ids[self.text[lasts]]
 
     def again(self) -> np.ndarray:
         """Whether the text says the same tokens on an earlier line."""
@@ -129,20 +134,30 @@ def parsed(docs: DataFrame, schema: str, finish) -> DataFrame:
     return keyed(docs).select("id", "text_hash", "text").mapInArrow(run, schema)
 
 
+def keys(docs: DataFrame) -> DataFrame:
+    """The templates and the leaves of each range of documents, a template once: smallest and largest id."""
+
+    def finish(lines: Parsed, ids, hashes) -> list:
+        at, owner, last = lines.distinct(ids)
+        long = lines.n[at] >= LEAST_TOKENS
+        leaves = lines.leaves(at[long])
+        return [np.concatenate((lines.template[at], *leaves)), np.arange(len(at) + 2 * long.sum()) >= len(at),
+                np.concatenate((owner, owner[long], owner[long])), np.concatenate((last, last[long], last[long]))]
+
+    return parsed(docs, KEYS, finish)
+
+
 def templates(docs: DataFrame) -> DataFrame:
-    """The templates of each range of documents, once each: their leaves, token codes, smallest and largest id."""
+    """The templates that may vary of each range of documents, once each: leaves, token codes, smallest and largest id."""
 
     def finish(lines: Parsed, ids, hashes) -> list:
-        order = np.lexsort((ids[lines.text], lines.h2, lines.h1))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(lines.h1[order]) != 0) | (np.diff(lines.h2[order]) != 0)
-        at = order[new]
-        lasts = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
-        codes = (lines.tokens >> np.uint64(48)).astype("<u2")
-        own = ragged(lines.begin[at], lines.n[at])
+        at, owner, last = lines.distinct(ids)
+        long = lines.n[at] >= LEAST_TOKENS
+        at, owner, last = at[long], owner[long], last[long]
+        codes = (lines.tokens >> np.uint64(48)).astype("<u2")[ragged(lines.begin[at], lines.n[at])]
         ends = np.concatenate(([0], np.cumsum(lines.n[at]))).astype(np.int32) * 2
-        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes[own].tobytes())])
-        return [lines.h1[at], lines.h2[at], lines.leaves(at), packed, ids[lines.text[at]], ids[lines.text[lasts]]]
+        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
+        return [lines.template[at], *lines.leaves(at), packed, owner, last]
 
     return parsed(docs, TEMPLATES, finish)
 
@@ -150,7 +165,7 @@ def templates(docs: DataFrame) -> DataFrame:
 def line_rows(docs: DataFrame) -> DataFrame:
     """A row per line that holds a token: the document, the line's number, its template, whether it repeats one before."""
     return parsed(docs, LINES, lambda lines, ids, hashes: [
-        ids[lines.text], hashes[lines.text], lines.number.astype(np.int32), lines.h1, lines.h2, lines.again()])
+        ids[lines.text], hashes[lines.text], lines.number.astype(np.int32), lines.template, lines.again()])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -159,73 +174,43 @@ def keyed(docs: DataFrame) -> DataFrame:
                              "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """[i, j]: whether two templates (rows of token codes) are alike; the second may have one token less than the first.
+def least_owners(codes: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each template of a leaf (a row of token codes) the smallest owner among those alike with it, itself included."""
+    least, need = owners.copy(), -(-SHARE * codes.shape[1] // 100)
+    step = max(1, (1 << 24) // codes.size)
+    for a in range(0, len(codes), step):
+        near = (codes[a:a + step, None] == codes[None]).sum(axis=2) >= need
+        least[a:a + step] = np.where(near, owners, NO_ID).min(axis=1)
+    return np.minimum(least, owners)
 
-    The best place for the token that it lacks counts.
-    """
-    n = one.shape[1]
-    rows = one[:, None]
-    if two.shape[1] == n:
-        same = (rows == two).sum(axis=2)
-    else:
-        left = np.cumsum(rows[..., :-1] == two, axis=2, dtype=np.int32)
-        right = np.cumsum((rows[..., 1:] == two)[..., ::-1], axis=2, dtype=np.int32)[..., ::-1]
-        same = np.maximum(np.maximum(left[..., -1], right[..., 0]), (left[..., :-1] + right[..., 1:]).max(axis=2))
-    return same >= -(-SHARE * n // 100)
-
-
-def least_owners(codes: list[bytes], owners: np.ndarray) -> np.ndarray:
-    """For each template of a leaf the smallest owner among those it is alike with, itself included."""
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-    parts = {size: np.flatnonzero(sizes == size) for size in np.unique(sizes).tolist()}
-    matrix = {size: np.frombuffer(b"".join([codes[i] for i in rows]), "<u2").reshape(len(rows), -1)
-              for size, rows in parts.items()}
-    least = owners.copy()
-    for size, rows in parts.items():
-        for other in (size, size - 2):  # bytes: two to a token
-            if other not in parts:
-                continue
-            near, two = parts[other], matrix[other]
-            step = max(1, (1 << 22) // max(1, two.size))
-            for a in range(0, len(rows), step):
-                part = rows[a:a + step]
-                meet = alike(matrix[size][a:a + step], two)
-                least[part] = np.minimum(least[part], np.where(meet, owners[near], NO_ID).min(axis=1))
-                least[near] = np.minimum(least[near], np.where(meet, owners[part][:, None], NO_ID).min(axis=0))
-    return least
-
-
-def alike_owners(found: DataFrame) -> DataFrame:
-    """h1, h2, owner: for templates alike with another of their leaf the smallest id of a document that has that one.
-
-    Only leaves with more than one template and document are read on; one of many templates is dealt to cells.
+
+def alike_owners(found: DataFrame, large: DataFrame) -> DataFrame:
+    """h, owner: for templates alike with another of their leaf the smallest id of a document that has that one.
+
+    A leaf of many templates (`large`: leaf, c parts) is dealt to cells of two parts each.
     """
     key = ["leaf", "a", "b"]
-    leaves = found.select(F.explode("leaves").alias("leaf"), "h1", "owner", "last")
-    shared = leaves.groupBy("leaf").agg(
-        F.count("*").alias("n"), F.min("h1").alias("h"), F.max("h1").alias("other"), F.min("owner").alias("owner"),
-        F.max("last").alias("last")).where("h < other and owner < last").select("leaf", F.ceil(F.col("n") / PART).alias("c"))
-    rows = found.select(F.explode("leaves").alias("leaf"), "h1", "h2", "codes", "owner", "last") \
-        .join(shared, "leaf").groupBy("leaf", "c", "h1", "h2", "codes") \
-        .agg(F.min("owner").alias("owner"), F.max("last").alias("last"))
-    own = F.pmod(F.xxhash64("h1", "h2"), F.col("c"))
+    own = F.pmod(F.xxhash64("h"), F.col("c"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1),
                         lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b")))
-    dealt = rows.withColumn("cell", F.explode(cells)).select("leaf", "cell.a", "cell.b", "h1", "h2", "codes", "owner", "last")
+    dealt = found.withColumn("leaf", F.explode(F.array("head", "tail"))).join(large, "leaf", "left") \
+        .withColumn("c", F.coalesce("c", F.lit(1).cast("long"))).withColumn("cell", F.explode(cells)) \
+        .select("leaf", "cell.a", "cell.b", "h", "codes", "owner", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compared(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-            owners, last = rows.column("owner").to_numpy(), rows.column("last").to_numpy()
-            least, codes = owners.copy(), rows.column("codes").to_pylist()
+            owners, last, h = (rows.column(c).to_numpy() for c in ("owner", "last", "h"))
+            least, codes = owners.copy(), rows.column("codes")
             for a, b in zip(edges, edges[1:]):
-                if b - a > 1:
-                    least[a:b] = least_owners(codes[a:b], owners[a:b])
+                if b - a > 1 and (h[a:b] != h[a]).any():
+                    of_leaf = codes.slice(a, b - a).to_pylist()
+                    alike = [c for c in of_leaf if len(c) == len(of_leaf[0])]  # but for a clash of hashes, all
+                    if len(alike) == b - a:
+                        least[a:b] = least_owners(np.frombuffer(b"".join(alike), "<u2").reshape(b - a, -1), owners[a:b])
             found = np.flatnonzero(least < last)
-            return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[found]) for c in ("h1", "h2")]
-                                              + [pa.array(least[found])], ["h1", "h2", "owner"])
+            return pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array(least[found])], ["h", "owner"])
 
         def cut(whole: bool) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
@@ -244,16 +229,17 @@ def alike_owners(found: DataFrame) -> DataFrame:
             yield from cut(True)
 
     n = shuffle_partitions(found.sparkSession)
-    return dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "h1 long, h2 long, owner long")
+    return dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "h long, owner long")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """h1, h2, owner: templates that recur over documents, as they are or alike, and the smallest id that has one."""
-    found = write_through(templates(docs), "templates")
-    both = found.select("h1", "h2", "owner", "last").unionByName(
-        alike_owners(found).withColumn("last", F.col("owner")))
-    return both.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("last").alias("last")) \
-        .where("owner < last").select("h1", "h2", "owner")
+    """h, owner: templates that recur over documents, as they are or alike, and the smallest id that has one."""
+    seen = write_through(keys(docs).groupBy("key", "leaf").agg(
+        F.count("*").alias("n"), F.min("owner").alias("owner"), F.max("last").alias("last"))
+        .where((F.col("owner") < F.col("last")) & (~F.col("leaf") | (F.col("n") > PART))), "templates")
+    large = seen.where("leaf").select(F.col("key").alias("leaf"), F.ceil(F.col("n") / PART).alias("c"))
+    equal = seen.where("not leaf").select(F.col("key").alias("h"), "owner")
+    return equal.unionByName(alike_owners(templates(docs), large)).groupBy("h").agg(F.min("owner").alias("owner"))
 
 
 def masks(drops: DataFrame) -> DataFrame:
@@ -280,18 +266,17 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "dropped_lines") -
     A column `count` says how many lines went, in place of any of that name; None leaves it out.
 
     A template is a line's tokens with those that hold digits as fields, unless they are more than half of them. A leaf
-    of the tree holds the templates of one number of tokens and the same DEPTH tokens in front; a second tree takes them
-    from the end and, from LEAST_WIDE tokens on, a third from the middle. From there on templates also enter the leaves
-    (front and end) of lines with one token more. Templates of a leaf with LEAST_TOKENS tokens or more are alike if SHARE
-    per cent of their tokens agree, place by place or with one token left out of the longer. A line goes if a document of a smaller doc_id has its template or one alike, so each document keeps all that
+    of the tree holds the templates of one number of tokens and the same DEPTH tokens in front (of a second tree: at the
+    end). Templates of a leaf with LEAST_TOKENS tokens or more are alike if SHARE per cent of their tokens agree, place
+    by place. A line goes if a document of a smaller doc_id has its template or one alike, so each document keeps all that
     no document before it says. Where a template recurs, its first document keeps lines with the same tokens once.
     Rows that share a doc_id count as one document, and so do rows without doc_id, which come last. Blank lines and null
     texts always stay; other columns are passed through. Texts and lines of any length are parsed whole.
 
-    The texts are parsed twice by array operations; only hashes and token codes of templates are compared. Copies of a
+    The texts are parsed three times by array operations; only hashes and token codes of templates are compared. Copies of a
     line are merged per range of documents before they are shuffled. Leaves beyond PART templates are dealt to cells.
     """
-    hit = line_rows(docs).join(recurring(docs), ["h1", "h2"]) \
+    hit = line_rows(docs).join(recurring(docs), "h") \
         .where((F.col("owner") < F.col("id")) | (F.col("owner") == F.col("id")) & F.col("again"))
     kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1),
                                  lambda _, i: ~F.coalesce(F.get("_drop", i), F.lit(False))), "\n")
