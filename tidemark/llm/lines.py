@@ -31,7 +31,7 @@ SPACE, ALONE, DIGIT = 1, 2, 4
 FIELD = np.uint64(0)
 NO_ID = (1 << 63) - 1
 KEYS = "key long, leaf boolean, owner long, last long"
-TEMPLATES = "h long, head long, tail long, codes binary, owner long, last long"
+TEMPLATES = "h long, head long, tail long, codes binary, owner long"
 LINES = "id long, text_hash long, line int, h long, again boolean"
 
 
@@ -148,16 +148,16 @@ def keys(docs: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """The templates that may vary of each range of documents, once each: leaves, token codes, smallest and largest id."""
+    """The templates that may vary of each range of documents, once each: leaves, token codes, smallest id."""
 
     def finish(lines: Parsed, ids, hashes) -> list:
-        at, owner, last = lines.distinct(ids)
+        at, owner, _ = lines.distinct(ids)
         long = lines.n[at] >= LEAST_TOKENS
-        at, owner, last = at[long], owner[long], last[long]
+        at, owner = at[long], owner[long]
         codes = (lines.tokens >> np.uint64(48)).astype("<u2")[ragged(lines.begin[at], lines.n[at])]
         ends = np.concatenate(([0], np.cumsum(lines.n[at]))).astype(np.int32) * 2
         packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
-        return [lines.template[at], *lines.leaves(at), packed, owner, last]
+        return [lines.template[at], *lines.leaves(at), packed, owner]
 
     return parsed(docs, TEMPLATES, finish)
 
@@ -195,13 +195,13 @@ def alike_owners(found: DataFrame, large: DataFrame) -> DataFrame:
                         lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b")))
     dealt = found.withColumn("leaf", F.explode(F.array("head", "tail"))).join(large, "leaf", "left") \
         .withColumn("c", F.coalesce("c", F.lit(1).cast("long"))).withColumn("cell", F.explode(cells)) \
-        .select("leaf", "cell.a", "cell.b", "h", "codes", "owner", "last")
+        .select("leaf", "cell.a", "cell.b", "h", "codes", "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compared(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-            owners, last, h = (rows.column(c).to_numpy() for c in ("owner", "last", "h"))
+            owners, h = rows.column("owner").to_numpy(), rows.column("h").to_numpy()
             least, codes = owners.copy(), rows.column("codes")
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1 and (h[a:b] != h[a]).any():
@@ -209,7 +209,7 @@ def alike_owners(found: DataFrame, large: DataFrame) -> DataFrame:
                     alike = [c for c in of_leaf if len(c) == len(of_leaf[0])]  # but for a clash of hashes, all
                     if len(alike) == b - a:
                         least[a:b] = least_owners(np.frombuffer(b"".join(alike), "<u2").reshape(b - a, -1), owners[a:b])
-            found = np.flatnonzero(least < last)
+            found = np.flatnonzero(least < owners)
             return pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array(least[found])], ["h", "owner"])
 
         def cut(whole: bool) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     seen = write_through(keys(docs).groupBy("key", "leaf").agg(
         F.count("*").alias("n"), F.min("owner").alias("owner"), F.max("last").alias("last"))
         .where((F.col("owner") < F.col("last")) & (~F.col("leaf") | (F.col("n") > PART))), "templates")
-    large = seen.where("leaf").select(F.col("key").alias("leaf"), F.ceil(F.col("n") / PART).alias("c"))
+    large = write_through(seen.where("leaf").select(F.col("key").alias("leaf"), F.ceil(F.col("n") / PART).alias("c")), "leaves")
     equal = seen.where("not leaf").select(F.col("key").alias("h"), "owner")
     return equal.unionByName(alike_owners(templates(docs), large)).groupBy("h").agg(F.min("owner").alias("owner"))
 
