@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, causal, scans, ticks
+from tidemark import session
+from tidemark.operators import align, bars, causal, ranges, scans, ticks
 from tidemark.operators.blocks import Order, index_rows, running, ticks_order
 
 
@@ -112,7 +113,7 @@ def plain_scan(pdf, scan):
 def test_garch_blocks_equal_one_pass(skewed):
     rows = ticks.log_returns(skewed).select("event_id", "symbol", "rn", "log_ret")
     scan = scans.garch_scan()
-    got = collected(scans.carried_scan(rows, scan, ticks_order(), size=300, warmup=200), list(scan.outputs))
+    got = collected(scans.speculative_scan(rows, scan, ticks_order(), size=300, warmup=200), list(scan.outputs))
     want = plain_scan(rows.toPandas(), scan)
     np.testing.assert_array_equal(got[list(scan.outputs)], want[list(scan.outputs)])
 
@@ -123,7 +124,7 @@ def test_regime_blocks_equal_one_pass(skewed):
               enumerate(scans.REGIME_INPUTS)}
     rows = base.select("event_id", "symbol", "rn", *[c.alias(n) for n, c in inputs.items()])
     scan = scans.regime_scan(window=100)
-    got = collected(scans.carried_scan(rows, scan, ticks_order(), size=300, warmup=200), list(scan.outputs))
+    got = collected(scans.speculative_scan(rows, scan, ticks_order(), size=300, warmup=200), list(scan.outputs))
     want = plain_scan(rows.toPandas(), scan)
     np.testing.assert_allclose(got[list(scan.outputs)], want[list(scan.outputs)], rtol=1e-12)
 
@@ -141,6 +142,65 @@ def test_scan_that_never_forgets_falls_back(skewed):
     np.testing.assert_array_equal(got["total"], want["total"])
 
 
+def test_only_blocks_with_another_state_run_again(spark, monkeypatch):
+    """One symbol holds 90 % of the rows; its state is forgotten at each reset, so few blocks follow a wrong guess."""
+    def run(x, state):
+        out, total = [], state[0]
+        for v in x[:, 0].tolist():
+            total = 0.0 if v < 0 else total + v
+            out.append(total)
+        return np.array(out).reshape(-1, 1), (total,)
+
+    scan = scans.Scan(("v",), ("total",), (0.0,), run)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"event_id": np.arange(6000), "symbol": np.where(np.arange(6000) % 10 > 0, "hot", None),
+                        "v": np.where(rng.random(6000) < 0.01, -1.0, rng.integers(0, 9, 6000)).astype(float)})
+    pdf["rn"] = pdf.groupby("symbol", dropna=False).cumcount() + 1
+    tables = []
+    write = session.write_through
+    monkeypatch.setattr(session, "write_through", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    got = collected(scans.speculative_scan(spark.createDataFrame(pdf), scan, ticks_order(), size=100, warmup=20), ["total"])
+    want = np.empty(len(pdf))
+    for _, g in pdf.groupby("symbol", dropna=False):
+        want[g.index] = run(g[["v"]].to_numpy(), (0.0,))[0][:, 0]
+    np.testing.assert_array_equal(got["total"], want)
+    runs = [t.where("_first").count() for name, t in tables if name == "scan"]
+    assert runs[0] == 60 and 1 < len(runs) < 20 and runs == sorted(runs, reverse=True) and sum(runs[2:]) < 30
+
+
+@pytest.mark.parametrize("spread_ids", [1, 1 << 47])
+def test_logical_clock_whatever_the_distance_of_ids(spark, spread_ids):
+    rng = np.random.default_rng(7)
+    at = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 2000, 5000)) + rng.integers(0, 30, 5000), "ms")
+    pdf = pd.DataFrame({"event_id": np.arange(5000) * spread_ids, "ts": at})
+    got = bars.logical_clock(spark.createDataFrame(pdf)).orderBy("event_id").toPandas()["logical_t"]
+    t, want = 0, []
+    for ms in at.astype("int64") // 10 ** (6 if at.dtype.str.endswith("[ns]") else 3):
+        t = max(t, int(ms) % 2 ** 48) + 1
+        want.append(t)
+    assert got.tolist() == want
+
+
+def test_fusion_of_a_burst_is_dealt_evenly(spark):
+    n = 4000
+    base = spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
+                                 F.col("id").cast("double").alias("mid"))
+    feed = base.where("event_id % 7 = 0").select("event_id", "ts", F.col("event_id").alias("value"))
+    got = align.latest_value_fusion(base, {"f": feed}).orderBy("event_id").collect()
+    assert [r.f for r in got] == [r.event_id // 7 * 7 for r in got] or all(r.f == (n - 1) // 7 * 7 for r in got)
+    parts = ranges.ranged(base.crossJoin(spark.range(1)).drop("id"), [], ["ts"]).groupBy("_part").count().collect()
+    assert max(r["count"] for r in parts) <= 2 * n / len(parts) and len(parts) > 1
+
+
+def test_row_numbers_of_null_and_hot_keys(spark):
+    pdf = pd.DataFrame({"k": ["hot"] * 900 + [None] * 90 + ["x"] * 10, "v": np.random.default_rng(8).permutation(1000) // 3})
+    got = ranges.numbered(spark.createDataFrame(pdf), ["k"], ["v"]).toPandas()
+    for _, g in got.groupby("k", dropna=False):
+        assert sorted(g["place"]) == list(range(len(g))) and set(g["total"]) == {len(g)}
+        assert g.sort_values("place")["v"].is_monotonic_increasing
+    assert ranges.numbered(spark.createDataFrame([], "k string, v long"), ["k"], ["v"]).count() == 0
+
+
 def test_kalman_gain_filter(skewed):
     got = collected(scans.kalman_confidence(skewed.withColumn("obs", F.col("volume") / 50), "obs", ticks_order()),
                     ["confidence"])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.streaming import sinks
 from tidemark.operators import bars, macro, normalize, statements
 from tidemark.operators.blocks import Order
 from tidemark.plans import dossier, news, settle
@@ -102,12 +103,27 @@ def test_statements(spark):
     df = spark.createDataFrame([(1, page), (2, page.replace("rose", "fell"))], ["d", "html"])
     out = df.withColumn("s", text.statement_body(text.strip_html(F.col("html"))))
     order = Order((), ("d",), F.lit(0).cast("long"))
-    got = statements.word_diff(out, "s", order).orderBy("d").collect()
-    assert got[1]["s"] == "Information received since May it fell." and "-rose." in got[1]["diff_prior"]
     changes = statements.word_changes(out, "s", order).orderBy("d").collect()
+    assert changes[1]["s"] == "Information received since May it fell."
     assert changes[1]["added"] == ["fell."] and changes[1]["removed"] == ["rose."]
 
 
+def test_widths_cut_only_when_they_are_given(spark):
+    long = "w" * 60_000
+    raw = spark.createDataFrame([(1.0, "news", json.dumps({"title": long, "text": long, "url": "u"}), long, 1.0),
+                                 (2.0, "sentiment", json.dumps({"title": "t", "text": long}), "s", 1.0)],
+                                "timestamp double, type string, payload string, source string, confidence double")
+    row, cut = normalize.news(raw).first(), normalize.news(raw, 512, 1024).first()
+    assert (row.title, row.text, len(cut.title), len(cut.text)) == (long, long, 512, 1024)
+    assert len(normalize.sentiment(raw).first().text) == 60_002 and len(normalize.sentiment(raw, 512, 1024).first().text) == 1024
+    row = sinks.news_rows(raw).where("url = 'u'").first()
+    cut = sinks.news_rows(raw, {"title": 512, "text": 8192, "source": 64}).where("url = 'u'").first()
+    assert row.text == row.source == long and (len(cut.title), len(cut.text), len(cut.source)) == (512, 8192, 64)
+    body = spark.createDataFrame([(long,)], "t string").select(text.statement_body(F.col("t")).alias("b"),
+                                                               text.statement_body(F.col("t"), width=9).alias("c")).first()
+    assert (body.b, body.c) == (long, long[:9])
+
+
 def test_routing_keeps_bad_rows_aside(spark):
     raw = spark.createDataFrame([
         (1.0, "market", json.dumps({"mid": 10, "bid": 9, "volume": -3}), "s", 1.0),
@@ -127,7 +143,7 @@ def test_logical_clock_equals_loop(spark):
     stamps = [5, 3, 3, 10, 2, 2, 2, 2, 2, 2, 11, 40]
     df = spark.createDataFrame([(i, dt.datetime.fromtimestamp(s / 1000, dt.timezone.utc)) for i, s in enumerate(stamps)],
                                "event_id long, ts timestamp")
-    got = [r["logical_t"] for r in bars.logical_clock(df, chunk_rows=4).orderBy("event_id").collect()]
+    got = [r["logical_t"] for r in bars.logical_clock(df).orderBy("event_id").collect()]
     want, t = [], 0
     for s in stamps:
         t = max(t, s) + 1

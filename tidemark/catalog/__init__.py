@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import WHITE
 from tidemark.views import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,11 @@ def rounded_sql(digits: dict[str, int]) -> str:
                      for c, n in digits.items())
 
 
+def stripped(text: str) -> str:
+    """SQL for a text without any white space at its ends, as `functions.text.strip` takes it off."""
+    return f"trim({text}, '{WHITE}')"
+
+
 def load_all() -> None:
     from tidemark.catalog import (  # noqa: F401
         daily, evaluation, feeds, macro, models, news, scans, similar, stores, streams, text, ticks)

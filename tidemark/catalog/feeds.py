@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.catalog import query, rounded, rounded_sql, with_views
+from tidemark.catalog import query, rounded, rounded_sql, with_views, stripped
 from tidemark.operators import bars, normalize
 from tidemark.sources import feeds, history
 
@@ -93,7 +93,7 @@ def article_lines(spark, sf_dir):
     """One reply per 50 turns of a conversation, one article per turn; assistant turns have no description."""
     talk = views.table(spark, sf_dir, "conversations")
     article = F.struct(
-        F.concat(F.lit(" "), F.substring("text", 1, 80)).alias("title"),
+        F.concat(F.lit(" "), "text").alias("title"),
         F.when(F.col("role") != "assistant", F.col("text")).alias("description"),
         F.concat(F.lit("http://c/"), "conv_id", F.lit("/"), "turn").alias("url"),
         F.concat(F.lit("2024-03-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T12:00:"),
@@ -103,11 +103,10 @@ def article_lines(spark, sf_dir):
         F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("line"))
 
 
-@query("feed_news_articles", """
-SELECT concat('http://c/', conv_id, '/', turn) AS url, trim(substring(text, 1, 80)) AS title,
-  CASE WHEN role = 'assistant' THEN '' ELSE substring(trim(text), 1, 1024) END AS description,
-  md5(trim(concat(' ', substring(text, 1, 80), CASE WHEN role = 'assistant' THEN '' ELSE concat(' ', text) END)))
-    AS text_md5,
+@query("feed_news_articles", f"""
+SELECT concat('http://c/', conv_id, '/', turn) AS url, {stripped("text")} AS title,
+  CASE WHEN role = 'assistant' THEN '' ELSE {stripped("text")} END AS description,
+  md5({stripped("concat(text, CASE WHEN role = 'assistant' THEN '' ELSE concat(' ', text) END)")}) AS text_md5,
   role AS source, epoch_us(TIMESTAMP '2024-03-01 10:00:00' + (conv_id % 28) * INTERVAL 1 DAY
     + (turn % 60) * INTERVAL 1 SECOND) / 1e6 AS timestamp
 FROM conversations""")
@@ -117,8 +116,8 @@ def feed_news_articles(spark, sf_dir):
         "payload.source", "timestamp")
 
 
-@query("feed_gdelt_articles", """
-SELECT concat('http://x/', doc_id) AS url, substring(trim(text), 1, 512) AS title, md5(trim(text)) AS text_md5, source, lang AS language,
+@query("feed_gdelt_articles", f"""
+SELECT concat('http://x/', doc_id) AS url, {stripped("text")} AS title, md5({stripped("text")}) AS text_md5, source, lang AS language,
   epoch_us(TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 17 MINUTE) / 1e6 AS timestamp FROM documents""")
 def feed_gdelt_articles(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").withColumn("ts", F.expr(
@@ -133,27 +132,26 @@ def feed_gdelt_articles(spark, sf_dir):
         "timestamp")
 
 
-@query("feed_forum_posts", """
+@query("feed_forum_posts", f"""
 SELECT CAST(doc_id AS VARCHAR) AS post_id, concat('reddit/', source) AS source, 0.65e0 AS confidence,
-  md5(trim(concat(substring(text, 1, 60), ' ', substring(text, 1, 500)))) AS text_md5, n_chars AS score,
-  CAST(doc_id * 60 AS DOUBLE) AS timestamp
-FROM documents WHERE n_chars <= 180""")
+  md5({stripped("concat(text, ' ', text)")}) AS text_md5, n_chars AS score, CAST(doc_id * 60 AS DOUBLE) AS timestamp
+FROM documents WHERE doc_id * 7919 % 240 <= 180""")
 def feed_forum_posts(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
     msg = F.to_json(F.struct(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("title"),
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"),
         F.col("text").alias("selftext"), F.col("n_chars").alias("score"), F.col("source").alias("subreddit"),
         F.concat(F.lit("/r/"), "source").alias("permalink"), F.lit(0).alias("num_comments"),
         (F.col("doc_id") * 60.0).alias("created_utc")))
-    # The arrival delay in seconds is the text length: only short texts are recent enough.
-    lines = docs.select(msg.alias("line"), (F.col("doc_id") * 60.0 + F.col("n_chars")).alias("received_at"))
+    # Arrival delays of 0 to 239 seconds, whatever the text: a quarter of the posts come too late.
+    lines = docs.select(msg.alias("line"), (F.col("doc_id") * 60.0 + F.col("doc_id") * 7919 % 240).alias("received_at"))
     return feeds.forum_posts(lines, poll_seconds=60).select(
         "payload.post_id", "source", "confidence", F.md5("payload.text").alias("text_md5"),
         "payload.score", "timestamp")
 
 
 @query("feed_short_posts", """
-SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS tweet_id, md5(substring(text, 1, 512)) AS text_md5,
+SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS tweet_id, md5(text) AS text_md5,
   CASE WHEN role = 'user' THEN turn ELSE 0 END AS likes, CAST(0 AS BIGINT) AS retweets,
   epoch_us(TIMESTAMP '2024-05-01 00:00:00' + turn * INTERVAL 1 SECOND) / 1e6 AS timestamp FROM conversations""")
 def feed_short_posts(spark, sf_dir):
@@ -201,14 +199,14 @@ def normalize_market(spark, sf_dir):
                    {"bid": 4, "ask": 4, "mid": 4, "spread": 4})
 
 
-@query("normalize_news", """
-SELECT event_id, trim(props) AS title, trim(props) AS text FROM events WHERE event_type = 'view'""")
+@query("normalize_news", f"""
+SELECT event_id, {stripped("props")} AS title, {stripped("props")} AS text FROM events WHERE event_type = 'view'""")
 def normalize_news(spark, sf_dir):
     return normalize.news(raw_events(spark, sf_dir)).select("event_id", "title", "text")
 
 
-@query("normalize_sentiment", """
-SELECT event_id, concat(trim(props), ' ', trim(props)) AS text, user_id AS likes, CAST(0 AS BIGINT) AS score
+@query("normalize_sentiment", f"""
+SELECT event_id, {stripped(f"concat({stripped('props')}, ' ', {stripped('props')})")} AS text, user_id AS likes, CAST(0 AS BIGINT) AS score
 FROM events WHERE event_type = 'signup'""")
 def normalize_sentiment(spark, sf_dir):
     return normalize.sentiment(raw_events(spark, sf_dir)).select("event_id", "text", "likes", "score")
@@ -326,15 +324,14 @@ def macro_observations(spark, sf_dir):
 
 
 @query("bars_wide_to_long", with_views(["prices_d"], """
-SELECT CAST(date AS VARCHAR) AS date, symbol, open, high, low, close, volume, 'yahoo' AS source FROM prices_d
-WHERE symbol IN ('GC=F', 'SLV')"""))
+SELECT CAST(date AS VARCHAR) AS date, symbol, open, high, low, close, volume, 'yahoo' AS source FROM prices_d"""))
 def bars_wide_to_long(spark, sf_dir):
     p = views.prices_d(spark, sf_dir)
     fields = ["open", "high", "low", "close", "volume"]
+    symbols = [r.symbol for r in p.select("symbol").distinct().orderBy("symbol").collect()]  # as many as wide columns
     wide = p.groupBy("date").agg(*[
-        F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}|{f.capitalize()}")
-        for s in ("GC=F", "SLV") for f in fields])
-    return history.long_bars(wide, ["GC=F", "SLV"]).withColumn("date", F.col("date").cast("string"))
+        F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}|{f.capitalize()}") for s in symbols for f in fields])
+    return history.long_bars(wide, symbols).withColumn("date", F.col("date").cast("string"))
 
 
 @query("fund_flows", with_views(["etf_holdings"], f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.catalog import query, rounded, rounded_sql, with_views
+from tidemark.catalog import query, rounded, rounded_sql, with_views, stripped
 from tidemark.catalog.daily import NEWS_SQL, dated
 from tidemark.plans import news as N
 from tidemark.plans import settle as S
@@ -225,10 +225,10 @@ def raw_news(spark, sf_dir):
         F.to_json(F.struct("url", "title", "text")).alias("payload"), "source", F.lit(1.0).alias("confidence"))
 
 
-@query("news_sink_rows", with_views(["news"], """
+@query("news_sink_rows", with_views(["news"], f"""
 SELECT substring(sha256(concat(url, '|', CAST(epoch_us(ts) // 1000000 AS VARCHAR))), 1, 32) AS id,
-  substring(source, 1, 64) AS source, substring(trim(title), 1, 512) AS title, md5(substring(trim(text), 1, 8192)) AS text_md5 FROM news
-WHERE length(trim(title)) > 0 OR length(trim(text)) > 0"""))
+  source, {stripped("title")} AS title, md5({stripped("text")}) AS text_md5 FROM news
+WHERE {stripped("title")} <> '' OR {stripped("text")} <> ''"""))
 def news_sink_rows(spark, sf_dir):
     from tidemark.streaming.sinks import news_rows
 

@@ -87,8 +87,8 @@ r AS (SELECT l.ids[i] AS event_id, symbol, sqrt(greatest(s2, 1e-12)) AS sigma, w
       FROM step JOIN l USING (symbol))
 SELECT event_id, symbol, {rounded_sql({"sigma": 6, "omega": 6, "alpha": 6, "beta": 6})} FROM r""", recursive=True))
 def garch(spark, sf_dir, **size):
-    out = scans.carried_scan(returns(spark, sf_dir).select("event_id", "symbol", "rn", "log_ret"), scans.garch_scan(),
-                             ticks_order(), **size)
+    out = scans.speculative_scan(returns(spark, sf_dir).select("event_id", "symbol", "rn", "log_ret"), scans.garch_scan(),
+                                 ticks_order(), **size)
     digits = {"sigma": 6, "omega": 6, "alpha": 6, "beta": 6}
     return rounded(out.select("event_id", "symbol", *digits), digits)
 
@@ -131,7 +131,7 @@ SELECT event_id, symbol, regime, {rounded_sql({"regime_confidence": 6})} FROM r"
 def regime_sticky(spark, sf_dir, **size):
     t = T.numbered_ticks(views.ticks(spark, sf_dir))
     rows = t.select("event_id", "symbol", "rn", *[F.expr(e).alias(c) for c, e in FACTORS.items()])
-    out = scans.with_regime(scans.carried_scan(rows, scans.regime_scan(), ticks_order(), **size))
+    out = scans.with_regime(scans.speculative_scan(rows, scans.regime_scan(), ticks_order(), **size))
     return rounded(out.select("event_id", "symbol", "regime", "regime_confidence"), {"regime_confidence": 6})
 
 

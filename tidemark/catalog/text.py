@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import views
-from tidemark.catalog import query, rounded, rounded_sql
+from tidemark.catalog import query, rounded, rounded_sql, stripped
 from tidemark.functions import text as X
 from tidemark.operators import statements
 from tidemark.operators.blocks import Order
@@ -77,8 +77,8 @@ def text_hash(spark, sf_dir):
         "doc_id", X.text_hash(F.col("text")).alias("text_hash"), X.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("usable_text", """
-SELECT doc_id, length(trim(text)) AS chars FROM documents WHERE length(trim(text)) >= 10""")
+@query("usable_text", f"""
+SELECT doc_id, length({stripped("text")}) AS chars FROM documents WHERE length({stripped("text")}) >= 10""")
 def usable_text(spark, sf_dir):
     from tidemark.operators.normalize import usable_text as usable
 
@@ -86,10 +86,9 @@ def usable_text(spark, sf_dir):
     return out.select("doc_id", F.length("body").cast("long").alias("chars"))
 
 
-STRIPPED = r"""
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))
-  AS body FROM pages"""
+STRIPPED = "SELECT page_id, " + stripped(r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')""") \
+  + " AS body FROM pages"
 
 
 @query("html_strip", f"""
@@ -101,8 +100,8 @@ def html_strip(spark, sf_dir):
 
 @query("statement_body", rf"""
 WITH s AS ({STRIPPED}), e AS (SELECT page_id, body,
-  trim(regexp_extract(body, '(?s)(The .+?)(?:Nicht|Que )', 1)) AS part FROM s)
-SELECT page_id, md5(substring(CASE WHEN part = '' THEN body ELSE part END, 1, 50000)) AS statement_md5 FROM e""")
+  {stripped("regexp_extract(body, '(?s)(The .+?)(?:Nicht|Que )', 1)")} AS part FROM s)
+SELECT page_id, md5(CASE WHEN part = '' THEN body ELSE part END) AS statement_md5 FROM e""")
 def statement_body(spark, sf_dir):
     body = views.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
     part = X.statement_body(F.col("body"), "The ", ("Nicht", "Que "))
@@ -126,12 +125,6 @@ def statement_word_changes(spark, sf_dir):
                       F.size("removed").cast("long").alias("removed"))
 
 
-@query("statement_word_diff")
-def statement_word_diff(spark, sf_dir):
-    body = views.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
-    return statements.word_diff(body, "body", page_order()).select("page_id", "diff_prior")
-
-
 _MOODS = ", ".join(f"{n}_share AS {n}" for n in LOCAL)
 
 

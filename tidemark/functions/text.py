@@ -47,6 +47,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def head(c: Column, width: int | None) -> Column:
+    """The first `width` characters; all of them if there is no width."""
+    return c if width is None else F.substring(c, 1, width)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPACE), "")
 
@@ -149,11 +154,11 @@ def strip_html(html: Column) -> Column:
 
 
 def statement_body(text: Column, start: str = "Information received", stop: tuple[str, ...] = (
-        "Voting for", "For media inquiries"), width: int = 50_000) -> Column:
-    """The part between the opening words and the vote or contact line, else all of it."""
+        "Voting for", "For media inquiries"), width: int | None = None) -> Column:
+    """The part between the opening words and the vote or contact line, else all of it; `width` cuts it."""
     pattern = rf"(?s)({start}.+?)(?:{'|'.join(stop)})"
     body = strip(F.regexp_extract(text, pattern, 1))
-    return F.substring(F.coalesce(F.nullif(body, F.lit("")), text), 1, width)
+    return head(F.coalesce(F.nullif(body, F.lit("")), text), width)
 
 
 def added_words(previous: Column, current: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import Order, running, time_chunk
+from tidemark.operators.ranges import ranged_running
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], ts: str, values: list[str],
@@ -100,8 +101,8 @@ def calendar_align(calendar: DataFrame, series: DataFrame, cols: list[str], limi
 
 
 def latest_value_fusion(ticks: DataFrame, feeds: dict[str, DataFrame], ts: str = "ts", tie: str = "event_id",
-                        keys: tuple[str, ...] = (), grain_seconds: int = 3600) -> DataFrame:
-    """At every tick the newest row of each feed (null before the first).
+                        keys: tuple[str, ...] = ()) -> DataFrame:
+    """At every tick the newest row of each feed (null before the first), over ranges of equal size whatever the times.
 
     Feeds have columns ts, value (and the keys, if any); `value` may be a struct. One union and one
     scan serve all feeds.
@@ -118,8 +119,7 @@ def latest_value_fusion(ticks: DataFrame, feeds: dict[str, DataFrame], ts: str =
         part = part.withColumns({f"_f_{n}": F.col("_value") if n == name else F.lit(None).cast(t)
                                  for n, t in types.items()}).drop("_value")
         rows = rows.unionByName(part)
-    order = Order(keys, (ts, "_side", tie), time_chunk(ts, grain_seconds))
-    out = running(rows, order, {n: ("last", F.col(f"_f_{n}")) for n in feeds})
+    out = ranged_running(rows, list(keys), [ts, "_side", tie], {n: ("last", F.col(f"_f_{n}")) for n in feeds})
     return (out.where(F.col("_side") == len(feeds))
             .select(*keys, ts, tie, "_tick.*", *feeds))
 

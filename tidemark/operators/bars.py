@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from tidemark.operators.blocks import Order, running
+from tidemark.operators.ranges import numbered, ranged_running
 
 
 def candles(ticks: DataFrame, duration: str = "60 seconds", keys: tuple[str, ...] = ("symbol",),
@@ -38,18 +38,16 @@ def first_seen(df: DataFrame, key: str | list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*df.columns)
 
 
-def logical_clock(df: DataFrame, ts: str = "ts", arrival: str = "event_id", chunk_rows: int = 65536,
-                  keys: tuple[str, ...] = ()) -> DataFrame:
+def logical_clock(df: DataFrame, ts: str = "ts", arrival: str = "event_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Logical time t = max(t, received) + 1 in arrival order, as a prefix count and a prefix maximum.
 
-    After n events t_n = n + max(0, max over k <= n of (received_k - k + 1)).
+    After n events t_n = n + max(0, max over k <= n of (received_k - k + 1)). Rows are numbered over range partitions
+    of their arrival, so it matters neither how far the arrival numbers lie apart nor whether there are keys.
     """
-    order = Order(keys, (arrival,), F.floor(F.col(arrival) / F.lit(chunk_rows)).cast("long"))
-    received = F.pmod(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1000)).cast("long"),
-                      F.lit(2 ** 48))
-    out = running(df.withColumn("_r", received), order, {"_n": ("count", F.lit(1))})
-    out = running(out, order, {"_m": ("max", F.col("_r") - F.col("_n") + 1)})
-    return out.withColumn("logical_t", F.col("_n") + F.greatest(F.col("_m"), F.lit(0))).drop("_r", "_n", "_m")
+    received = F.pmod(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1000)).cast("long"), F.lit(2 ** 48))
+    rows = numbered(df.withColumn("_r", received), list(keys), [arrival], "_n", "_all")
+    out = ranged_running(rows, list(keys), [arrival, "_n"], {"_m": ("max", F.col("_r") - F.col("_n"))})
+    return out.withColumn("logical_t", F.col("_n") + 1 + F.greatest(F.col("_m"), F.lit(0))).drop("_r", "_n", "_m", "_all")
 
 
 def event_counts(df: DataFrame, kind: str = "type") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import strip
+from tidemark.functions.text import head, strip
 from tidemark.functions.numeric import d
 from tidemark.schemas import PAYLOADS
 
@@ -33,8 +33,8 @@ CATEGORIES = ["FED_RATE", "CPI", "UNEMPLOYMENT", "YIELD_10Y", "YIELD_2Y", "USD_I
 DEFAULT_IMPACT = ("OTHER", 0.40)
 
 
-def text_or_empty(c: Column, width: int) -> Column:
-    return F.substring(strip(F.coalesce(c, F.lit(""))), 1, width)
+def text_or_empty(c: Column, width: int | None) -> Column:
+    return head(strip(F.coalesce(c, F.lit(""))), width)
 
 
 def given(name: str) -> Column:
@@ -74,27 +74,29 @@ def market(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("p.exchange"), F.lit("")).alias("exchange"))
 
 
-def news(raw: DataFrame) -> DataFrame:
+def news(raw: DataFrame, title_width: int | None = None, text_width: int | None = None) -> DataFrame:
+    """News events: whole titles and texts unless widths are given; a blank text is title and description."""
     rows = parsed(raw, "news")
-    title, desc = text_or_empty(F.col("p.title"), 512), text_or_empty(F.col("p.description"), 1024)
+    title, desc = text_or_empty(F.col("p.title"), title_width), text_or_empty(F.col("p.description"), text_width)
     body = F.coalesce(F.nullif(F.col("p.text"), F.lit("")), F.concat(title, F.lit(" "), desc))
     empty = F.lit("")
     return rows.select(
-        *_head(raw), title.alias("title"), F.substring(strip(body), 1, 1024).alias("text"),
+        *_head(raw), title.alias("title"), head(strip(body), text_width).alias("text"),
         F.coalesce("p.source", empty).alias("news_source"), F.coalesce("p.url", empty).alias("url"),
         F.coalesce("p.author", empty).alias("author"))
 
 
-def sentiment(raw: DataFrame) -> DataFrame:
+def sentiment(raw: DataFrame, title_width: int | None = None, text_width: int | None = None) -> DataFrame:
+    """Posts: title and text joined, whole unless widths are given."""
     rows = parsed(raw, "sentiment")
-    title, body = text_or_empty(F.col("p.title"), 512), text_or_empty(F.col("p.text"), 1024)
+    title, body = text_or_empty(F.col("p.title"), title_width), text_or_empty(F.col("p.text"), text_width)
 
     def counter(name: str) -> Column:
         value = F.col(f"p.{name}")
         return F.when(value.isNull() | (value == ""), F.lit(0)).otherwise(value.try_cast("long")).alias(name)
 
     return rows.select(
-        *_head(raw), F.substring(strip(F.concat(title, F.lit(" "), body)), 1, 1024).alias("text"),
+        *_head(raw), head(strip(F.concat(title, F.lit(" "), body)), text_width).alias("text"),
         counter("score"), F.coalesce("p.subreddit", F.lit("")).alias("subreddit"),
         counter("likes"), counter("retweets"))
 

@@ -2,10 +2,11 @@
 
 Linear filters whose gains do not depend on the data are weighted running sums, so they stay window
 expressions over blocks. Recursions that do depend on the data (variance with adapting parameters,
-sticky regimes) run block by block in Arrow batches: each block starts a warm-up stretch earlier from
-the initial state, which such recursions forget. Whether a block's state really met the one its
-predecessor ended in is checked bit by bit; a key where it did not is run again in one ordered pass,
-streamed in bounded memory.
+sticky regimes) run block by block in Arrow batches: all blocks at once from a guessed state, which a
+warm-up stretch before the block gives. Then the state that each block ended in is handed on to the next,
+and only blocks whose incoming state changed by a bit run again, until none does (`speculative_scan`).
+Sessions, which never forget within a day, are checked alike, and a key that fails is run in one ordered
+pass, streamed in bounded memory (`carried_scan`).
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def carried_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384, war
     from tidemark.session import write_through
 
     keys = list(order.keys)
-    fast = write_through(_block_scan(df, scan, keys, size, max(warmup, scan.lookback) + scan.lookback), "scan")
+    rows = with_blocks(df, size, max(warmup, scan.lookback) + scan.lookback)
+    fast = write_through(_run_blocks(rows.withColumn("_in", F.lit(None).cast("array<double>")), scan, keys, df.columns), "scan")
     ends = fast.where("_first OR _last").select(
         *keys, BLOCK, F.when(F.col("_first"), F.col("_before")).alias("s"), F.when(F.col("_last"), F.col("_after")).alias("e"))
     blocks = ends.groupBy(*keys, BLOCK).agg(F.max("s").alias("s"), F.max("e").alias("e"))
@@ -150,46 +152,101 @@ def carried_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384, war
     return kept.unionByName(again)
 
 
-def _matrix(pdf: pd.DataFrame, scan: Scan) -> np.ndarray:
-    return pdf[list(scan.inputs)].to_numpy(dtype=np.float64)
-
-
-def _prepared(x: np.ndarray, rn: np.ndarray, scan: Scan) -> np.ndarray:
-    return scan.prepare(x, rn) if scan.prepare else x
+def speculative_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384, warmup: int = 2048) -> DataFrame:
+    """Run a scan over numbered rows (`rn`), adding its outputs; equal to one pass from the first row of a key.
 
+    Round 0 runs every block from the state that a warm-up before it leads to. A table of one row per block holds the
+    state before and after it; in each further round the blocks whose predecessor now ends in another state than they
+    began with run again from that state, and nothing else. After round n the first n blocks of a key are settled, so it
+    ends, and as soon as the recursion forgets a wrong guess within a block, it ends after that one round. No task holds
+    more than a block and what it looks back on. Null keys are keys of their own.
+    """
+    from tidemark.session import write_through
 
-def _block_scan(df: DataFrame, scan: Scan, keys: list[str], size: int, behind: int) -> DataFrame:
+    keys = list(order.keys)
+    rows = write_through(with_blocks(df, size, max(warmup, scan.lookback) + scan.lookback), "scan-rows")
+    none = F.lit(None).cast("array<double>")
+    rounds = [write_through(_run_blocks(rows.withColumn("_in", none), scan, keys, df.columns), "scan")]
+    states = write_through(_states_of(rounds[0], keys, 0), "states")
+    before = Window.partitionBy(*keys).orderBy(BLOCK)  # one row per block
+    while True:
+        changed = states.withColumn("_in", F.lag("_after").over(before)) \
+            .where(F.col("_in").isNotNull() & (F.col("_in") != F.col("_before"))).select(*keys, BLOCK, "_in")
+        changed = write_through(changed, "changed")
+        if changed.isEmpty():
+            break
+        again = _joined(rows, changed, [*keys, BLOCK], ["_in"], "inner")
+        rounds.append(write_through(_run_blocks(again, scan, keys, df.columns), "scan"))
+        new = _states_of(rounds[-1], keys, len(rounds) - 1)
+        kept = _joined(states, new.select(*keys, BLOCK), [*keys, BLOCK], [], "left_anti")
+        states = write_through(kept.unionByName(new), "states")
+    last = states.select(*keys, BLOCK, "_round")
+    results = rounds[0].withColumn("_at", F.lit(0))
+    for n, part in enumerate(rounds[1:], 1):
+        results = results.unionByName(part.withColumn("_at", F.lit(n)))
+    if len(rounds) > 1:
+        results = _joined(results, last, [*keys, BLOCK], ["_round"], "inner").where("_at = _round")
+    return results.select(*df.columns, *scan.outputs)
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], add: list[str], how: str) -> DataFrame:
+    """`left` joined on columns that may be null, with the columns `add` of `right`."""
+    other = right.select(*[F.col(c).alias(f"_of_{c}") for c in on], *add)
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = left.join(other, same, how)
+    return out.drop(*[f"_of_{c}" for c in on]) if how == "inner" else out
+
+
+def _states_of(results: DataFrame, keys: list[str], number: int) -> DataFrame:
+    return results.where("_first OR _last").groupBy(*keys, BLOCK).agg(
+        F.max("_before").alias("_before"), F.max("_after").alias("_after")).withColumn("_round", F.lit(number))
+
+
+def _run_blocks(rows: DataFrame, scan: Scan, keys: list[str], columns: list[str]) -> DataFrame:
+    """Each block of `rows` from its state `_in`, or from the start through its copied rows where that is null."""
     state = "array<double>"
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns]
     schema = ", ".join([*fields, f"{BLOCK} bigint", *[f"{o} double" for o in scan.outputs],
                         "_first boolean", "_last boolean", f"_before {state}", f"_after {state}"])
-    columns = df.columns
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", kind="stable").reset_index(drop=True)
         rn = pdf["rn"].to_numpy()
         x = _prepared(_matrix(pdf, scan), rn, scan)
         n_halo = int(pdf[HALO].sum())  # copies precede the own rows
-        # Prepared inputs are complete only after the lookback; earlier copies serve them alone.
-        skip = 0 if rn[0] == 1 else min(scan.lookback, n_halo)
-        state = scan.start
-        if n_halo > skip:
-            _, state = scan.run(x[skip:n_halo], state)
-        before = list(state)
+        given = pdf["_in"].iloc[0]
+        if given is not None:
+            state = tuple(float(v) for v in given)
+        else:
+            # Prepared inputs are complete only after the lookback; earlier copies serve them alone.
+            skip, state = 0 if rn[0] == 1 else min(scan.lookback, n_halo), scan.start
+            if n_halo > skip:
+                _, state = scan.run(x[skip:n_halo], state)
         own = pdf.iloc[n_halo:]
+        names = [*columns, BLOCK, *scan.outputs, "_first", "_last", "_before", "_after"]
         if own.empty:
-            return pd.DataFrame(columns=[*columns, BLOCK, *scan.outputs, "_first", "_last", "_before", "_after"])
-        values, state = scan.run(x[n_halo:], state)
+            return pd.DataFrame(columns=names)
+        values, after = scan.run(x[n_halo:], state)
         out = own[[*columns, BLOCK]].copy()
         for i, name in enumerate(scan.outputs):
             out[name] = values[:, i]
         m = len(out)
         out["_first"], out["_last"] = np.arange(m) == 0, np.arange(m) == m - 1
-        out["_before"] = [before if i == 0 else None for i in range(m)]
-        out["_after"] = [list(state) if i == m - 1 else None for i in range(m)]
+        out["_before"] = [list(state) if i == 0 else None for i in range(m)]
+        out["_after"] = [list(after) if i == m - 1 else None for i in range(m)]
         return out
 
-    return spread(with_blocks(df, size, behind), *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(block, schema)
+    return spread(rows, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(block, schema)
+
+
+def _matrix(pdf: pd.DataFrame, scan: Scan) -> np.ndarray:
+    return pdf[list(scan.inputs)].to_numpy(dtype=np.float64)
+
+
+def _prepared(x: np.ndarray, rn: np.ndarray, scan: Scan) -> np.ndarray:
+    return scan.prepare(x, rn) if scan.prepare else x
 
 
 def _ordered_scan(df: DataFrame, scan: Scan, keys: list[str], like: DataFrame) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import added_words
 from tidemark.operators.blocks import Order, block_window, index_rows, own_rows, with_blocks
 
-DIFF_LINES = 200  # the report keeps this many diff lines
-
 
 def with_previous(df: DataFrame, text: str, order: Order, size: int = 1024) -> DataFrame:
     """Add `previous`, the text before this one in order ('' at the start)."""
@@ -27,16 +24,3 @@ def word_changes(df: DataFrame, text: str, order: Order) -> DataFrame:
         "removed": F.filter(added_words(F.col(text), F.col("previous")), lambda w: w != ""),
     })
 
-
-def word_diff(df: DataFrame, text: str, order: Order) -> DataFrame:
-    """Unified diff of the word lists without context, its first 200 lines as text."""
-    @F.pandas_udf("string")
-    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
-        import difflib
-        from itertools import islice
-
-        return pd.Series(["\n".join(islice(difflib.unified_diff(a.split(), b.split(), lineterm="", n=0), DIFF_LINES))
-                          for a, b in zip(before, after)])
-
-    out = with_previous(df, text, order)
-    return out.withColumn("diff_prior", diff(F.col("previous"), F.coalesce(F.col(text), F.lit(""))))

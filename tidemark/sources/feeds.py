@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import strip
+from tidemark.functions.text import head, strip
 from tidemark.functions.numeric import d
 from tidemark.schemas import RAW_EVENT
 
@@ -45,8 +45,8 @@ def _words(*parts: Column) -> Column:
     return strip(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
-def _cut(c: Column, width: int) -> Column:
-    return F.substring(strip(F.coalesce(c, F.lit(""))), 1, width)
+def _cut(c: Column, width: int | None) -> Column:
+    return head(strip(F.coalesce(c, F.lit(""))), width)
 
 
 def iso_seconds(c: Column) -> Column:
@@ -104,42 +104,44 @@ def _articles(df: DataFrame, line: str, article: str, status: bool) -> DataFrame
     return df.withColumn("a", F.explode("m.articles"))
 
 
-def news_articles(df: DataFrame, line: str = "line") -> DataFrame:
+def news_articles(df: DataFrame, line: str = "line", title_width: int | None = None, text_width: int | None = None) -> DataFrame:
+    """Articles of a news search; titles and descriptions are whole unless widths are given."""
     df = _articles(df, line, "title:string, description:string, url:string, author:string, publishedAt:string, "
                              "source:struct<name:string>", True)
     blank = F.lit("")
     return _event(df, line, iso_seconds(F.col("a.publishedAt")), "news", [
-        _cut(F.col("a.title"), 512).alias("title"), _cut(F.col("a.description"), 1024).alias("description"),
+        _cut(F.col("a.title"), title_width).alias("title"), _cut(F.col("a.description"), text_width).alias("description"),
         _words(F.col("a.title"), F.col("a.description")).alias("text"),
         F.coalesce("a.source.name", blank).alias("source"), F.coalesce("a.url", blank).alias("url"),
         F.coalesce("a.author", blank).alias("author")], "newsapi", 0.85)
 
 
-def gdelt_articles(df: DataFrame, line: str = "line") -> DataFrame:
+def gdelt_articles(df: DataFrame, line: str = "line", title_width: int | None = None) -> DataFrame:
     df = _articles(df, line, "title:string, url:string, domain:string, language:string, seendate:string", False)
     blank = F.lit("")
     return _event(df, line, compact_seconds(F.col("a.seendate")), "news", [
-        _cut(F.col("a.title"), 512).alias("title"), strip(F.coalesce("a.title", blank)).alias("text"),
+        _cut(F.col("a.title"), title_width).alias("title"), strip(F.coalesce("a.title", blank)).alias("text"),
         F.coalesce("a.domain", blank).alias("source"), F.coalesce("a.url", blank).alias("url"),
         F.coalesce("a.language", blank).alias("language")], "gdelt", 0.70)
 
 
-def forum_posts(df: DataFrame, line: str = "line", received: str = "received_at", poll_seconds: float = 60) -> DataFrame:
-    """Posts no older than three polling intervals at arrival."""
+def forum_posts(df: DataFrame, line: str = "line", received: str = "received_at", poll_seconds: float = 60,
+                title_width: int | None = None, body_width: int | None = None) -> DataFrame:
+    """Posts no older than three polling intervals at arrival; whole titles and bodies unless widths are given."""
     df = _json(df, line, "id string, title string, selftext string, score long, subreddit string, "
                          "permalink string, num_comments long, created_utc double")
     df = df.where(F.col(received).cast("double") - F.col("m.created_utc") <= 3 * poll_seconds)
     return _event(df, line, F.col("m.created_utc"), "sentiment", [
-        F.substring("m.title", 1, 512).alias("title"),
-        _words(F.col("m.title"), F.substring("m.selftext", 1, 500)).alias("text"),
+        head(F.col("m.title"), title_width).alias("title"),
+        _words(F.col("m.title"), head(F.col("m.selftext"), body_width)).alias("text"),
         F.col("m.score").alias("score"), F.col("m.subreddit").alias("subreddit"),
         F.concat(F.lit("https://reddit.com"), "m.permalink").alias("url"),
         F.col("m.num_comments").alias("num_comments"), F.col("m.id").alias("post_id")],
         F.concat(F.lit("reddit/"), F.col("m.subreddit")), 0.65, (received,))
 
 
-def short_posts(df: DataFrame, line: str = "line", since_id: int | None = None) -> DataFrame:
-    """Search replies of short posts; `since_id` drops posts already read (batch high-water mark)."""
+def short_posts(df: DataFrame, line: str = "line", since_id: int | None = None, text_width: int | None = None) -> DataFrame:
+    """Search replies of short posts, whole unless a width is given; `since_id` drops posts already read."""
     count = "like_count:long, retweet_count:long, reply_count:long, impression_count:long"
     df = _json(df, line, f"data array<struct<id:string, text:string, created_at:string, "
                          f"public_metrics:struct<{count}>>>").withColumn("a", F.explode("m.data"))
@@ -148,7 +150,7 @@ def short_posts(df: DataFrame, line: str = "line", since_id: int | None = None)
     zero = F.lit(0).cast("long")
     metric = lambda n: F.coalesce(F.col(f"a.public_metrics.{n}"), zero)
     return _event(df, line, iso_seconds(F.col("a.created_at")), "sentiment", [
-        F.substring(F.coalesce("a.text", F.lit("")), 1, 512).alias("text"),
+        head(F.coalesce("a.text", F.lit("")), text_width).alias("text"),
         F.coalesce("a.id", F.lit("")).alias("tweet_id"), metric("like_count").alias("likes"),
         metric("retweet_count").alias("retweets"), metric("reply_count").alias("replies"),
         metric("impression_count").alias("impressions")], "twitter", 0.60)

@@ -8,27 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.text import news_id, strip
+from tidemark.functions.text import head, news_id, strip
 from tidemark.sources.lake import Lake
 
 NEWS = "url string, title string, text string"
 
 
-def news_rows(raw: DataFrame) -> DataFrame:
-    """Rows of the news table from raw news and sentiment events; events without any text are dropped."""
+def news_rows(raw: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
+    """Rows of the news table from raw news and sentiment events; events without any text are dropped.
+
+    `widths` cuts the columns url, source, title, text and raw_json that it names; the others are kept whole.
+    """
+    most = (widths or {}).get
     m = raw.where(F.col("type").isin("news", "sentiment")).withColumn("m", F.from_json("payload", NEWS))
 
-    def cut(name: str, width: int) -> Column:
-        return F.substring(strip(F.coalesce(F.col(f"m.{name}"), F.lit(""))), 1, width)
+    def cut(name: str) -> Column:
+        return head(strip(F.coalesce(F.col(f"m.{name}"), F.lit(""))), most(name)).alias(name)
 
-    rows = m.select("timestamp", "source", "payload", cut("url", 1024).alias("url"), cut("title", 512).alias("title"),
-                    cut("text", 8192).alias("text"))
+    rows = m.select("timestamp", "source", "payload", cut("url"), cut("title"), cut("text"))
     rows = rows.where((F.col("title") != "") | (F.col("text") != ""))
     fallback = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("text"))
     return rows.select(
         news_id(F.col("url"), F.floor("timestamp"), fallback).alias("id"),
-        F.timestamp_seconds("timestamp").alias("ts"), F.substring("source", 1, 64).alias("source"),
-        "url", "title", "text", F.substring("payload", 1, 32 * 1024).alias("raw_json"))
+        F.timestamp_seconds("timestamp").alias("ts"), head(F.col("source"), most("source")).alias("source"),
+        "url", "title", "text", head(F.col("payload"), most("raw_json")).alias("raw_json"))
 
 
 def start_news_sink(raw: DataFrame, lake: Lake, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
