@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from tidemark.operators.ranges import numbered, ranged_running
+from tidemark.operators.ranges import per_range, ranged
 
 
 def candles(ticks: DataFrame, duration: str = "60 seconds", keys: tuple[str, ...] = ("symbol",),
@@ -41,13 +41,22 @@ def first_seen(df: DataFrame, key: str | list[str], by: list[str]) -> DataFrame:
 def logical_clock(df: DataFrame, ts: str = "ts", arrival: str = "event_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Logical time t = max(t, received) + 1 in arrival order, as a prefix count and a prefix maximum.
 
-    After n events t_n = n + max(0, max over k <= n of (received_k - k + 1)). Rows are numbered over range partitions
-    of their arrival, so it matters neither how far the arrival numbers lie apart nor whether there are keys.
+    After n events t_n = n + max(0, max over k <= n of (received_k - k + 1)). Rows are dealt to ranges of their
+    arrival once; a table of one row per range carries number and maximum on, so it matters neither how far the arrival
+    numbers lie apart nor whether there are keys.
     """
     received = F.pmod(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1000)).cast("long"), F.lit(2 ** 48))
-    rows = numbered(df.withColumn("_r", received), list(keys), [arrival], "_n", "_all")
-    out = ranged_running(rows, list(keys), [arrival, "_n"], {"_m": ("max", F.col("_r") - F.col("_n"))})
-    return out.withColumn("logical_t", F.col("_n") + 1 + F.greatest(F.col("_m"), F.lit(0))).drop("_r", "_n", "_m", "_all")
+    ahead = F.col("_r") - F.col("_row")
+    rows = ranged(df.withColumn("_r", received), list(keys), [arrival])
+    parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"), F.max(ahead).alias("_m"))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    carried = shift.withColumn("_before", F.max(F.col("_m") - F.col("_shift")).over(before))
+    inside = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    out = per_range(rows.withColumn("_l", F.max(ahead).over(inside)), carried, list(keys), ["_shift", "_before"])
+    most = F.greatest(F.col("_l") - F.col("_shift"), F.col("_before"), F.lit(0))
+    return out.withColumn("logical_t", F.col("_row") + F.col("_shift") + 1 + most).select(*df.columns, "logical_t")
 
 
 def event_counts(df: DataFrame, kind: str = "type") -> DataFrame:

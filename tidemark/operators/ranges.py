@@ -21,6 +21,15 @@ def ranged(df: DataFrame, keys: list[str], order: list[str | Column], name: str
     return write_through(cut.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), name)
 
 
+def per_range(rows: DataFrame, parts: DataFrame, keys: list[str], add: list[str]) -> DataFrame:
+    """`rows` of `ranged` with columns of a table that has one row per key and partition; null is a key of its own."""
+    of = parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of"), *add)
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(of, same)
+
+
 def ranged_running(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, tuple[str, Column]]) -> DataFrame:
     """Prefix aggregates up to and including each row, in the order of a key's rows over range partitions.
 
@@ -38,17 +47,12 @@ def ranged_running(df: DataFrame, keys: list[str], order: list[str], totals: dic
          else getattr(F, kind)(f"_v_{name}")).alias(f"_c_{name}") for name, (kind, _) in totals.items()])
     key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of"),
-                           *[merge[kind](F.col(f"_c_{name}")).over(before).alias(f"_p_{name}")
-                             for name, (kind, _) in totals.items()])
+    carried = parts.withColumns({f"_p_{name}": merge[kind](F.col(f"_c_{name}")).over(before) for name, (kind, _) in totals.items()})
     inside = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.repartitionByRange(n, "_part").withColumns({
         f"_l_{name}": (merge["last"](F.col(f"_v_{name}")) if kind == "last" else getattr(F, kind)(f"_v_{name}")).over(inside)
         for name, (kind, _) in totals.items()})
-    same = F.col("_part") == F.col("_of")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    out = local.join(carried, same)
+    out = per_range(local, carried, keys, [f"_p_{name}" for name in totals])
     for name, (kind, _) in totals.items():
         here, prior = F.col(f"_l_{name}"), F.col(f"_p_{name}")
         out = out.withColumn(name, F.coalesce(here, prior) if kind == "last" else F.greatest(here, prior) if kind == "max"
@@ -65,10 +69,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], place: s
     parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_n").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"),
-                          (before - F.col("_first")).alias("_shift"), F.sum("_n").over(key).alias(total))
-    same = F.col("_part") == F.col("_of")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(shifts, same).withColumn(place, F.col("_row") + F.col("_shift")) \
+    shifts = parts.withColumns({"_shift": before - F.col("_first"), total: F.sum("_n").over(key)})
+    return per_range(rows, shifts, keys, ["_shift", total]).withColumn(place, F.col("_row") + F.col("_shift")) \
         .select(*df.columns, place, total)

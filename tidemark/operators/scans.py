@@ -164,15 +164,15 @@ def speculative_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384,
     from tidemark.session import write_through
 
     keys = list(order.keys)
-    rows = write_through(with_blocks(df, size, max(warmup, scan.lookback) + scan.lookback), "scan-rows")
     none = F.lit(None).cast("array<double>")
+    rows = with_blocks(df, size, max(warmup, scan.lookback) + scan.lookback)
     rounds = [write_through(_run_blocks(rows.withColumn("_in", none), scan, keys, df.columns), "scan")]
+    rows = with_blocks(rounds[0].select(*df.columns), size, scan.lookback)  # a given state needs no warm-up
     states = write_through(_states_of(rounds[0], keys, 0), "states")
     before = Window.partitionBy(*keys).orderBy(BLOCK)  # one row per block
     while True:
         changed = states.withColumn("_in", F.lag("_after").over(before)) \
             .where(F.col("_in").isNotNull() & (F.col("_in") != F.col("_before"))).select(*keys, BLOCK, "_in")
-        changed = write_through(changed, "changed")
         if changed.isEmpty():
             break
         again = _joined(rows, changed, [*keys, BLOCK], ["_in"], "inner")
