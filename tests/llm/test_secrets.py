@@ -30,8 +30,8 @@ def test_base_spans():
 
 
 def placed(text):
-    base, spans, unscanned = secrets.find(text)
-    assert not unscanned and set(base) <= set(spans)
+    base, spans = secrets.find(text)
+    assert set(base) <= set(spans)
     return set(spans) - set(base)
 
 
@@ -51,9 +51,70 @@ def test_layers():
     assert any(s[0] == 2 and s[2] == 2 + len(twice) for s in placed("n " + twice))
 
 
-def test_bombs_are_counted():
-    bomb = base64.b64encode(gzip.compress(b"a" * 3_000_000)).decode()
-    assert secrets.find("b " + bomb, most=100_000)[2] == 1
+def encoded(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_no_byte_hides_a_layer():
+    packed = gzip.compress(random.Random(1).randbytes(300) + f" {KEY} ".encode())
+    wrapped = "\n".join(encoded(packed)[i:i + 76] for i in range(0, len(encoded(packed)), 76))
+    for inner in (encoded(f"\u00a0{KEY}".encode()), encoded(f"\ufeff{KEY}".encode()), encoded(f"caf\xe9 {KEY}".encode("latin-1")),
+                  encoded(KEY.encode("utf-16")), encoded(b"\x1b\x0c" + KEY.encode()), wrapped, wrapped.replace("\n", "\r\n"),
+                  "path/" + encoded(KEY.encode()), "a_path/" + encoded(packed), "Attachment\n" + wrapped + "\nEnd of it"):
+        found = placed("see " + inner + " there")
+        assert found and all(a >= 4 and k == 0 and b <= 4 + len(inner) for a, k, b in found), inner
+    assert {s[1] for s in placed("%FF%70assword=" + KEY[9:])} == {0}
+    assert {s[1] for s in placed("\\ud800\\u0070assword=" + KEY[9:])} == {0}
+
+
+def test_long_streams_are_scanned_to_their_end():
+    bomb = encoded(gzip.compress(b"z " * (2 * secrets.WINDOW) + f" {KEY} ".encode() + b"b" * 10))
+    assert placed("b " + bomb) == {(2, 0, 2 + len(bomb))}
+    edge = encoded(gzip.compress(b"z " * (secrets.WINDOW // 2 - 6) + f" {KEY} ".encode() + b"b" * 10))
+    assert placed("b " + edge) == {(2, 0, 2 + len(edge))}
+    deep = gzip.compress(KEY.encode())
+    for _ in range(40):
+        deep = gzip.compress(deep)
+    assert placed("d " + encoded(deep)) == {(2, 0, 2 + len(encoded(deep)))}
+
+
+def unwrapped(text):
+    """All layers by the plain rule: every escape run of a line read, every part of a word read as base64 and unpacked."""
+    out = []
+    for line in text.split("\n"):
+        plain = re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), line)
+        plain = re.sub(r"(?:\\u[0-9A-Fa-f]{4})+", lambda m: bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be", "replace"), plain)
+        out += [plain] if plain != line else []
+    for word in re.findall(r"[A-Za-z0-9+/]{16,}", text):
+        for i in range(4):
+            code = word[i:][:len(word[i:]) // 4 * 4 + (len(word[i:]) % 4 if len(word[i:]) % 4 > 1 else 0)]
+            raw = base64.b64decode(code + "=" * (-len(code) % 4))
+            out.append(raw.decode("utf-8", "replace"))
+            for form in (31, 15):
+                try:
+                    out.append(zlib.decompress(raw, form).decode("utf-8", "replace"))
+                except zlib.error:
+                    pass
+    return out
+
+
+def brute_kinds(text, seen):
+    if text in seen:
+        return set()
+    seen.add(text)
+    return {(k, text[a:b]) for a, k, b in brute(text)}.union(*[brute_kinds(t, seen) for t in unwrapped(text)])
+
+
+def test_nested_layers_against_plain_unwrapping():
+    rng = random.Random(9)
+    wraps = [lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: encoded(t.encode()),
+             lambda t: encoded(gzip.compress(t.encode(), mtime=0)), lambda t: encoded(zlib.compress(t.encode()))]
+    for _ in range(150):
+        inner = rng.choice([KEY, "AKIA" + "QZ7" * 6, "0123456789abcdef77", "plain words only", "token: " + "k" * 11])
+        text = inner
+        for _ in range(rng.randint(1, 4)):
+            text = rng.choice(["", "x ", "say "]) + rng.choice(wraps)(text) + rng.choice(["", " end"])
+        assert {s[1] for s in secrets.find(text)[1]} == {k for k, _ in brute_kinds(text, set())}, text
 
 
 def test_frames(frame):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 HEX_MARKS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 ESCAPED_LINE = re.compile(r"[^\n]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})[^\n]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters of all layers of one document; what goes beyond is counted as unscanned, against bombs.
-LAYER_CHARS = 1 << 26
+#: A run of base64, which may go on over lines that hold nothing else.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+(?==*[ \t]*(?:\r?\n|$)))*)={0,2}")
+LONG_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+STANDARD = str.maketrans("-_", "+/", " \t\r\n=")
+#: Bytes of an unpacked stream that are scanned at once, and how far two such windows overlap.
+WINDOW, OVERLAP = 1 << 22, 1 << 16
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-SCHEMA = f"doc_id long, base {SPANS}, spans {SPANS}, unscanned int"
+SCHEMA = f"doc_id long, base {SPANS}, spans {SPANS}"
 
 Span = tuple[int, int, int]
 
@@ -44,53 +49,84 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
-def unescaped(run: str) -> str | None:
-    """What one run of URL, Unicode or byte escapes stands for; None if it stands for no text."""
-    try:
-        if run[0] == "%":
-            return bytes.fromhex(run.replace("%", "")).decode()
-        if run[1] == "u":
-            return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-        return bytes.fromhex(run.replace("\\x", "")).decode()
-    except UnicodeDecodeError:
-        return None
-
-
-def opened(run: str, most: int) -> str | None:
-    """The text in a run of base64, unpacked if it was compressed; None if there is none, '' if it is over `most`."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    for _ in range(64):
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
+def unescaped(run: str) -> str:
+    """What one run of URL, Unicode or byte escapes stands for; what is no text in it becomes U+FFFD."""
+    if run[0] == "%":
+        return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
+    if run[1] == "u":
+        return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace")
+    return bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "replace")
+
+
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The parts of a compressed stream, in bounded memory; what follows its end or a fault is left out."""
+    unpack = zlib.decompressobj(47)
+    for data in chunks:
+        while not unpack.eof:
             try:
-                unpack = zlib.decompressobj(47)
-                raw = unpack.decompress(raw, most + 1)
+                part = unpack.decompress(data, WINDOW)
             except zlib.error:
+                return
+            if part:
+                yield part
+            data = unpack.unconsumed_tail
+            if not data and len(part) < WINDOW:
                 break
-            if len(raw) > most:
-                return ""
-        else:
-            break
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def layers(text: str, most: int) -> Iterator[tuple[str, list[int] | None, list[int] | None, int, int]]:
+def windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    tail = b""
+    for chunk in chunks:
+        yield tail + chunk
+        tail = (tail + chunk)[-OVERLAP:]
+
+
+def contents(raw: bytes) -> Iterator[bytes]:
+    """The bytes themselves, then window by window what any compressed stream in them unpacks to, however deep."""
+    yield raw
+    for m in PACKED.finditer(raw):
+        stream, seen = inflated(iter([raw[m.start():]])), set()
+        first = next(stream, None)
+        while first is not None and PACKED.match(first) and (key := digest(first)) not in seen:
+            seen.add(key)  # a stream that unpacks to itself ends here
+            stream = inflated(chain([first], stream))
+            first = next(stream, None)
+        if first is not None:
+            yield from windows(chain([first], stream))
+
+
+def digest(data: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(data)
+
+
+def promising(raw: bytes) -> bool:
+    """Whether anything in there may be a secret or a further layer."""
+    low = raw.lower()
+    return b"%" in raw or b"\\" in raw or b"AKIA" in raw or any(n.encode() in low for n in NAMES) \
+        or LONG_RUN.search(raw) is not None
+
+
+def opened(run: str) -> Iterator[str]:
+    """The texts in a run of base64, whichever of its characters is the first of the code.
+
+    Bytes that are no UTF-8 don't hide the others, and neither do the zeros of wide characters.
+    """
+    body = run.translate(STANDARD)
+    for shift in range(4):
+        code = body[shift:len(body) - ((len(body) - shift) % 4 == 1)]
+        for raw in contents(base64.b64decode(code + "=" * (-len(code) % 4))):
+            for plain in (raw, raw.replace(b"\0", b"")) if b"\0" in raw else (raw,):
+                if promising(plain):
+                    yield plain.decode("utf-8", "replace")
+
+
+def layers(text: str) -> Iterator[tuple[str, list[int] | None, list[int] | None, int, int]]:
     """What is wrapped in `text`: (layer, begins, ends, start, end); begins and ends map each character if known."""
     if "%" in text or "\\" in text:
         for line in ESCAPED_LINE.finditer(text):
             out, begins, ends, at, hit = [], [], [], line.start(), False
             for m in ESCAPE.finditer(text, line.start(), line.end()):
-                plain = unescaped(m[0])
-                if plain is None:
-                    continue
-                hit = True
+                plain, hit = unescaped(m[0]), True
                 out += text[at:m.start()], plain
                 begins += [*range(at, m.start()), *[m.start()] * len(plain)]
                 ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(plain)]
@@ -102,43 +138,45 @@ def layers(text: str, most: int) -> Iterator[tuple[str, list[int] | None, list[i
                 yield "".join(out), begins, ends, line.start(), line.end()
     if any(len(w) >= 16 and (m := BASE64.search(w)) for w in text.split()):
         for m in BASE64.finditer(text):
-            inner = opened(m[0], most)
-            if inner is not None:
+            for inner in opened(m[0]):
                 yield inner, None, None, m.start(), m.end()
 
 
-def find(text: str, most: int = LAYER_CHARS) -> tuple[list[Span], list[Span], int]:
-    """Secrets of the text itself, those of all layers mapped to it (base ones included), layers left unscanned.
+def find(text: str) -> tuple[list[Span], list[Span]]:
+    """Secrets of the text itself, and those of all layers mapped to it (base ones included).
 
-    The worklist holds layers with a map to the text. A layer met before at its place is not opened again, so loops
-    end; each layer is scanned with the base patterns.
+    The worklist holds the layers that are being unwrapped, each with a map to the text, so memory is bounded by how
+    deep they are nested. A layer met before at its place is not opened again, so loops end; each layer is scanned with
+    the base patterns.
     """
     base = scan(text)
-    spans, seen, unscanned, used = set(base), {(text, 0)}, 0, 0
-    work: list = [(text, None, None, 0, len(text))]
+    spans, seen = set(base), {(digest(text.encode("utf-8", "replace")), 0)}
+    work: list = [(text, None, None, 0, len(text), layers(text))]
     while work:
-        layer, begins, ends, start, end = work.pop()
-
-        def placed(a: int, b: int) -> tuple[int, int]:
-            return (begins[a], ends[b - 1]) if begins is not None else (a, b) if layer is text else (start, end)
-
-        if layer is not text:
-            spans.update((placed(a, b)[0], kind, placed(a, b)[1]) for a, kind, b in scan(layer))
-        for inner, ib, ie, a, b in layers(layer, max(0, most - used)):
-            a, b = placed(a, b)
-            if (inner, a) in seen:
-                continue
-            seen.add((inner, a))
-            used += len(inner)
-            if not inner or used > most:
-                unscanned += 1
-                continue
-            if ib is not None and not (begins is None and layer is not text):
-                ib, ie = [placed(x, x + 1)[0] for x in ib], [placed(x - 1, x)[1] for x in ie]
-            elif ib is not None:
-                ib = ie = None
-            work.append((inner, ib, ie, a, b))
-    return base, sorted(spans), unscanned
+        layer, begins, ends, start, end, inside = work[-1]
+        found = next(inside, None)
+        if found is None:
+            work.pop()
+            continue
+        inner, ib, ie, a, b = found
+
+        def placed(a: int, b: int, outer=(layer is text, begins, ends, start, end)) -> tuple[int, int]:
+            whole, begins, ends, start, end = outer
+            return (begins[a], ends[b - 1]) if begins is not None else (a, b) if whole else (start, end)
+
+        known = begins is not None or layer is text
+        if ib is not None and known:
+            ib, ie = [placed(x, x + 1)[0] for x in ib], [placed(x - 1, x)[1] for x in ie]
+        else:
+            ib = ie = None
+        a, b = placed(a, b)
+        key = (digest(inner.encode("utf-8", "replace")), a)
+        if key in seen:
+            continue
+        seen.add(key)
+        spans.update((ib[x], kind, ie[y - 1]) if ib is not None else (a, kind, b) for x, kind, y in scan(inner))
+        work.append((inner, ib, ie, a, b, layers(inner)))
+    return base, sorted(spans)
 
 
 def _column(found: list[list[Span]]) -> pa.Array:
@@ -146,20 +184,21 @@ def _column(found: list[list[Span]]) -> pa.Array:
     return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found], pa.list_(kind))
 
 
-def find_secrets(docs: DataFrame, most: int = LAYER_CHARS) -> DataFrame:
-    """doc_id, base spans, all spans (both by start, kind, end), layers left unscanned beyond `most` characters.
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, all spans (both by start, kind, end).
 
     Spans count code points, ends exclusive; what lies in a decoded layer is placed at the characters it came from, or
-    at the whole run if those can't be told. Null texts count as empty; repeated rows and null ids are kept; other
-    columns are not read.
+    at the whole run if those can't be told. Every layer is scanned, whatever its size; long unpacked streams go through
+    the scanner in overlapping windows. Null texts count as empty; repeated rows and null ids are kept; other columns
+    are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(t, most) for t in texts_of(batch)]
+            found = [find(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), _column([f[0] for f in found]), _column([f[1] for f in found]),
-                 pa.array([f[2] for f in found], pa.int32())], ["doc_id", "base", "spans", "unscanned"])
+                [batch.column("doc_id"), _column([f[0] for f in found]), _column([f[1] for f in found])],
+                ["doc_id", "base", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
@@ -183,13 +222,13 @@ def redacted(text: str, spans: list[Span], mark: str) -> str:
     return "".join(out) + text[at:] if spans else text
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", most: int = LAYER_CHARS) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with each secret of `text` replaced by `mark` and n_chars brought in line; null texts stay null."""
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else redacted(t, find(t, most)[1], mark) for t in batch.column("text").to_pylist()]
+            texts = [t if t is None else redacted(t, find(t)[1], mark) for t in batch.column("text").to_pylist()]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 lengths = [n if t is None else len(t) for t, n in zip(texts, batch.column("n_chars").to_pylist())]

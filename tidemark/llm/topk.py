@@ -16,21 +16,12 @@ EXACT = 1 << 20
 LONG = (1 << 63) - 1
 
 
-def unique_rows(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One vector per id, the smallest by its components."""
-    order = np.lexsort((*vectors.T[::-1], ids))
-    first = np.concatenate(([True], np.diff(ids[order]) != 0))
-    return ids[order][first], vectors[order][first]
-
-
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
 def search(ids, vectors, query_ids, queries, k: int, width: int = WIDTH) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of the k best of each query; all arguments hold whole numbers, vectors as rows."""
-    ids, vectors = unique_rows(ids, vectors)
-    query_ids, queries = unique_rows(query_ids, queries)
     if max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0)) > EXACT:
         return plain(ids, vectors, query_ids, queries, k)
     dims = vectors.shape[1]
@@ -73,7 +64,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
     Components are floor(scale * x), scores whole numbers, ties go to the smaller id. Vectors that are null or hold a
     null, NaN or infinity take no part, nor do rows without id; a query is compared with vectors of its own length,
-    never with rows of its own id, and of rows that share an id the smallest vector stands for all. No rows, no result.
+    never with rows of its own id. Every other row counts, rows that share an id too; queries that share one are answered
+    together, by the k best of all their scores. No rows, no result.
 
     Both sides are dealt to a grid of cells (candidate cells x query cells, their numbers from the shuffle
     partitions), so that a cell holds a bounded share of each; cells hand on k rows per query.
