@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import align, bars, causal, ranges, scans, ticks
+from tidemark.operators import align, bars, calibrate, causal, ranges, scans, ticks
 from tidemark.operators.blocks import Order, index_rows, running, ticks_order
 
 
@@ -201,6 +201,28 @@ def test_row_numbers_of_null_and_hot_keys(spark):
     assert ranges.numbered(spark.createDataFrame([], "k string, v long"), ["k"], ["v"]).count() == 0
 
 
+def test_residual_window_counts_known_ones_only(spark):
+    rng = np.random.default_rng(9)
+    n = 900
+    pdf = pd.DataFrame({"event_id": np.arange(n), "symbol": "A", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), "s"),
+                        "rn": np.arange(1, n + 1), "residual": np.where(rng.random(n) < 0.3, rng.normal(0, 1, n), np.nan), "sigma": 2.0})
+    df = spark.createDataFrame(pdf).withColumn("residual", F.when(~F.isnan("residual"), F.col("residual")))
+    got = calibrate.rolling_residual_quantiles(df, "residual", "sigma", 4, ticks_order(), rows=40, size=50).orderBy("rn").toPandas()
+    for i, r in got.iterrows():
+        known = pdf["residual"][:i + 1].dropna().to_numpy()[-40:]
+        want = np.quantile(known, 0.25) if len(known) >= 16 else calibrate.NORMAL_Z[1]
+        assert r["n_residuals"] == len(known) and abs(r[f"resid_{calibrate.BAND[1]}"] - 4 * want) < 1e-9
+
+
+def test_moments_of_values_far_from_zero(spark):
+    pdf = pd.DataFrame({"event_id": np.arange(500), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(500), "s"),
+                        "symbol": np.where(np.arange(500) % 5 > 0, "A", "B"), "v": 1e9 + np.random.default_rng(10).normal(0, 1e-2, 500)})
+    got = ticks.cumulative_moments(spark.createDataFrame(pdf), "v", ticks_order()).orderBy("event_id").toPandas()
+    for symbol, g in pdf.groupby("symbol"):
+        want = (g["v"] - 1e9).expanding().std().to_numpy()
+        np.testing.assert_allclose(got["cum_sd"][got["symbol"] == symbol], want, rtol=1e-4)
+
+
 def test_kalman_gain_filter(skewed):
     got = collected(scans.kalman_confidence(skewed.withColumn("obs", F.col("volume") / 50), "obs", ticks_order()),
                     ["confidence"])

@@ -10,7 +10,7 @@ from tidemark.catalog.ticks import NUMBERED
 from tidemark.functions.numeric import d
 from tidemark.operators import calibrate, causal, scans
 from tidemark.operators import ticks as T
-from tidemark.operators.blocks import Order, ticks_order
+from tidemark.operators.blocks import Order, block_window, own_rows, ticks_order, with_blocks
 
 
 
@@ -238,16 +238,24 @@ RESID = {f"resid_{q}": 6 for q in calibrate.BAND}
 
 
 @query("residual_quantiles", with_views(["ticks"], NUMBERED.strip() + f""",
-x AS (SELECT event_id, symbol, rn, ln(mid / prev) AS res, spread AS sg FROM n),
-q AS (SELECT *, count(res) OVER w AS k, {", ".join(f"quantile_cont(res, {t}) OVER w AS e_{n}" for n, t in
-      zip(calibrate.BAND, (0.1, 0.25, 0.5, 0.75, 0.9)))} FROM x
+x AS (SELECT event_id, symbol, rn, spread AS sg, CASE WHEN volume > 20 THEN
+        ln(mid / lag(mid, 5) OVER o) / (lag(spread, 5) OVER o + 1e-8) END AS res
+      FROM n WINDOW o AS (PARTITION BY symbol ORDER BY rn)),
+q AS (SELECT symbol, rn, count(*) OVER w AS k, {", ".join(f"quantile_cont(res, {t}) OVER w AS e_{n}" for n, t in
+      zip(calibrate.BAND, (0.1, 0.25, 0.5, 0.75, 0.9)))} FROM x WHERE res IS NOT NULL
       WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS 511 PRECEDING)),
-r AS (SELECT event_id, symbol, {", ".join(f"(CASE WHEN k >= 16 THEN e_{n} ELSE {z}e0 END) * sg * sqrt(5e0) AS resid_{n}"
-      for n, z in zip(calibrate.BAND, calibrate.NORMAL_Z))} FROM q)
+r AS (SELECT event_id, x.symbol, {", ".join(f"(CASE WHEN k >= 16 THEN e_{n} ELSE {z}e0 END) * sg * sqrt(5e0) AS resid_{n}"
+      for n, z in zip(calibrate.BAND, calibrate.NORMAL_Z))}
+      FROM x ASOF LEFT JOIN q ON x.symbol = q.symbol AND x.rn >= q.rn)
 SELECT event_id, symbol, {rounded_sql(RESID)} FROM r"""))
 def residual_quantiles(spark, sf_dir):
-    t = T.log_returns(views.ticks(spark, sf_dir))
-    out = calibrate.rolling_residual_quantiles(t, "log_ret", "spread", 5, ticks_order())
+    """The error of a forecast of no change over five ticks, known at the fifth, and only on ticks of some volume."""
+    t = T.numbered_ticks(views.ticks(spark, sf_dir))
+    w = block_window(("symbol",))
+    made = own_rows(with_blocks(t, 16384, 5).withColumns({"_mid": F.lag("mid", 5).over(w), "_spread": F.lag("spread", 5).over(w)}))
+    error = F.log(F.col("mid") / F.col("_mid")) / (F.col("_spread") + 1e-8)
+    t = made.withColumn("residual", F.when(F.col("volume") > 20, error)).drop("_mid", "_spread")
+    out = calibrate.rolling_residual_quantiles(t, "residual", "spread", 5, ticks_order())
     return rounded(out.select("event_id", "symbol", *RESID), RESID)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import QUANTILES, Z10, Z25, clip, d
+from tidemark.operators.blocks import index_rows, running
 from tidemark.operators.rolling import map_blocks, rolling_quantiles
 
 # Distances between neighbouring quantiles of the standard Normal, from q25-q10 outwards in order:
@@ -47,9 +48,11 @@ def conformal_scale(df: DataFrame, y: str, mu: str, sigma: str, widths: tuple[fl
 
 def rolling_residual_quantiles(df: DataFrame, residual: str, sigma: str, horizon: int, order, rows: int = 512,
                                cold: int = 16, size: int = 16384) -> DataFrame:
-    """Residual band per tick: quantiles of the last standardised residuals, Normal ones while cold.
+    """Residual band per tick: quantiles of the last `rows` known standardised residuals, Normal ones while cold.
 
-    Expects numbered rows; `residual` is known (null while pending) and standardised.
+    Expects numbered rows (`rn`). `residual` stands at the row where it became known, that of a forecast made `horizon`
+    ticks before, and is null where none did; pending rows take up no place in the window. Each row has the band of all
+    residuals known by then, its own included, and `n_residuals`, how many of them the window holds.
     """
     outputs = ("n_residuals", *[f"_{q}" for q in BAND])
 
@@ -57,7 +60,16 @@ def rolling_residual_quantiles(df: DataFrame, residual: str, sigma: str, horizon
         known, quantiles = rolling_quantiles(x, rows, QUANTILES)
         return {"n_residuals": known, **{f"_{name}": quantiles[:, i] for i, name in enumerate(BAND)}}
 
-    out = map_blocks(df, order.keys, residual, block, outputs, size, rows)
+    known = index_rows(df.where(F.col(residual).isNotNull()).withColumnRenamed("rn", "_at"), order)
+    bands = map_blocks(known, order.keys, residual, block, outputs, size, rows).select(
+        *[F.col(k).alias(f"_of_{k}") for k in order.keys], "_at", F.struct(*outputs).alias("_band"))
+    same = F.col("rn") == F.col("_at")
+    for k in order.keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = running(df.join(bands, same, "left").drop("_at", *[f"_of_{k}" for k in order.keys]), order,
+                  {"_now": ("last", F.col("_band"))})
+    out = out.select(*df.columns, F.coalesce("_now.n_residuals", d(0)).alias("n_residuals"),
+                     *[F.col(f"_now._{q}").alias(f"_{q}") for q in BAND])
     s = F.col(sigma) * (horizon ** 0.5)
     warm = F.col("n_residuals") >= cold
     out = out.withColumns({f"resid_{name}": F.when(warm, F.col(f"_{name}")).otherwise(d(z)) * s

@@ -179,13 +179,19 @@ def cumulative_moments(df: DataFrame, value: str, order: Order) -> DataFrame:
     """Count, mean and sample deviation of `value` over all rows of the key so far."""
     from tidemark.operators.blocks import running
 
-    x = F.col(value)
-    out = running(df, order, {"cum_n": ("count", x), "_s1": ("sum", x), "_s2": ("sum", x * x)})
+    # Sums of distances from the key's mean: squares of the values themselves cancel where their level is high.
+    level = df.groupBy(*order.keys).agg(F.coalesce(F.avg(value), d(0)).alias("_level"))
+    level = level.select(*[F.col(k).alias(f"_of_{k}") for k in order.keys], "_level")
+    same = F.lit(True)
+    for k in order.keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    x = F.col(value) - F.col("_level")
+    out = running(df.join(level, same), order, {"cum_n": ("count", x), "_s1": ("sum", x), "_s2": ("sum", x * x)})
     n = F.col("cum_n")
     var = (F.col("_s2") - F.col("_s1") * F.col("_s1") / n) / (n - 1)
-    return (out.withColumn("cum_mean", F.when(n > 0, F.col("_s1") / n))
+    return (out.withColumn("cum_mean", F.when(n > 0, F.col("_level") + F.col("_s1") / n))
             .withColumn("cum_sd", F.when(n > 1, F.sqrt(F.greatest(var, d(0)))))
-            .drop("_s1", "_s2"))
+            .drop("_s1", "_s2", "_level", *[f"_of_{k}" for k in order.keys]))
 
 
 def log_returns(df: DataFrame, order: Order | None = None, size: int = BLOCK_ROWS) -> DataFrame:
