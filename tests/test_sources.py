@@ -60,7 +60,9 @@ def test_posts(spark):
     old = {**new, "id": "b", "created_utc": 100.0}
     rows = feeds.forum_posts(lines(spark, new, old, received_at=1000.0), poll_seconds=60).collect()
     assert [r["payload"]["post_id"] for r in rows] == ["a"] and rows[0]["source"] == "reddit/gold"
-    assert len(rows[0]["payload"]["text"]) == 2 + 500
+    assert len(rows[0]["payload"]["text"]) == 2 + 600
+    cut = feeds.forum_posts(lines(spark, new, received_at=1000.0), poll_seconds=60, title_width=512, body_width=500).first()
+    assert len(cut["payload"]["text"]) == 2 + 500
     posts = {"data": [{"id": "5", "text": "hi", "public_metrics": {"like_count": 3}}, {"id": "9", "text": "yo"}]}
     got = payloads(feeds.short_posts(lines(spark, posts), since_id=5))
     assert [(p["tweet_id"], p["likes"]) for p in got] == [("9", 0)]
