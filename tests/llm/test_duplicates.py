@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, fingerprint, lines, neardup
+from tidemark.llm import alike, components, fingerprint, lines, neardup
 
 WORDS = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
 NO_ID = (1 << 63) - 1
@@ -92,13 +93,82 @@ def test_bit_planes_count_distances():
 
 def test_one_of_each(frame):
     docs = [(5, "a b c d e"), (2, "A b c d e"), (2, "A b c d e"), (9, "other words stand here now"), (None, None), (7, "")]
-    kept = neardup.one_of_each(frame(docs))
+    kept = alike.one_of_each(frame(docs))
     assert kept.columns == frame(docs).columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == [
         ("2", "A b c d e"), ("9", "other words stand here now")]
     assert neardup.near_duplicates(frame([])).count() == 0
 
 
+def brute_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_alike_groups(ids, texts):
+    """The smallest id that each row reaches by links of a Jaccard similarity of 0.8 and more, all pairs compared."""
+    sets = [brute_set(t) for t in texts]
+    label = list(range(len(ids)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return [min(ids[j] for j in range(len(ids)) if label[j] == x) for x in label]
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = rng.choice(WORDS)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_one_of_each_against_all_pairs(frame, monkeypatch, small):
+    if small:  # buckets and candidate groups are dealt to cells
+        monkeypatch.setattr(alike, "PART", 6)
+        monkeypatch.setattr(alike, "SHINGLES", 700)
+    rng = random.Random(11)
+    texts = []
+    for edits in [0, 1, 2, 3, 4, 5, 6, 8, 12] * 4:
+        words = rng.choices(WORDS, k=rng.randint(100, 300))
+        texts += [" ".join(words), *[edited(rng, words, edits) for _ in range(4)]]
+    texts += ["", None, " \n", "one", "ONE", "one two", "a b c d e f g h i", "a b c d e f g h", "z b c d e f g h"]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = [(i, texts[k]) for i, k in enumerate(order)]
+    ids = [i for i, _ in docs]
+    want = {i for i, g in zip(ids, brute_alike_groups(ids, [t or "" for _, t in docs])) if i == g}
+    got = {r.doc_id for r in alike.one_of_each(frame(docs)).collect()}
+    assert want <= got  # nothing goes that has no near-duplicate
+    assert len(got - want) <= 0.05 * (len(docs) - len(want))
+
+
+def test_alike_joins_what_is_similar():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, (5, 200)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(200) < p, rng.integers(0, 1 << 62, 200).astype(np.uint64), b))
+            for b in base for p in (0, 0.05, 0.1, 0.15, 0.3) for _ in range(12)]
+    fps = np.array([alike.wide_simhash(s) for s in sets])
+    label = list(range(len(sets)))
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    for i, j in alike.alike(fps, sets, 0.8, alike.RADIUS):
+        assert jaccard(i, j) >= 0.8
+        label = [label[i] if x == label[j] else x for x in label]
+    lost = [(i, j) for i in range(len(sets)) for j in range(i) if label[i] != label[j] and jaccard(i, j) >= 0.8]
+    assert len(lost) <= 3
+    far = [(int(x) ^ int(y)).bit_count() for x, y in zip(fps[0], fps[-1])]
+    assert sum(far) > alike.RADIUS
+
+
+def test_one_of_each_with_very_long_texts(frame):
+    rng = random.Random(13)
+    words = rng.choices(WORDS, k=120_000)
+    docs = [(1, " ".join(words)), (2, edited(rng, words, 500)), (3, edited(rng, words, 60_000)), (4, " ".join(words[:3000]))]
+    assert {r.doc_id for r in alike.one_of_each(frame(docs)).collect()} == {1, 3, 4}
+    assert alike.one_of_each(frame([])).count() == 0
+
+
 def brute_pairs(docs):
     rows = sorted(docs, key=lambda d: (-(1 << 63) if d[0] is None else d[0]), reverse=True)
     out = {}
@@ -214,7 +284,7 @@ def test_clashing_names(frame):
                                                                         "line": F.lit(1)})
     rows = sorted(lines.drop_recurring_lines(docs).collect(), key=lambda r: r.doc_id)
     assert [r.text for r in rows] == ["a b c d e f", ""] and rows[0].id == rows[1].text_hash == "mine"
-    found = neardup.one_of_each(docs.withColumn("component_id", F.lit("mine")))
+    found = alike.one_of_each(docs.withColumn("component_id", F.lit("mine")))
     assert found.count() == 1 and "component_id" in found.columns
 
 
@@ -261,7 +331,7 @@ def test_long_lines_and_documents(frame):
 def test_one_row_of_each_group_whatever_its_id(frame):
     docs = [(None, "a b c d e"), (None, "A b c d e"), (None, "quite another text without id"), (7, "first text of this id here"),
             (7, "something else under the same id"), (8, "SOMETHING else under the same id"), (None, "first text of this id here")]
-    kept = neardup.one_of_each(frame(docs)).collect()
+    kept = alike.one_of_each(frame(docs)).collect()
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [
         ("7", "first text of this id here"), ("7", "something else under the same id"),
         ("None", "a b c d e"), ("None", "quite another text without id")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF_DIR
-from tests.llm.test_duplicates import brute_hash, brute_lines, groups
+from tests.llm.test_duplicates import brute_alike_groups, brute_lines
 from tidemark.llm import quality, secrets, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.queries import QUERIES, VOCAB
@@ -136,7 +136,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     rows = [(i, t) for i, t in rows if model.probability(np.array([quality.statistics(t)]))[0] >= 0.5]
     rows = [(i, t) for (i, _), t in zip(rows, brute_lines(rows))]
     ids = [i for i, _ in rows]
-    rows = [r for r, g in zip(rows, groups(ids, [brute_hash(t) for _, t in rows], 4)) if g == r[0]]
+    rows = [r for r, g in zip(rows, brute_alike_groups(ids, [t for _, t in rows])) if g == r[0]]
     library = Tokenizer.from_file(VOCAB)
     library.no_truncation()
     library.no_padding()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, shuffle_partitions, texts_of
+from tidemark.llm.common import shuffle_partitions, texts_of
 from tidemark.llm.components import components
 from tidemark.session import write_through
 
@@ -24,12 +24,9 @@ BLOCK = 512
 ROWS = 256
 
 
-def simhash(text: str, words: int = 4, seed: int = 42) -> int:
-    """Bit b is set if it is set in over half of the XXH64 hashes of the word shingles; 0 without words."""
+def shingles(text: str, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by spaces, and where each shingle begins and ends; fewer words are one shingle, none give none."""
     parts = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z only, white space of ASCII only
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begins = np.cumsum(sizes + 1) - sizes - 1
     ends = begins + sizes
@@ -37,6 +34,12 @@ def simhash(text: str, words: int = 4, seed: int = 42) -> int:
         begins, ends = begins[:1], ends[-1:]
     else:
         begins, ends = begins[:len(parts) - words + 1], ends[words - 1:]
+    return b" ".join(parts), begins, ends
+
+
+def simhash(text: str, words: int = 4, seed: int = 42) -> int:
+    """Bit b is set if it is set in over half of the XXH64 hashes of the word shingles; 0 without words."""
+    joined, begins, ends = shingles(text, words)
     digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(begins), 65536):
         hashes = [digest(joined[a:b], seed) for a, b in zip(begins[at:at + 65536].tolist(), ends[at:at + 65536].tolist())]
@@ -57,8 +60,12 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, row b holding bit b of all fingerprints, 64 to a word; the last word is filled up with zeros."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """A row for each bit of the fingerprints (of one word, or a row of words each), holding that bit of all of them.
+
+    64 to a word; the last word is filled up with zeros.
+    """
+    width = 8 * fps[:1].size or 8
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, width), axis=1, bitorder="little")
     packed = np.packbits(np.pad(bits, ((0, -len(fps) % 64), (0, 0))), axis=0, bitorder="little")
     return np.ascontiguousarray(packed.T).view("<u8")
 
@@ -78,10 +85,11 @@ def near(fps: np.ndarray, planes: np.ndarray, begin: int, end: int, radius: int)
     if len(fps) % 64:
         over[:, -1] |= ALL << np.uint64(len(fps) % 64)
     counts = [np.zeros_like(over) for _ in range(depth)]
-    own = fps[begin:end, None]
-    for b in range(0, 64, 2):
-        one = planes[b] ^ (np.uint64(0) - (own >> np.uint64(b) & np.uint64(1)))
-        two = planes[b + 1] ^ (np.uint64(0) - (own >> np.uint64(b + 1) & np.uint64(1)))
+    words = fps[begin:end].reshape(end - begin, -1)
+    for b in range(0, len(planes), 2):
+        own = words[:, b // 64, None] >> np.uint64(b % 64)
+        one = planes[b] ^ (np.uint64(0) - (own & np.uint64(1)))
+        two = planes[b + 1] ^ (np.uint64(0) - (own >> np.uint64(1) & np.uint64(1)))
         either = counts[0] ^ one
         carry = counts[0] & one | two & either
         counts[0] = either ^ two
@@ -202,29 +210,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(ids, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """Exactly one row of `docs` for each group: that of the smallest doc_id, rows without an id coming last.
-
-    A row is known by its id, its text and its other columns (maps aside), so rows that share an id are told apart;
-    of rows equal in all of these any may stay.
-    """
-    key = free_name("_row", docs)
-    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn(key, F.struct(
-        F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(text).alias("text"), F.xxhash64(*hashed).alias("whole")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(t) for t in texts_of(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64))], ["key", "fp"])
-
-    rows = keyed.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(
-        run, "key struct<none:boolean,id:long,text:long,whole:long>, fp long")
-    classes = write_through(rows.groupBy("fp").agg(F.min("key").alias("key")), "simhash")
-    labels = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    kept = classes.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("key").alias(key)).select(key)
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
