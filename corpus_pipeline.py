@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lines, neardup, packing, quality, secrets
+from tidemark.llm import alike, lines, packing, quality, secrets
 from tidemark.llm.common import table
 from tidemark.llm.queries import VOCAB
 from tidemark.session import shared_dir
@@ -23,8 +23,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    Null and empty texts are alike; a group's smallest doc_id stays, rows without an id only where there is none.
+    """
+    return alike.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
