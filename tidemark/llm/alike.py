@@ -26,7 +26,7 @@ RADIUS = 52
 PART = 4096
 SHINGLES = 1 << 20
 #: Small groups are laid side by side until a block has so many rows.
-BLOCK = 1024
+BLOCK = 256
 #: Odd numbers that make further hashes of one hash.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -47,7 +47,7 @@ def wide_simhash(shingles: np.ndarray) -> np.ndarray:
         h = (h ^ h >> np.uint64(29)) * MIXERS[::-1]
         h ^= h >> np.uint64(32)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+        votes += bits.sum(axis=0, dtype=np.uint16)
     return np.packbits(votes * 2 > len(shingles), bitorder="little").view("<u8")
 
 
@@ -180,7 +180,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, seed:
     members = classes.join(components(candidates(classes, radius)), "node")
     large = members.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") > SHINGLES) \
         .select("label", F.ceil(F.col("n") / SHINGLES).alias("c"))
-    members = members.join(large, "label", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    members = write_through(members.join(large, "label", "left").withColumn(  # written: Spark then knows its size
+        "c", F.coalesce("c", F.lit(1).cast("long"))), "members")
     chosen = texts.join(members, "key").dropDuplicates(["key"]).select("node", "label", "c", *WIDE, "text")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def near(fps: np.ndarray, planes: np.ndarray, begin: int, end: int, radius: int)
         for d in range(1, depth):
             carry, counts[d] = counts[d] & carry, counts[d] ^ carry
         over |= carry
-        if b % 8 == 6:
+        if b % 8 == 6 and b >= radius:
             over |= beyond(counts, radius)
             if (over == ALL).all():
                 return None
