@@ -203,21 +203,74 @@ def test_fingerprint_edges(frame):
     assert len(same) == 3 and len({r.fingerprint for r in same}) == 1
 
 
-def test_neighbours_within_the_radius(spark):
+def brute_votes(text):
+    """128 bits of word pairs: each bit by the majority of the terms' hashes."""
+    words = re.split(r"[ \t\n\x0b\f\r]+", (text or "").strip(" \t\n\r\f\v").lower())
+    terms = list(zip(["", *words], [*words, None]))
+    h = [xxhash.xxh64_intdigest(a.encode(), 42) for a, _ in terms]
+    h = [x if b is None else xxhash.xxh64_intdigest(b.encode(), x) for x, (_, b) in zip(h, terms)]
+    g = [xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42) for x in h]
+    return sum(1 << b + shift for shift, hs in ((64, h), (0, g)) for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
+
+
+def test_fingerprints_links_and_classes_by_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PART_OF_BUCKET", 8)  # buckets are dealt to cells
+    rng = random.Random(9)
+    docs = []
+    for i in range(30):
+        words = rng.choices(WORDS, k=400)
+        docs.append((1000 - i, " ".join(words)))
+        for j in range(rng.randint(0, 3)):
+            docs.append((2000 + 10 * i + j, " ".join([*words[:390 + 3 * j], *rng.choices(WORDS, k=rng.randint(0, 2))])))
+    base = rng.choices(WORDS, k=3000)
+    docs += [(5000 + i, " ".join([*base, *rng.choices(WORDS, k=1)])) for i in range(60)]
+    docs += [(None, "copied text without an id")] * 40 + [(None, docs[0][1]), (1000, docs[0][1]), (7, None), (8, ""), (8, "")]
+    docs.append((90, "é Straße\u3000x\ty  z\x0b" + "long " * 40_000))
+    got = fingerprint.fingerprint_pairs(frame(docs)).collect()
+    fps = [brute_votes(t) for _, t in docs]
+    least = {}
+    for (i, _), f in zip(docs, fps):
+        least[f] = min((x for x in (least.get(f), i) if x is not None), default=None)
+    links = [sum((f ^ g).bit_count() <= fingerprint.RADIUS for g in fps) - 1 for f in fps]
+    assert max(links) > 40 and any(0 < n < 5 for n in links)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.class_id), r.links) for r in got) == sorted(
+        (str(i), f"{f:032x}", str(least[f]), n) for (i, _), f, n in zip(docs, fps, links))
+
+
+def test_slices_of_a_hot_id(spark):
+    rows = spark.createDataFrame([(-(1 << 63) if i % 3 else i, f"text {i}") for i in range(3000)], "id long, text string")
+    dealt = fingerprint.sliced(rows, 30).collect()
+    sizes = {}
+    for r in dealt:
+        sizes[r["slice"]] = sizes.get(r["slice"], 0) + 1
+    assert max(sizes.values()) < 300
+    spans = {}
+    for r in dealt:
+        spans.setdefault(r["slice"], []).append(r["id"])
+    by_slice = [spans[k] for k in sorted(spans)]
+    assert all(min(a) >= max(b) for a, b in zip(by_slice, by_slice[1:]))
+
+
+@pytest.mark.parametrize("radius, blocks", [(3, None), (6, None), (3, 6)])
+def test_near_pairs_within_the_radius(spark, monkeypatch, radius, blocks):
+    monkeypatch.setattr(fingerprint, "PART_OF_BUCKET", 16)
     rng = np.random.default_rng(5)
     base = [int(x) << 64 | int(y) for x, y in rng.integers(0, 1 << 63, (40, 2))]
-    fps = base + [b ^ sum(1 << int(k) for k in rng.choice(128, rng.integers(0, 6), replace=False)) for b in base for _ in range(3)]
+    base += base[:1] * 30  # one wide group
+    fps = base + [b ^ sum(1 << int(k) for k in rng.choice(128, rng.integers(0, 8), replace=False)) for b in base for _ in range(3)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(i, signed(f >> 64), signed(f & (1 << 64) - 1)) for i, f in enumerate(fps)],
-                               "doc_id long, hi long, lo long")
-    member, pairs = fingerprint.neighbours(df, radius=3)
+    df = spark.createDataFrame([(i, signed(f >> 64), signed(f & (1 << 64) - 1), i % 5) for i, f in enumerate(fps)],
+                               "doc_id long, hi long, lo long, salt long")
+    own = fingerprint.classes(df)
     first = {}
     for i, f in enumerate(fps):
         first.setdefault(f, i)
-    assert {(r.doc_id, r["class"]) for r in member.collect()} == {(i, first[f]) for i, f in enumerate(fps)}
-    own = list(first.items())
-    assert sorted(map(tuple, pairs.collect())) == sorted(
-        (min(i, j), max(i, j), (f ^ g).bit_count()) for a, (f, i) in enumerate(own) for g, j in own[:a] if (f ^ g).bit_count() <= 3)
+    assert {(r.class_id, r["size"]) for r in own.collect()} == {(i, fps.count(f)) for f, i in first.items()}
+    pairs = [(min(r.a_class_id, r.b_class_id), max(r.a_class_id, r.b_class_id), r.distance)
+             for r in fingerprint.near_pairs(own, radius, blocks).collect()]
+    distinct = list(first.items())
+    assert sorted(pairs) == sorted((min(i, j), max(i, j), (f ^ g).bit_count()) for a, (f, i) in enumerate(distinct)
+                                   for g, j in distinct[:a] if (f ^ g).bit_count() <= radius)
 
 
 HAN = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"

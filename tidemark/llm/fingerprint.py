@@ -17,6 +17,12 @@ LANES = 0x0001000100010001
 PART = 32767
 #: Bounds of slices that one search step passes over.
 STRIDE = 64
+#: Parts that the rows of one fingerprint are dealt to before they are counted and named.
+SALTS = 64
+#: Fingerprints of a bucket that are compared with as many others in one cell.
+PART_OF_BUCKET = 4096
+#: Of 128 bits, as many as 3 of 64.
+RADIUS = 6
 
 
 def term_hashes(text: str | Column) -> Column:
@@ -80,26 +86,37 @@ def digest_hex() -> Column:
 
 
 def sliced(docs: DataFrame, slices: int) -> DataFrame:
-    """`docs` (id, text) with `slice`: ranges of ids with about as many rows each, numbered from the largest ids on."""
+    """`docs` (id, text) with `slice`: ranges of ids with about as many rows each, numbered from the largest ids on.
+
+    An id that fills several ranges has its rows dealt to them by ranges of their text's hash.
+    """
     points = F.array(*[F.lit(i / slices) for i in range(1, slices)]) if slices > 1 else F.array(F.lit(0.5))
     bounds = docs.agg(F.percentile_approx("id", points, F.lit(max(10_000, 20 * slices))).alias("bounds"))
     tops = F.filter("bounds", lambda b, i: i % STRIDE == STRIDE - 1)
+    wide = F.array_distinct(F.filter("bounds", lambda b, i: (i > 0) & (F.get("bounds", i - 1) == b)))
+    spans = F.map_from_arrays(wide, F.transform(wide, lambda x: F.size(F.filter("bounds", lambda b: b == x))))
     group = F.size(F.filter("tops", lambda b: b < F.col("id")))
     inside = F.size(F.filter(F.slice("bounds", F.col("group") * STRIDE + 1, STRIDE), lambda b: b < F.col("id")))
-    one_row = F.broadcast(bounds.withColumn("tops", tops))
+    share = 0.5 - F.xxhash64("text") / F.lit(2.0 ** 64)
+    span = F.coalesce(F.try_element_at("spans", F.col("id")), F.lit(1))
+    part = F.least(F.floor(share * span).cast("int"), span - 1)
+    one_row = F.broadcast(bounds.withColumns({"tops": tops, "spans": spans}))
     return docs.crossJoin(one_row).withColumn("group", group).withColumn(
-        "slice", F.lit(slices) - (F.col("group") * STRIDE + inside)).drop("bounds", "tops", "group")
+        "slice", F.lit(slices) - (F.col("group") * STRIDE + inside + part)).drop("bounds", "tops", "spans", "group")
 
 
-def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """Each row of `docs` with its fingerprint, that of its edited text, and how like they and the next row's are.
+def fingerprint_pairs(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Each row of `docs` with its fingerprint, that of its edited text, how like they and the next row's are, its links.
 
     The next row has the next smaller doc_id, after the last the first; rows of one id follow by a hash of their text,
     null ids come last. The edited text is the text with its last half (rounded down, in code points) replaced by as
     many of the first code points of the next row's, or all it has. Null texts count as empty, a single row is its own
     next one. Rows are dealt to slices by ranges of their ids, so a row finds the next one in its slice, and only
-    the last of a slice takes the first text of the next. Fingerprints are written to the shared folder once, before
-    each row's is compared with the next one's.
+    the last of a slice takes the first text of the next; equal rows of one id are one slice. Fingerprints are written
+    to the shared folder once, before each row's is compared with the next one's. Long texts are voted on in parts.
+
+    class_id is the smallest doc_id with the same fingerprint (null if none has an id), links the number of other rows
+    whose fingerprints differ in at most `radius` bits, copies included (see `near_pairs`).
     """
     slices = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").cast("long"),
@@ -113,10 +130,9 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     first = F.broadcast(heads)  # one row per slice
     texts = rows.join(first, ["slice", "id"]).groupBy("slice").agg(
         F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("head_text"))
-    ring = Window.orderBy("slice")
-    heads = texts.withColumns({"next_slice": F.coalesce(F.lead("slice").over(ring), F.first("slice").over(ring)),
-                               "head": F.coalesce(F.lead("head_text").over(ring), F.first("head_text").over(ring))}) \
-        .select("slice", "next_slice", "head")
+    ring = Window.orderBy("slice")  # over slice numbers only, a few for each partition
+    after_each = heads.select("slice", F.coalesce(F.lead("slice").over(ring), F.first("slice").over(ring)).alias("next_slice"))
+    heads = after_each.join(texts.select(F.col("slice").alias("next_slice"), F.col("head_text").alias("head")), "next_slice")
     joined = placed.join(heads, "slice")
     at_end = F.col("n") == F.col("last")
     half = F.floor(F.length("text") / 2).cast("int")
@@ -134,34 +150,69 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     own = {f"{p}{w}": F.max(F.when(F.col("e") == e, F.col(w))) for p, e in (("", 0), ("edited_", 1)) for w in ("hi", "lo")}
     one = write_through(both.groupBy("slice", "n").agg(
         *[F.first(c).alias(c) for c in carried], *[c.alias(k) for k, c in own.items()]), "fingerprints")
+    one = one.withColumn("salt", F.pmod(F.xxhash64("slice", "n"), F.lit(SALTS)))
     following = one.select(F.col("slice").alias("next_slice"), F.col("n").alias("next_n"), F.col("hi").alias("next_hi"),
                            F.col("lo").alias("next_lo"))
-    return one.join(following, ["next_slice", "next_n"]).select(
+    named = link_counts(write_through(classes(one), "classes"), radius, blocks)
+    named = named.select("hi", "lo", "class_id", "links", F.explode("salts").alias("salt"))
+    return one.join(following, ["next_slice", "next_n"]).join(named, ["hi", "lo", "salt"]).select(
         "doc_id", "n_chars", digest_hex().alias("edited_sha256"), as_hex("hi", "lo").alias("fingerprint"),
         as_hex("edited_hi", "edited_lo").alias("edited_fingerprint"), likeness("", "edited_").alias("near_edited"),
-        likeness("", "next_").alias("near_next"))
+        likeness("", "next_").alias("near_next"), "class_id", "links")
+
+
+def classes(fingerprints: DataFrame) -> DataFrame:
+    """hi, lo, class_id, size, salts of each different fingerprint of `fingerprints` (doc_id, hi, lo, salt).
+
+    class_id is the smallest doc_id of its rows, null if they have none; size counts them, salts lists those they have.
+    Rows are counted by salt first, and joined back by salt, so a fingerprint of very many rows is no hot key.
+    """
+    parts = fingerprints.groupBy("hi", "lo", "salt").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+    return parts.groupBy("hi", "lo").agg(F.min("class_id").alias("class_id"), F.sum("size").alias("size"),
+                                         F.collect_set("salt").alias("salts"))
 
 
-def neighbours(fingerprints: DataFrame, radius: int = 3, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of `fingerprints` (doc_id, hi, lo): all pairs of classes within the radius.
+def near_pairs(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Each pair of `classes` (hi, lo, class_id, size) within the radius, once: these columns with a_ and b_, distance.
 
-    The first frame gives each row its class, the smallest doc_id with the same fingerprint; the second has the pairs
-    a < b of classes and their distance. Of `blocks` parts of the bits, two fingerprints within the radius share at
-    least blocks - radius; each choice of so many is a table keyed by those bits. Rows without id are left out.
+    Of `blocks` parts of the bits, two fingerprints within the radius share at least blocks - radius; each choice of so
+    many is a table keyed by those bits. A bucket's rows are dealt to parts of about PART_OF_BUCKET, and each two parts
+    are a cell of their own, whose distances are filtered inside the join. A pair counts in the first table it shares
+    only, so pairs needn't be made distinct. The work for a bucket grows with the square of its different fingerprints.
     """
     blocks = blocks or radius + 2
-    rows = fingerprints.where(F.col("doc_id").isNotNull())
-    classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("class"))
-    membership = rows.join(classes, ["hi", "lo"]).select("doc_id", "class")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    tables = [F.struct(F.lit(t).alias("t"), F.col("hi").bitwiseAND(signed(sum(c) >> 64)).alias("khi"),
-                       F.col("lo").bitwiseAND(signed(sum(c) & (1 << 64) - 1)).alias("klo"))
-              for t, c in enumerate(combinations(parts, blocks - radius))]
-    keyed = classes.select("class", "hi", "lo", F.explode(F.array(*tables)).alias("k")).select("class", "hi", "lo", "k.*")
-    a = keyed.select(F.col("class").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "t", "khi", "klo")
-    b = keyed.select(F.col("class").alias("b"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "t", "khi", "klo")
-    pairs = a.join(b, ["t", "khi", "klo"]).where((F.col("a") < F.col("b")) & (distance("a_", "b_") <= radius)) \
-        .select("a", "b", distance("a_", "b_").alias("distance")).distinct()
-    return membership, pairs
+    masks = [(signed(sum(c) >> 64), signed(sum(c) & (1 << 64) - 1)) for c in combinations(parts, blocks - radius)]
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.col("hi").bitwiseAND(hi), F.col("lo").bitwiseAND(lo)).alias("k"))
+            for t, (hi, lo) in enumerate(masks)]
+    kept = ["hi", "lo", "class_id", "size"]
+    keyed = classes.select(*kept, F.explode(F.array(*keys)).alias("x")).select(*kept, "x.t", "x.k")
+    full = keyed.groupBy("t", "k").count().where("count > 1").select(
+        "t", "k", F.ceil(F.col("count") / PART_OF_BUCKET).alias("parts"))
+    part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))
+    rows = write_through(keyed.join(full, ["t", "k"]).withColumn("part", part), "buckets")
+
+    def side(name: str, others: Column, cell: tuple[str, str]) -> DataFrame:
+        return rows.withColumn("other", F.explode(others)).select(
+            "t", "k", F.col(cell[0]).alias("row"), F.col(cell[1]).alias("column"), *[F.col(c).alias(f"{name}_{c}") for c in kept])
+
+    a = side("a", F.sequence(F.col("part"), F.col("parts") - 1), ("part", "other"))
+    b = side("b", F.sequence(F.lit(0).cast("long"), F.col("part")), ("other", "part"))
+    ahead = (F.col("a_hi") < F.col("b_hi")) | (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo"))
+    differing = [F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in ("hi", "lo")]
+    shares = [differing[0].bitwiseAND(hi).bitwiseOR(differing[1].bitwiseAND(lo)) == 0 for hi, lo in masks]
+    first = reduce(lambda c, ts: c.when(ts[1], F.lit(ts[0])), enumerate(shares[1:], 1), F.when(shares[0], F.lit(0)))
+    met = ((F.col("row") < F.col("column")) | ahead) & (distance("a_", "b_") <= radius) & (first == F.col("t"))
+    return a.join(b, ["t", "k", "row", "column"]).where(met).select(
+        *[f"{n}_{c}" for n in "ab" for c in kept], distance("a_", "b_").alias("distance"))
+
+
+def link_counts(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """`classes` with links: how many other rows, copies included, each of their rows is linked with."""
+    ends = F.explode(F.array(*[F.struct(F.col(f"{x}_hi").alias("hi"), F.col(f"{x}_lo").alias("lo"), F.col(f"{y}_size").alias("n"))
+                               for x, y in ("ab", "ba")]))
+    degrees = near_pairs(classes, radius, blocks).select(ends.alias("e")).groupBy("e.hi", "e.lo").agg(F.sum("e.n").alias("n"))
+    return classes.join(degrees, ["hi", "lo"], "left").withColumn(
+        "links", F.col("size") - 1 + F.coalesce("n", F.lit(0))).drop("n")
