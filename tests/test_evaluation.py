@@ -203,6 +203,28 @@ def test_quantile_fit_finds_the_lines(spark):
         assert slope == pytest.approx(0.5, abs=0.03) and level == pytest.approx(z * 0.1, abs=0.02)
 
 
+def test_quantile_fit_reaches_the_least_loss(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, (3000, 3)) * [1.0, 20.0, 0.01]
+    y = x @ [0.3, -0.02, 5.0] + rng.standard_t(2, 3000) * (0.1 + 0.05 * np.abs(x[:, 0]))  # heavy tails, uneven spread
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y, same=x[:, 0])
+    pdf.loc[0, "y"] = None
+    fit = training.fit_quantiles(spark.createDataFrame(pdf), ["a", "b", "c", "same"], "y", ridge=0.0)
+    full = np.column_stack([x, x[:, 0], np.ones(3000)])[1:]
+    for tau, w in fit.items():
+        def loss(v):
+            e = y[1:] - full @ v
+            return np.maximum(tau * e, (tau - 1) * e).mean()
+        below = y[1:] < full @ w
+        assert abs(below.mean() - tau) < 0.01
+        for i in range(5):
+            assert abs((full[:, i] * (below - tau)).sum()) < 0.02 * np.abs(full[:, i]).sum()
+        scale = 1 / np.abs(full).mean(axis=0)
+        assert all(loss(w) < loss(w + 0.1 * rng.normal(0, 1, 5) * scale) * (1 + 1e-3) for _ in range(50))
+    none = training.fit_quantiles(spark.createDataFrame([], "a double, y double"), ["a"], "y", (0.5,), {"a": 2.0})
+    assert none[0.5].tolist() == [2.0, 0.0]
+
+
 def test_training_beats_nothing(spark):
     rng = np.random.default_rng(12)
     n = 600

@@ -94,6 +94,34 @@ def quantile_fit_loss(spark, sf_dir):
     return rounded(out, {"loss": 3})
 
 
+FITTED = ["logret_5d", "logret_20d"]
+_SUMS = {c: f"sum(abs(coalesce({c}, 0e0)))" for c in FITTED} | {"intercept": "count(*) * 1e0"}
+
+
+@query("quantile_fit_balance", with_views(["prices_d"], f"""{DAILY.strip()},
+s AS (SELECT unnest([{", ".join(f"'{c}'" for c in _SUMS)}]) AS feature, unnest([{", ".join(_SUMS.values())}]) AS weight
+  FROM daily WHERE {LABEL} IS NOT NULL)
+SELECT tau, feature, round(weight, 4) AS weight, true AS balanced
+FROM s, (SELECT unnest([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0]) AS tau)"""))
+def quantile_fit_balance(spark, sf_dir):
+    """What makes a quantile fit the best one: for each feature its sum over the rows below the fit is tau of the whole sum.
+
+    `balanced` allows a hundredth of the feature's absolute sum, since rows at the fit count as neither.
+    """
+    rows = daily(spark, sf_dir).where(F.col(LABEL).isNotNull()).select(F.col(LABEL).alias("y"), *[
+        F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FITTED], F.lit(1.0).alias("intercept"))
+    fit = M.fit_quantiles(rows, FITTED, "y")
+    entries = []
+    for tau, w in fit.items():
+        below = (F.col("y") < linear_score(dict(zip(FITTED, w.tolist())), float(w[-1]))).cast("double")
+        entries += [F.struct(F.lit(float(tau)).alias("tau"), F.lit(c).alias("feature"), F.col(c).alias("x"),
+                             (F.col(c) * (below - F.lit(float(tau)))).alias("pull")) for c in _SUMS]
+    sums = rows.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.tau", "e.feature").agg(
+        F.sum(F.abs("e.x")).alias("weight"), F.sum("e.pull").alias("pull"))
+    return rounded(sums.select("tau", "feature", "weight", (F.abs("pull") <= 0.01 * F.col("weight")).alias("balanced")),
+                   {"weight": 4})
+
+
 GIVEN = ["logret_5d", "logret_20d", "yz_20"]
 _EACH = lambda template: ", ".join(template.format(c=c) for c in GIVEN)
 SCORES = {c: 6 for c in ("mu", "sigma", "q10", "q25", "q50", "q75", "q90", "confidence")}

@@ -7,7 +7,7 @@ the earlier part of the rows, lambda and the conformal factor on the later part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,55 +43,80 @@ def chronological_split(df: DataFrame, by: list[str] = (), at: str = "date", val
 
 
 def fit_quantiles(df: DataFrame, features: list[str], label: str, taus: tuple[float, ...] = QUANTILES,
-                  start: dict[str, float] | None = None, ridge: float = 1e-5, steps: int = 80, rate: float = 0.05
+                  start: dict[str, float] | None = None, ridge: float = 1e-5, steps: int = 16
                   ) -> dict[float, np.ndarray]:
     """Linear quantile regression for several levels at once: weights with the intercept last.
 
-    Full-batch gradient steps with momentum and a shrinking rate. Each step is one pass: partitions
-    multiply their Arrow batches and give one small matrix each, which Spark adds up.
+    From the least-squares fit (of what `start` leaves) and the quantiles of its residuals, Newton steps minimise the
+    check loss smoothed by a logistic kernel, which narrows from the size of the residuals to a fraction of it. A step
+    is one pass over the rows for all levels: partitions give gradients, Gram sums weighted by the kernel and the
+    unsmoothed loss, whose size depends on the features only. Where a step raises a level's loss by a tenth it is halved
+    towards the best weights so far, and these are returned. Null features count as zero, rows without a label are left
+    out; without any row all weights are those of `start`, or zero.
     """
-    names = list(features)
+    names, levels, p = list(features), np.array(taus), len(features) + 1
+    given = np.array([*[(start or {}).get(c, 0.0) for c in names], 0.0])
     rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), d(0)) for c in names], d(1)).alias("x"),
                      F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull()).persist()
     try:
-        stats = rows.agg(F.count("*"), F.stddev_pop("y"), F.percentile("y", F.array(*[d(t) for t in taus]))).first()
-        n, spread = stats[0], max(stats[1] or 0.0, 1e-12)
-        weights = np.zeros((len(names) + 1, len(taus)))
-        for i, c in enumerate(names):
-            weights[i] = (start or {}).get(c, 0.0)
-        weights[-1] = stats[2]
-        levels = np.array(taus)
-        best, best_loss = weights.copy(), np.inf
-        m, v = np.zeros_like(weights), np.zeros_like(weights)
-        for step in range(1, steps + 1):
-            grad, loss = _gradient(rows, weights, levels)
-            loss = loss / n + 0.5 * ridge * (weights[:-1] ** 2).sum()
-            if loss < best_loss:
-                best, best_loss = weights.copy(), loss
-            grad /= n
-            grad[:-1] += ridge * weights[:-1]
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
-            pace = rate * spread * 0.5 * (1 + np.cos(np.pi * step / steps))
-            weights = weights - pace * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-        return {t: best[:, j] for j, t in enumerate(taus)}
+        sums = _sums(rows, lambda x, y: np.append(x.T @ np.column_stack([x, y - x @ given]), len(y)), p * (p + 1) + 1)
+        n, gram = sums[-1], sums[:-1].reshape(p, p + 1)
+        if not n:
+            return {t: given.copy() for t in taus}
+        first = given + np.linalg.lstsq(gram[:, :-1], gram[:, -1], rcond=None)[0]
+        rest = F.col("y") - sum((F.get("x", i) * d(float(w)) for i, w in enumerate(first)), d(0))
+        middle = rows.agg(F.percentile_approx(rest, list(taus), 10_000)).first()[0]
+        weights = np.tile(first, (len(taus), 1))
+        weights[:, -1] += middle
+        penalty = np.append(np.full(p - 1, ridge), 0.0)
+        best, best_loss, good = weights.copy(), np.full(len(taus), np.inf), np.zeros(len(taus))
+        size = _sums(rows, lambda x, y: _losses(x, y, weights, levels), len(taus)) / n
+        for _ in range(steps):
+            width = np.maximum(size / (levels * (1 - levels)), 1e-12) * np.maximum(0.5 ** good, 0.005)
+            sums = _sums(rows, lambda x, y: _newton_sums(x, y, weights, levels, width), len(taus) * (p * (p + 1) + 1))
+            size, sums = sums[:len(taus)] / n, sums[len(taus):].reshape(len(taus), p, p + 1) / n
+            loss = size + 0.5 * (penalty * weights ** 2).sum(axis=1)
+            for j in range(len(taus)):
+                if loss[j] > 1.1 * best_loss[j]:
+                    weights[j] = 0.5 * (weights[j] + best[j])
+                    continue
+                if loss[j] < best_loss[j]:
+                    best[j], best_loss[j] = weights[j], loss[j]
+                good[j] += 1
+                curve = sums[j, :, :-1] + np.diag(penalty)
+                curve += np.eye(p) * 1e-9 * np.trace(curve) / p
+                weights[j] = weights[j] - np.linalg.lstsq(curve, sums[j, :, -1] + penalty * weights[j], rcond=None)[0]
+        return dict(zip(taus, best))
     finally:
         rows.unpersist()
 
 
-def _gradient(rows: DataFrame, weights: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, float]:
+def _sums(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all rows of a vector that `part` makes from each batch's x and y."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grad, loss = np.zeros(weights.shape), 0.0
+        total = np.zeros(size)
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["x"].to_numpy())
-                err = pdf["y"].to_numpy()[:, None] - x @ weights
-                grad += x.T @ np.where(err >= 0, -levels, 1.0 - levels)
-                loss += np.maximum(levels * err, (levels - 1) * err).sum()
-        yield pd.DataFrame({"i": np.arange(grad.size + 1), "g": np.append(grad.ravel(), loss)})
+                total += part(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
+        yield pd.DataFrame({"i": np.arange(size), "s": total})
 
-    total = rows.mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-    g = total.sort_values("i")["g"].to_numpy()
-    return g[:-1].reshape(weights.shape), float(g[-1])
+    added = rows.mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    entries = added.agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("all")).first()["all"]
+    return np.array([e["s"] for e in entries]) if entries else np.zeros(size)
+
+
+def _losses(x: np.ndarray, y: np.ndarray, weights: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    err = y[:, None] - x @ weights.T
+    return np.maximum(levels * err, (levels - 1) * err).sum(axis=0)
+
+
+def _newton_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray, levels: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Losses, then for each level the curvature of the smoothed loss with its gradient as last column."""
+    out = [_losses(x, y, weights, levels)]
+    for w, tau, h in zip(weights, levels, width):
+        below = 0.5 - 0.5 * np.tanh((y - x @ w) / (2 * h))
+        out.append((x.T @ np.column_stack([x * (below * (1 - below) / h)[:, None], below - tau])).ravel())
+    return np.concatenate(out)
 
 
 @dataclass
@@ -139,7 +164,7 @@ class Forecaster:
 
 
 def train(panel: DataFrame, features: list[str], label: str, by: list[str] = (), val_frac: float = 0.15,
-          steps: int = 60, trees: int = 10, depth: int = 3, seed: int = 0, method: str = "percentile") -> Forecaster:
+          steps: int = 16, trees: int = 10, depth: int = 3, seed: int = 0, method: str = "percentile") -> Forecaster:
     """Fit a forecaster on labelled rows. `method` picks how the quantiles of scaler and winsoriser are computed."""
     from tidemark.session import write_through
 
