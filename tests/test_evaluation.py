@@ -117,28 +117,39 @@ def test_per_fold_fitting(spark):
     np.testing.assert_allclose(got["pred"], got["y"], rtol=1e-9)
 
 
-@pytest.mark.parametrize("method", ["percentile", "buckets"])
-def test_scaler_and_winsor(spark, method):
+def test_scaler_and_winsor(spark):
     x = np.random.default_rng(3).standard_t(3, 999)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "c": 1.0}))
-    fit = {r["feature"]: r for r in robust.fit_scaler(df, ["x", "c"], method).collect()}
+    fit = {r["feature"]: r for r in robust.fit_scaler(df, ["x", "c"]).collect()}
     med = np.median(x)
     assert fit["x"]["med"] == pytest.approx(med)
     assert fit["x"]["mad"] == pytest.approx(1.4826 * np.median(np.abs(x - med)))
     assert fit["c"]["mad"] == 1
-    w = {r["feature"]: r for r in robust.fit_winsor(df, ["x", "c"], method=method).collect()}
+    w = {r["feature"]: r for r in robust.fit_winsor(df, ["x", "c"]).collect()}
     np.testing.assert_allclose([w["x"]["lo"], w["x"]["hi"]], np.quantile(x, [0.005, 0.995]))
     assert w["c"]["hi"] == pytest.approx(1 + 1e-6)
 
 
-def test_bucketed_quantiles_are_exact(spark):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_by_group_are_exact(spark, accuracy):
     rng = np.random.default_rng(9)
-    x = np.concatenate([np.full(5000, 1.5), rng.normal(0, 10, 4001)])
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.round(x)}))
-    levels = [0.005, 0.3, 0.5, 0.77, 0.995]
-    got = {r["feature"]: r["q"] for r in robust.bucketed_quantiles(df, ["x", "y"], levels, buckets=16).collect()}
-    np.testing.assert_allclose(got["x"], np.quantile(x, levels))
-    np.testing.assert_allclose(got["y"], np.quantile(np.round(x), levels))
+    sizes = {"hot": 9000, "few": 7, "two": 2, "one": 1, None: 40}
+    parts = []
+    for key, n in sizes.items():
+        x = np.where(rng.random(n) < 0.5, 1.5, rng.standard_cauchy(n) * 10)  # half of all rows share a value
+        parts.append(pd.DataFrame({"k": [key] * n, "x": x, "y": np.round(x), "_n": 1}))
+    pdf = pd.concat([*parts, pd.DataFrame({"k": ["none"] * 3, "x": [np.nan] * 3, "y": [np.nan] * 3, "_n": 1})])
+    df = spark.createDataFrame(pdf).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in "xy"})
+    levels = [0.0, 0.005, 0.3, 0.5, 0.77, 0.995, 1.0]
+    got = {r["k"]: r for r in robust.quantiles(df, ["x", "y"], levels, ["k"], accuracy).collect()}
+    assert got.keys() == sizes.keys() | {"none"} and got["none"]["x"] is None
+    for key, part in zip(sizes, parts):
+        for c in "xy":
+            np.testing.assert_allclose(got[key][c], np.quantile(part[c], levels))
+    whole = robust.quantiles(df, ["y"], levels, accuracy=accuracy).collect()
+    np.testing.assert_allclose(whole[0]["y"], np.quantile(pdf["y"].dropna(), levels))
+    assert robust.quantiles(df.limit(0), ["x"], [0.5]).collect()[0]["x"] is None
+    assert robust.quantiles(df.limit(0), ["x"], [0.5], ["k"]).collect() == []
 
 
 def test_ks_distance(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import d
 from tidemark.operators import metrics as M
+from tidemark.operators.robust import quantiles
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,9 @@ def trades(test: DataFrame, thresholds: DataFrame | float, by: list[str], y: str
 
 def train_thresholds(train: DataFrame, by: list[str], p: str, percentile: float = 30.0) -> DataFrame:
     """Per fold the no-trade threshold: a percentile of absolute forecasts on the training rows."""
-    return train.groupBy(*by, "fold").agg(F.percentile(F.abs(F.col(p)), d(percentile / 100.0)).alias("threshold"))
+    sizes = train.select(*by, "fold", F.abs(F.col(p)).alias("_size"))
+    return quantiles(sizes, ["_size"], [percentile / 100.0], [*by, "fold"]).select(
+        *by, "fold", F.get("_size", 0).alias("threshold"))
 
 
 def fold_metrics(rows: DataFrame, by: list[str], y: str, p: str, horizon: int, at: str = "date",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import QUANTILES, Z10, Z25, clip, d
 from tidemark.operators.blocks import index_rows, running
+from tidemark.operators.robust import quantiles
 from tidemark.operators.rolling import map_blocks, rolling_quantiles
 
 # Distances between neighbouring quantiles of the standard Normal, from q25-q10 outwards in order:
@@ -42,8 +43,12 @@ def conformal_scale(df: DataFrame, y: str, mu: str, sigma: str, widths: tuple[fl
     """Factor on sigma that gives the outer band its nominal coverage; `previous` below 10 rows."""
     z = F.abs((F.col(y) - F.col(mu)) / (F.col(sigma) + 1e-8))
     half = max(widths[0] + widths[1], 1e-6)
-    scale = clip(F.percentile(z, d(target)) / half, 0.5, 5.0)
-    return df.groupBy(*by).agg(F.when(F.count(z) >= 10, scale).otherwise(d(previous)).alias("conformal_scale"))
+    rows = df.select(*by, z.alias("_z"))
+    counts = rows.groupBy(*by).agg(F.count("_z").alias("_n"))
+    wanted = quantiles(rows, ["_z"], [target], by)
+    both = counts.join(wanted, list(by)) if by else counts.crossJoin(F.broadcast(wanted))
+    scale = clip(F.get("_z", 0) / half, 0.5, 5.0)
+    return both.select(*by, F.when(F.col("_n") >= 10, scale).otherwise(d(previous)).alias("conformal_scale"))
 
 
 def rolling_residual_quantiles(df: DataFrame, residual: str, sigma: str, horizon: int, order, rows: int = 512,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import QUANTILES, d, pinball
+from tidemark.operators.robust import quantiles
 
 
 def hit_rate(y: Column, p: Column) -> Column:
@@ -59,7 +60,7 @@ def by_tertile(df: DataFrame, regime: str, ret: str, y: str, p: str, by: list[st
     """Metrics per tertile of a regime column; buckets with fewer than `least` rows are left out."""
     by = list(by)
     rows = df.where(F.col(regime).isNotNull())
-    cuts = rows.groupBy(*by).agg(F.percentile(regime, F.array(d(1 / 3), d(2 / 3))).alias("_t"))
+    cuts = quantiles(rows, [regime], [1 / 3, 2 / 3], by).withColumnRenamed(regime, "_t")
     j = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
     x = F.col(regime)
     bucket = F.when(x <= F.get("_t", 0), "low").when(x <= F.get("_t", 1), "mid").otherwise("high")

@@ -5,7 +5,7 @@ Fits are one-row frames; applying them attaches that row by broadcast, which is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import MAD_SIGMA, clip, clip_between, d, ratio
@@ -40,85 +40,73 @@ def robust_z(df: DataFrame, columns: dict[str, str], order: WindowSpec, window:
     return out.drop(*[f"_{p}_{t}" for t in columns.values() for p in ("med", "dev", "mad")])
 
 
-def quantiles(df: DataFrame, cols: list[str], levels: list[float], by: list[str] = (), method: str = "percentile"
+def quantiles(df: DataFrame, cols: list[str], levels: list[float], by: list[str] = (), accuracy: int = 10_000
               ) -> DataFrame:
-    """Per-column quantiles as arrays, exact and interpolated.
+    """Exact interpolated quantiles of columns for each group `by`: one array per column, null without any value.
 
-    method: 'percentile' aggregates the distinct values of a column in one buffer - right for daily
-    panels, whose rows are days; 'buckets' spreads them (see `bucketed_quantiles`) - for anything larger,
-    without `by`; 'sketch' is approximate.
+    A sketch per group, whose size `accuracy` bounds, gives a range of values around each wanted rank; a second pass
+    counts what lies below and orders only the values inside, some 4 / accuracy of the rows, equal ones counted
+    together before they are shuffled. The nearest value on either side belongs to the range, so small groups are
+    exact too. Nulls are left out, a null key is a group. `df` is read twice.
     """
-    if method == "buckets":
-        if by:
-            raise ValueError("method 'buckets' takes no groups")
-        q = bucketed_quantiles(df, cols, levels)
-        return q.groupBy().agg(*[F.max_by(F.col("q"), F.when(F.col("feature") == c, F.lit(1))).alias(c) for c in cols])
-    fn = (lambda c: F.percentile_approx(c, levels, 10_000)) if method == "sketch" else (
-        lambda c: F.percentile(c, F.array(*[d(q) for q in levels])))
-    return df.groupBy(*by).agg(*[fn(F.col(c)).alias(c) for c in cols])
-
-
-def bucketed_quantiles(df: DataFrame, cols: list[str], levels: list[float], buckets: int = 1024) -> DataFrame:
-    """Exact interpolated quantiles (feature, q array) without one buffer per column.
-
-    Equal values are counted together first. A sketch gives bucket edges, bucket counts give each bucket's
-    ranks, and only the buckets that hold a wanted rank are ordered. Every step is spread over (feature,
-    bucket), so neither many rows nor one frequent value land in one task. Nulls are left out.
-    """
-    from pyspark.sql import Window
-
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
-    values = (df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("x").isNotNull())
-              .groupBy("feature", "x").agg(F.count("*").alias("n")))
-    values = write_through(values, "quantiles")  # read three times below
-    edges = values.groupBy("feature").agg(F.percentile_approx(
-        "x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("edges"))
-    tagged = values.join(F.broadcast(edges), "feature").withColumn("bucket", _bucket_of(F.col("x"), F.col("edges")))
-    tagged = tagged.drop("edges")
-    sums = tagged.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sums.select("feature", "bucket", F.col("n").alias("bn"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lo"),
-                        F.sum("n").over(Window.partitionBy("feature")).alias("total"))
-    # Wanted zero-based ranks: the two neighbours of (total - 1) * q.
-    want = ranks.select("feature", "bucket", "bn", "lo", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * d(q)).alias("pos")) for i, q in enumerate(levels)])).alias("w"))
-    want = want.select("feature", "bucket", "bn", "lo", "w.i", "w.pos", F.explode(F.array(
-        F.floor("w.pos"), F.ceil("w.pos"))).alias("rank")).distinct()
-    want = want.where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("bn")))
-    held = tagged.join(F.broadcast(want.select("feature", "bucket", "lo").distinct()), ["feature", "bucket"])
-    inside = Window.partitionBy("feature", "bucket").orderBy("x")
-    ordered = held.withColumn("_end", F.col("lo") + F.sum("n").over(inside)).withColumn("_start", F.col("_end") - F.col("n"))
-    hits = ordered.join(F.broadcast(want.select("feature", "bucket", "i", "pos", "rank")), ["feature", "bucket"]).where(
-        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
-    share = F.col("pos") - F.floor("pos")
-    points = hits.groupBy("feature", "i").agg(
-        F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"), F.max(share).alias("t"))
-    points = points.select("feature", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("v"))
-    return points.groupBy("feature").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))  # one entry per level
-
-
-def _bucket_of(x: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < x))
-
-
-def fit_scaler(df: DataFrame, cols: list[str], method: str = "percentile") -> DataFrame:
+    by, cells = list(by), [(i, j) for i in range(len(cols)) for j in range(len(levels))]
+    margin = 2.0 / accuracy
+    ends = [min(max(q + m, 0.0), 1.0) for q in levels for m in (-margin, margin)]
+    x = [F.col(c).cast("double") for c in cols]
+    sketch = df.groupBy(*by).agg(*[F.percentile_approx(c, ends, accuracy).alias(f"_s{i}") for i, c in enumerate(x)],
+                                 *[F.count(c).alias(f"_n{i}") for i, c in enumerate(x)])
+    sketch = sketch.withColumnsRenamed({c: f"_by{k}" for k, c in enumerate(by)})
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    rows = df.join(sketch, same) if by else df.crossJoin(F.broadcast(sketch))  # one row
+    keys = [f"_by{k}" for k in range(len(by))]
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("x"), F.col(f"_n{i}").alias("total"),
+                                 F.get(f"_s{i}", 2 * j).alias("lo"), F.get(f"_s{i}", 2 * j + 1).alias("hi")) for i, j in cells])
+    rows = rows.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*").where(F.col("x").isNotNull())
+    side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
+    cell = [*keys, "i", "j"]
+    held = rows.withColumn("side", side).withColumn("value", F.when(F.col("side") == 0, F.col("x"))) \
+        .groupBy(*cell, "total", "side", "value").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    upto = F.sum("n").over(Window.partitionBy(*cell).orderBy("side", "value"))
+    # Below the range only the last rank has a known value, above it only the first.
+    held = held.withColumn("end", upto).select(
+        *cell, "total", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")).alias("x"),
+        F.when(F.col("side") < 0, F.col("end") - 1).otherwise(F.col("end") - F.col("n")).alias("from"),
+        F.when(F.col("side") > 0, F.col("end") - F.col("n") + 1).otherwise(F.col("end")).alias("to"))
+    pos = (F.col("total") - 1) * F.element_at(F.array(*[d(q) for q in levels]), F.col("j") + 1)
+    at = lambda rank: F.max(F.when((F.col("from") <= rank) & (rank < F.col("to")), F.col("x")))
+    points = held.withColumn("pos", pos).groupBy(*cell).agg(
+        at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"), F.max(F.col("pos") - F.floor("pos")).alias("t"))
+    lost = F.col("a").isNull() | F.col("b").isNull()
+    value = F.when(lost, F.raise_error(F.lit("a rank lies outside its sketched range")).cast("double")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * F.col("t"))
+    found = points.withColumn("v", value).groupBy(*keys).agg(*[
+        F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"_v{i}_{j}") for i, j in cells])
+    arrays = [F.when(F.col(f"_v{i}_0").isNotNull(), F.array(*[F.col(f"_v{i}_{j}") for j in range(len(levels))])).alias(c)
+              for i, c in enumerate(cols)]
+    if not by:
+        return found.select(*arrays)
+    groups = sketch.select(*[F.col(k).alias(f"_g{k}") for k in keys])  # those without any value as well
+    out = groups.join(found, [F.col(f"_g{k}").eqNullSafe(F.col(k)) for k in keys], "left")
+    return out.select(*[F.col(f"_g_by{k}").alias(c) for k, c in enumerate(by)], *arrays)
+
+
+def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row per feature: median and MAD sigma (1 where the MAD vanishes). Nulls count as zero."""
     x = df.select(*[F.coalesce(F.col(c).cast("double"), d(0)).alias(c) for c in cols])
-    med = quantiles(x, cols, [0.5], method=method).select(*[F.get(c, 0).alias(f"_m_{c}") for c in cols])
+    med = quantiles(x, cols, [0.5]).select(*[F.get(c, 0).alias(f"_m_{c}") for c in cols])
+    med = write_through(med, "medians")  # one row, read three times
     dev = x.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
-    mad = quantiles(dev, cols, [0.5], method=method).select(*[F.get(c, 0).alias(c) for c in cols])
+    mad = quantiles(dev, cols, [0.5]).select(*[F.get(c, 0).alias(c) for c in cols])
     both = mad.crossJoin(F.broadcast(med))
     return _per_feature(both, cols, lambda c: {
         "med": F.col(f"_m_{c}"),
         "mad": F.when(F.col(c) * MAD_SIGMA < 1e-8, d(1)).otherwise(F.col(c) * MAD_SIGMA)})
 
 
-def fit_winsor(df: DataFrame, cols: list[str], lo: float = 0.005, hi: float = 0.995, method: str = "percentile"
-               ) -> DataFrame:
+def fit_winsor(df: DataFrame, cols: list[str], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """One row per feature: clipping bounds; a constant feature gets a sliver of width. Nulls count as zero."""
     x = df.select(*[F.coalesce(F.col(c).cast("double"), d(0)).alias(c) for c in cols])
-    q = quantiles(x, cols, [lo, hi], method=method)
+    q = quantiles(x, cols, [lo, hi])
     return _per_feature(q, cols, lambda c: {
         "lo": F.get(c, 0),
         "hi": F.when(F.get(c, 1) <= F.get(c, 0), F.get(c, 0) + 1e-6).otherwise(F.get(c, 1))})
@@ -164,8 +152,6 @@ def latest_robust_z(df: DataFrame, value: str, at: str, n: int, need: int, sum_r
     With sum_rows > 1, values are held newest first and summed over that many consecutive ones before.
     Null if fewer than `need` rows (or 5 values) exist, zero if the MAD vanishes.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc(at))
     last = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
     # The newest element of the rolled sums is the sum ending `sum_rows` rows back in newest-first order.

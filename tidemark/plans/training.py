@@ -164,8 +164,8 @@ class Forecaster:
 
 
 def train(panel: DataFrame, features: list[str], label: str, by: list[str] = (), val_frac: float = 0.15,
-          steps: int = 16, trees: int = 10, depth: int = 3, seed: int = 0, method: str = "percentile") -> Forecaster:
-    """Fit a forecaster on labelled rows. `method` picks how the quantiles of scaler and winsoriser are computed."""
+          steps: int = 16, trees: int = 10, depth: int = 3, seed: int = 0) -> Forecaster:
+    """Fit a forecaster on labelled rows."""
     from tidemark.session import write_through
 
     struct = [c for c in STRUCT_PRIOR if c in features]
@@ -173,9 +173,9 @@ def train(panel: DataFrame, features: list[str], label: str, by: list[str] = (),
     rows = write_through(rows.select("is_val", F.col(label).alias("_y"), *features), "training")
     early = rows.where(~F.col("is_val"))
 
-    winsor = robust.fit_winsor(early, features, method=method)
+    winsor = robust.fit_winsor(early, features)
     cut = robust.apply_winsor(early, features, winsor)
-    scaler = robust.fit_scaler(cut, features, method=method)
+    scaler = robust.fit_scaler(cut, features)
     model = Forecaster(features, {}, 0.0, winsor, scaler)
     prepared = write_through(model.prepare(rows), "prepared")
     fit_rows, val_rows = prepared.where(~F.col("is_val")), prepared.where("is_val")
