@@ -236,6 +236,18 @@ def test_quantile_fit_reaches_the_least_loss(spark):
     assert none[0.5].tolist() == [2.0, 0.0]
 
 
+def test_replay_sample_of_each_key(spark):
+    rows = [("hot", i, i % 7) for i in range(4000)] + [("few", i, i) for i in range(5)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    got = training.replay_sample(df, ["at"], ["k"], 300, 1000, draw=F.col("at")).collect()
+    hot = sorted(r["at"] for r in got if r["k"] == "hot")
+    assert len(hot) == len(set(hot)) == 300 and hot[0] >= 3000 and 3400 < np.mean(hot) < 3600
+    assert sorted(r["at"] for r in got if r["k"] == "few") == list(range(5)) and len(got) == 306
+    again = training.replay_sample(df.repartition(7), ["at"], ["k"], 300, 1000, draw=F.col("at")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert training.newest(df, ["at", "k"], 3).count() == 3
+
+
 def test_training_beats_nothing(spark):
     rng = np.random.default_rng(12)
     n = 600

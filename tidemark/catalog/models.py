@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import views
 from tidemark.catalog import query, rounded, rounded_sql, with_views
 from tidemark.catalog.daily import dated, panel_digits, panel_sql, stored_panel
-from tidemark.catalog.evaluation import DAILY, LABEL, daily
+from tidemark.catalog.evaluation import DAILY, LABEL, _mixed_sql, daily
 from tidemark.catalog.scans import filter_sql
 from tidemark.functions.numeric import pinball
 from tidemark.functions.vectors import linear_score
@@ -203,11 +203,22 @@ def forecast_scores(spark, sf_dir):
     return dated(out.select("date", "mu", "sigma", "q10", "q25", "q50", "q75", "q90", "confidence"))
 
 
+@query("replay_sample", with_views(["prices_d"], f"""{DAILY.strip()},
+n AS (SELECT symbol, date, abs({LABEL}) AS abs_error, date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) + 3 * 7919 AS d,
+        row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM daily WHERE {LABEL} IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {_mixed_sql("d")}, date) AS pick FROM n WHERE k <= 120)
+SELECT symbol, CAST(date AS VARCHAR) AS date, round(abs_error, 6) AS abs_error FROM s WHERE pick <= 40"""))
+def replay_sample(spark, sf_dir):
+    """Of each symbol's 120 newest errors a drawn 40; the draw is a hash of the day's number."""
+    out = M.replay_sample(error_rows(spark, sf_dir), ["date"], ["symbol"], 40, 120, 3, F.unix_date("date"))
+    return dated(rounded(out.select("symbol", "date", "abs_error"), {"abs_error": 6}))
+
+
 @query("error_model_confidence")
 def error_model_confidence(spark, sf_dir):
     """Learn absolute errors of the naive forecast per symbol-day, then turn predictions into confidence."""
     rows = error_rows(spark, sf_dir)
-    sample = M.replay_sample(rows, ["date", "symbol"])
+    sample = M.replay_sample(rows, ["date"], ["symbol"], draw=F.unix_date("date"))
     model = M.fit_error_model(sample)
     sd = rows.agg(F.stddev_samp("abs_error")).first()[0] or 1e-3
     out = M.raw_confidence(rows, model, sd)

@@ -54,3 +54,10 @@ def pinball(y: Column, q: Column, tau: float) -> Column:
     err = y - q
     return F.greatest(err * tau, err * (tau - 1.0))
 
+
+def mixed(x: Column) -> Column:
+    """The low 32 bits of a whole number hashed by shifts and a multiplication, which any SQL engine can repeat."""
+    x = x.bitwiseAND(F.lit(0xFFFFFFFF))
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(0x45D9F3B)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(x, 16).bitwiseXOR(x)

@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import QUANTILES, clip, d, pinball
+from tidemark.functions.numeric import QUANTILES, clip, d, mixed, pinball
 from tidemark.functions.vectors import linear_score
 from tidemark.operators import calibrate, robust
 
@@ -223,10 +223,30 @@ def error_features(df: DataFrame, context: str = "context", regime: str = "regim
     return df.withColumn("_x", array_to_vector(F.concat(head, hot)))
 
 
-def replay_sample(errors: DataFrame, at: list[str], n: int = 3000, recent: int = 10_000, seed: int = 0) -> DataFrame:
-    """Uniform sample without replacement of at most n of the newest errors (this is the feature, not a shortcut)."""
-    newest = errors.orderBy(*[F.desc(c) for c in at]).limit(recent)
-    return newest.orderBy(F.xxhash64(F.lit(seed), *at)).limit(n)
+def newest(df: DataFrame, at: list[str], n: int, by: list[str] = (), parts: int = 64) -> DataFrame:
+    """The n newest rows of each key by the columns `at`, which tell a key's rows apart.
+
+    A key's rows are dealt to parts, each part keeps its n newest, then the key keeps n of these: however many rows a
+    key has, no task orders more than a part of them, or `parts` times n.
+    """
+    salt = F.pmod(F.xxhash64(*at), F.lit(parts))
+    order = [F.desc(c) for c in at]
+    few = df.withColumn("_salt", salt).withColumn("_k", F.row_number().over(
+        Window.partitionBy(*by, "_salt").orderBy(*order))).where(F.col("_k") <= n)
+    last = Window.partitionBy(*by, F.lit(0)).orderBy(*order)
+    return few.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= n).drop("_k", "_salt")
+
+
+def replay_sample(errors: DataFrame, at: list[str], by: list[str] = (), n: int = 3000, recent: int = 10_000, seed: int = 0,
+                  draw: Column | None = None) -> DataFrame:
+    """Uniform sample without replacement of at most n of the newest errors of each key (this is the feature).
+
+    The rows with the smallest hash of (seed, draw) stay; `draw` is a whole number that tells a key's rows apart, by
+    default a hash of `at`. Equal hashes go by `at`.
+    """
+    number = F.xxhash64(*at) if draw is None else draw.cast("long")
+    drawn = Window.partitionBy(*by, F.lit(0)).orderBy(mixed(number + seed * 7919), *at)  # over `recent` rows a key
+    return newest(errors, at, recent, by).withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= n).drop("_k")
 
 
 def fit_error_model(errors: DataFrame, target: str = "abs_error", trees: int = 10, depth: int = 4, seed: int = 0):
