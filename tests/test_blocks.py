@@ -142,6 +142,25 @@ def test_scan_that_never_forgets_falls_back(skewed):
     np.testing.assert_array_equal(got["total"], want["total"])
 
 
+def test_scan_that_never_forgets_settles_in_few_rounds(spark, monkeypatch):
+    """Spans of blocks grow from round to round, so 40 blocks that all follow a wrong guess need no 40 rounds."""
+    def run(x, state):
+        total = np.cumsum(x[:, 0]) + state[0]
+        return total[:, None], (float(total[-1]),)
+
+    scan = scans.Scan(("v",), ("total",), (0.0,), run, lambda x, rn: x, lookback=3)
+    pdf = pd.DataFrame({"event_id": np.arange(4500), "symbol": np.where(np.arange(4500) % 9 > 0, "hot", None),
+                        "v": np.random.default_rng(8).integers(1, 9, 4500).astype(float)})
+    pdf["rn"] = pdf.groupby("symbol", dropna=False).cumcount() + 1
+    rounds = []
+    write = session.write_through
+    monkeypatch.setattr(session, "write_through", lambda df, name: rounds.append(name) or write(df, name))
+    got = collected(scans.speculative_scan(spark.createDataFrame(pdf), scan, ticks_order(), size=100, warmup=20), ["total"])
+    want = pdf.groupby("symbol", dropna=False)["v"].cumsum()
+    np.testing.assert_array_equal(got["total"], want)
+    assert 1 < rounds.count("scan") < 6
+
+
 def test_only_blocks_with_another_state_run_again(spark, monkeypatch):
     """One symbol holds 90 % of the rows; its state is forgotten at each reset, so few blocks follow a wrong guess."""
     def run(x, state):

@@ -4,7 +4,7 @@ Linear filters whose gains do not depend on the data are weighted running sums,
 expressions over blocks. Recursions that do depend on the data (variance with adapting parameters,
 sticky regimes) run block by block in Arrow batches: all blocks at once from a guessed state, which a
 warm-up stretch before the block gives. Then the state that each block ended in is handed on to the next,
-and only blocks whose incoming state changed by a bit run again, until none does (`speculative_scan`).
+and only spans of blocks from one whose incoming state changed by a bit run again, until none does (`speculative_scan`).
 Sessions, which never forget within a day, are checked alike, and a key that fails is run in one ordered
 pass, streamed in bounded memory (`carried_scan`).
 """
@@ -24,6 +24,9 @@ from tidemark.functions.numeric import clip, d
 from tidemark.operators.blocks import BLOCK, HALO, Order, block_window, index_rows, own_rows, spread, with_blocks
 
 GAIN_ROWS, GAIN_HALO = 4096, 1024
+SPAN = "_span"
+#: Rows that one group runs through at most when blocks run again.
+SPAN_ROWS = 65536
 
 
 # --- linear filters ---------------------------------------------------------------------------
@@ -157,9 +160,11 @@ def speculative_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384,
 
     Round 0 runs every block from the state that a warm-up before it leads to. A table of one row per block holds the
     state before and after it; in each further round the blocks whose predecessor now ends in another state than they
-    began with run again from that state, and nothing else. After round n the first n blocks of a key are settled, so it
-    ends, and as soon as the recursion forgets a wrong guess within a block, it ends after that one round. No task holds
-    more than a block and what it looks back on. Null keys are keys of their own.
+    began with run again from that state, and so do those after them in a span of consecutive blocks, unless the state
+    they began with is met. Spans are four times as long in each round, up to about SPAN_ROWS rows: a recursion that
+    forgets a wrong guess after many blocks settles in a few rounds instead of one for each block, one that forgets
+    within a block ends after one. Each round settles at least the first span that was not, so it ends. No task holds
+    more than a span (or a block, if that is larger) and what it looks back on. Null keys are keys of their own.
     """
     from tidemark.session import write_through
 
@@ -167,16 +172,21 @@ def speculative_scan(df: DataFrame, scan: Scan, order: Order, size: int = 16384,
     none = F.lit(None).cast("array<double>")
     rows = with_blocks(df, size, max(warmup, scan.lookback) + scan.lookback)
     rounds = [write_through(_run_blocks(rows.withColumn("_in", none), scan, keys, df.columns), "scan")]
-    rows = with_blocks(rounds[0].select(*df.columns), size, scan.lookback)  # a given state needs no warm-up
+    rows = with_blocks(rounds[0].select(*df.columns, "_first"), size, scan.lookback)  # a given state needs no warm-up
     states = write_through(_states_of(rounds[0], keys, 0), "states")
     before = Window.partitionBy(*keys).orderBy(BLOCK)  # one row per block
     while True:
-        changed = states.withColumn("_in", F.lag("_after").over(before)) \
-            .where(F.col("_in").isNotNull() & (F.col("_in") != F.col("_before"))).select(*keys, BLOCK, "_in")
+        span = min(4 ** len(rounds), max(1, SPAN_ROWS // size))
+        met = states.withColumn("_in", F.lag("_after").over(before)).withColumn(SPAN, F.floor(F.col(BLOCK) / span))
+        changed = met.where(F.col("_in").isNotNull() & (F.col("_in") != F.col("_before")))
         if changed.isEmpty():
             break
-        again = _joined(rows, changed, [*keys, BLOCK], ["_in"], "inner")
-        rounds.append(write_through(_run_blocks(again, scan, keys, df.columns), "scan"))
+        spans = changed.groupBy(*keys, SPAN).agg(F.min(BLOCK).alias("_from"), F.min_by("_in", BLOCK).alias("_in"))
+        known = _joined(met.drop("_in"), spans, [*keys, SPAN], ["_from", "_in"], "inner").where(F.col(BLOCK) >= F.col("_from"))
+        again = _joined(rows, known, [*keys, BLOCK], [SPAN, "_from", "_in", "_before", "_after"], "inner").where(
+            (F.col(BLOCK) == F.col("_from")) | ~F.col(HALO))
+        again = again.withColumns({c: F.when(F.col("_first"), F.col(c)) for c in ("_before", "_after")})
+        rounds.append(write_through(_run_blocks(again, scan, keys, df.columns, SPAN), "scan"))
         new = _states_of(rounds[-1], keys, len(rounds) - 1)
         kept = _joined(states, new.select(*keys, BLOCK), [*keys, BLOCK], [], "left_anti")
         states = write_through(kept.unionByName(new), "states")
@@ -204,8 +214,12 @@ def _states_of(results: DataFrame, keys: list[str], number: int) -> DataFrame:
         F.max("_before").alias("_before"), F.max("_after").alias("_after")).withColumn("_round", F.lit(number))
 
 
-def _run_blocks(rows: DataFrame, scan: Scan, keys: list[str], columns: list[str]) -> DataFrame:
-    """Each block of `rows` from its state `_in`, or from the start through its copied rows where that is null."""
+def _run_blocks(rows: DataFrame, scan: Scan, keys: list[str], columns: list[str], unit: str = BLOCK) -> DataFrame:
+    """Each block of `rows` from its state `_in`, or from the start through its copied rows where that is null.
+
+    With `unit` a span of blocks, `_in` belongs to its first block, and only that has copied rows; the next ones run on
+    from it. Those that meet the state `_before` of their first row are left out, and their `_after` goes on.
+    """
     state = "array<double>"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns]
     schema = ", ".join([*fields, f"{BLOCK} bigint", *[f"{o} double" for o in scan.outputs],
@@ -228,17 +242,28 @@ def _run_blocks(rows: DataFrame, scan: Scan, keys: list[str], columns: list[str]
         names = [*columns, BLOCK, *scan.outputs, "_first", "_last", "_before", "_after"]
         if own.empty:
             return pd.DataFrame(columns=names)
-        values, after = scan.run(x[n_halo:], state)
-        out = own[[*columns, BLOCK]].copy()
+        out, x, of = own[[*columns, BLOCK]].copy(), x[n_halo:], own[BLOCK].to_numpy()
+        m = len(out)
+        known = list(zip(own["_before"], own["_after"])) if unit != BLOCK else [(None, None)] * m
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        begins = np.flatnonzero(first)
+        before, after, ran = [None] * m, [None] * m, np.ones(m, dtype=bool)
+        values = np.empty((m, len(scan.outputs)))
+        for begin, end in zip(begins, [*begins[1:], m]):
+            then, to = known[begin]
+            if then is not None and list(then) == list(state):
+                ran[begin:end], state = False, tuple(float(v) for v in to)
+                continue
+            before[begin] = list(state)
+            values[begin:end], state = scan.run(x[begin:end], state)
+            after[end - 1] = list(state)
         for i, name in enumerate(scan.outputs):
             out[name] = values[:, i]
-        m = len(out)
-        out["_first"], out["_last"] = np.arange(m) == 0, np.arange(m) == m - 1
-        out["_before"] = [list(state) if i == 0 else None for i in range(m)]
-        out["_after"] = [list(after) if i == m - 1 else None for i in range(m)]
-        return out
+        out["_first"], out["_last"] = first, np.concatenate([first[1:], [True]])
+        out["_before"], out["_after"] = before, after
+        return out[ran]
 
-    return spread(rows, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(block, schema)
+    return spread(rows, *keys, unit).groupBy(*keys, unit).applyInPandas(block, schema)
 
 
 def _matrix(pdf: pd.DataFrame, scan: Scan) -> np.ndarray:
