@@ -140,3 +140,33 @@ def test_news_sink_and_snapshot(spark, tmp_path):
     q.awaitTermination(300)
     got = {r["type"]: r["timestamp"] for r in sinks.latest_snapshot(spark, snap).collect()}
     assert got == {"news": 9.0, "market": 9.0}
+
+
+def test_landings_are_bounded_and_in_order(spark, tmp_path):
+    """A batch of a stream with state holds about as many rows as asked for, whatever the input holds."""
+    from tidemark.catalog import streams
+
+    rows = [(float(i * 7919 % 5000 // 2), i) for i in range(5000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "at double, i long").repartition(5)
+    batches = []
+
+    def start(source, base):
+        def keep(batch, _epoch):
+            batches.append([tuple(r) for r in batch.collect()])
+
+        return (source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    streams.streamed(df, "at", start, rows=600)
+    assert len(batches) == 9 and max(map(len, batches)) < 700
+    assert sorted(r for b in batches for r in b) == sorted(rows[:-1])
+    assert all(max(a)[0] < min(b)[0] for a, b in zip(batches, batches[1:]))
+
+
+def test_steps_pass_on_results_in_chunks(spark, landed, tmp_path, monkeypatch):
+    src = stream(spark, landed).select(
+        "symbol", (F.unix_micros("ts") / 1e6).alias("ts"), "event_id", "mid", "volume", (F.col("volume") / 97).alias("obs"))
+    whole = drained(jobs.symbol_state(src), tmp_path, "whole")
+    monkeypatch.setattr(jobs, "CHUNK", 7)
+    chunked = drained(jobs.symbol_state(src), tmp_path, "chunked")
+    assert chunked.count() == whole.count() > 0 and chunked.exceptAll(whole).count() == 0

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark import views
 from tidemark.catalog import ORACLES, query, rounded, rounded_sql, with_views
@@ -18,21 +19,37 @@ from tidemark.sources.lake import Lake
 from tidemark.streaming import jobs, sinks
 
 ONCE = {"availableNow": True}
+#: Rows that a stream with state of its own rows takes at a time: one key may hold them all, in one Python worker.
+LANDED_ROWS = 1_500_000
 
 
 def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def streamed(df: DataFrame, at: str, start: Callable[[DataFrame, str], StreamingQuery]) -> str:
-    """Land `df` in two parts by `at`; after each the stream runs to the end of its input.
+def streamed(df: DataFrame, at: str, start: Callable[[DataFrame, str], StreamingQuery], rows: int | None = None) -> str:
+    """Land `df` in two parts by `at`, or in more of about `rows` rows; after each the stream runs to the end of its input.
 
-    The second run begins from the checkpoint of the first, so state and watermark have to survive a restart.
+    Each further run begins from the checkpoint of the one before, so state and watermark have to survive a restart.
+    More than two parts are written apart once, so each is read alone. Rows of one `at` are in one part.
     """
     spark, base = df.sparkSession, new_folder(df.sparkSession, "stream")
-    middle = F.lit(df.agg(F.percentile_approx(at, F.lit(0.5)).alias("m")).first().m)
-    for part in (F.col(at) <= middle, F.col(at) > middle):
-        df.where(part).write.mode("append").parquet(f"{base}/landed")
+    middle = F.percentile_approx(at, F.lit(0.5)).alias("m")
+    size = df.agg(F.count(at).alias("n"), middle).first()
+    parts = max(2, -(-size.n // rows)) if rows else 2
+    if parts == 2:
+        landings = [df.where(F.col(at) <= F.lit(size.m)), df.where(F.col(at) > F.lit(size.m))]
+    else:
+        points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        bounds = sorted(set(df.agg(F.percentile_approx(at, points, F.lit(100 * parts)).alias("b")).first().b))
+        number = F.lit(0)
+        for i, bound in enumerate(bounds, 1):
+            number = F.when(F.col(at) > F.lit(bound), F.lit(i)).otherwise(number)
+        df.where(F.col(at).isNotNull()).withColumn("_landing", number).write.partitionBy("_landing").parquet(f"{base}/parts")
+        apart = spark.read.schema(StructType([*df.schema, StructField("_landing", IntegerType())])).parquet(f"{base}/parts")
+        landings = [apart.where(F.col("_landing") == i).drop("_landing") for i in range(len(bounds) + 1)]
+    for part in landings:
+        part.write.mode("append").parquet(f"{base}/landed")
         start(spark.readStream.schema(df.schema).parquet(f"{base}/landed"), base).awaitTermination()
     return base
 
@@ -47,7 +64,7 @@ def drained(df: DataFrame, at: str, transform: Callable[[DataFrame], DataFrame])
         return (out.writeStream.format("parquet").option("path", f"{base}/out")
                 .option("checkpointLocation", f"{base}/checkpoint").trigger(**ONCE).start())
 
-    base = streamed(df, at, start)
+    base = streamed(df, at, start, LANDED_ROWS)
     return df.sparkSession.read.schema(schema[0]).parquet(f"{base}/out")
 
 

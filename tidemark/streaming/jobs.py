@@ -64,6 +64,8 @@ def changed_values(obs: DataFrame, key: str = "series_id", at: str = "date", val
                                                     GroupStateTimeout.NoTimeout)
 
 
+#: Rows of a result that a step gathers before it passes them on.
+CHUNK = 8192
 INDICATORS = ("macd", "macd_signal", "z_price", "sigma", "confidence", "vwap_dev")
 _STATE = ("n bigint, prev double, fast double, slow double, signal double, mu double, var double, "
           "garch array<double>, conf double, cov double, start double, pv double, vv double, window array<double>")
@@ -86,6 +88,9 @@ def symbol_state(ticks: DataFrame, window: int = 200, alpha: float = 0.02, sessi
             g, conf, cov, start, pv, vv, buf = garch.start, 0.55, 0.1, -1.0, 0.0, 0.0, []
         out = []
         for t in pdf.itertuples(index=False):
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=["symbol", "event_id", *INDICATORS])
+                out = []
             n += 1
             p, volume = float(t.mid), float(t.volume)
             if n == 1:
@@ -124,7 +129,8 @@ def symbol_state(ticks: DataFrame, window: int = 200, alpha: float = 0.02, sessi
         yield pd.DataFrame(out, columns=["symbol", "event_id", *INDICATORS])
 
     schema = "symbol string, event_id bigint, " + ", ".join(f"{c} double" for c in INDICATORS)
-    return ticks.groupBy("symbol").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = ticks.select("symbol", "ts", "event_id", "mid", "volume", "obs")
+    return rows.groupBy("symbol").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def delayed_settlement(ticks: DataFrame, horizons: tuple[int, ...] = (5, 30)) -> DataFrame:
@@ -140,6 +146,9 @@ def delayed_settlement(ticks: DataFrame, horizons: tuple[int, ...] = (5, 30)) ->
         for t in _ordered(frames, ["ts", "event_id"]).itertuples(index=False):
             if not t.mid > 0:
                 continue
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=["symbol", "event_id", "horizon", "realised", "abs_error"])
+                out = []
             for h in horizons:
                 if len(ids) >= h:
                     real = float(np.log(t.mid / mids[-h]))
@@ -174,6 +183,9 @@ def latest_value_stream(rows: DataFrame, feeds: list[str]) -> DataFrame:
         latest = list(state.get[0]) if state.exists else [None] * len(feeds)
         out = []
         for r in _ordered(frames, ["ts", "event_id"]).itertuples(index=False):
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=["symbol", "event_id", "mid", *feeds])
+                out = []
             if r.kind == "tick":
                 out.append((k[0], int(r.event_id), float(r.value), *latest))
             else:
