@@ -170,3 +170,25 @@ def test_steps_pass_on_results_in_chunks(spark, landed, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "CHUNK", 7)
     chunked = drained(jobs.symbol_state(src), tmp_path, "chunked")
     assert chunked.count() == whole.count() > 0 and chunked.exceptAll(whole).count() == 0
+
+
+def test_upsert_moves_only_keys_of_its_batch(spark, tmp_path, monkeypatch):
+    """Rows of a batch are chosen without gathering them by key; the last of each key wins, over several bitmaps."""
+    from tidemark.sources import lake as lakes
+
+    monkeypatch.setattr(lakes, "dedup_by_max", None)
+    rows = spark.range(0, 80_000, 1, 2).select(
+        F.when(F.col("id") % 1000 > 0, F.concat(F.lit("k"), F.col("id") % 30_000)).alias("id"), F.col("id").cast("string").alias("title"))
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.upsert("news", rows.where("title < '5'"))
+    lake.upsert("news", rows)
+    pdf = rows.toPandas()
+    want = pdf.groupby("id", dropna=False)["title"].last()
+    got = lake.read("news").select("id", "title").toPandas()
+    known = got[got["id"].notna()].set_index("id")["title"].sort_index()
+    pd.testing.assert_series_equal(known, want[want.index.notna()].sort_index(), check_names=False)
+    none = sorted(got.loc[got["id"].isna(), "title"], key=int)  # a null key equals no stored one
+    assert none[-1] == "79000" and len(none) == 2
+    plan = lakes.last_rows(rows.withColumn("n", F.monotonically_increasing_id()), ["id"], "n")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "max_by" not in plan

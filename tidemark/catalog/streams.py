@@ -49,7 +49,7 @@ def streamed(df: DataFrame, at: str, start: Callable[[DataFrame, str], Streaming
         apart = spark.read.schema(StructType([*df.schema, StructField("_landing", IntegerType())])).parquet(f"{base}/parts")
         landings = [apart.where(F.col("_landing") == i).drop("_landing") for i in range(len(bounds) + 1)]
     for part in landings:
-        part.write.mode("append").parquet(f"{base}/landed")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{base}/landed")
         start(spark.readStream.schema(df.schema).parquet(f"{base}/landed"), base).awaitTermination()
     return base
 

@@ -20,14 +20,31 @@ from tidemark.schemas import KEYS, TABLES
 HASH_PARTS = 64
 
 
-def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+def last_rows(batch: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """The row with the largest `number` of each key, without `number`: a different long >= 0 in each row of `batch`.
+
+    Only keys and numbers are shuffled, the rows stay where they are: a bit for each row, in blocks of 32,768 that the
+    rows look up, tells which to keep. `batch` is read twice and must give the same numbers both times.
+    """
+    last = batch.groupBy(*keys).agg(F.max(number).alias(number))
+    bits = last.groupBy(F.bitmap_bucket_number(number).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = batch.withColumns({"_bucket": F.bitmap_bucket_number(number)}).join(F.broadcast(bits), "_bucket")
+    kept = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(at, F.lit(8)).cast("int"))) != 0
+    return rows.where(kept).drop("_bucket", "_bits", number)
+
+
+def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str | None = None, unique: bool = False) -> DataFrame:
     """The target after inserting the batch and overwriting non-key columns on equal keys.
 
     The last duplicate within the batch wins, by `seq` (default: row order of the batch). Columns the
     batch lacks keep the stored value, or null on insert. If the batch has key columns only, stored
     rows stay as they are. The stored side is anti-joined, never grouped: a small batch is broadcast.
+    `unique` says that no key comes twice in the batch.
     """
-    if seq is None:
+    if seq is None and not unique:
         seq = "_seq"
         batch = batch.withColumn(seq, F.monotonically_increasing_id())
     values = [c for c in target.columns if c not in keys]
@@ -35,7 +52,7 @@ def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str |
     if not given:
         new = batch.select(*keys).distinct().join(target.select(*keys), keys, "left_anti")
         return target.unionByName(new, allowMissingColumns=True)
-    latest = dedup_by_max(batch.select(*keys, *given, seq), keys, seq)
+    latest = batch.select(*keys, *given) if unique else dedup_by_max(batch.select(*keys, *given, seq), keys, seq)
     missing = [c for c in values if c not in given]
     if missing:
         latest = latest.join(target.select(*keys, *missing), keys, "left")
@@ -81,8 +98,14 @@ class Lake:
         return df.select(*(columns or [f for f in df.columns if f != "_part"]))
 
     def upsert(self, table: str, batch: DataFrame, seq: str | None = None) -> None:
+        """Insert the batch and overwrite equal keys; the last duplicate within the batch wins (see `upsert_rows`).
+
+        The stored rows of touched partitions are shuffled once, those of the batch are written from where they are
+        unless `seq` orders them; the next upsert of a partition merges their files.
+        """
         keys = KEYS[table]
-        if seq is None:
+        unique = seq is None
+        if unique:
             seq = "_seq"
             batch = batch.withColumn(seq, F.monotonically_increasing_id())
         batch = batch.persist()
@@ -91,9 +114,10 @@ class Lake:
             if not parts:
                 return
             touched = self._stored(table).where(F.col("_part").isin(parts)).drop("_part")
-            merged = upsert_rows(touched, batch, keys, seq)
-            (merged.withColumn("_part", part_of(table)).repartition("_part", *keys[:1]).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.path(table)))
+            latest = last_rows(batch, keys, seq) if unique else batch
+            merged = upsert_rows(touched.repartition(*keys), latest, keys, seq, unique)
+            (merged.withColumn("_part", part_of(table)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("_part").parquet(self.path(table)))
         finally:
             batch.unpersist()
 
