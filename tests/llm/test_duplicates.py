@@ -237,6 +237,20 @@ def test_fingerprints_links_and_classes_by_brute_force(frame, monkeypatch):
         (str(i), f"{f:032x}", str(least[f]), n) for (i, _), f, n in zip(docs, fps, links))
 
 
+def test_fingerprint_tables_are_not_broadcast(frame, spark, monkeypatch):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # small files are broadcast
+    written, write = {}, fingerprint.write_through
+    monkeypatch.setattr(fingerprint, "write_through", lambda df, name: written.update({name: df}) or write(df, name))
+    got = fingerprint.fingerprint_pairs(frame([(i, f"text {i % 7} " * 30) for i in range(40)]))
+    assert set(written) == {"fingerprints", "classes", "buckets"}
+    for df in (written["classes"], written["buckets"], got):
+        planned = df._jdf.queryExecution().executedPlan()
+        assert "Broadcast" not in planned.toString()
+        df.collect()
+        assert "Broadcast" not in planned.toString()  # as it ran
+    assert "SortMergeJoin" in planned.toString()
+
+
 def test_slices_of_a_hot_id(spark):
     rows = spark.createDataFrame([(-(1 << 63) if i % 3 else i, f"text {i}") for i in range(3000)], "id long, text string")
     dealt = fingerprint.sliced(rows, 30).collect()

@@ -155,7 +155,8 @@ def fingerprint_pairs(docs: DataFrame, radius: int = RADIUS, blocks: int | None
                            F.col("lo").alias("next_lo"))
     named = link_counts(write_through(classes(one), "classes"), radius, blocks)
     named = named.select("hi", "lo", "class_id", "links", F.explode("salts").alias("salt"))
-    return one.join(following, ["next_slice", "next_n"]).join(named, ["hi", "lo", "salt"]).select(
+    followed = one.hint("merge").join(following, ["next_slice", "next_n"])
+    return followed.hint("merge").join(named, ["hi", "lo", "salt"]).select(
         "doc_id", "n_chars", digest_hex().alias("edited_sha256"), as_hex("hi", "lo").alias("fingerprint"),
         as_hex("edited_hi", "edited_lo").alias("edited_fingerprint"), likeness("", "edited_").alias("near_edited"),
         likeness("", "next_").alias("near_next"), "class_id", "links")
@@ -179,6 +180,9 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, blocks: int | None = No
     many is a table keyed by those bits. A bucket's rows are dealt to parts of about PART_OF_BUCKET, and each two parts
     are a cell of their own, whose distances are filtered inside the join. A pair counts in the first table it shares
     only, so pairs needn't be made distinct. The work for a bucket grows with the square of its different fingerprints.
+
+    Both sides of the joins here and around grow with the input, so a hint has them shuffled: Spark takes a side for as
+    large as its files before they are exploded, and would send 28 rows for each fingerprint through the driver.
     """
     blocks = blocks or radius + 2
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -192,7 +196,7 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, blocks: int | None = No
     full = keyed.groupBy("t", "k").count().where("count > 1").select(
         "t", "k", F.ceil(F.col("count") / PART_OF_BUCKET).alias("parts"))
     part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))
-    rows = write_through(keyed.join(full, ["t", "k"]).withColumn("part", part), "buckets")
+    rows = write_through(keyed.hint("merge").join(full, ["t", "k"]).withColumn("part", part), "buckets")
 
     def side(name: str, others: Column, cell: tuple[str, str]) -> DataFrame:
         return rows.withColumn("other", F.explode(others)).select(
@@ -205,7 +209,7 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, blocks: int | None = No
     shares = [differing[0].bitwiseAND(hi).bitwiseOR(differing[1].bitwiseAND(lo)) == 0 for hi, lo in masks]
     first = reduce(lambda c, ts: c.when(ts[1], F.lit(ts[0])), enumerate(shares[1:], 1), F.when(shares[0], F.lit(0)))
     met = ((F.col("row") < F.col("column")) | ahead) & (distance("a_", "b_") <= radius) & (first == F.col("t"))
-    return a.join(b, ["t", "k", "row", "column"]).where(met).select(
+    return a.hint("merge").join(b, ["t", "k", "row", "column"]).where(met).select(
         *[f"{n}_{c}" for n in "ab" for c in kept], distance("a_", "b_").alias("distance"))
 
 
@@ -214,5 +218,5 @@ def link_counts(classes: DataFrame, radius: int = RADIUS, blocks: int | None = N
     ends = F.explode(F.array(*[F.struct(F.col(f"{x}_hi").alias("hi"), F.col(f"{x}_lo").alias("lo"), F.col(f"{y}_size").alias("n"))
                                for x, y in ("ab", "ba")]))
     degrees = near_pairs(classes, radius, blocks).select(ends.alias("e")).groupBy("e.hi", "e.lo").agg(F.sum("e.n").alias("n"))
-    return classes.join(degrees, ["hi", "lo"], "left").withColumn(
+    return classes.hint("merge").join(degrees, ["hi", "lo"], "left").withColumn(
         "links", F.col("size") - 1 + F.coalesce("n", F.lit(0))).drop("n")
