@@ -3,13 +3,16 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, packing, words
+from tidemark.llm import bpe, lines, packing, words
+from tidemark.llm.common import by_size, slices, texts_of
 from tidemark.llm.queries import VOCAB
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,3 +85,32 @@ def test_empty_tables(frame):
 def test_longest_piece_must_be_a_power(frame):
     with pytest.raises(ValueError):
         packing.pack(frame([]), VOCAB, most=100)
+
+
+def test_slices_hold_every_row_once():
+    texts = [None, "", "ab", "é" * 9, "c", None, "dd", "x" * 30, "", "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(slices(batch, 10))
+    assert [x for p in parts for x in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert [texts_of(p) for p in parts] == [texts_of(batch)[a:b] for a, b in by_size(texts_of(batch), 10)]
+    assert not list(slices(batch.slice(0, 0), 10))
+
+
+def test_a_worker_keeps_little():
+    """200,000 distinct words and 2 million characters at once, within a few MB beside the words themselves."""
+    memo = words.Memo(words.vocabulary(VOCAB))
+    whole = memo.ids(["first"])
+    text = "some words of a line 12\n" * (lines.CHARS // 24)
+    lines.kinds()
+    tracemalloc.start()
+    try:
+        for a in range(0, 200_000, 5000):
+            memo.ids([f" w{i}" for i in range(a, a + 5000)])
+        kept = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        lines.Parsed([text])
+        parsed = tracemalloc.get_traced_memory()[1] - kept
+    finally:
+        tracemalloc.stop()
+    assert memo.ids(["first"]) == whole
+    assert kept < 20e6 and parsed < 70e6

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup
-from tidemark.llm.common import free_name, ragged, shuffle_partitions, texts_of
+from tidemark.llm.common import free_name, ragged, shuffle_partitions, slices, texts_of
 from tidemark.llm.components import components
 from tidemark.session import write_through
 
@@ -27,6 +27,8 @@ PART = 4096
 SHINGLES = 1 << 20
 #: Small groups are laid side by side until a block has so many rows.
 BLOCK = 256
+#: Characters of a slice of documents whose shingles a worker holds at once.
+CHARS = 1 << 19
 #: Odd numbers that make further hashes of one hash.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -166,7 +168,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, seed:
     key_type = "struct<none:boolean,id:long,text:long,whole:long>"
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, CHARS) for b in batches):
             sets = [shingle_set(t, words, seed) for t in texts_of(batch)]
             wide = np.array([wide_simhash(s) for s in sets], np.uint64).reshape(-1, len(WIDE)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -185,7 +187,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, seed:
     chosen = texts.join(members, "key").dropDuplicates(["key"]).select("node", "label", "c", *WIDE, "text")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, CHARS) for b in batches):
             sets = pa.array([shingle_set(t, words, seed).tobytes() for t in texts_of(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], [*batch.schema.names[:-1], "shingles"])
 

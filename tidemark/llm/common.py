@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,22 @@ def by_size(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(batch: pa.RecordBatch, chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about `chars` characters; one longer text is a slice of its own.
+
+    Only the texts of one slice need stand as Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > chars:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of the runs [start, start + length), one run after the other."""
     ends = np.cumsum(lengths)

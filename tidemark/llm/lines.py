@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_size, ragged, shuffle_partitions, texts_of
+from tidemark.llm.common import ragged, shuffle_partitions, slices, texts_of
 from tidemark.session import write_through
 
 #: Lines with fewer tokens have nothing that may vary.
@@ -24,6 +24,8 @@ SHARE = 80
 PART = 2048
 #: Characters of a range of documents that a worker parses at once.
 CHARS = 1 << 21
+#: Tokens of a range that are hashed at once.
+TOKENS = 1 << 14
 #: Scripts written without spaces (Thai to Burmese, Khmer, kana, Han): each character is a token.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
             (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
@@ -69,14 +71,18 @@ class Parsed:
         start[1:] &= space[:-1] | (kind[1:] & ALONE > 0) | (kind[:-1] & ALONE > 0)
         chars = np.flatnonzero(~space)
         begin = np.flatnonzero(start[chars])
-        size = np.diff(np.append(begin, len(chars)))
-        value = codes[chars].astype(np.uint64) << np.uint64(32)
-        value += (np.arange(len(chars)) - np.repeat(begin, size)).astype(np.uint64)
-        empty = not len(begin)
-        raw = np.zeros(0, np.uint64) if empty else mixed(np.add.reduceat(mixed(value, 1), begin) + size.astype(np.uint64), 2)
-        field = np.zeros(0, bool) if empty else np.bitwise_or.reduceat(kind[chars], begin) & DIGIT > 0
+        edges = np.append(begin, len(chars))
+        raw, field = np.zeros(len(begin), np.uint64), np.zeros(len(begin), bool)
+        for a in range(0, len(begin), TOKENS):
+            cut = edges[a:a + TOKENS + 1]
+            at, first, size = chars[cut[0]:cut[-1]], cut[:-1] - cut[0], np.diff(cut)
+            value = codes[at].astype(np.uint64) << np.uint64(32)
+            value += (np.arange(len(at)) - np.repeat(first, size)).astype(np.uint64)
+            raw[a:a + TOKENS] = mixed(np.add.reduceat(mixed(value, 1), first) + size.astype(np.uint64), 2)
+            field[a:a + TOKENS] = np.bitwise_or.reduceat(kind[at], first) & DIGIT > 0
         ends = np.flatnonzero(codes == 10)
         line = np.searchsorted(ends, chars[begin])
+        del joined, codes, kind, space, start, chars, begin  # what follows is by token
         self.line, first, self.n = np.unique(line, return_index=True, return_counts=True)
         self.begin = first
         of = np.repeat(np.arange(len(first)), self.n)
@@ -126,10 +132,9 @@ def parsed(docs: DataFrame, schema: str, finish) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            texts, ids = texts_of(batch), batch.column("id").to_numpy()
-            hashes = batch.column("text_hash").to_numpy()
-            for a, b in by_size(texts, CHARS):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in finish(Parsed(texts[a:b]), ids[a:b], hashes[a:b])], names)
+            for part in slices(batch, CHARS):
+                columns = finish(Parsed(texts_of(part)), part.column("id").to_numpy(), part.column("text_hash").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return keyed(docs).select("id", "text_hash", "text").mapInArrow(run, schema)
 

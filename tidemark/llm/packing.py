@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_size, ragged, texts_of
-from tidemark.llm.words import CHARS, Memo, vocabulary
+from tidemark.llm.common import ragged, slices, texts_of
+from tidemark.llm.words import Memo, vocabulary
 
+#: Characters of a slice that a worker encodes at once.
+CHARS = 1 << 19
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids array<int>")
 
 
@@ -27,8 +29,8 @@ def encoded(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     words, counts = memo.vocab.split(texts)
     coded = words.dictionary_encode()
     known = memo.ids(coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter((i for ids in known for i in ids), np.int32, int(size.sum()))
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), np.int32)
     codes = coded.indices.to_numpy()
     of_word = size[codes]
     ids = flat[ragged((np.cumsum(size) - size)[codes], of_word)]
@@ -51,9 +53,8 @@ def pack(docs: DataFrame, vocab_path: str, most: int = 2048, end_id: int = 1) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(vocabulary(vocab_path))
         for batch in batches:
-            texts = texts_of(batch)
-            for begin, end in by_size(texts, CHARS):
-                yield pieces(batch.column("doc_id").slice(begin, end - begin), *encoded(texts[begin:end], memo))
+            for part in slices(batch, CHARS):
+                yield pieces(part.column("doc_id"), *encoded(texts_of(part), memo))
 
     def pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)

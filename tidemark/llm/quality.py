@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -11,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, texts_of
+from tidemark.llm.common import free_name, slices, texts_of
 from tidemark.llm.trees import Trees, fit_trees
 
 #: Labelled rows that a classifier is fitted on, at most; taken by a hash of the id.
 SAMPLE = 20_000
+#: Characters of a slice of documents whose texts a worker holds at once.
+CHARS = 1 << 19
 FEATURES = ("log_chars", "log_words", "word_length", "distinct_words", "top_word", "repeated_word", "upper", "digit",
             "space", "newline", "letter", "exclamation", "pipe", "symbol", "other_punctuation", "distinct_lines",
             "longest_word", "letter_words")
@@ -82,7 +85,7 @@ def score_quality(docs: DataFrame, model: Trees, column: str = "quality_score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, CHARS) for b in batches):
             x = np.array([statistics(t) for t in texts_of(batch)], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(x))], [*names, column])
 

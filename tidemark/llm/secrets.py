@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import slices, texts_of
 
 KINDS = ("assign", "access", "hex")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -30,6 +30,8 @@ PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 STANDARD = str.maketrans("-_", "+/", " \t\r\n=")
 #: Bytes of an unpacked stream that are scanned at once, and how far two such windows overlap.
 WINDOW, OVERLAP = 1 << 22, 1 << 16
+#: Characters of a slice of documents whose texts a worker holds at once.
+CHARS = 1 << 19
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 SCHEMA = f"doc_id long, base {SPANS}, spans {SPANS}"
 
@@ -227,7 +229,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, CHARS) for b in batches):
             texts = [t if t is None else redacted(t, find(t)[1], mark) for t in batch.column("text").to_pylist()]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:

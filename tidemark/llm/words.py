@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +27,8 @@ class Vocabulary:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" \
@@ -36,6 +36,8 @@ class Vocabulary:
             raise ValueError(f"{path} isn't a plain byte-level BPE")
         if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that take in their surroundings")
+        # The library's own rule; its whole tokenizer would take a worker 27 MB that nothing uses.
+        self.rule = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=spec["pre_tokenizer"].get("use_regex", True))
         letters = byte_letters()
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
@@ -62,7 +64,7 @@ class Vocabulary:
         """Letter, number, space or other; characters not met before are put to the library's own rule."""
         kinds = self.kinds[codes]
         if not kinds.all():
-            rule = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            rule = self.rule.pre_tokenize_str
             for code in np.unique(codes[kinds == 0]):
                 alone = [k for k, lead in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(rule(lead + chr(code))) == 1]
                 self.kinds[code] = alone[0] if alone else SPACE
@@ -131,18 +133,18 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo:
-    """Ids of words, kept while they fit; `limit` words at most, then it starts anew."""
+    """Ids of words as the bytes of 32-bit numbers, kept while they fit; beyond `limit` words it starts anew."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 1 << 18):
+    def __init__(self, vocab: Vocabulary, limit: int = 1 << 16):
         self.vocab, self.limit, self.known = vocab, limit, {}
 
-    def ids(self, words: list[str]) -> list[list[int]]:
+    def ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
         out, known, encode = [], self.known, self.vocab.encode_word
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = encode(w)
+                ids = known[w] = array("i", encode(w)).tobytes()
             out.append(ids)
         return out
