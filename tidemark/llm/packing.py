@@ -14,7 +14,7 @@ from tidemark.llm.common import ragged, slices, texts_of
 from tidemark.llm.words import Memo, vocabulary
 
 #: Characters of a slice that a worker encodes at once.
-CHARS = 1 << 19
+CHARS = 1 << 20
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids array<int>")
 
 
