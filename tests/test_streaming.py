@@ -192,3 +192,64 @@ def test_upsert_moves_only_keys_of_its_batch(spark, tmp_path, monkeypatch):
     plan = lakes.last_rows(rows.withColumn("n", F.monotonically_increasing_id()), ["id"], "n")
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "max_by" not in plan
+
+
+def news_files(lake):
+    return {p.relative_to(lake.path("news")): p.stat().st_mtime_ns for p in pathlib.Path(lake.path("news")).rglob("part-*.parquet")}
+
+
+def test_upsert_holds_no_rows_and_leaves_partitions_without_its_keys(spark, tmp_path, monkeypatch):
+    """Rows of a batch are never cached; only partitions that hold one of its keys are written anew."""
+    def fails(*_args, **_kw):
+        raise AssertionError("rows held in memory")
+
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(spark.range(1)), name, fails)
+    lake = Lake(spark, str(tmp_path / "lake"))
+
+    def rows(start, end, title):
+        return spark.range(start, end, 1, 2).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(title).alias("title"))
+
+    twice = rows(0, 2000, "a").unionByName(rows(0, 2000, "b"))
+    twice.write.parquet(str(tmp_path / "landed"))
+    q = (spark.readStream.schema(twice.schema).parquet(str(tmp_path / "landed")).writeStream
+         .foreachBatch(lambda batch, _epoch: lake.upsert("news", batch))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    first = news_files(lake)
+    assert lake.read("news").count() == lake.read("news").select("id").distinct().count() == 2000
+    lake.upsert("news", rows(2000, 2500, "c"))
+    second = news_files(lake)
+    assert first.items() < second.items()
+    lake.upsert("news", rows(7, 8, "d").unionByName(rows(2500, 2600, "d")))
+    third = news_files(lake)
+    gone = second.keys() - third.keys()
+    assert len({p.parent for p in gone}) == 1 and second.items() - third.items() == {(p, second[p]) for p in gone}
+    got = {r["id"]: r["title"] for r in lake.read("news").collect()}
+    assert len(got) == lake.read("news").count() == 2600
+    assert {t: list(got.values()).count(t) for t in "cd"} == {"c": 500, "d": 101} and got["k7"] == "d"
+    assert list((tmp_path / "lake" / "_aside").iterdir()) == []
+
+
+def test_upsert_merges_many_small_files(spark, tmp_path, monkeypatch):
+    from tidemark.sources import lake as lakes
+
+    monkeypatch.setattr(lakes, "MANY_FILES", 3)
+    lake = Lake(spark, str(tmp_path / "lake"))
+    most = []
+    for i in range(5):
+        lake.upsert("news", spark.range(i * 2000, i * 2000 + 2000, 1, 2).select(F.concat(F.lit("k"), "id").alias("id")))
+        parts = [p.parent for p in news_files(lake)]
+        most.append(max(parts.count(p) for p in parts))
+    assert max(most) > 3 > most[-1]
+    assert lake.read("news").count() == lake.read("news").select("id").distinct().count() == 10_000
+
+
+def test_upsert_of_rows_that_differ_when_read_again(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.upsert("news", spark.range(0, 500, 1, 4).select(F.expr("uuid()").alias("id"), F.lit(None).alias("title")))
+    assert lake.read("news").count() == 500
+    undated = spark.createDataFrame([(None, "S1", 1.0)], "date date, series_id string, value double")
+    for _ in range(2):
+        lake.upsert("macro_d", undated)
+    assert lake.read("macro_d").count() == 1

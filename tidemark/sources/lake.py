@@ -1,8 +1,8 @@
 """Lake tables as partitioned parquet: typed scans, keyed upserts, run records, fingerprints, caches.
 
 A table folder is partitioned by `_part`, a function of the key: the year for tables keyed by a date,
-a hash bucket otherwise. An upsert reads and rewrites only the partitions its batch touches (dynamic
-partition overwrite); one writer per table at a time.
+a hash bucket otherwise. An upsert rewrites only the partitions that hold a key of its batch (dynamic
+partition overwrite) and appends to the others; one writer per table at a time.
 """
 
 from __future__ import annotations
@@ -18,15 +18,28 @@ from tidemark.operators.bars import dedup_by_max
 from tidemark.schemas import KEYS, TABLES
 
 HASH_PARTS = 64
+#: An upsert merges a partition of more files than this if they are smaller on average than that many bytes.
+MANY_FILES, SMALL_FILE, MERGED_FILE = 1000, 16 << 20, 64 << 20
 
 
-def last_rows(batch: DataFrame, keys: list[str], number: str) -> DataFrame:
+def same_again(df: DataFrame) -> bool:
+    """Whether Spark takes another reading to give the same rows in the same order: a micro-batch without a shuffle."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.nodeName() == "LogicalRDD" and plan.rdd().outputDeterministicLevel().toString() == "DETERMINATE"
+
+
+def last_numbers(batch: DataFrame, keys: list[str], number: str) -> DataFrame:
+    return batch.groupBy(*keys).agg(F.max(number).alias(number))
+
+
+def last_rows(batch: DataFrame, keys: list[str], number: str, last: DataFrame | None = None) -> DataFrame:
     """The row with the largest `number` of each key, without `number`: a different long >= 0 in each row of `batch`.
 
     Only keys and numbers are shuffled, the rows stay where they are: a bit for each row, in blocks of 32,768 that the
-    rows look up, tells which to keep. `batch` is read twice and must give the same numbers both times.
+    rows look up, tells which to keep. `batch` is read twice and must give the same numbers both times. `last` are its
+    `last_numbers` if they are known.
     """
-    last = batch.groupBy(*keys).agg(F.max(number).alias(number))
+    last = last_numbers(batch, keys, number) if last is None else last
     bits = last.groupBy(F.bitmap_bucket_number(number).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
     at = F.bitmap_bit_position(number)
@@ -36,13 +49,14 @@ def last_rows(batch: DataFrame, keys: list[str], number: str) -> DataFrame:
     return rows.where(kept).drop("_bucket", "_bits", number)
 
 
-def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str | None = None, unique: bool = False) -> DataFrame:
+def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str | None = None, unique: bool = False,
+                known: DataFrame | None = None) -> DataFrame:
     """The target after inserting the batch and overwriting non-key columns on equal keys.
 
     The last duplicate within the batch wins, by `seq` (default: row order of the batch). Columns the
     batch lacks keep the stored value, or null on insert. If the batch has key columns only, stored
     rows stay as they are. The stored side is anti-joined, never grouped: a small batch is broadcast.
-    `unique` says that no key comes twice in the batch.
+    `unique` says that no key comes twice in the batch, `known` are its keys if they are stored apart.
     """
     if seq is None and not unique:
         seq = "_seq"
@@ -56,7 +70,7 @@ def upsert_rows(target: DataFrame, batch: DataFrame, keys: list[str], seq: str |
     missing = [c for c in values if c not in given]
     if missing:
         latest = latest.join(target.select(*keys, *missing), keys, "left")
-    kept = target.join(latest.select(*keys), keys, "left_anti")
+    kept = target.join(latest.select(*keys) if known is None else known, keys, "left_anti")
     casts = [F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema]
     return kept.unionByName(latest.select(*casts))
 
@@ -77,10 +91,13 @@ class Lake:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._at(path)
+        return fs.exists(p)
 
     def _stored(self, table: str) -> DataFrame:
         schema = StructType([*TABLES[table], StructField("_part", IntegerType())])
@@ -97,29 +114,68 @@ class Lake:
                           & (F.col(dated[0]) >= F.lit(since).cast("date")))
         return df.select(*(columns or [f for f in df.columns if f != "_part"]))
 
+    def _merged_files(self, table: str, part: int) -> int:
+        """The files that a partition of too many small ones should have; 0 if it may stay as it is."""
+        path = f"{self.path(table)}/_part={part}"
+        if not self._exists(path):
+            return 0
+        fs, p = self._at(path)
+        held = fs.getContentSummary(p)
+        few = held.getFileCount() <= MANY_FILES or held.getLength() >= SMALL_FILE * held.getFileCount()
+        return 0 if few else -(-held.getLength() // MERGED_FILE) or 1
+
+    def _aside(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def upsert(self, table: str, batch: DataFrame, seq: str | None = None) -> None:
         """Insert the batch and overwrite equal keys; the last duplicate within the batch wins (see `upsert_rows`).
 
-        The stored rows of touched partitions are shuffled once, those of the batch are written from where they are
-        unless `seq` orders them; the next upsert of a partition merges their files.
+        No row of the batch is held in memory: it is read once for its keys, which are written aside, and again for its
+        rows, or written aside whole if another reading may differ. Partitions without any of its keys get more files,
+        written from where the rows are unless `seq` orders them; the others are rewritten, their stored rows shuffled
+        once, and so are those of too many small files, whose rows are shuffled once more.
         """
-        keys = KEYS[table]
-        unique = seq is None
+        keys, unique = KEYS[table], seq is None
+        again, seq = same_again(batch), seq or "_seq"
         if unique:
-            seq = "_seq"
             batch = batch.withColumn(seq, F.monotonically_increasing_id())
-        batch = batch.persist()
+        untyped = {c for c, kind in batch.dtypes if kind == "void"}
+        given = dict.fromkeys([*keys, *[c for c in batch.columns if c in TABLES[table].names], seq])
+        batch = batch.select(*[F.col(c).cast("string").alias(c) if c in untyped else c for c in given])
+        aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
         try:
-            parts = [r[0] for r in batch.select(part_of(table).alias("p")).distinct().collect()]
+            batch = batch if again else self._aside(batch, f"{aside}/rows")
+            last = self._aside(last_numbers(batch, keys, seq), f"{aside}/keys")
+            typed = last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table] if f.name in keys])
+            parts = {r[0] for r in typed.select(part_of(table).alias("p")).distinct().collect()}
             if not parts:
                 return
-            touched = self._stored(table).where(F.col("_part").isin(parts)).drop("_part")
-            latest = last_rows(batch, keys, seq) if unique else batch
-            merged = upsert_rows(touched.repartition(*keys), latest, keys, seq, unique)
-            (merged.withColumn("_part", part_of(table)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("_part").parquet(self.path(table)))
+            known = last.select(*keys)
+            stored = self._stored(table).where(F.col("_part").isin(sorted(parts - {None})))
+            met = stored.select(*keys, "_part").join(known, keys, "left_semi").select("_part").distinct()
+            files = {p: self._merged_files(table, p) for p in parts - {None}}
+            whole = {r[0] for r in met.collect()} | {p for p, n in files.items() if n}
+            new = sorted(parts - {None} - whole)
+            latest = last_rows(batch, keys, seq, last) if unique else batch
+            dest = self.path(table)
+            appended = F.coalesce(F.col("_part").isin(new), F.lit(False))
+            if len(new) < len(parts):
+                touched = stored.where(F.col("_part").isin(sorted(whole))).drop("_part")
+                merged = upsert_rows(touched.repartition(*keys), latest, keys, seq, unique, known)
+                merged = merged.withColumn("_part", part_of(table)).where(~appended)
+                if any(files.values()):
+                    merged = merged.repartition("_part", F.pmod(F.xxhash64(*keys), F.lit(max(files.values()))))
+                (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+                 .partitionBy("_part").parquet(dest))
+            if new:
+                empty = self.spark.createDataFrame([], TABLES[table])
+                merged = upsert_rows(empty, latest, keys, seq, unique, known).withColumn("_part", part_of(table))
+                merged = merged if len(new) == len(parts) else merged.where(appended)
+                merged.write.mode("append").option("compression", "zstd").partitionBy("_part").parquet(dest)
         finally:
-            batch.unpersist()
+            fs, p = self._at(aside)
+            fs.delete(p, True)
 
     def row_counts(self) -> DataFrame:
         return row_counts({t: self.read(t) for t in TABLES})
