@@ -169,7 +169,7 @@ class Lake:
                 (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
                  .partitionBy("_part").parquet(dest))
             if new:
-                empty = self.spark.createDataFrame([], TABLES[table])
+                empty = self.spark.createDataFrame([], TABLES[table]).limit(0)  # the optimizer sees that it is empty
                 merged = upsert_rows(empty, latest, keys, seq, unique, known).withColumn("_part", part_of(table))
                 merged = merged if len(new) == len(parts) else merged.where(appended)
                 merged.write.mode("append").option("compression", "zstd").partitionBy("_part").parquet(dest)
